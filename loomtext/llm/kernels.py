@@ -78,6 +78,44 @@ def _value_table() -> np.ndarray:
     return _tables["value"]
 
 
+def visible_table() -> np.ndarray:
+    """1 for every code point that is neither white space, control, letter nor number."""
+    if "visible" not in _tables:
+        table = (lower_table() == 0).astype(np.int8)
+        for cp in range(0x3100):
+            if chr(cp).isspace() or cp < 32 or 127 <= cp < 160:
+                table[cp] = 0
+        _tables["visible"] = table
+    return _tables["visible"]
+
+
+def cased_values() -> np.ndarray:
+    """As the values that words are made of, but upper case counts."""
+    if "cased" not in _tables:
+        value = mix(np.arange(0x110000).astype(U) + U(0x51ED270B))
+        value[lower_table() == 0] = 0
+        _tables["cased"] = value
+    return _tables["cased"]
+
+
+def visible_values() -> np.ndarray:
+    if "marks" not in _tables:
+        value = mix(np.arange(0x110000).astype(U) + U(0x1B873593))
+        value[visible_table() == 0] = 0
+        _tables["marks"] = value
+    return _tables["marks"]
+
+
+def upper_table() -> np.ndarray:
+    """1 for every upper-case letter."""
+    if "upper" not in _tables:
+        table = np.zeros(0x110000, np.int8)
+        for cp in range(0x20000):
+            table[cp] = unicodedata.category(chr(cp)) == "Lu"
+        _tables["upper"] = table
+    return _tables["upper"]
+
+
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' code points with a zero after each text, and where each text starts."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -96,10 +134,11 @@ class Words:
 
     __slots__ = ("hash", "start", "end", "off", "base", "cps")
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], values: np.ndarray | None = None) -> None:
+        """``values``: a 64-bit value for every code point that words are made of, 0 for every other one."""
         self.cps, base = codepoints(texts)
         self.base = base
-        values = _value_table()
+        values = _value_table() if values is None else values
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at, n = 0, len(self.cps)
         while at < n:
