@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import simhash, substrings
+from loomtext.llm import chats, contamination, languages, licenses, packing, perplexity, rules, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": simhash.op2_simhash, "op9_substrings": substrings.op9_substrings}
+    found = (
+        rules.op1_rules,
+        simhash.op2_simhash,
+        languages.op3_languages,
+        perplexity.op4_quality,
+        licenses.op5_licences,
+        contamination.op6_decontamination,
+        chats.op7_chats,
+        packing.op8_packing,
+        substrings.op9_substrings,
+        toxicity.op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(substrings.SQL)
+    return rules.SQL | contamination.SQL | chats.SQL | substrings.SQL

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm import frames
 from loomtext.llm import kernels as K
 from loomtext.llm import spans as S
 from loomtext.session import cut, read, shuffle_partitions
@@ -29,7 +30,6 @@ from loomtext.session import cut, read, shuffle_partitions
 U = np.uint64
 LENGTH = 50
 _BATCH_WINDOWS = 2_000_000
-_BROADCAST_BYTES = 64 << 20
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -198,16 +198,16 @@ def removal_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` and a last column __ranges."""
-    columns = docs.columns
-    found = cut(removal_intervals(docs, length).withColumnsRenamed({"doc_id": "__id", "ranges": "__ranges"}))
-    size = found.agg(F.sum(F.expr("32 + aggregate(__ranges, 0L, (n, r) -> n + 16 + octet_length(r.ranges))"))).first()[0] or 0
-    return docs.join(F.broadcast(found) if size <= _BROADCAST_BYTES else found, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*columns, "__ranges")
+    """``docs`` and a last column of ranges."""
+    key, ranges = frames.fresh(docs, "__id"), frames.fresh(docs, "__ranges")
+    found = cut(removal_intervals(docs, length).withColumnsRenamed({"doc_id": key, "ranges": ranges}))
+    size = found.agg(F.sum(F.expr(f"32 + aggregate({ranges}, 0L, (n, r) -> n + 16 + octet_length(r.ranges))"))).first()[0] or 0
+    return docs.join(frames.sized(found, 1, size), F.col("doc_id").cast("long") == F.col(key), "left").select(*frames.every(docs), ranges)
 
 
 def _cuts(part: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, str]]:
     """(row, words of the text, beginnings, ends, what is left) of the rows with repeated windows."""
-    column = part.column(part.schema.names.index("__ranges"))
+    column = part.column(part.num_columns - 1)
     hit = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
     if len(hit):
         some = [texts[i] for i in hit]
