@@ -1,15 +1,582 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, and the SQL that gives the same rows where SQL can.
+
+Training text is all of ``documents``, test text all of ``benchmark``; ``pages`` are crawled pages and
+``events`` a crawl log in which value times 1000 is a page's perplexity and the page of half the number linked to it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomtext.functions import ngrams as N
+from loomtext.functions import segments as S
+from loomtext.functions import text as X
+from loomtext.functions import vectors as V
+from loomtext.operators import counting, frontier, models, perplexity, series
+from loomtext.operators import html as H
+from loomtext.operators import rule_segmentation as R
+from loomtext.plans import sql
+from loomtext.session import cut, read
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def _query(name: str, text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if text is not None:
+            _SQL[name] = text
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return counting.spread(read(spark, d, "documents"))
+
+
+# -- tokens -------------------------------------------------------------------------------------
+
+
+def _token_counts(tokenizer: str) -> None:
+    pattern = sql.TOKEN_PATTERNS[tokenizer]
+
+    @_query(f"tok_{tokenizer}_counts", f"SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{pattern}')) AS token FROM documents) GROUP BY token")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _docs(spark, d).select(F.explode(S.TOKENIZERS[tokenizer](F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
+for _name in sql.TOKEN_PATTERNS:
+    _token_counts(_name)
+
+_SEGS = f"segs AS (SELECT doc_id, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{S.CLASS_RUNS}') AS x FROM documents)), typed AS (SELECT doc_id, i, token, {sql.type_case('token')} AS type FROM segs)"
+
+
+@_query("seg_type_hist", f"WITH {_SEGS} SELECT type, count(*) AS n, count(DISTINCT token) AS n_distinct FROM typed GROUP BY type")
+def _seg_type_hist(spark, d):
+    tokens = _docs(spark, d).select(F.explode(S.class_tokens(F.col("text"))).alias("token")).groupBy("token").count()
+    return tokens.groupBy(S.type_of(F.col("token")).alias("type")).agg(F.sum("count").alias("n"), F.count("*").alias("n_distinct"))
+
+
+_LEVEL_SQL = {2: "type <> 'EMPTY_SPACE'", 3: "type NOT IN ('EMPTY_SPACE', 'NON_WORD', 'UNKNOWN')", 4: "type NOT IN ('EMPTY_SPACE', 'NON_WORD', 'UNKNOWN', 'PUNCTUATION')", 5: "type NOT IN ('EMPTY_SPACE', 'NON_WORD', 'UNKNOWN', 'PUNCTUATION', 'NUMBER', 'WORD_WITH_NUMBER')"}
+
+
+@_query("seg_filter_levels", f"WITH {_SEGS} SELECT doc_id, count(*) AS l1, " + ", ".join(f"count(*) FILTER ({c}) AS l{k}" for k, c in _LEVEL_SQL.items()) + " FROM typed GROUP BY doc_id")
+def _seg_filter_levels(spark, d):
+    typed = _docs(spark, d).select("doc_id", S.typed(S.class_tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    return typed.select("doc_id", *[F.size(S.keep_level(F.col("s"), k)).cast("long").alias(f"l{k}") for k in (1, 2, 3, 4, 5)])
+
+
+@_query("tok_normalize", f"""WITH {_SEGS}, chars AS (
+  SELECT doc_id, i, k, c, lag(c) OVER (PARTITION BY doc_id, i ORDER BY k) AS b FROM (SELECT doc_id, i, unnest(string_split(token, '')) AS c, unnest(range(1, length(token) + 1)) AS k FROM typed WHERE type = 'NON_WORD')),
+squeezed AS (SELECT doc_id, i, string_agg(c, '' ORDER BY k) AS token FROM chars WHERE b IS NULL OR b <> c GROUP BY doc_id, i),
+done AS (
+  SELECT lower(CASE type WHEN 'NON_WORD' THEN s.token WHEN 'NUMBER' THEN '0' WHEN 'WORD_WITH_NUMBER' THEN regexp_replace(t.token, '\\p{{Nd}}+', '0', 'g') WHEN 'EMPTY_SPACE' THEN ' ' WHEN 'PUNCTUATION' THEN '.' ELSE t.token END) AS token
+  FROM typed t LEFT JOIN squeezed s USING (doc_id, i))
+SELECT token, count(*) AS cnt FROM done GROUP BY token""")
+def _tok_normalize(spark, d):
+    segments = _docs(spark, d).select(F.explode(S.typed(S.class_tokens(F.col("text")))).alias("s"))
+    return segments.select(S.normalized(F.col("s"), 4).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
+@_query("tok_merge_types", f"""WITH {_SEGS}, kept AS (SELECT doc_id, i, type, lag(type) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM typed WHERE type <> 'EMPTY_SPACE')
+SELECT doc_id, count(*) AS n FROM kept WHERE b IS NULL OR type IN ('WORD', 'WORD_UPPERCASE', 'WORD_LOWERCASE') OR type <> b GROUP BY doc_id""")
+def _tok_merge_types(spark, d):
+    typed = _docs(spark, d).select("doc_id", S.keep_level(S.typed(S.class_tokens(F.col("text"))), 2).alias("s")).where(F.size("s") > 0)
+    return typed.select("doc_id", F.size(S.merge_types(F.col("s"))).cast("long").alias("n"))
+
+
+@_query("tok_merge_tokens", f"""WITH {_SEGS}, kept AS (SELECT doc_id, i, token, lag(token) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM typed WHERE type <> 'EMPTY_SPACE')
+SELECT doc_id, count(*) AS n FROM kept WHERE b IS NULL OR token <> b GROUP BY doc_id""")
+def _tok_merge_tokens(spark, d):
+    tokens = _docs(spark, d).select("doc_id", F.filter(S.class_tokens(F.col("text")), lambda t: ~t.rlike(r"^[\p{Z}\p{Cc}]+\z")).alias("t")).where(F.size("t") > 0)
+    return tokens.select("doc_id", F.size(S.merge_tokens(F.col("t"))).cast("long").alias("n"))
+
+
+@_query("pretokenized", r"SELECT doc_id, CAST(len(string_split(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')), ' ')) AS BIGINT) AS n FROM documents")
+def _pretokenized(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(S.pretokenized(F.col("text"))).cast("long").alias("n"))
+
+
+@_query("line_split", f"SELECT doc_id, generate_subscripts(x, 1) AS sent, unnest(x) AS line FROM (SELECT doc_id, regexp_extract_all(text, '{S.LINES}') AS x FROM documents)")
+def _line_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(S.lines(F.col("text"))).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("long").alias("sent"), "line")
+
+
+@_query("sentence_tags", f"WITH {sql.sentences()} SELECT len(t) AS size, count(*) AS n FROM sents GROUP BY 1")
+def _sentence_tags(spark, d):
+    return counting.sentences(read(spark, d, "documents")).groupBy(F.size("tokens").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
+# -- cleaning -----------------------------------------------------------------------------------
+
+
+@_query("utf8_clean", "SELECT page_id, translate(html, chr(65279) || chr(65533), '¿¿') AS clean FROM pages")
+def _utf8_clean(spark, d):
+    return read(spark, d, "pages").select("page_id", X.clean_min(F.col("html")).alias("clean"))
+
+
+@_query("utf8_clean_ext", "SELECT doc_id, regexp_replace(text, '[\\x{01}-\\x{08}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}\\x{FEFF}\\x{FFFD}\\x{E000}-\\x{E01F}\\x{F0A0}-\\x{F0BF}\\x{2160}-\\x{216F}]', '¿', 'g') AS clean FROM documents")
+def _utf8_clean_ext(spark, d):
+    return _docs(spark, d).select("doc_id", X.clean_ext(F.col("text")).alias("clean"))
+
+
+@_query("abbrev_text", r"SELECT doc_id, regexp_replace(CASE WHEN length(text) > 50 THEN substr(text, 1, 47) || '...' ELSE text END, '\s+', ' ', 'g') AS short FROM documents")
+def _abbrev_text(spark, d):
+    return _docs(spark, d).select("doc_id", X.abbreviate(F.col("text")).alias("short"))
+
+
+@_query("blanks", r"SELECT doc_id, regexp_replace(regexp_replace(text, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'), '[\s\x{A0}]+', '_', 'g') AS line FROM documents")
+def _blanks(spark, d):
+    return _docs(spark, d).select("doc_id", X.squeeze_blanks(X.trim_blanks(F.col("text")), "_").alias("line"))
+
+
+@_query("escape_line", r"SELECT doc_id, replace(replace(replace(text, chr(9), '\t'), chr(13), ''), chr(10), '\n') AS line FROM documents")
+def _escape_line(spark, d):
+    return _docs(spark, d).select("doc_id", X.escape_line(F.col("text")).alias("line"))
+
+
+@_query("unescape_line", "SELECT doc_id, replace(text, chr(13), '') AS text FROM documents")
+def _unescape_line(spark, d):
+    return _docs(spark, d).select("doc_id", X.unescape_line(X.escape_line(F.col("text"))).alias("text"))
+
+
+@_query("html_strip", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '[\n\r]', ' ', 'g'), '(?i)</p>|<br\s*/?>|</h[1-6]>|</li>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') AS t FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM c)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ') AS text FROM e""")
+def _html_strip(spark, d):
+    return read(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+
+
+@_query("html_text")
+def _html_text(spark, d):
+    return read(spark, d, "pages").select("page_id", X.clean_min(H.html_text(X.clean_min(F.col("html")))).alias("text"))
+
+
+@_query("html_article")
+def _html_article(spark, d):
+    return read(spark, d, "pages").select("page_id", H.html_article(F.col("html")).alias("text"))
+
+
+@_query("html_links", """SELECT page_id, count(*) AS n, count(DISTINCT href) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def _html_links(spark, d):
+    links = read(spark, d, "pages").select("page_id", F.explode(H.html_links(F.col("html"))).alias("href"))
+    return links.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("n_distinct"))
+
+
+@_query("url_host", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '([^.]+[.][^.]+)$', 1) AS domain FROM pages")
+def _url_host(spark, d):
+    return read(spark, d, "pages").select("page_id", X.host(F.col("url")).alias("host"), X.domain(F.col("url")).alias("domain"))
+
+
+# -- rule segmentation --------------------------------------------------------------------------
+
+
+@_query("rule_split")
+def _rule_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(R.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@_query("rule_tokenize")
+def _rule_tokenize(spark, d):
+    return _docs(spark, d).select(F.explode(R.rule_tokens(F.col("text"))).alias("s")).groupBy("s.type", "s.text").agg(F.count("*").alias("cnt"))
+
+
+@_query("sentence_maker")
+def _sentence_maker(spark, d):
+    return R.make_sentences(_docs(spark, d))
+
+
+# -- n-grams ------------------------------------------------------------------------------------
+
+_B0 = "CASE WHEN len(t) <= 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(list_slice(t, i, i + 2), ' ')) END"
+_BOUNDARY = {
+    -1: "CASE WHEN len(t) < 3 THEN [] ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(list_slice(t, i, i + 2), ' ')) END",
+    0: _B0,
+    1: _B0.replace("len(t)", "(len(t) + 1)").replace("array_to_string(t, ' ')", "array_to_string(list_concat([t[1]], t), ' ')").replace("list_slice(t, ", "list_slice(list_concat([t[1]], t), "),
+    2: "CASE WHEN len(t) = 2 THEN [array_to_string(t, ' ')] ELSE list_concat([t[1] || ' ' || t[2]], list_transform(range(1, len(t) - 1), lambda i: array_to_string(list_slice(t, i, i + 2), ' '))) END",
+}
+
+
+def _extract(boundary: int) -> None:
+    @_query(f"ngram_extract_b{boundary}", f"WITH {sql.sentences()} SELECT ngram, count(*) AS cnt FROM (SELECT unnest({_BOUNDARY[boundary]}) AS ngram FROM sents) GROUP BY ngram")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return counting.sentences(read(spark, d, "documents")).select(F.explode(N.keys(F.col("tokens"), 3, boundary)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt"))
+
+
+for _b in _BOUNDARY:
+    _extract(_b)
+
+
+@_query("ngram_across", f"WITH {sql.sentences()}, whole AS (SELECT doc_id, 0 AS sent, flatten(list(t ORDER BY sent)) AS t FROM sents GROUP BY doc_id), {sql.grams(2, 3, 'whole')} SELECT doc_id, n, count(*) AS cnt, count(DISTINCT ngram) AS n_distinct FROM grams GROUP BY doc_id, n")
+def _ngram_across(spark, d):
+    found = counting.across(counting.sentences(read(spark, d, "documents")), range(2, 4))
+    return found.groupBy("doc_id", "n").agg(F.count("*").alias("cnt"), F.countDistinct("ngram").alias("n_distinct"))
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return counting.counts(counting.occurrences(counting.sentences(read(spark, d, "documents")), range(1, 4)))
+
+
+_G = f"WITH {sql.sentences()},\n{sql.grams()},\n{sql.COUNTS}"
+
+
+@_query("ngram_counts_min2", f"{_G} SELECT n, ngram, cnt FROM counts WHERE cnt >= 2")
+def _ngram_counts(spark, d):
+    return counting.counts(counting.occurrences(counting.sentences(read(spark, d, "documents")), range(1, 4)), 2)
+
+
+@_query("vocabulary", f"{_G} SELECT ngram AS word FROM counts WHERE n = 1 AND cnt >= 2")
+def _vocabulary(spark, d):
+    return counting.vocabulary(_counted(spark, d).where("n = 1 and cnt >= 2"))
+
+
+@_query("nfollow", f"{_G} {sql.NF}")
+def _nfollow(spark, d):
+    return counting.followers(_counted(spark, d))
+
+
+@_query("nprecede", f"{_G} {sql.NP}")
+def _nprecede(spark, d):
+    return counting.preceders(_counted(spark, d))
+
+
+@_query("nfollowerprecede", f"{_G} {sql.NFP}")
+def _nfollowerprecede(spark, d):
+    return counting.surrounders(_counted(spark, d))
+
+
+@_query("ngram_index", f"{_G},{sql.INDEX} SELECT n, ngram, regexp_extract(ngram, '([^ ]+)$', 1) AS word, {sql.HISTORY.format('ngram')} AS history, {sql.LOWER.format('ngram')} AS lower, cnt, {', '.join(counting.STATS)} FROM idx")
+def _ngram_index(spark, d):
+    return counting.index(_counted(spark, d))
+
+
+@_query("count_of_counts", f"{_G}, {sql.COC} SELECT * FROM coc")
+def _count_of_counts(spark, d):
+    return counting.count_of_counts(_counted(spark, d))
+
+
+@_query("oov_terms", f"{_G},{sql.sentences('benchmark', 'item_id', 'test_sents')} SELECT word, count(*) AS cnt FROM (SELECT unnest(t) AS word FROM test_sents) WHERE word NOT IN (SELECT ngram FROM counts WHERE n = 1) GROUP BY word")
+def _oov_terms(spark, d):
+    known = counting.sentences(read(spark, d, "documents")).select(F.explode("tokens").alias("word")).distinct()
+    return counting.sentences(read(spark, d, "benchmark"), "item_id").select(F.explode("tokens").alias("word")).join(known, "word", "left_anti").groupBy("word").agg(F.count("*").alias("cnt"))
+
+
+@_query("oov_reflm", f"""WITH {sql.sentences()},{sql.sentences('conversations', 'conv_id', 'ref')},{sql.sentences('benchmark', 'item_id', 'test_sents')},
+words AS (SELECT doc_id, unnest(t) AS word FROM test_sents), a AS (SELECT DISTINCT unnest(t) AS word FROM sents), b AS (SELECT DISTINCT unnest(t) AS word FROM ref)
+SELECT doc_id, count(*) AS n, count(*) FILTER (word NOT IN (SELECT word FROM a)) AS oov, count(*) FILTER (word NOT IN (SELECT word FROM b)) AS oov_ref FROM words GROUP BY doc_id""")
+def _oov_reflm(spark, d):
+    words = lambda t, k: counting.sentences(read(spark, d, t), k).select("doc_id", F.explode("tokens").alias("word"))
+    a, b = (words(t, k).select("word").distinct().withColumn(c, F.lit(1)) for t, k, c in (("documents", "doc_id", "a"), ("conversations", "conv_id", "b")))
+    joined = words("benchmark", "item_id").join(a, "word", "left").join(b, "word", "left")
+    return joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull()).alias("oov"), F.count_if(F.col("b").isNull()).alias("oov_ref"))
+
+
+# -- models -------------------------------------------------------------------------------------
+
+
+def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Index, counts of counts, and test sentences."""
+    indexed = cut(counting.index(_counted(spark, d)))
+    return indexed, counting.count_of_counts(indexed), counting.sentences(read(spark, d, "benchmark"), "item_id")
+
+
+def _scored(spark: SparkSession, d: str, model: str, discount: float | None = 0.7) -> tuple[DataFrame, DataFrame]:
+    indexed, coc, test = _trained(spark, d)
+    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
+    return test, models.scored(grams, indexed, coc, model, discount)
+
+
+def _model(name: str, discount: float | None = 0.7, title: str | None = None) -> None:
+    made = sql.discounts() if discount is None else sql.FIXED
+
+    @_query(title or f"lm_{name}", f"WITH {sql.TESTED},{sql.scored(models.MODELS[name], made)} SELECT ngram, round(p, 9) AS p, oov_last FROM scored")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _scored(spark, d, name, discount)[1].select("ngram", F.round("p", 9).alias("p"), "oov_last")
+
+
+for _name in models.MODELS:
+    _model(_name)
+_model("kn_modified", None, "lm_kn_modified_auto")
+_model("kn_recursive", None, "lm_kn_recursive_auto")
+
+
+@_query("kn_discounts", f"{_G}, {sql.COC},{sql.discounts()} SELECT n, round(d, 9) AS d, round(m1, 9) AS d1, round(m2, 9) AS d2, round(m3, 9) AS d3 FROM per_n")
+def _kn_discounts(spark, d):
+    coc = [r.asDict() for r in counting.count_of_counts(_counted(spark, d)).collect()]
+    k = models.constants(coc, None)
+    return spark.createDataFrame([(n, *(round(k[x], 9) for x in (f"d{n}", f"d{n}_1", f"d{n}_2", f"d{n}_3"))) for n in (1, 2, 3)], "n int, d double, d1 double, d2 double, d3 double")
+
+
+@_query("predict_next")
+def _predict_next(spark, d):
+    indexed, coc, test = _trained(spark, d)
+    histories = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history"))
+    return models.predict_next(histories, indexed, coc, top=200).select("history", "word", F.round("p", 9).alias("p"))
+
+
+_KN = f"WITH {sql.TESTED},{sql.scored(models.MODELS['kn_recursive'])},{sql.OCCURRENCES}"
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    test, scored = _scored(spark, d, "kn_recursive")
+    return perplexity.score_sentences(test, scored)
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "num_ngrams", "num_oov", F.round("log10p", 6).alias("log10p"), F.round("perp", 4).alias("perp"), F.round("perp_noov", 4).alias("perp_noov"))
+
+
+@_query("line_perplexity", _KN + sql.summary("doc_id, sent"))
+def _line_perplexity(spark, d):
+    return _rounded(perplexity.summarize(_scores(spark, d), "doc_id", "sent").withColumn("sent", F.col("sent").cast("long")), "doc_id", "sent")
+
+
+@_query("doc_perplexity", _KN + sql.summary("doc_id"))
+def _doc_perplexity(spark, d):
+    return _rounded(perplexity.summarize(_scores(spark, d), "doc_id"), "doc_id")
+
+
+@_query("sent_perplexity", _KN + "SELECT doc_id, count(*) AS num_sentences, round(pow(10, -avg(m)), 4) AS perp FROM (SELECT doc_id, sent, avg(lp) AS m FROM scores GROUP BY doc_id, sent) GROUP BY doc_id")
+def _sent_perplexity(spark, d):
+    return perplexity.sentence_normalized(_scores(spark, d), "doc_id").withColumn("perp", F.round("perp", 4))
+
+
+@_query("corpus_perplexity", _KN + """SELECT CASE WHEN GROUPING(doc_id) = 1 THEN -1 ELSE doc_id END AS doc_id, count(*) AS num_ngrams, round(pow(10, -avg(lp)), 4) AS perp,
+  round(min(lp), 6) AS min_log10p, round(max(lp), 6) AS max_log10p, min(ngram) FILTER (lp = best) AS most_likely FROM (SELECT *, max(lp) OVER () AS top, max(lp) OVER (PARTITION BY doc_id) AS best FROM scores) GROUP BY ROLLUP (doc_id)""")
+def _corpus_perplexity(spark, d):
+    scores = _scores(spark, d).withColumn("best", F.max("log10p").over(Window.partitionBy("doc_id")))
+    rolled = scores.rollup("doc_id").agg(F.grouping("doc_id").alias("g"), F.count("*").alias("num_ngrams"), F.round(F.pow(F.lit(10.0), -F.avg("log10p")), 4).alias("perp"), F.round(F.min("log10p"), 6).alias("min_log10p"), F.round(F.max("log10p"), 6).alias("max_log10p"), F.min(F.when(F.col("log10p") == F.col("best"), F.col("ngram"))).alias("most_likely"))
+    return rolled.select(F.when(F.col("g") == 1, -1).otherwise(F.col("doc_id")).alias("doc_id"), "num_ngrams", "perp", "min_log10p", "max_log10p", "most_likely")
+
+
+@_query("ngram_probs", _KN + "SELECT ngram, round(lp, 6) AS log10p, count(*) AS cnt FROM scores GROUP BY ngram, round(lp, 6)")
+def _ngram_probs(spark, d):
+    return _scores(spark, d).groupBy("ngram", F.round("log10p", 6).alias("log10p")).agg(F.count("*").alias("cnt"))
+
+
+@_query("filter_lines", _KN + f", l AS ({sql.summary('doc_id, sent')}) SELECT doc_id, sent, perp FROM l WHERE num_oov * 2 < num_ngrams AND perp <= 1000")
+def _filter_lines(spark, d):
+    lines = _rounded(perplexity.summarize(_scores(spark, d), "doc_id", "sent"), "doc_id", "sent")
+    return perplexity.filter_lines(lines).select("doc_id", F.col("sent").cast("long").alias("sent"), "perp")
+
+
+def _all_models(spark: SparkSession, d: str) -> DataFrame:
+    indexed, coc, test = _trained(spark, d)
+    fixed = models.constants([r.asDict() for r in coc.collect()])
+    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
+    looked = models.lookup(grams, indexed).withColumns({k: F.lit(v) for k, v in fixed.items()})
+    each = F.array(*[F.struct(F.lit(m).alias("model"), models.probability(m).cast("double").alias("p")) for m in models.MODELS])
+    joined = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram")).join(looked.select("ngram", F.explode(each).alias("x")), "ngram")
+    return joined.select("x.model", "x.p")
+
+
+_PIVOT = ", ".join(f"round(pow(10, -sum(log10(CASE WHEN pr_{m} > 0 THEN pr_{m} END)) / count(CASE WHEN pr_{m} > 0 THEN 1 END)), 4) AS {m}" for m in models.MODELS)
+
+
+@_query("order_model_pivot", f"WITH {sql.TESTED},{sql.scored('0')}, every AS (SELECT ngram, " + ", ".join(f"{p} AS pr_{m}" for m, p in models.MODELS.items()) + ") SELECT 1".replace(") SELECT 1", f" FROM looked), o AS (SELECT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS ngram FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM test_sents WHERE len(t) >= 3)) SELECT 3 AS n, {_PIVOT} FROM o JOIN every USING (ngram)"))
+def _order_model_pivot(spark, d):
+    positive = F.when(F.col("p") > 0, F.log10("p"))
+    return _all_models(spark, d).withColumn("n", F.lit(3)).groupBy("n").pivot("model", list(models.MODELS)).agg(F.round(F.pow(F.lit(10.0), -F.avg(positive)), 4))
+
+
+@_query("distribution_perplexity", f"{_G} SELECT n, round(pow(2, log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt)), 4) AS perp FROM counts GROUP BY n")
+def _distribution_perplexity(spark, d):
+    c = _counted(spark, d)
+    return c.groupBy("n").agg(F.round(perplexity.entropy_perplexity(c), 4).alias("perp"))
+
+
+@_query("entry_top_perplexity", _KN + f", l AS ({sql.summary('doc_id')}) SELECT doc_id, num_ngrams, perp FROM l ORDER BY perp DESC, doc_id LIMIT 20")
+def _entry(spark, d):
+    """The 20 most perplexing benchmark texts under the recursive Kneser-Ney model of all documents."""
+    docs = _rounded(perplexity.summarize(_scores(spark, d), "doc_id"), "doc_id")
+    return docs.select("doc_id", "num_ngrams", "perp").orderBy(F.desc("perp"), "doc_id").limit(20)
+
+
+# -- crawl --------------------------------------------------------------------------------------
+
+_PERP = "value * 1000"
+_LEVEL = f"CASE WHEN {_PERP} <= 1 THEN NULL WHEN {_PERP} <= 500 THEN 1 WHEN {_PERP} <= 5000 THEN 2 ELSE 3 END"
+_COST = f"CASE level WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN CASE WHEN {_PERP} >= 50000 THEN 127 ELSE CAST(ceil((ln(1 + {_PERP}) - ln(5001)) * 63 / (ln(50001) - ln(5001)) + 64) AS INTEGER) END END"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").withColumn("perp", F.col("value") * 1000)
+
+
+@_query("priority_bucket", f"SELECT event_id, level AS directive, {_COST} AS cost, level IS NULL AS rejected FROM (SELECT *, {_LEVEL} AS level FROM events)")
+def _priority_bucket(spark, d):
+    return frontier.prioritize(_links(spark, d)).select("event_id", "directive", "cost", "rejected")
+
+
+@_query("assignment_hist", f"SELECT coalesce(level, 0) AS directive, count(*) AS n FROM (SELECT {_LEVEL} AS level FROM events) GROUP BY 1")
+def _assignment_hist(spark, d):
+    return frontier.assigned(frontier.prioritize(_links(spark, d)))
+
+
+@_query("via_walk", """WITH RECURSIVE e AS (SELECT event_id AS uri, CASE WHEN event_id > 0 THEN event_id // 2 END AS via, CASE WHEN event_type = 'purchase' THEN value END AS perp FROM events),
+w AS (SELECT uri, uri AS at, perp, via FROM e UNION ALL SELECT w.uri, e.uri, e.perp, e.via FROM w JOIN e ON e.uri = w.via WHERE w.perp IS NULL)
+SELECT e.uri, x.at AS source, x.perp FROM e LEFT JOIN (SELECT * FROM w WHERE perp IS NOT NULL) x USING (uri)""")
+def _via_walk(spark, d):
+    links = read(spark, d, "events").select(F.col("event_id").alias("uri"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)).alias("via"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("perp"))
+    return frontier.nearest_scored(links)
+
+
+@_query("scope_rules", r"SELECT page_id, CASE WHEN length(url) > 2000 THEN false WHEN regexp_matches(url, '(?i)\.(jpe?g|png|gif|mp[34]|avi|zip|exe)$') THEN false WHEN length(url) - length(replace(url, '/', '')) > 5 THEN false WHEN regexp_matches(url, '^https?://') THEN true ELSE false END AS accepted FROM pages")
+def _scope_rules(spark, d):
+    return read(spark, d, "pages").select("page_id", frontier.in_scope(F.col("url"), frontier.default_scope(F.col("url"), 5)).alias("accepted"))
+
+
+@_query("domain_limit", """WITH p AS (SELECT page_id, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '([^.]+[.][^.]+)$', 1) AS domain FROM pages),
+f AS (SELECT domain, row_number() OVER (ORDER BY min(page_id), domain) AS k FROM p GROUP BY domain) SELECT page_id, domain, k <= 2 AS accepted FROM p JOIN f USING (domain)""")
+def _domain_limit(spark, d):
+    return frontier.domain_limit(read(spark, d, "pages"), 2, "page_id").select("page_id", "domain", "accepted")
+
+
+@_query("next_urls", f"SELECT user_id AS host, event_id AS uri, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY level, {_COST}, event_id) AS rank FROM (SELECT *, {_LEVEL} AS level FROM events) WHERE level IS NOT NULL) WHERE rank <= 3")
+def _next_urls(spark, d):
+    links = frontier.prioritize(_links(spark, d).withColumn("uri", F.col("event_id")))
+    return frontier.next_urls(links, F.col("user_id"), 3).select("host", "uri", "rank")
+
+
+@_query("log_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _log_json(spark, d):
+    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query("crawl_stats", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) FILTER (NOT isfinite(value)) AS odd FROM events GROUP BY event_type")
+def _crawl_stats(spark, d):
+    odd = F.isnan("value") | (F.abs("value") == float("inf"))
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(odd).alias("odd"))
+
+
+@_query("priority_log", f"SELECT event_id, strftime(ts, '%Y%m%d%H%M%S%g') AS at, lpad(CAST(coalesce(level, 0) AS VARCHAR), 2, '0') AS directive FROM (SELECT *, {_LEVEL} AS level FROM events)")
+def _priority_log(spark, d):
+    logged = frontier.prioritize(_links(spark, d))
+    return logged.select("event_id", X.digits_time(F.col("ts")).alias("at"), F.lpad(F.coalesce("directive", F.lit(0)).cast("string"), 2, "0").alias("directive"))
+
+
+# -- series -------------------------------------------------------------------------------------
+
+_TOKENS = f"n_tokens AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS BIGINT) AS n FROM documents)"
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.size(S.runs(F.col("text"), r"[\p{L}\p{N}]+")).cast("long").alias("n"))
+
+
+@_query("token_running_sum", f"WITH {_TOKENS} SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS pos, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS cum FROM n_tokens")
+def _token_running_sum(spark, d):
+    return series.numbered(_sizes(spark, d), ["doc_id"], "n").select("doc_id", "n", "pos", "cum")
+
+
+@_query("token_budget_head", f"WITH {_TOKENS} SELECT doc_id, n FROM (SELECT *, sum(n) OVER (ORDER BY doc_id) AS cum FROM n_tokens) WHERE cum - n <= 100000")
+def _token_budget_head(spark, d):
+    return series.head_by_budget(_sizes(spark, d), ["doc_id"], "n", series.budget("100K")).select("doc_id", "n")
+
+
+@_query("linear_split", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS s FROM events) SELECT event_id, CAST((SELECT max(j) FROM range(0, 7) t(j) WHERE (j * s) // 7 <= i) AS INTEGER) AS split FROM r")
+def _linear_split(spark, d):
+    return series.linear_split(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 7).select("event_id", "split")
+
+
+@_query("moving_median", "SELECT event_id, median(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS med FROM events")
+def _moving_median(spark, d):
+    return read(spark, d, "events").select("event_id", series.centred_median(F.col("value"), "event_type", "event_id", 10).alias("med"))
+
+
+@_query("last100_stats", "SELECT event_id, min(value) OVER w AS min_100, max(value) OVER w AS max_100, round(avg(value) OVER w, 9) AS mean_100 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def _last100_stats(spark, d):
+    stats = series.last_values(F.col("value"), "event_type", "event_id", 100)
+    return read(spark, d, "events").select("event_id", stats["min_100"].alias("min_100"), stats["max_100"].alias("max_100"), F.round(stats["mean_100"], 9).alias("mean_100"))
+
+
+@_query("perp_histogram", "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value / 5) + 1 END AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1")
+def _perp_histogram(spark, d):
+    return series.histogram(read(spark, d, "events"), "value", 0.0, 100.0, 20)
+
+
+@_query("binned_median", "SELECT event_id // 100 AS bin, round(median(value), 6) AS med, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _binned_median(spark, d):
+    return read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("bin")).agg(F.round(F.median("value"), 6).alias("med"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@_query("lang_dist", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def _lang_dist(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@_query("lang_filter", "SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source")
+def _lang_filter(spark, d):
+    return read(spark, d, "documents").where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@_query("sort_uniq", f"SELECT DISTINCT unnest(regexp_extract_all(text, '{S.LINES}')) AS line FROM documents")
+def _sort_uniq(spark, d):
+    return _docs(spark, d).select(F.explode(S.lines(F.col("text"))).alias("line")).distinct()
+
+
+@_query("writer_counters", "SELECT source, count(*) AS n, sum(strlen(text)) AS bytes FROM documents GROUP BY source")
+def _writer_counters(spark, d):
+    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@_query("consecutive_docs", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
+SELECT user_id, event_type, min(event_id) AS first, count(*) AS n FROM r GROUP BY user_id, event_type, g""")
+def _consecutive_docs(spark, d):
+    changed = F.when(F.col("event_type") == F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")), 0).otherwise(1)
+    runs = read(spark, d, "events").withColumn("new", changed).withColumn("run", F.sum("new").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("run")
+
+
+@_query("sentence_splits", "SELECT source, min(doc_id) AS k, count(*) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '" + S.LINES + "')) AS line, source, doc_id FROM documents) GROUP BY source")
+def _sentence_splits(spark, d):
+    lines = _docs(spark, d).select(F.explode(S.lines(F.col("text"))).alias("line"), "source", "doc_id").distinct()
+    return lines.groupBy("source").agg(F.min("doc_id").alias("k"), F.count("*").alias("n"))
+
+
+# -- numbers and hashes -------------------------------------------------------------------------
+
+
+@_query("vector_cosine", """WITH c AS (SELECT label, list_transform(range(1, max(len(embedding)) + 1), lambda i: 0.0) AS z FROM embeddings GROUP BY label), h AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cos, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_distance(embedding::DOUBLE[], e::DOUBLE[]), 6) AS dist FROM embeddings JOIN h USING (label)""")
+def _vector_cosine(spark, d):
+    table = read(spark, d, "embeddings")
+    heads = table.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
+    a, b = F.col("embedding"), F.col("e")
+    return table.join(heads, "label").select("vec_id", F.round(V.cosine(a, b), 6).alias("cos"), F.round(V.norm(a), 6).alias("norm"), F.round(V.euclid(a, b), 6).alias("dist"))
+
+
+@_query("kl_sym", """WITH h AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label), z AS (SELECT vec_id, list_zip(embedding::DOUBLE[], e::DOUBLE[]) AS p FROM embeddings JOIN h USING (label))
+SELECT vec_id, round(coalesce(list_sum(list_transform(p, lambda x: CASE WHEN x[1] > 0 AND x[2] > 0 THEN (x[1] - x[2]) * ln(x[1] / x[2]) ELSE 0.0 END)), 0) / 2, 6) AS kl FROM z""")
+def _kl_sym(spark, d):
+    table = read(spark, d, "embeddings")
+    heads = table.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
+    return table.join(heads, "label").select("vec_id", F.round(V.symmetric_kl(F.col("embedding"), F.col("e")), 6).alias("kl"))
+
+
+@_query("vector_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS at, embedding[1] AS head, embedding[-1] AS last FROM embeddings")
+def _vector_argmax(spark, d):
+    e = F.col("embedding")
+    return read(spark, d, "embeddings").select("vec_id", V.argmax(e).cast("int").alias("at"), F.element_at(e, 1).alias("head"), F.element_at(e, -1).alias("last"))
+
+
+@_query("sha_hash", "SELECT doc_id, sha256(text) AS sha, CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) AS head FROM documents")
+def _sha_hash(spark, d):
+    return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha"), V.sha256_int(F.col("text")).alias("head"))
