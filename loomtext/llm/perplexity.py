@@ -253,7 +253,8 @@ def _requests(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> I
         for x in (metas, grams, docs, sizes, sums):
             x.clear()
         ids = meta["doc_id"].fill_null(0).to_numpy().view(U)
-        uid = int(K.mix(np.array([(K.mix(ids) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g.astype(U)).sum(dtype=U)], U)).view(np.int64)[0])
+        place = lambda x: K.mix(np.arange(1, len(x) + 1, dtype=U) << U(32))
+        uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g.astype(U) ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
         bucket = K.bucket_of(K.mix(g.astype(U)), buckets)
         order = np.lexsort((d, g, bucket))
         g, d = g[order], d[order]
@@ -318,18 +319,18 @@ def _answer(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Ite
 
 
 def _combine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches: dict[int, tuple] = {}
-    answers: dict[int, list] = {}
+    batches: list[tuple] = []
+    answers: dict[int, dict[bytes, bytes]] = {}  # batches of equal documents in equal order share their answers
     for batch in it:
         _, uid, kind, a, b, c = (batch.column(i).to_pylist() for i in range(6))
         for i in range(batch.num_rows):
             if kind[i] == BATCH:
-                batches[uid[i]] = (a[i], b[i], c[i])
+                batches.append((uid[i], a[i], b[i], c[i]))
             else:
-                answers.setdefault(uid[i], []).append((c[i], a[i]))
-    for uid, (meta, n, base) in batches.items():
+                answers.setdefault(uid[i], {})[c[i]] = a[i]
+    for uid, meta, n, base in batches:
         total = np.frombuffer(base, "<f8").copy()
-        for _, blob in sorted(answers.get(uid, [])):
+        for _, blob in sorted(answers.get(uid, {}).items()):
             got = np.frombuffer(zlib.decompress(blob), "<f4")
             total[: len(got)] += got
         table = pa.ipc.open_stream(_unzip(meta)[0]).read_all().combine_chunks()
