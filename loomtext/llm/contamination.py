@@ -138,17 +138,18 @@ def _indexes(benchmark: DataFrame, n: int, slice_ngrams: int) -> list:
 
 
 def _run(docs: DataFrame, benchmark: DataFrame, n: int, share: float, apply: bool, slice_ngrams: int) -> DataFrame:
-    schema = docs.schema if apply else _REPORT
     indexes = _indexes(benchmark, n, slice_ngrams)
     if len(indexes) == 1:
-        return docs.mapInArrow(partial(_work, indexes[0], share, apply), schema)
+        work = partial(_work, indexes[0], share, apply)
+        return frames.map_rows(docs, work) if apply else docs.mapInArrow(work, _REPORT)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = [rows.mapInArrow(partial(_found, x), "doc_id long, text_hash long, ranges binary, items array<long>") for x in indexes]
     key, hits = frames.fresh(docs, "__id"), frames.fresh(docs, "__hits")
     found = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("text_hash", "ranges", "items")).alias(hits))
     found = cut(found)
     joined = docs.join(frames.sized(found, found.count(), 200), F.col("doc_id").cast("long") == F.col(key), "left").select(*frames.every(docs), hits)
-    return joined.mapInArrow(partial(_work, None, share, apply), schema)
+    work = partial(_work, None, share, apply)
+    return frames.map_rows(joined, work, 1) if apply else joined.mapInArrow(work, _REPORT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = DROP_SHARE, slice_ngrams: int = SLICE_NGRAMS) -> DataFrame:

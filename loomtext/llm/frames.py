@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 
@@ -24,3 +28,11 @@ def fresh(df: DataFrame, name: str) -> str:
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcasting if its counted rows are small enough; else a join with it shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], drop: int = 0) -> DataFrame:
+    """``df`` through ``f``, which returns its columns without the last ``drop`` ones; for any column names."""
+    names = df.columns
+    safe = df.toDF(*[n if n.isidentifier() else f"__column_{i}_" for i, n in enumerate(names)])
+    left = len(names) - drop
+    return safe.mapInArrow(f, T.StructType(safe.schema.fields[:left])).toDF(*names[:left])

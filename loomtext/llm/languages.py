@@ -35,7 +35,7 @@ _REPORT = "doc_id long, lang string, predicted string, similarity double, margin
 def letter_vectors(letters: np.ndarray) -> np.ndarray:
     """One row of signs (1 or -1, 32-bit floats) for each code point."""
     words = K.mix((letters.astype(U)[:, None] << U(20)) + np.arange(WIDTH // 64, dtype=U)[None, :] + U(SEED))
-    bits = np.unpackbits(K.mix(words ^ U(0xA0761D6478BD642F)).view(np.uint8).reshape(len(letters), -1), axis=1)
+    bits = np.unpackbits(K.mix(words ^ U(0xA0761D6478BD642F)).view(np.uint8).reshape(len(letters), WIDTH // 8), axis=1)
     return bits.astype(np.float32) * 2 - 1
 
 

@@ -68,7 +68,8 @@ def _emit(buckets: int, length: int, it: Iterator[pa.RecordBatch]) -> Iterator[p
         for x in (ids, prints, counts, hashes):
             x.clear()
         first = np.cumsum(n) - n
-        uid = int(K.mix(np.array([(K.mix(doc.view(U)) ^ text).sum(dtype=U) + U(len(h))], U)).view(np.int64)[0])
+        place = K.mix(np.arange(1, len(doc) + 1, dtype=U) << U(32))
+        uid = int(K.mix(np.array([(K.mix(doc.view(U) ^ place) ^ text).sum(dtype=U) ^ U(len(h))], U)).view(np.int64)[0])
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), n)
         order = np.argsort(h).astype(np.int32)
         h = h[order]
@@ -251,7 +252,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without the later occurrences of repeated windows: same rows and columns, shorter texts and n_chars."""
-    return _joined(docs, length).mapInArrow(_apply, docs.schema)
+    return frames.map_rows(_joined(docs, length), _apply, 1)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,7 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
 def drop_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the toxic ones; same columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, neighbours))
-    return docs.mapInArrow(partial(_score, model, threshold, True), docs.schema)
+    return frames.map_rows(docs, partial(_score, model, threshold, True))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
