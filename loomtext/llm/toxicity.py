@@ -1,15 +1,18 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted words.
 
 The examples are a bounded hash sample of the labelled rows (``EXAMPLES``); they are the model, so
 its size doesn't grow with the corpus. Examples that are copies of each other (a shared minimum hash
 of their four-word windows) count once, or the words of a much-copied document would look telling.
-The vocabulary is the words that toxic examples hold more often than chance allows (chi-square,
-Bonferroni over all words); a document without any of them has no neighbour and gets the prior.
-
-Search: examples are numbered by doc_id and cut into blocks of ``BLOCK``; for each word the index
-keeps its largest weight in each block. A query's upper bound for a block is the dot product of its
-weights with those maxima; blocks are scored exactly in descending order of their bounds until the
-bound can't beat the k-th best, so the k nearest are exact (ties go to the smaller doc_id). Votes are
+The vocabulary is all words of the examples; a word weighs its inverse document frequency times its
+relevance frequency, log2(2 + toxic examples with it / clean ones), for plain TF-IDF finds the topic
+rather than the tone. Words that toxic examples hold more often than chance allows (chi-square,
+Bonferroni over all words) are listed as evidence, the search doesn't depend on them. A document
+without a word of the vocabulary has no neighbour and gets the prior.
+
+Search: a batch's dot products with all examples are one matrix product for the common words (in one
+of ``COMMON`` examples at least) and sums over postings for the others, in single precision; whatever
+is within its error of the k-th best is added up again in double precision, so the k nearest are
+exact (ties go to the smaller doc_id). Votes are
 weighted with the similarity, a prior vote is added, and the share is calibrated by isotonic
 regression on the examples' own leave-one-out shares.
 
@@ -35,9 +38,10 @@ from loomtext.llm.simhash import _smallest_linked
 from loomtext.session import read
 
 U = np.uint64
-EXAMPLES, NEIGHBOURS, BLOCK, THRESHOLD = 12_000, 25, 64, 0.6
+EXAMPLES, NEIGHBOURS, THRESHOLD = 12_000, 25, 0.6
 PRIOR_VOTES, SIGNIFICANCE, EVIDENCE = 0.5, 0.01, 5
-_SHINGLE, _MINHASHES, _ROUND = 4, 6, 9
+BATCH, COMMON = 256, 16
+_SHINGLE, _MINHASHES, _ROUND, _ERROR = 4, 6, 9, 1e-4
 _REPORT = "doc_id long, toxicity double, toxic boolean, n_neighbours int, neighbours array<long>, similarities array<double>, terms array<string>"
 
 
@@ -104,6 +108,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([a[0] for a in at]), np.array([a[1] / a[2] for a in at])
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges of the given sizes, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 class Model:
     """Examples, their index and the calibration."""
 
@@ -123,81 +132,90 @@ class Model:
         hit = np.bincount(t, self.label[d] if n else None, len(known)).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (hit * (n - bad - df + hit) - (df - hit) * (bad - hit)) ** 2 / (df * (n - df) * bad * (n - bad))
-        pick = np.flatnonzero((hit * n > df * bad) & (chi >= _chi_square_limit(len(known))) & (df > 1))
-        self.terms = known[pick]
-        at = np.full(len(known), -1)
-        at[pick] = np.arange(len(pick))
-        own = at[t] >= 0
-        t, d, tf = at[t[own]], d[own], tf[own]
-        self.idf = np.log(1 + n / df[pick])
+        self.telling = (hit * n > df * bad) & (chi >= _chi_square_limit(len(known))) & (df > 1)
+        self.terms = known
+        self.idf = np.log(1 + n / df) * np.log2(2 + hit / np.maximum(1, df - hit))
         weight = (1 + np.log(tf)) * self.idf[t]
-        norm = np.sqrt(np.bincount(d, weight**2, n))
-        weight = weight / norm[d]
-        order = np.lexsort((d, t))
-        self.row, self.weight = d[order], weight[order]
-        self.start = np.searchsorted(t[order], np.arange(len(pick) + 1))
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(pick), max(1, self.blocks)))
-        if len(t):
-            np.maximum.at(self.most, (t, d // BLOCK), weight)
-        self.cache: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.of, self.by = t.astype(np.int32), weight / np.sqrt(np.bincount(d, weight**2, n))[d]
+        self.first = np.searchsorted(d, np.arange(n + 1))
+        self._invert()
         self.x, self.y = np.zeros(1), np.array([self.prior])
-        share = np.empty(n)
-        vectors: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for a, b, c in zip(t, d, tf):
-            vectors[b].append((int(a), int(c)))
-        some = np.array([bool(v) for v in vectors], bool) if n else np.zeros(0, bool)
-        for i in np.flatnonzero(some):
-            share[i] = self.share(*self.nearest(tuple(sorted(vectors[i])), int(self.ids[i])))
-        share[~some] = self.prior
+        share = np.full(n, self.prior)
+        for at in range(0, n, BATCH):
+            part = range(at, min(n, at + BATCH))
+            for i, (row, sim) in zip(part, self._search([(t[self.first[i] : self.first[i + 1]], tf[self.first[i] : self.first[i + 1]]) for i in part])):
+                share[i] = self.share(*self._others(row, sim, int(self.ids[i])))
         if n:
             self.x, self.y = isotonic(np.round(share, _ROUND), self.label.astype(float))
-        self.cache.clear()
 
-    def nearest(self, query: tuple[tuple[int, int], ...], own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest examples, the one with doc_id ``own`` apart."""
-        if query not in self.cache:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            self.cache[query] = self._search(query, self.k + 1)
-        row, sim = self.cache[query]
+    def _invert(self) -> None:
+        """The words' postings, and as dense rows the ones of common words; they aren't broadcast but made where they are used."""
+        n = len(self.ids)
+        d = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        order = np.argsort(self.of, kind="stable")
+        self.row, self.weight = d[order], self.by[order]
+        self.start = np.searchsorted(self.of[order], np.arange(len(self.terms) + 1))
+        common = np.flatnonzero(np.diff(self.start) * COMMON >= n)
+        self.place = np.full(len(self.terms), -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        for i, t in enumerate(common):
+            self.dense[i, self.row[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "weight", "start", "place", "dense")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._invert()
+
+    def _others(self, row: np.ndarray, sim: np.ndarray, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         other = self.ids[row] != own
         return row[other][: self.k], sim[other][: self.k]
 
-    def _search(self, query: tuple[tuple[int, int], ...], k: int) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([a for a, _ in query])
-        q = (1 + np.log(np.array([c for _, c in query], float))) * self.idf[t]
-        q /= np.sqrt((q**2).sum())
-        bound = q @ self.most[t]
-        order = np.lexsort((np.arange(len(bound)), -np.round(bound, _ROUND)))
-        rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        edges = [(self.start[a], self.start[a + 1]) for a in t]
-        # blocks are taken in doubling runs, so that bounds are checked often at first and the work stays in arrays
-        at, step = 0, 4
-        while at < len(order):
-            head = np.round(bound[order[at]], _ROUND)
-            if head <= 0:
-                break
-            if len(rows) == k and (head < sims[-1] or (head == sims[-1] and order[at] * BLOCK > rows[-1])):
-                break
-            run = np.sort(order[at : at + step])
-            found_rows, found = [rows], [sims]
-            score = np.zeros(len(run) * BLOCK)
-            for (a, b), w in zip(edges, q):
-                own = self.row[a:b]
-                place = np.searchsorted(run, own // BLOCK)
-                place[place == len(run)] = 0
-                inside = run[place] == own // BLOCK
-                score[place[inside] * BLOCK + own[inside] % BLOCK] += w * self.weight[a:b][inside]
-            hit = np.flatnonzero(score)
-            found_rows.append(run[hit // BLOCK] * BLOCK + hit % BLOCK)
-            found.append(np.round(score[hit], _ROUND))
-            rows, sims = np.concatenate(found_rows), np.concatenate(found)
-            best = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[best], sims[best]
-            at += step
-            step *= 2
-        return rows, sims
+    def nearest(self, query: tuple[tuple[int, int], ...], own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the k nearest examples, the one with doc_id ``own`` apart."""
+        return self.neighbours([query], [own])[0]
+
+    def neighbours(self, queries: list[tuple[tuple[int, int], ...]], own: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        some = [i for i, q in enumerate(queries) if q]
+        for at in range(0, len(some), BATCH):
+            part = some[at : at + BATCH]
+            for i, (row, sim) in zip(part, self._search([tuple(np.array(queries[i]).T) for i in part])):
+                out[i] = self._others(row, sim, own[i])
+        return out
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, counts) the rows and similarities of the k + 1 nearest examples."""
+        n, k = len(self.ids), self.k + 1
+        q = [(1 + np.log(c)) * self.idf[t] for t, c in queries]
+        q = [x / np.sqrt((x**2).sum()) for x in q]
+        terms, values = np.concatenate([t for t, _ in queries]), np.concatenate(q)
+        at = np.repeat(np.arange(len(q)), [len(x) for x in q])
+        place = self.place[terms]
+        heavy = np.zeros((len(q), len(self.dense)), np.float32)
+        heavy[at[place >= 0], place[place >= 0]] = values[place >= 0]
+        rare = place < 0
+        from_, size = self.start[terms[rare]], self.start[terms[rare] + 1] - self.start[terms[rare]]
+        posting = _ranges(from_, size)
+        score = np.bincount(np.repeat(at[rare], size) * n + self.row[posting], np.repeat(values[rare], size) * self.weight[posting], len(q) * n).astype(np.float32).reshape(len(q), n)
+        score += heavy @ self.dense
+        # these sums have single precision: what is within their error of the k-th best is added up again
+        limit = np.maximum(-np.partition(-score, k - 1, axis=1)[:, k - 1] - _ERROR, 0) if n > k else np.zeros(len(q), np.float32)
+        near, row = np.nonzero((score > 0) & (score >= limit[:, None]))
+        edge = np.searchsorted(near, np.arange(len(q) + 1))
+        full, out = np.zeros(len(self.terms)), []
+        for i, (t, _) in enumerate(queries):
+            own = row[edge[i] : edge[i + 1]]
+            size = self.first[own + 1] - self.first[own]
+            posting = _ranges(self.first[own], size)
+            full[t] = q[i]
+            sim = np.round(np.bincount(np.repeat(np.arange(len(own)), size), self.by[posting] * full[self.of[posting]], len(own)), _ROUND)
+            full[t] = 0
+            best = np.lexsort((own, -sim))[:k]
+            out.append((own[best], sim[best]))
+        return out
 
     def share(self, row: np.ndarray, sim: np.ndarray) -> float:
         return float((sim @ self.label[row] + PRIOR_VOTES * self.prior) / (sim.sum() + PRIOR_VOTES)) if len(row) else self.prior
@@ -218,7 +236,7 @@ class Model:
         pair, first, count = np.unique(doc * len(self.terms) + low[hit], return_index=True, return_counts=True)
         edge = np.flatnonzero(np.concatenate([[True], np.diff(pair // len(self.terms)) > 0, [True]])) if len(pair) else [0]
         for a, b in zip(edge[:-1], edge[1:]):
-            names = sorted(words.word(i) for i in hit[first[a:b]])
+            names = sorted(words.word(i) for i in hit[first[a:b]][self.telling[pair[a:b] % len(self.terms)]])
             out[int(pair[a] // len(self.terms))] = tuple(zip((pair[a:b] % len(self.terms)).tolist(), count[a:b].tolist())), names
         return out
 
@@ -228,8 +246,8 @@ def _score(model: Broadcast, threshold: float, apply: bool, it: Iterator[pa.Reco
     for part, texts in spans.slices(it):
         ids = part.column(part.schema.names.index("doc_id")).to_pylist()
         out: list[tuple] = []
-        for i, (query, names) in zip(ids, m.queries(texts)):
-            row, sim = m.nearest(query, i) if query else (np.zeros(0, np.int64), np.zeros(0))
+        asked = m.queries(texts)
+        for (query, names), (row, sim) in zip(asked, m.neighbours([x for x, _ in asked], ids)):
             p = m.calibrated(m.share(row, sim))
             out.append((p, p >= threshold and bool(query), len(row), m.ids[row[:EVIDENCE]].tolist(), sim[:EVIDENCE].tolist(), names))
         p, toxic, n, near, sims, terms = zip(*out) if out else ([],) * 6
@@ -255,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, toxicity (calibrated), toxic, n_neighbours and the evidence (nearest examples, similarities, telling words), for every row.
 
-    Defined cases: a null or empty text, or one without a telling word, has no neighbour, the calibrated
+    Defined cases: a null or empty text, or one without a word of the examples, has no neighbour, the calibrated
     prior and isn't toxic; a document isn't its own neighbour; equal similarities go to the smaller doc_id;
     repeated rows are scored alike; examples with contradicting labels aren't used; without labels
     nothing is toxic; an empty table gives an empty result. Other columns are not read.

@@ -274,6 +274,14 @@ def test_nearest_examples_are_exact(table, spark, sf_dir):
     assert tried > 20
 
 
+def test_texts_without_telling_words_find_their_copies():
+    texts = [f"plain words about subject{i} and item{i} of day{i} so far" for i in range(40)]
+    m = toxicity.Model(list(range(40)), [int(i == 7) for i in range(40)], toxicity.features(texts), 5)
+    (query, names), *_ = m.queries([texts[7]])
+    row, sim = m.nearest(query, None)
+    assert names == [] and m.ids[row[0]] == 7 and sim[0] == 1 and len(row) == 5
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert x.tolist() == [1, 2, 4] and y.tolist() == [0, 0.5, 1]
