@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples by exact cosine of weighted words.
 
 The examples are a bounded hash sample of the labelled rows (``EXAMPLES``); they are the model, so
-its size doesn't grow with the corpus. Examples that are copies of each other (a shared minimum hash
-of their four-word windows) count once, or the words of a much-copied document would look telling.
+its size doesn't grow with the corpus. Copies of an example with its label (found by a shared minimum
+hash of four-word windows, verified by an exact Jaccard index) count once, or the words of a
+much-copied document would look telling.
 The vocabulary is all words of the examples; a word weighs its inverse document frequency times its
 relevance frequency, log2(2 + toxic examples with it / clean ones), for plain TF-IDF finds the topic
 rather than the tone. Words that toxic examples hold more often than chance allows (chi-square,
@@ -34,13 +35,12 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import frames, spans
 from loomtext.llm import kernels as K
-from loomtext.llm.simhash import _smallest_linked
 from loomtext.session import read
 
 U = np.uint64
 EXAMPLES, NEIGHBOURS, THRESHOLD = 12_000, 25, 0.6
-PRIOR_VOTES, SIGNIFICANCE, EVIDENCE = 0.5, 0.01, 5
-BATCH, COMMON = 256, 16
+PRIOR_VOTES, SIGNIFICANCE, EVIDENCE, COPY = 0.5, 0.01, 5, 0.8
+BATCH, COMMON = 64, 16
 _SHINGLE, _MINHASHES, _ROUND, _ERROR = 4, 6, 9, 1e-4
 _REPORT = "doc_id long, toxicity double, toxic boolean, n_neighbours int, neighbours array<long>, similarities array<double>, terms array<string>"
 
@@ -69,20 +69,29 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in terms], pa.binary()), pa.array([x.astype("<i4").tobytes() for x in counts], pa.binary()), pa.array([x.tobytes() for x in lows], pa.binary())], ["doc_id", "toxic", "terms", "counts", "lows"])
 
 
-def _leaders(lows: list[np.ndarray]) -> np.ndarray:
-    """Examples that are the first of their group of copies."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    some = np.array([i for i, x in enumerate(lows) if len(x)], np.int64)
-    for k in range(_MINHASHES if len(some) else 0):
-        low = np.array([lows[i][k] for i in some], U)
-        order = np.argsort(low, kind="stable")
-        same = np.flatnonzero(low[order][1:] == low[order][:-1])
-        left.append(some[order[same]])
-        right.append(some[order[same + 1]])
-    member, _ = _smallest_linked(np.concatenate(left), np.concatenate(right))
-    lead = np.ones(len(lows), bool)
-    lead[member] = False
-    return np.flatnonzero(lead)
+def _leaders(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], label: list[int]) -> np.ndarray:
+    """Examples that aren't copies of an earlier one, itself such an example, of the same label.
+
+    Examples that share a minimum hash are compared; a copy has a Jaccard index of ``COPY`` at least, over words with their counts.
+    """
+    size = [int(c.sum()) for _, c, _ in examples]
+    lead: list[int] = []
+    holds: dict[tuple[int, int, int], list[int]] = {}
+    for i, (terms, counts, lows) in enumerate(examples):
+        keys = [(label[i], k, int(x)) for k, x in enumerate(lows)]
+        near = sorted({j for key in keys for j in holds.get(key, ()) if min(size[i], size[j]) >= COPY * max(size[i], size[j])})
+        if near:
+            h = np.concatenate([examples[j][0] for j in near])
+            n = np.concatenate([examples[j][1] for j in near])
+            at = np.searchsorted(terms, h)
+            at[at == len(terms)] = 0
+            shared = np.bincount(np.repeat(np.arange(len(near)), [len(examples[j][0]) for j in near]), np.where(terms[at] == h, np.minimum(n, counts[at]), 0), len(near))
+            if (shared >= COPY * (size[i] + np.array([size[j] for j in near]) - shared)).any():
+                continue
+        lead.append(i)
+        for key in keys:
+            holds.setdefault(key, []).append(i)
+    return np.array(lead, np.int64)
 
 
 def _chi_square_limit(tests: int) -> float:
@@ -117,7 +126,7 @@ class Model:
     """Examples, their index and the calibration."""
 
     def __init__(self, ids: list[int], toxic: list[int], examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], neighbours: int = NEIGHBOURS) -> None:
-        lead = _leaders([x[2] for x in examples])
+        lead = _leaders(examples, toxic)
         self.k = neighbours
         self.ids = np.array(ids, np.int64)[lead]
         self.label = np.array(toxic, np.int64)[lead]
@@ -267,7 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     got = rows.mapInArrow(_features, "doc_id long, toxic int, terms binary, counts binary, lows binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     kinds = (("terms", "<u8"), ("counts", "<i4"), ("lows", "<u8"))
-    return Model(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), list(zip(*([np.frombuffer(x.as_py(), t) for x in got[c]] for c, t in kinds))), neighbours)
+    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+    features = list(zip(*([np.frombuffer(x.as_py(), t) for x in got[c]] for c, t in kinds)))
+    del got
+    return Model(ids, toxic, features, neighbours)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:

@@ -282,6 +282,14 @@ def test_texts_without_telling_words_find_their_copies():
     assert names == [] and m.ids[row[0]] == 7 and sim[0] == 1 and len(row) == 5
 
 
+def test_only_copies_with_the_same_label_collapse():
+    shared = "this passage stands in every one of these documents and fills their first minimum hashes " * 3
+    texts = [shared + " ".join(f"own{i}x{j}" for j in range(40)) for i in range(12)]
+    texts += [texts[0] + " changed", texts[1] + " changed"]
+    m = toxicity.Model(list(range(14)), [0, 0, *[i % 2 for i in range(10)], 0, 1], toxicity.features(texts))
+    assert m.ids.tolist() == [*range(12), 13]
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert x.tolist() == [1, 2, 4] and y.tolist() == [0, 0.5, 1]
