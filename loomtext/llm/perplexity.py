@@ -2,20 +2,19 @@
 
 Trusted text is every document whose label says quality 1; four in five, by hash, train the model and
 the fifth is held out. Tokens are words (case counts) and runs of other visible characters. The
-vocabulary is the ``VOCABULARY`` most frequent training tokens that occur twice or more; any other
-token stands for its shape (lower case, capitalised, upper case, with digits or mixed, mark), so junk
+vocabulary is all training tokens that occur twice or more; any other token stands for its shape (lower case, capitalised, upper case, with digits or mixed, mark), so junk
 meets rare shapes. A text starts in a context of its own.
 
     p(v|u) = (c(uv) - D(c)) / c(u) + gamma(u) * q(v)
     q(v)   = (n(v) - E(n)) / N + delta / V,   n(v): distinct tokens before v, N: distinct bigrams
 
 With three discounts each, from counts of counts. A document's log probability is split in two: the sum
-of log gamma(u) + log q(v), which the scoring task adds up itself from two broadcast arrays of the
-vocabulary's fixed size, and log(1 + seen / (gamma q)) for bigrams that training has. The bigram
+of log gamma(u) + log q(v), which the scoring task adds up itself from two broadcast arrays that grow
+with the vocabulary, and log(1 + seen / (gamma q)) for bigrams that training has. The bigram
 counts are sharded by hash; scoring tasks send each shard its bigrams with the documents they are in
 (about three bytes a token), and shards answer with one number a document and batch. Counts, like
-requests, are first summed over a batch. Text is read and never shuffled, the model is never in one
-place.
+requests, are first summed over a batch. Text is read and never shuffled, the bigram
+counts are never in one place.
 
 A document stays if its perplexity is at most the ``QUANTILE`` of held-out trusted documents of its
 language; a language with fewer than ``LEAST_HELD_OUT`` of them has no threshold.
@@ -39,9 +38,10 @@ from loomtext.llm import kernels as K
 from loomtext.session import cut, read, shuffle_partitions
 
 U = np.uint64
-VOCABULARY, QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 65_536, 0.99, 30, 5
+QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
 START, LOWER, CAPITAL, UPPER, MIXED, MARK, FIRST_WORD = range(7)
 _BATCH_TOKENS = 3_000_000
+_HALF, _LOW, _BLOCK = 32, (1 << 32) - 1, 1 << 16  # a bigram's key is two ids
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "uid", "kind", "a", "b", "c"]
@@ -86,14 +86,13 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.concatenate([shape, np.full(len(marks.hash), MARK, np.uint8)])[order], words.off + marks.off
 
 
-def _ids(vocabulary: tuple[np.ndarray, np.ndarray], h: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    known, number = vocabulary
+def _ids(known: np.ndarray, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
     out = shape.astype(np.int64)
     if len(known):
         at = np.searchsorted(known, h)
         at[at == len(known)] = 0
         hit = known[at] == h
-        out[hit] = number[at[hit]]
+        out[hit] = at[hit] + FIRST_WORD
     return out
 
 
@@ -101,7 +100,7 @@ def _bigrams(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     before = np.empty(len(ids), np.int64)
     before[1:] = ids[:-1]
     before[off[:-1][off[:-1] < off[1:]]] = START
-    return before << 16 | ids
+    return before << _HALF | ids
 
 
 def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +134,7 @@ def _token_counts(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield flush()
 
 
-def _frequent(most: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(most: int | None, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = [np.zeros(0, U)], [np.zeros(0, U)]
     for batch in it:
         keys += [K.unpack_sorted(x) for x in batch.column(3).to_pylist()]
@@ -176,7 +175,7 @@ def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(K.unpack_ints(g).astype(np.int64)), K.unpack_ints(n).astype(np.int64)
 
 
-def _shard(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One shard's bigram counts, and what they add to the statistics of the vocabulary."""
     part, keys, counts = None, [], []
     for batch in it:
@@ -189,19 +188,30 @@ def _shard(size: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if part is None:
         return
     g, n = _sum_by(np.concatenate(keys), np.concatenate(counts))
-    u, v = g >> 16, g & 0xFFFF
-    stats = np.zeros((6, size), np.int64)
+    yield _row([(part, 0, COUNTS, _zip(K.pack_ints(np.diff(g, prepend=0)), K.pack_ints(n)), None, None)])
+    ids, at = np.unique(np.concatenate([g >> _HALF, g & _LOW]), return_inverse=True)
+    u, v = at[: len(g)], at[len(g) :]
+    stats = np.zeros((5, len(ids)), np.int64)
     np.add.at(stats[0], u, n)
     for k in (1, 2, 3):
-        stats[k] = np.bincount(u[n == k] if k < 3 else u[n >= 3], minlength=size)
-    stats[4] = np.bincount(v, minlength=size)
-    stats[5, :4] = [(n == k).sum() for k in (1, 2, 3, 4)]
-    yield _row([(part, 0, COUNTS, _zip(K.pack_ints(np.diff(g, prepend=0)), K.pack_ints(n)), None, None), (part, 0, STATS, zlib.compress(stats.astype("<i8").tobytes(), 1), None, None)])
+        stats[k] = np.bincount(u[n == k] if k < 3 else u[n >= 3], minlength=len(ids))
+    stats[4] = np.bincount(v, minlength=len(ids))
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(ids // _BLOCK) > 0, [True]])) if len(ids) else [0]
+    rows = [(part, int(ids[a] // _BLOCK), STATS, (ids[a:b] % _BLOCK).astype("<i8").tobytes(), stats[:, a:b].astype("<i8").tobytes()) for a, b in zip(edge[:-1], edge[1:])]
+    often = np.zeros((5, 4), np.int64)
+    often[0] = [(n == k).sum() for k in (1, 2, 3, 4)]
+    rows.append((part, -1, STATS, np.arange(4).astype("<i8").tobytes(), often.tobytes()))
+    for part, block, kind, a, b in rows:
+        yield _row([(part, block, kind, zlib.compress(a, 1), zlib.compress(b, 1), None)])
 
 
 def _sum_stats(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in table["a"].to_pylist())
-    return pa.table([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["a"])
+    """The statistics of a block of ids, added up over shards."""
+    total = np.zeros((5, _BLOCK), np.int64)
+    for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist()):
+        ids = np.frombuffer(zlib.decompress(a), "<i8")
+        total[:, ids] += np.frombuffer(zlib.decompress(b), "<i8").reshape(5, -1)
+    return pa.table([table["uid"][:1], pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["uid", "a"])
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -234,7 +244,7 @@ class Levels:
 
     def seen(self, g: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log(1 + seen / (gamma q)) of bigrams with training counts ``n``."""
-        u, v = g >> 16, g & 0xFFFF
+        u, v = g >> _HALF, g & _LOW
         return np.log1p((n - self.discount[np.minimum(n, 3)]) / self.total[u] / np.exp(self.log_gamma[u] + self.log_q[v]))
 
 
@@ -282,7 +292,7 @@ def _requests(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> I
         grams.append(g)
         docs.append(doc + count)
         sizes.append(n)
-        sums.append(np.bincount(doc, levels.log_gamma[g >> 16] + levels.log_q[g & 0xFFFF], len(n)))
+        sums.append(np.bincount(doc, levels.log_gamma[g >> _HALF] + levels.log_q[g & _LOW], len(n)))
         size += len(g)
         count += len(n)
         if size >= _BATCH_TOKENS:
@@ -348,30 +358,38 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "lang", F.when(F.col("__id").isNull(), 0).otherwise(held).alias("sample"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """doc_id, lang, sample, n_tokens and log_prob (natural) of every row of ``docs``."""
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = _sampled(docs, labels)
     train = rows.where("sample = 1 and text is not null").select("doc_id", "text")
     counted = train.mapInArrow(partial(_token_counts, buckets), _ROW).repartitionById(buckets, F.col("part"))
-    top = counted.mapInArrow(partial(_frequent, vocabulary - FIRST_WORD), "h long, n long").orderBy(F.desc("n"), "h").limit(vocabulary - FIRST_WORD).toArrow()
-    known = top["h"].to_numpy().view(U)
-    order = np.argsort(known)
-    table = (known[order], order + FIRST_WORD)
+    most = None if vocabulary is None else vocabulary - FIRST_WORD
+    top = counted.mapInArrow(partial(_frequent, most), "h long, n long")
+    if most is not None:
+        top = top.orderBy(F.desc("n"), "h").limit(most)
+    table = np.sort(top.select("h").toArrow()["h"].to_numpy().view(U))
     words = spark.sparkContext.broadcast(table)
-    size = len(known) + FIRST_WORD
+    size = len(table) + FIRST_WORD
     sent = train.mapInArrow(partial(_bigram_counts, words, buckets), _ROW).repartitionById(buckets, F.col("part"))
-    shards = cut(sent.mapInArrow(partial(_shard, size), _ROW))
-    parts = shards.where(f"kind = {STATS}").groupBy(F.expr("part % 8").alias("g")).applyInArrow(_sum_stats, "a binary").toArrow()["a"].to_pylist()
-    stats = sum((np.frombuffer(zlib.decompress(x), "<i8") for x in parts), np.zeros(6 * size, np.int64)).reshape(6, size)
+    shards = cut(sent.mapInArrow(_shard, _ROW))
+    blocks = shards.where(f"kind = {STATS}").groupBy("uid").applyInArrow(_sum_stats, "uid long, a binary").toArrow()
+    stats = np.zeros((6, size), np.int64)
+    for block, blob in zip(blocks["uid"].to_pylist(), blocks["a"].to_pylist()):
+        total = np.frombuffer(zlib.decompress(blob), "<i8").reshape(5, -1)
+        if block < 0:
+            stats[5, :4] = total[0, :4]
+        else:
+            own = stats[:5, block * _BLOCK : (block + 1) * _BLOCK]
+            own[:] = total[:, : own.shape[1]]
     model = spark.sparkContext.broadcast((table, Levels(stats)))
     asked = rows.mapInArrow(partial(_requests, model, buckets), _ROW).unionByName(shards.where(f"kind = {COUNTS}"))
     answers = asked.repartitionById(buckets, F.col("part")).mapInArrow(partial(_answer, model, buckets), _ROW)
     return answers.repartitionById(buckets, F.col("part")).mapInArrow(_combine, "doc_id long, lang string, sample int, n_tokens long, log_prob double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: int = VOCABULARY) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: int | None = None) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and keep, for every row.
 
     Defined cases: a document without a token (null or empty text) has null perplexity and stays;

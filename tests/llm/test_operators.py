@@ -109,6 +109,13 @@ def test_language_vectors_and_accuracy(spark, sf_dir):
     assert sum(r.predicted == r.lang for r in rows) >= 0.97 * len(rows)
 
 
+def test_every_repeated_token_is_in_the_vocabulary(spark):
+    names = ["".join(x) for x in itertools.islice(itertools.product("abcdefghij", repeat=5), 70_000)]
+    docs = [(i, " ".join(names), "en") for i in range(6)] + [(10 + i, w, "en") for i, w in enumerate(names)]
+    got = perplexity.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")).collect()
+    assert len({round(r.log_prob, 4) for r in got if r.doc_id > 10}) == 1
+
+
 def test_perplexity_is_modified_kneser_ney(spark):
     train = ["a b a b c", "a b d a b", "b c a a b c d", "d a b c", "c c d a b"] * 2 + ["e a b", "a c"]
     docs = [(i, t, "en") for i, t in enumerate(train)] + [(100, "a b c zz", "en"), (101, "d d Qq a", "en")]
