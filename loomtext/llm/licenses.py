@@ -1,6 +1,7 @@
 """Licence scans: an Aho-Corasick automaton finds tags and notices, a shunting-yard parser evaluates expressions.
 
-One pass of the automaton over the lower-cased text finds notice phrases, each of which names a licence
+One pass of the automaton over the lower-cased text, in which a run of white space and marks that lead
+comment lines are one space, finds notice phrases, each of which names a licence
 identifier, and tags, after which the rest of the line is read as an expression of identifiers with
 AND, OR and WITH (binding in the order WITH, AND, OR) and parentheses. All findings of a document
 must be allowed together, so they are joined by AND. Evaluation has three values: an identifier is
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,7 @@ VERDICTS = ("deny", "unknown", "allow")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+:-]*)", re.I)
 _SPACE = str.maketrans({c: " " for c in "\n\r\t\f\v "})
+_GAP = re.compile(r"\s*[\n\r](?:\s*(?:/\*+|\*+/?|//+!?|#+|;+|--+|%+|>+|<!--|\(\*|rem(?=\s)|dnl(?=\s)))*\s*|\s{2,}")
 _REPORT = "doc_id long, licences array<string>, expressions array<string>, verdict string, keep boolean"
 
 
@@ -153,10 +156,24 @@ def _automaton():
     return a
 
 
+def _flat(low: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with runs of white space, and marks that lead comment lines, as one space; from which places on how many characters are gone."""
+    parts, at, gone, done, size = [], [0], [0], 0, 0
+    for m in _GAP.finditer(low):
+        if m.end() - m.start() > 1:
+            parts += [low[done : m.start()], " "]
+            size += m.start() - done + 1
+            done = m.end()
+            at.append(size)
+            gone.append(done - size)
+    parts.append(low[done:])
+    return "".join(parts).translate(_SPACE), np.array(at), np.array(gone)
+
+
 def scan(text: str) -> tuple[list[str], list[str]]:
     """Identifiers of notices, and expressions after tags, each in order of their places, repeats apart."""
     low = text.lower()
-    flat = low.translate(_SPACE)
+    flat, at, gone = _flat(low)
     source = text if len(low) == len(text) else low
     notices: list[tuple[int, int, str]] = []
     tags: list[tuple[int, int]] = []
@@ -165,16 +182,17 @@ def scan(text: str) -> tuple[list[str], list[str]]:
         if begin and flat[begin - 1].isalnum():
             continue
         if name is None:
-            tags.append((begin, end))
+            shift = int(gone[np.searchsorted(at, end, "right") - 1]) if len(at) else 0
+            tags.append((begin, end, end + shift))
         elif end == len(flat) or not flat[end].isalnum():
             notices.append((begin, end, name))
     # a notice inside a longer one doesn't count, and a tag inside a longer tag neither
     names = [n for b, e, n in notices if not any(b2 <= b and e <= e2 and e2 - b2 > e - b for b2, e2, _ in notices)] if len(notices) > 1 else [n for _, _, n in notices]
     found = []
-    for b, e in tags:
-        if not any(b2 <= b and e <= e2 and e2 - b2 > e - b for b2, e2 in tags):
-            stop = re.compile("[\n\r]").search(source, e)
-            rest = source[e : stop.start() if stop else len(source)].strip().rstrip("*/#->;,. \t")
+    for b, e, place in tags:
+        if not any(b2 <= b and e <= e2 and e2 - b2 > e - b for b2, e2, _ in tags):
+            stop = re.compile("[\n\r]").search(source, place)
+            rest = source[place : stop.start() if stop else len(source)].strip().rstrip("*/#->;,. \t")
             if rest:
                 found.append(rest)
     return list(dict.fromkeys(names)), list(dict.fromkeys(found))

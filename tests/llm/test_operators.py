@@ -297,6 +297,16 @@ def test_only_copies_with_the_same_label_collapse():
     assert m.ids.tolist() == [*range(12), 13]
 
 
+def test_wrapped_notices_are_found():
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\n  modification, are"
+    gpl = "# under the terms of the GNU\n#   General Public License\n#\n# SPDX-License-Identifier:  GPL-3.0-only\n"
+    assert licenses.judge(mpl)[:3] == (["MPL-2.0"], [], "allow") and licenses.judge(bsd)[0] == ["BSD-3-Clause"]
+    assert licenses.judge("// software for\n" + mpl.replace(" * ", "// "))[0] == ["MPL-2.0"]
+    assert licenses.judge(gpl) == (["GPL-2.0-or-later", "GPL-3.0-only"], ["GPL-3.0-only"], "deny", False)
+    assert licenses.judge("x\n\n  y\n * SPDX-License-Identifier:\n * MIT\n")[2] == "none"
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert x.tolist() == [1, 2, 4] and y.tolist() == [0, 0.5, 1]
