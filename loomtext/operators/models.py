@@ -144,9 +144,24 @@ def scored(grams: DataFrame, indexed: DataFrame, coc: DataFrame, model: str, dis
     return looked.select("ngram", probability(model).alias("p"), (F.col("c_c") == 0).alias("oov_last"))
 
 
-def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model: str = "kn_recursive", top: int = 1000) -> DataFrame:
-    """The most probable word after each two-word history, of the ``top`` most frequent words; of equals the smaller."""
-    words = indexed.where("n = 1").orderBy(F.desc("cnt"), "ngram").limit(top).select(F.col("ngram").alias("candidate"))
-    pairs = histories.select("history").distinct().crossJoin(F.broadcast(words)).withColumn("ngram", F.concat_ws(" ", "history", "candidate"))
+def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model: str = "kn_recursive", top: int | None = 1000) -> DataFrame:
+    """The most probable word after each two-word history, of the ``top`` most frequent words; of equals the smaller.
+
+    ``top`` None: of all words, for the recursive models. A word that isn't seen after the history's last one has a
+    probability that grows with its distinct predecessors only, so the best such word and the seen followers suffice.
+    """
+    asked = histories.select("history").distinct()
+    if top is None:
+        if model not in ("kn_recursive", "kn_modified"):
+            raise ValueError(f"{model} needs a number of words")
+        before = F.col("np_n1") + F.col("np_n2") + F.col("np_n3")
+        best = indexed.where("n = 1").orderBy(before.desc(), "ngram").limit(1).select(F.col("ngram").alias("candidate"))
+        seen = indexed.where("n = 2").select(N.history(F.col("ngram")).alias("__last"), N.last_word(F.col("ngram")).alias("candidate"))
+        followers = asked.withColumn("__last", N.last_word(F.col("history"))).join(seen, "__last").select("history", "candidate")
+        pairs = asked.crossJoin(F.broadcast(best)).union(followers).distinct()
+    else:
+        words = indexed.where("n = 1").orderBy(F.desc("cnt"), "ngram").limit(top).select(F.col("ngram").alias("candidate"))
+        pairs = asked.crossJoin(F.broadcast(words))
+    pairs = pairs.withColumn("ngram", F.concat_ws(" ", "history", "candidate"))
     best = pairs.join(scored(pairs, indexed, coc, model), "ngram").groupBy("history").agg(F.max_by(F.struct("candidate", "p"), F.struct("p", F.transform(F.split("candidate", ""), lambda c: -F.ascii(c)))).alias("x"))
     return best.select("history", F.col("x.candidate").alias("word"), F.col("x.p").alias("p"))

@@ -328,7 +328,7 @@ def _kn_discounts(spark, d):
 def _predict_next(spark, d):
     indexed, coc, test = _trained(spark, d)
     histories = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history"))
-    return models.predict_next(histories, indexed, coc, top=200).select("history", "word", F.round("p", 9).alias("p"))
+    return models.predict_next(histories, indexed, coc, top=None).select("history", "word", F.round("p", 9).alias("p"))
 
 
 _KN = f"WITH {sql.TESTED},{sql.scored(models.MODELS['kn_recursive'])},{sql.OCCURRENCES}"

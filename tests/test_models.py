@@ -76,3 +76,22 @@ def test_perplexity_of_nothing(spark):
 def test_prediction(spark, trained):
     best = models.predict_next(spark.createDataFrame([("the quick",)], "history string"), *trained).first()
     assert best.word == "brown"
+
+
+@pytest.mark.parametrize("model", ["kn_recursive", "kn_modified"])
+def test_prediction_is_the_best_of_all_words(spark, model):
+    docs = spark.createDataFrame([(0, "a b zz"), (1, "a b zz"), (2, "c d e f g"), (3, "e c g d f"), (4, "f e d c g"), (5, "d g q e r")], "doc_id long, text string")
+    indexed = counting.index(counting.counts(counting.occurrences(counting.sentences(docs), range(1, 4)))).cache()
+    asked = spark.createDataFrame([("a b",), ("c d",), ("no such",), ("x g",), ("e d",)], "history string")
+    found = [{r.history: (r.word, round(r.p, 9)) for r in models.predict_next(asked, indexed, counting.count_of_counts(indexed), model, top).collect()} for top in (None, 1000, 3)]
+    assert found[0] == found[1] and found[0]["a b"][0] == "zz" and found[2]["a b"][0] != "zz"
+
+
+def test_registered_prediction_has_no_cut(spark, sf_dir):
+    from loomtext.plans import catalog
+
+    indexed, coc, test = catalog._trained(spark, sf_dir)
+    asked = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history")).distinct().limit(20)
+    want = {r.history: r.p for r in models.predict_next(asked, indexed, coc).collect()}
+    got = {r.history: r.p for r in catalog.queries()["predict_next"](spark, sf_dir).collect()}
+    assert all(got[h] >= p - 1e-9 for h, p in want.items())
