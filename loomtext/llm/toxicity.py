@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by exact cosine of weighted words.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted words, with a block-max inverted index.
 
 The examples are a bounded hash sample of the labelled rows (``EXAMPLES``); they are the model, so
 its size doesn't grow with the corpus. Copies of an example with its label (found by a shared minimum
@@ -10,12 +10,15 @@ rather than the tone. Words that toxic examples hold more often than chance allo
 Bonferroni over all words) are listed as evidence, the search doesn't depend on them. A document
 without a word of the vocabulary has no neighbour and gets the prior.
 
-Search: a batch's dot products with all examples are one matrix product for the common words (in one
-of ``COMMON`` examples at least) and sums over postings for the others, in single precision; whatever
-is within its error of the k-th best is added up again in double precision, so the k nearest are
-exact (ties go to the smaller doc_id). Votes are
+Search: examples lie in blocks of ``BLOCK``, ordered so that examples with the same heaviest common word are
+neighbours. A query's sums over the short posting lists, of words in less than one of ``COMMON`` examples,
+are made in full: they are the first bound. For the long lists the index holds each block's largest weight. A block
+is opened only where its best short sum and the long lists' block maxima together reach the k-th best
+score found so far (block-max pruning); in open blocks the long lists are added in single precision, and whatever is
+within its error of the k-th best is added again in double precision. So the k nearest are
+exact, whatever was pruned (ties go to the smaller doc_id). Votes are
 weighted with the similarity, a prior vote is added, and the share is calibrated by isotonic
-regression on the examples' own leave-one-out shares.
+regression on the examples' own leave-one-out shares, which the executors compute.
 
 The corpus is read once to get the examples' word counts, which go to the driver, and once to score;
 the model, of bounded size, is broadcast. Text is never shuffled.
@@ -40,7 +43,7 @@ from loomtext.session import read
 U = np.uint64
 EXAMPLES, NEIGHBOURS, THRESHOLD = 12_000, 25, 0.6
 PRIOR_VOTES, SIGNIFICANCE, EVIDENCE, COPY = 0.5, 0.01, 5, 0.8
-BATCH, COMMON = 64, 16
+BATCH, BLOCK, COMMON, FIRST = 64, 32, 16, 24
 _SHINGLE, _MINHASHES, _ROUND, _ERROR = 4, 6, 9, 1e-4
 _REPORT = "doc_id long, toxicity double, toxic boolean, n_neighbours int, neighbours array<long>, similarities array<double>, terms array<string>"
 
@@ -122,8 +125,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
+Query = tuple[np.ndarray, np.ndarray]
+
+
 class Model:
-    """Examples, their index and the calibration."""
+    """Examples and their index. A query is (terms, weights), of unit length, like the examples themselves."""
 
     def __init__(self, ids: list[int], toxic: list[int], examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], neighbours: int = NEIGHBOURS) -> None:
         lead = _leaders(examples, toxic)
@@ -133,109 +139,125 @@ class Model:
         n, bad = len(lead), int(self.label.sum())
         self.prior = (bad + 1) / (n + 2)
         none = np.zeros(0, U)
-        h = np.concatenate([none, *(examples[i][0] for i in lead)])
-        tf = np.concatenate([none.astype(np.int64), *(examples[i][1] for i in lead)])
-        d = np.repeat(np.arange(n), [len(examples[i][0]) for i in lead])
-        known, t = np.unique(h, return_inverse=True)
-        df = np.bincount(t, minlength=len(known)).astype(float)
-        hit = np.bincount(t, self.label[d] if n else None, len(known)).astype(float)
+        self.terms, t = np.unique(np.concatenate([none, *(examples[i][0] for i in lead)]), return_inverse=True)
+        t = t.astype(np.int32)
+        tf = np.concatenate([none.astype(np.int32), *(examples[i][1].astype(np.int32) for i in lead)])
+        d = np.repeat(np.arange(n, dtype=np.int32), [len(examples[i][0]) for i in lead])
+        size = len(self.terms)
+        df = np.bincount(t, minlength=size).astype(float)
+        hit = np.bincount(t, self.label[d] if n else None, size).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (hit * (n - bad - df + hit) - (df - hit) * (bad - hit)) ** 2 / (df * (n - df) * bad * (n - bad))
-        self.telling = (hit * n > df * bad) & (chi >= _chi_square_limit(len(known))) & (df > 1)
-        self.terms = known
+        self.telling = (hit * n > df * bad) & (chi >= _chi_square_limit(size)) & (df > 1)
         self.idf = np.log(1 + n / df) * np.log2(2 + hit / np.maximum(1, df - hit))
         weight = (1 + np.log(tf)) * self.idf[t]
-        self.of, self.by = t.astype(np.int32), weight / np.sqrt(np.bincount(d, weight**2, n))[d]
-        self.first = np.searchsorted(d, np.arange(n + 1))
-        self._invert()
-        self.x, self.y = np.zeros(1), np.array([self.prior])
-        share = np.full(n, self.prior)
-        for at in range(0, n, BATCH):
-            part = range(at, min(n, at + BATCH))
-            for i, (row, sim) in zip(part, self._search([(t[self.first[i] : self.first[i + 1]], tf[self.first[i] : self.first[i + 1]]) for i in part])):
-                share[i] = self.share(*self._others(row, sim, int(self.ids[i])))
-        if n:
-            self.x, self.y = isotonic(np.round(share, _ROUND), self.label.astype(float))
+        weight /= np.sqrt(np.bincount(d, weight**2, n))[d]
+        # block order: by the heaviest common word, then by how much common words weigh
+        common = df[t] * COMMON >= n
+        top, mass = np.full(n, -1), np.bincount(d, np.where(common, weight**2, 0.0), n)
+        by = np.flatnonzero(common)[np.argsort(weight[common], kind="stable")]
+        top[d[by]] = t[by]  # of an example's words the heaviest is written last
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((self.ids, mass, top))] = np.arange(n)
+        order = np.argsort(rank[d], kind="stable")
+        self.of, self.by = t[order], weight[order].astype(np.float32)
+        self.first = np.searchsorted(rank[d][order], np.arange(n + 1))
+        place = np.argsort(rank)
+        self.ids, self.label = self.ids[place], self.label[place]
 
     def _invert(self) -> None:
-        """The words' postings, and as dense rows the ones of common words; they aren't broadcast but made where they are used."""
-        n = len(self.ids)
-        d = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
-        order = np.argsort(self.of, kind="stable")
-        self.row, self.weight = d[order], self.by[order]
-        self.start = np.searchsorted(self.of[order], np.arange(len(self.terms) + 1))
-        common = np.flatnonzero(np.diff(self.start) * COMMON >= n)
-        self.place = np.full(len(self.terms), -1)
+        """Postings of short lists; of long ones the weights as rows of examples, and each block's largest. Made where it is used, not broadcast."""
+        n, size = len(self.ids), len(self.terms)
+        df = np.bincount(self.of, minlength=size)
+        common = np.flatnonzero(df * COMMON >= n)
+        self.place = np.full(size, -1)
         self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n), np.float32)
-        for i, t in enumerate(common):
-            self.dense[i, self.row[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+        self.blocks = max(1, -(-n // BLOCK))
+        self.repeats = int(np.unique(self.ids, return_counts=True)[1].max()) if n else 1
+        d = np.repeat(np.arange(n), np.diff(self.first))
+        at = self.place[self.of]
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        self.dense[d[at >= 0], at[at >= 0]] = self.by[at >= 0]
+        self.peak = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, len(common)).max(1).T)
+        short = np.flatnonzero(at < 0)
+        order = short[np.argsort(self.of[short], kind="stable")]
+        self.row, self.weight = d[order], self.by[order].astype(float)
+        self.start = np.searchsorted(self.of[order], np.arange(size + 1))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "weight", "start", "place", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "weight", "start", "place", "dense", "peak", "blocks", "repeats")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._invert()
+    def example(self, i: int) -> Query:
+        return self.of[self.first[i] : self.first[i + 1]], self.by[self.first[i] : self.first[i + 1]].astype(float)
 
-    def _others(self, row: np.ndarray, sim: np.ndarray, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        other = self.ids[row] != own
-        return row[other][: self.k], sim[other][: self.k]
+    def query(self, terms: np.ndarray, counts: np.ndarray) -> Query:
+        values = (1 + np.log(counts)) * self.idf[terms]
+        return terms, values / np.sqrt((values**2).sum()) if len(values) else values
 
-    def nearest(self, query: tuple[tuple[int, int], ...], own: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: Query, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest examples, the one with doc_id ``own`` apart."""
         return self.neighbours([query], [own])[0]
 
-    def neighbours(self, queries: list[tuple[tuple[int, int], ...]], own: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def neighbours(self, queries: list[Query], own: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not hasattr(self, "start"):
+            self._invert()
         out = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        some = [i for i, q in enumerate(queries) if q]
+        some = [i for i, q in enumerate(queries) if len(q[0])] if len(self.ids) else []
         for at in range(0, len(some), BATCH):
             part = some[at : at + BATCH]
-            for i, (row, sim) in zip(part, self._search([tuple(np.array(queries[i]).T) for i in part])):
-                out[i] = self._others(row, sim, own[i])
+            for i, (row, sim) in zip(part, self._search([queries[i] for i in part], [own[i] for i in part])):
+                out[i] = row[: self.k], sim[: self.k]
         return out
 
-    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each query (terms, counts) the rows and similarities of the k + 1 nearest examples."""
-        n, k = len(self.ids), self.k + 1
-        q = [(1 + np.log(c)) * self.idf[t] for t, c in queries]
-        q = [x / np.sqrt((x**2).sum()) for x in q]
-        terms, values = np.concatenate([t for t, _ in queries]), np.concatenate(q)
-        at = np.repeat(np.arange(len(q)), [len(x) for x in q])
-        place = self.place[terms]
-        heavy = np.zeros((len(q), len(self.dense)), np.float32)
-        heavy[at[place >= 0], place[place >= 0]] = values[place >= 0]
-        rare = place < 0
-        from_, size = self.start[terms[rare]], self.start[terms[rare] + 1] - self.start[terms[rare]]
-        posting = _ranges(from_, size)
-        score = np.bincount(np.repeat(at[rare], size) * n + self.row[posting], np.repeat(values[rare], size) * self.weight[posting], len(q) * n).astype(np.float32).reshape(len(q), n)
-        score += heavy @ self.dense
-        # these sums have single precision: what is within their error of the k-th best is added up again
-        limit = np.maximum(-np.partition(-score, k - 1, axis=1)[:, k - 1] - _ERROR, 0) if n > k else np.zeros(len(q), np.float32)
-        near, row = np.nonzero((score > 0) & (score >= limit[:, None]))
-        edge = np.searchsorted(near, np.arange(len(q) + 1))
-        full, out = np.zeros(len(self.terms)), []
-        for i, (t, _) in enumerate(queries):
-            own = row[edge[i] : edge[i + 1]]
-            size = self.first[own + 1] - self.first[own]
-            posting = _ranges(self.first[own], size)
-            full[t] = q[i]
-            sim = np.round(np.bincount(np.repeat(np.arange(len(own)), size), self.by[posting] * full[self.of[posting]], len(own)), _ROUND)
-            full[t] = 0
-            best = np.lexsort((own, -sim))[:k]
-            out.append((own[best], sim[best]))
+    def _search(self, queries: list[Query], own: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the rows and similarities of the k nearest examples, best first."""
+        n, width = len(self.ids), self.blocks * BLOCK
+        exact = np.zeros((len(queries), self.dense.shape[1]))
+        short = np.empty((len(queries), width))
+        for i, (t, v) in enumerate(queries):
+            place = self.place[t]
+            long = place >= 0
+            exact[i, place[long]] = v[long]
+            t, v = t[~long], v[~long]
+            size = self.start[t + 1] - self.start[t]
+            posting = _ranges(self.start[t], size)
+            short[i] = np.bincount(self.row[posting], np.repeat(v, size) * self.weight[posting], width)
+        heavy, score = exact.astype(np.float32), short.astype(np.float32)
+        # the k-th best score of any k examples bounds the k-th best of all from below; examples with the query's own doc_id may be among them
+        k = self.k + self.repeats
+        limit = np.zeros(len(queries), np.float32)
+        if n > FIRST + k:
+            for i, row in enumerate(np.argpartition(score, width - FIRST - k, axis=1)[:, width - FIRST - k :]):
+                full = score[i, row] + self.dense[row] @ heavy[i]
+                limit[i] = np.partition(full, len(full) - k)[len(full) - k]
+        best = score.reshape(len(queries), self.blocks, BLOCK).max(2) + heavy @ self.peak
+        self.opened = best + _ERROR >= limit[:, None]
+        block, asked = np.nonzero(self.opened.T)
+        edge = np.searchsorted(block, np.arange(self.blocks + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            q, at = asked[edge[b] : edge[b + 1]], slice(b * BLOCK, (b + 1) * BLOCK)
+            score[q, at] += heavy[q] @ self.dense[at].T
+        # what is in a closed block can't be among the k best, but its sum isn't complete
+        score.reshape(len(queries), self.blocks, BLOCK)[~self.opened] = -1
+        out = []
+        for i in range(len(queries)):
+            line = score[i, :n]
+            least = max(0.0, float(np.partition(line, n - k)[n - k]) - _ERROR) if n > k else 0.0
+            near = np.flatnonzero((line > 0) & (line >= least))
+            sim = np.round(short[i, near] + self.dense[near].astype(float) @ exact[i], _ROUND)
+            best_of = np.lexsort((self.ids[near], -sim))
+            best_of = best_of[(self.ids[near[best_of]] != own[i]) & (sim[best_of] > 0)] if own[i] is not None else best_of[sim[best_of] > 0]
+            out.append((near[best_of], sim[best_of]))
         return out
 
     def share(self, row: np.ndarray, sim: np.ndarray) -> float:
         return float((sim @ self.label[row] + PRIOR_VOTES * self.prior) / (sim.sum() + PRIOR_VOTES)) if len(row) else self.prior
 
-    def calibrated(self, share: float) -> float:
-        return float(self.y[max(0, int(np.searchsorted(self.x, round(share, _ROUND), "right")) - 1)])
-
-    def queries(self, texts: list[str]) -> list[tuple[tuple[tuple[int, int], ...], list[str]]]:
-        """The (term, count) pairs of each text, and the words in question."""
+    def queries(self, texts: list[str]) -> list[tuple[Query, list[str]]]:
+        """The query of each text, and its telling words."""
         words = K.Words(texts)
-        out: list[tuple[tuple[tuple[int, int], ...], list[str]]] = [((), [])] * len(texts)
+        none: Query = np.zeros(0, np.int64), np.zeros(0)
+        out: list[tuple[Query, list[str]]] = [(none, [])] * len(texts)
         if not len(self.terms) or not len(words.hash):
             return out
         low = np.searchsorted(self.terms, words.hash)
@@ -245,20 +267,39 @@ class Model:
         pair, first, count = np.unique(doc * len(self.terms) + low[hit], return_index=True, return_counts=True)
         edge = np.flatnonzero(np.concatenate([[True], np.diff(pair // len(self.terms)) > 0, [True]])) if len(pair) else [0]
         for a, b in zip(edge[:-1], edge[1:]):
-            names = sorted(words.word(i) for i in hit[first[a:b]][self.telling[pair[a:b] % len(self.terms)]])
-            out[int(pair[a] // len(self.terms))] = tuple(zip((pair[a:b] % len(self.terms)).tolist(), count[a:b].tolist())), names
+            terms = pair[a:b] % len(self.terms)
+            names = sorted(words.word(i) for i in hit[first[a:b]][self.telling[terms]])
+            out[int(pair[a] // len(self.terms))] = self.query(terms, count[a:b]), names
         return out
 
 
-def _score(model: Broadcast, threshold: float, apply: bool, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Calibration:
+    """Isotonic steps from a share of votes to a probability."""
+
+    def __init__(self, share: np.ndarray, label: np.ndarray, prior: float) -> None:
+        self.x, self.y = isotonic(np.round(share, _ROUND), label.astype(float)) if len(share) else (np.zeros(1), np.array([prior]))
+
+    def __call__(self, share: float) -> float:
+        return float(self.y[max(0, int(np.searchsorted(self.x, round(share, _ROUND), "right")) - 1)])
+
+
+def _own_shares(model: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m: Model = model.value
+    for batch in it:
+        rows = batch.column(0).to_pylist()
+        found = m.neighbours([m.example(i) for i in rows], [int(m.ids[i]) for i in rows])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.share(*x) for x in found], pa.float64())], ["id", "share"])
+
+
+def _score(model: Broadcast, calibrated: Calibration, threshold: float, apply: bool, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     for part, texts in spans.slices(it):
         ids = part.column(part.schema.names.index("doc_id")).to_pylist()
         out: list[tuple] = []
         asked = m.queries(texts)
         for (query, names), (row, sim) in zip(asked, m.neighbours([x for x, _ in asked], ids)):
-            p = m.calibrated(m.share(row, sim))
-            out.append((p, p >= threshold and bool(query), len(row), m.ids[row[:EVIDENCE]].tolist(), sim[:EVIDENCE].tolist(), names))
+            p = calibrated(m.share(row, sim))
+            out.append((p, p >= threshold and len(query[0]) > 0, len(row), m.ids[row[:EVIDENCE]].tolist(), sim[:EVIDENCE].tolist(), names))
         p, toxic, n, near, sims, terms = zip(*out) if out else ([],) * 6
         if apply:
             yield part.filter(pa.array([not x for x in toxic], pa.bool_()))
@@ -267,8 +308,9 @@ def _score(model: Broadcast, threshold: float, apply: bool, it: Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "toxicity", "toxic", "n_neighbours", "neighbours", "similarities", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
-    """A model of at most ``examples`` labelled documents, those whose hashed doc_id is smallest."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Calibration]:
+    """A model of at most ``examples`` labelled documents, those whose hashed doc_id is smallest, and its calibration."""
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("toxic").alias("__low"), F.max("toxic").alias("__toxic"))
     sample = known.where("__low = __toxic").orderBy(F.xxhash64("__id"), "__id").limit(examples).select("__id", "__toxic")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -279,7 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
     features = list(zip(*([np.frombuffer(x.as_py(), t) for x in got[c]] for c, t in kinds)))
     del got
-    return Model(ids, toxic, features, neighbours)
+    model = Model(ids, toxic, features, neighbours)
+    del features
+    shared, n = spark.sparkContext.broadcast(model), len(model.ids)
+    share = np.full(n, model.prior)
+    if n:
+        own = spark.range(0, n, 1, max(1, n // 512)).mapInArrow(partial(_own_shares, shared), "id long, share double").toArrow()
+        share[own["id"].to_numpy()] = own["share"].to_numpy()
+    return shared, Calibration(share, model.label, model.prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
@@ -287,18 +336,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
 
     Defined cases: a null or empty text, or one without a word of the examples, has no neighbour, the calibrated
     prior and isn't toxic; a document isn't its own neighbour; equal similarities go to the smaller doc_id;
-    repeated rows are scored alike; examples with contradicting labels aren't used; without labels
-    nothing is toxic; an empty table gives an empty result. Other columns are not read.
+    repeated rows are scored alike; examples with contradicting labels aren't used; a row without doc_id is
+    scored, but is no example; without labels nothing is toxic; an empty table gives an empty result. Other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, neighbours))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_score, model, threshold, False), _REPORT)
+    return rows.mapInArrow(partial(_score, *fit(docs, labels, examples, neighbours), threshold, False), _REPORT)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the toxic ones; same columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, neighbours))
-    return frames.map_rows(docs, partial(_score, model, threshold, True))
+    """``docs`` without the toxic ones; same columns, whatever they are called.
+
+    Defined cases: as in ``toxicity``; so rows with a null or empty text stay, repeated rows stay or go together,
+    and an empty table stays empty.
+    """
+    return frames.map_rows(docs, partial(_score, *fit(docs, labels, examples, neighbours), threshold, True))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
