@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def build_session(app: str = "loomtext", cpus: int | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -26,20 +29,47 @@ def build_session(app: str = "loomtext", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from reliable storage, so that later stages don't recompute them.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the session names in ``spark.checkpoint.dir``.
 
-    They go to the folder that the session names in ``spark.checkpoint.dir``, which all executors
-    share. Only where that is unset, as in local tests, a temporary folder of this machine is used.
+    Only where that is unset and the session is local, as in tests, a temporary folder of this machine is used; on a
+    cluster without the setting this raises an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomtext-checkpoint-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read back from reliable storage (``shared_folder``), so that later stages don't recompute them."""
+    folder = shared_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read back; the files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/loomtext-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Without a session any more there is nobody to ask; the files stay for whoever cleans the folder."""
+    if spark.sparkContext._jsc is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
