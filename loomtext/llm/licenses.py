@@ -6,7 +6,7 @@ identifier, and tags, after which the rest of the line is read as an expression
 AND, OR and WITH (binding in the order WITH, AND, OR) and parentheses. All findings of a document
 must be allowed together, so they are joined by AND. Evaluation has three values: an identifier is
 allowed, denied or unknown to the policy; OR takes the best of its sides and AND the worst; WITH an
-exception that the policy lists allows what it stands on. An expression that doesn't parse is unknown.
+exception that the policy lists allows a licence that it lists for the exception. An expression that doesn't parse is unknown.
 
 The pass is narrow: one read of the text, no shuffle.
 """
@@ -59,13 +59,23 @@ NOTICES = {
 }
 ALLOWED = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc zlib unlicense 0bsd bsl-1.0 cc0-1.0 cc-by-3.0 cc-by-4.0 python-2.0 mpl-2.0".split())
 DENIED = frozenset("gpl-1.0-only gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later cc-by-sa-3.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc-by-nc-sa-4.0 cc-by-nc-nd-4.0 licenseref-all-rights-reserved".split())
-EXCEPTIONS = frozenset("classpath-exception-2.0 gcc-exception-3.1 llvm-exception linux-syscall-note autoconf-exception-3.0 bison-exception-2.2 font-exception-2.0".split())
+#: Exceptions that make a licence acceptable, and the licences (by how they begin) that they may stand on.
+EXCEPTIONS = {
+    "classpath-exception-2.0": ("gpl-2.0", "gpl-3.0"),
+    "gcc-exception-3.1": ("gpl-3.0",),
+    "llvm-exception": ("apache-2.0",),
+    "linux-syscall-note": ("gpl-2.0",),
+    "autoconf-exception-3.0": ("gpl-3.0",),
+    "bison-exception-2.2": ("gpl-2.0", "gpl-3.0"),
+    "font-exception-2.0": ("gpl-2.0", "gpl-3.0"),
+}
 DENY, UNKNOWN, ALLOW = range(3)
 VERDICTS = ("deny", "unknown", "allow")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+:-]*)", re.I)
 _SPACE = str.maketrans({c: " " for c in "\n\r\t\f\v "})
 _GAP = re.compile(r"\s*[\n\r](?:\s*(?:/\*+|\*+/?|//+!?|#+|;+|--+|%+|>+|<!--|\(\*|rem(?=\s)|dnl(?=\s)))*\s*|\s{2,}")
+_LINE_END = re.compile("[\n\r]")
 _REPORT = "doc_id long, licences array<string>, expressions array<string>, verdict string, keep boolean"
 
 
@@ -110,7 +120,7 @@ def postfix(expression: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def evaluate(expression: str, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: frozenset = EXCEPTIONS) -> int:
+def evaluate(expression: str, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: dict[str, tuple[str, ...]] = EXCEPTIONS) -> int:
     """DENY, UNKNOWN or ALLOW."""
     order = postfix(expression)
     if order is None:
@@ -118,9 +128,9 @@ def evaluate(expression: str, allowed: frozenset = ALLOWED, denied: frozenset =
     stack: list[tuple[int, str]] = []
     for token in order:
         if token in _BINDS:
-            (right, name), (left, _) = stack.pop(), stack.pop()
+            (right, name), (left, base) = stack.pop(), stack.pop()
             if token == "with":
-                value = ALLOW if name in exceptions else left
+                value = ALLOW if base and base.startswith(exceptions.get(name, ())) else left
             else:
                 value = max(left, right) if token == "or" else min(left, right)
             stack.append((value, ""))
@@ -137,7 +147,7 @@ def identifiers(expression: str) -> list[str]:
     for token in order:
         if token in _BINDS:
             right = stack.pop()
-            stack[-1] = stack[-1] + ([] if token == "with" else right)
+            stack[-1].extend([] if token == "with" else right)
         else:
             stack.append([token])
     for name in stack[0] if stack else out:
@@ -170,35 +180,47 @@ def _flat(low: str) -> tuple[str, np.ndarray, np.ndarray]:
     return "".join(parts).translate(_SPACE), np.array(at), np.array(gone)
 
 
+def _outermost(found: list[tuple]) -> list[tuple]:
+    """Findings (begin, end, ...) by place, without those that lie inside a longer one."""
+    out, reach = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if x[1] > reach:
+            reach = x[1]
+            out.append(x)
+    return out
+
+
 def scan(text: str) -> tuple[list[str], list[str]]:
-    """Identifiers of notices, and expressions after tags, each in order of their places, repeats apart."""
+    """Identifiers of notices, and expressions after tags, each in order of their places, repeats apart.
+
+    An expression ends with its line, or where the next tag begins.
+    """
     low = text.lower()
     flat, at, gone = _flat(low)
     source = text if len(low) == len(text) else low
-    notices: list[tuple[int, int, str]] = []
-    tags: list[tuple[int, int]] = []
+    notices: list[tuple] = []
+    tags: list[tuple] = []
     for last, (phrase, name) in _automaton().iter(flat):
         begin, end = last - len(phrase) + 1, last + 1
         if begin and flat[begin - 1].isalnum():
             continue
         if name is None:
-            shift = int(gone[np.searchsorted(at, end, "right") - 1]) if len(at) else 0
-            tags.append((begin, end, end + shift))
+            tags.append((begin, end))
         elif end == len(flat) or not flat[end].isalnum():
             notices.append((begin, end, name))
-    # a notice inside a longer one doesn't count, and a tag inside a longer tag neither
-    names = [n for b, e, n in notices if not any(b2 <= b and e <= e2 and e2 - b2 > e - b for b2, e2, _ in notices)] if len(notices) > 1 else [n for _, _, n in notices]
-    found = []
-    for b, e, place in tags:
-        if not any(b2 <= b and e <= e2 and e2 - b2 > e - b for b2, e2, _ in tags):
-            stop = re.compile("[\n\r]").search(source, place)
-            rest = source[place : stop.start() if stop else len(source)].strip().rstrip("*/#->;,. \t")
+    tags, found = _outermost(tags), []
+    if tags:
+        begin, end = (np.array(x) for x in zip(*tags))
+        begin, end = (x + gone[np.searchsorted(at, x, "right") - 1] for x in (begin, end))
+        for place, most in zip(end.tolist(), [*begin[1:].tolist(), len(source)]):
+            stop = _LINE_END.search(source, place, most)
+            rest = source[place : stop.start() if stop else most].strip().rstrip("*/#->;,. \t")
             if rest:
                 found.append(rest)
-    return list(dict.fromkeys(names)), list(dict.fromkeys(found))
+    return list(dict.fromkeys(n for _, _, n in _outermost(notices))), list(dict.fromkeys(found))
 
 
-def judge(text: str, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: frozenset = EXCEPTIONS) -> tuple[list[str], list[str], str, bool]:
+def judge(text: str, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: dict[str, tuple[str, ...]] = EXCEPTIONS) -> tuple[list[str], list[str], str, bool]:
     """(licences, expressions, verdict, keep) of a text."""
     notices, expressions = scan(text)
     if not notices and not expressions:
@@ -208,18 +230,19 @@ def judge(text: str, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, e
     return names, expressions, VERDICTS[min(values)], min(values) != DENY
 
 
-def _scan(allowed: frozenset, denied: frozenset, exceptions: frozenset, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(allowed: frozenset, denied: frozenset, exceptions: dict, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in spans.slices(it):
         names, found, verdict, keep = zip(*(judge(t, allowed, denied, exceptions) for t in texts))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.list_(pa.string())), pa.array(found, pa.list_(pa.string())), pa.array(verdict, pa.string()), pa.array(keep, pa.bool_())], ["doc_id", "licences", "expressions", "verdict", "keep"])
 
 
-def licences(docs: DataFrame, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: frozenset = EXCEPTIONS) -> DataFrame:
+def licences(docs: DataFrame, allowed: frozenset = ALLOWED, denied: frozenset = DENIED, exceptions: dict[str, tuple[str, ...]] = EXCEPTIONS) -> DataFrame:
     """doc_id, licences, expressions, verdict (allow, deny, unknown or none) and keep (not denied), for every row.
 
     Defined cases: a null or empty text, or one without tag and notice, has the verdict none and is kept;
     an expression that doesn't parse is listed, names no licence and is unknown; repeated findings
-    count once; repeated rows and rows without doc_id are treated like others; an empty table gives an
+    count once; of findings one inside the other the longer counts; repeated rows and rows without doc_id are treated
+    like others; a text of any length is read whole, in time that grows with its length; an empty table gives an
     empty result. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
