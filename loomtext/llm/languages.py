@@ -7,8 +7,9 @@ document is the sum of its trigrams' vectors, a language's prototype the sum ove
 are declared to be in it. The language of a document is that of the prototype with the largest
 cosine; equal ones go to the smaller name.
 
-A batch is a matrix of trigram counts times the matrix of its distinct trigrams' vectors, so no
-vector is built letter by letter. Two narrow passes over the text: the first sends one vector a
+A batch is a matrix of trigram counts times the matrix of its distinct trigrams' vectors, ``_BLOCK`` trigrams at a
+time, so no vector is built letter by letter and memory doesn't grow with the alphabet or the text: long
+texts are cut into segments that share their borders' letters, and the segments' sums added. Two narrow passes over the text: the first sends one vector a
 language and task, the second nothing.
 """
 
@@ -28,7 +29,7 @@ from loomtext.session import read
 
 U = np.uint64
 WIDTH, SEED, BLANK = 1024, 20_011, 32
-_CHUNK_CHARS, _ROUND = 1 << 19, 6
+_CHUNK_CHARS, _BLOCK, _ROWS, _ROUND = 1 << 19, 4096, 512, 6
 _REPORT = "doc_id long, lang string, predicted string, similarity double, margin double, keep boolean"
 
 
@@ -51,36 +52,86 @@ def _letters() -> np.ndarray:
     return K._tables["letters"]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the distinct trigrams, and (text, trigram, count) of what the texts hold."""
+def _segments(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Segments of at most ``_CHUNK_CHARS`` letters, and one more at borders inside a text; the text each is of, and how many letters before and after aren't its own."""
+    out: list[str] = []
+    owner: list[int] = []
+    edges: list[tuple[int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t)), _CHUNK_CHARS):
+            lead, end = int(at > 0), at + _CHUNK_CHARS
+            if size > _CHUNK_CHARS:
+                yield out, np.array(owner), np.array(edges)
+                out, owner, edges, size = [], [], [], 0
+            out.append(t[at - lead : end + 1] if lead or end < len(t) else t)
+            owner.append(i)
+            edges.append((lead, int(end < len(t))))
+            size += len(out[-1])
+    if out:
+        yield out, np.array(owner), np.array(edges)
+
+
+def trigrams(texts: list[str], edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams, as keys, and (text, trigram, count) of what the texts hold; no trigram has its middle in the ``edges``."""
     cps, base = K.codepoints(texts)
     low = _letters()[cps]
     if len(low) < 2:
         none = np.zeros(0, np.int64)
-        return np.zeros((0, WIDTH), np.float32), none, none, none
+        return np.zeros(0, U), none, none, none
     before = np.concatenate([[BLANK], low[:-1]])
     after = np.concatenate([low[1:], [BLANK]])
-    at = np.flatnonzero(low != BLANK)
+    middle = low != BLANK
+    if edges is not None and edges.any():
+        middle[base[:-1][edges[:, 0] > 0]] = False
+        middle[base[1:][edges[:, 1] > 0] - 2] = False
+    at = np.flatnonzero(middle)
     key = (before[at].astype(U) << U(42)) | (low[at].astype(U) << U(21)) | after[at].astype(U)
     known, gram = np.unique(key, return_inverse=True)
     text = np.searchsorted(base, at, "right") - 1
     pair, count = np.unique(text * max(1, len(known)) + gram, return_counts=True)
-    letters = np.unique(np.concatenate([known >> U(42), known >> U(21) & U(0x1FFFFF), known & U(0x1FFFFF)]))
+    return known, pair // max(1, len(known)), pair % max(1, len(known)), count
+
+
+def bound(known: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams."""
+    three = [known >> U(42), known >> U(21) & U(0x1FFFFF), known & U(0x1FFFFF)]
+    letters = np.unique(np.concatenate(three))
     vectors = letter_vectors(letters)
-    a, b, c = (np.searchsorted(letters, x) for x in (known >> U(42), known >> U(21) & U(0x1FFFFF), known & U(0x1FFFFF)))
-    bound = np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[c]
-    return bound, pair // max(1, len(known)), pair % max(1, len(known)), count
+    a, b, c = (np.searchsorted(letters, x) for x in three)
+    out = np.roll(vectors, 2, 1)[a]
+    out *= np.roll(vectors, 1, 1)[b]
+    out *= vectors[c]
+    return out
 
 
-def _bundle(rows: int, vectors: np.ndarray, row: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _bundle(rows: int, known: np.ndarray, row: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Sums of the trigrams' vectors, one a row; exact, as the sums of whole numbers stay below 2**24 in a chunk."""
     out = np.zeros((rows, WIDTH), np.float32)
-    for start in range(0, rows, 256):
-        own = slice(*np.searchsorted(row, [start, start + 256]))
-        used, place = np.unique(gram[own], return_inverse=True)
-        matrix = np.zeros((min(256, rows - start), len(used)), np.float32)
-        matrix[row[own] - start, place] = count[own]
-        out[start : start + 256] = matrix @ vectors[used]
+    order = np.argsort(gram // _BLOCK, kind="stable")
+    row, gram, count = row[order], gram[order], count[order]
+    for start in range(0, len(known), _BLOCK):
+        vectors = bound(known[start : start + _BLOCK])
+        own = slice(*np.searchsorted(gram // _BLOCK, [start // _BLOCK, start // _BLOCK + 1]))
+        r, g, c = row[own], gram[own] - start, count[own]
+        for top in range(0, rows, _ROWS):
+            some = slice(*np.searchsorted(r, [top, top + _ROWS]))
+            if some.start < some.stop:
+                matrix = np.zeros((min(_ROWS, rows - top), len(vectors)), np.float32)
+                matrix[r[some] - top, g[some]] = c[some]
+                out[top : top + _ROWS] += matrix @ vectors
+    return out
+
+
+def bundles(texts: list[str], owner: list[int], rows: int) -> np.ndarray:
+    """Sums of the vectors of all trigrams of the texts that ``owner`` gives to each row."""
+    out = np.zeros((rows, WIDTH))
+    of = np.array(owner, np.int64)
+    for part, text, edges in _segments(texts):
+        known, segment, gram, count = trigrams(part, edges)
+        key, at = np.unique(of[text[segment]] * max(1, len(known)) + gram, return_inverse=True)
+        total = np.bincount(at, count, len(key))
+        out += _bundle(rows, known, key // max(1, len(known)), key % max(1, len(known)), total)
     return out
 
 
@@ -90,11 +141,7 @@ def _train(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in K.chunks(batch, chars=_CHUNK_CHARS):
             names = part.column(part.schema.names.index("lang")).to_pylist()
             own = sorted(set(names))
-            code = np.array([own.index(x) for x in names])
-            vectors, text, gram, count = trigrams(texts)
-            matrix = np.zeros((len(own), len(vectors)))
-            np.add.at(matrix, (code[text], gram), count)
-            total = matrix @ vectors
+            total = bundles(texts, [own.index(x) for x in names], len(own))
             for k, name in enumerate(own):
                 sums[name] = sums.get(name, 0) + np.rint(total[k]).astype(np.int64)
     if sums:
@@ -118,13 +165,12 @@ def classify(texts: list[str], profiles: dict[str, np.ndarray]) -> tuple[list[st
     """Language, cosine and its lead over the second best, of each text; nothing for a text without letters."""
     names = list(profiles)
     out = np.zeros((len(texts), len(names)))
-    vectors, text, gram, count = trigrams(texts)
-    bundles = _bundle(len(texts), vectors, text, gram, count).astype(float)
-    norm = np.sqrt((bundles**2).sum(1))
+    sums = bundles(texts, list(range(len(texts))), len(texts))
+    norm = np.sqrt((sums**2).sum(1))
     has = norm > 0
     if names:
         unit = np.stack([v / np.sqrt((v**2).sum()) for v in profiles.values()], 1)
-        out[has] = np.round((bundles[has] @ unit) / norm[has][:, None], _ROUND)
+        out[has] = np.round((sums[has] @ unit) / norm[has][:, None], _ROUND)
         best = out.argmax(1)
         top = out[np.arange(len(texts)), best]
         second = np.sort(out, 1)[:, -2] if len(names) > 1 else np.zeros(len(texts))
@@ -148,7 +194,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Defined cases: a text without a letter (null or empty too) has no prediction and is kept; rows without
     a declared lang train nothing, get a prediction and are kept; with one language the margin is the
-    similarity; without any, nothing is predicted; repeated rows and rows without doc_id are treated
+    similarity; without any, nothing is predicted; of equal cosines the smaller name counts; a text of any length is read whole; repeated rows and rows without doc_id are treated
     like others; an empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
