@@ -2,13 +2,15 @@
 
 A test item's n-grams are its windows of ``N`` words (letters and numbers, lower case, so punctuation,
 case and spacing don't matter); an item of ``SHORTEST`` to N - 1 words counts as one n-gram of its own
-length, and shorter ones are too common to be evidence. Their Rabin-Karp hashes are broadcast as one
+length. A shorter item is too common within running text to be evidence there; it counts where its words are
+all the words of a line. The n-grams' Rabin-Karp hashes are broadcast as one
 sorted array; each window of each document is looked up, each hit is compared word by word with the
 item, and what hits cover is merged into spans. Spans go; a document goes as a whole when they hold
 more than ``DROP_SHARE`` of its words.
 
-One narrow pass over the text and no shuffle, as long as the hashes fit ``SLICE_NGRAMS``. A larger
-benchmark is looked up slice by slice; the hits are then joined to the documents by doc_id.
+One narrow pass over the text and no shuffle, as long as the hashes fit ``SLICE_NGRAMS``, which bounds what is broadcast. A larger
+benchmark is looked up slice by slice; the hits are then joined to the documents by a hash of the text, and verified by
+another, so the result doesn't depend on the number of slices.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ class Index:
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.ids = np.array(ids, np.int64)
         self.words = [[words.word(j) for j in range(words.off[i], words.off[i + 1])] for i in range(len(texts))]
-        for length in sorted({n, *(int(s) for s in size if SHORTEST <= s < n)}):
+        for length in sorted({n, *(int(s) for s in size if 0 < s < n)}):
             h, at = K.windows(words.hash, words.off, length)
             item = np.searchsorted(words.off, at, "right") - 1
             if length < n:
@@ -60,6 +62,8 @@ class Index:
             low = np.searchsorted(known, h)
             low[low == len(known)] = 0
             for k in np.flatnonzero(known[low] == h):
+                if n < SHORTEST and not _whole_line(words, int(at[k]), n):
+                    continue
                 own = [words.word(j) for j in range(at[k], at[k] + n)]
                 c = low[k]
                 while c < len(known) and known[c] == h[k]:
@@ -71,6 +75,15 @@ class Index:
         return np.array(first, np.int64), np.array(length, np.int64), np.array(item, np.int64)
 
 
+def _whole_line(words: K.Words, at: int, n: int) -> bool:
+    """Whether a line feed or the text's end is on both sides of ``n`` words from ``at`` on, and none within."""
+    doc = int(np.searchsorted(words.off, at, "right")) - 1
+    start = words.end[at - 1] if at > words.off[doc] else words.base[doc]
+    end = words.start[at + n] if at + n < words.off[doc + 1] else words.base[doc + 1]
+    breaks = lambda a, b: bool((words.cps[a:b] == 10).any())
+    return (at == words.off[doc] or breaks(start, words.start[at])) and (at + n == words.off[doc + 1] or breaks(words.end[at + n - 1], end)) and not breaks(words.start[at], words.end[at + n - 1])
+
+
 def _hits(index: Index, texts: list[str]) -> Iterator[tuple[int, K.Words, np.ndarray, np.ndarray, list[int]]]:
     """(text, words, beginnings, ends, items) of every text that has hits; word numbers are the text's own."""
     words = K.Words(texts)
@@ -86,8 +99,8 @@ def _hits(index: Index, texts: list[str]) -> Iterator[tuple[int, K.Words, np.nda
 def _found(index, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in spans.slices(it):
         rows = [(part.column(0)[d].as_py(), int(K.text_hash(w).view(np.int64)[d]), np.concatenate([b, e]).astype("<i4").tobytes(), items) for d, w, b, e, items in _hits(index.value, texts)]
-        doc, text, ranges, items = zip(*rows) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "text_hash", "ranges", "items"])
+        key, text, ranges, items = zip(*rows) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(text, pa.int64()), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["key", "text_hash", "ranges", "items"])
 
 
 def _joined_hits(texts: list[str], column: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray, np.ndarray, list[int]]]:
@@ -142,12 +155,13 @@ def _run(docs: DataFrame, benchmark: DataFrame, n: int, share: float, apply: boo
     if len(indexes) == 1:
         work = partial(_work, indexes[0], share, apply)
         return frames.map_rows(docs, work) if apply else docs.mapInArrow(work, _REPORT)
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [rows.mapInArrow(partial(_found, x), "doc_id long, text_hash long, ranges binary, items array<long>") for x in indexes]
-    key, hits = frames.fresh(docs, "__id"), frames.fresh(docs, "__hits")
-    found = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("text_hash", "ranges", "items")).alias(hits))
-    found = cut(found)
-    joined = docs.join(frames.sized(found, found.count(), 200), F.col("doc_id").cast("long") == F.col(key), "left").select(*frames.every(docs), hits)
+    text = F.xxhash64("text")
+    rows = docs.where("text is not null").select(text.alias("key"), "text")
+    parts = [rows.mapInArrow(partial(_found, x), "key long, text_hash long, ranges binary, items array<long>") for x in indexes]
+    key, hits = frames.fresh(docs, "__key"), frames.fresh(docs, "__hits")
+    found = cut(reduce(DataFrame.unionByName, parts).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("text_hash", "ranges", "items")).alias(hits)))
+    size = found.agg(F.sum(F.expr(f"32 + aggregate({hits}, 0L, (n, r) -> n + 48 + octet_length(r.ranges) + 8 * size(r.items))"))).first()[0] or 0
+    joined = docs.join(frames.sized(found, 1, size), text == F.col(key), "left").select(*frames.every(docs), hits)
     work = partial(_work, None, share, apply)
     return frames.map_rows(joined, work, 1) if apply else joined.mapInArrow(work, _REPORT)
 
@@ -156,15 +170,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, share: floa
     """doc_id, contaminated, dropped, n_spans, span_words, items (whose n-grams were found) and text (what is left), for every row.
 
     Defined cases: a null or empty text, and one shorter than every n-gram, is clean; ``text`` is null where
-    the document is dropped; repeated rows are treated alike; a row without doc_id is scanned too (beyond one
-    slice it counts as clean, as hits are joined by doc_id); items without id or text, and an empty
-    benchmark, match nothing; an empty table gives an empty result. Other columns are not read.
+    the document is dropped; repeated rows, rows that share a doc_id and rows without one are scanned each for itself;
+    items without id, text or word, and an empty
+    benchmark, match nothing; of equal items all are reported; an empty table gives an empty result. Other columns are not read.
     """
     return _run(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, n, share, False, slice_ngrams)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = DROP_SHARE, slice_ngrams: int = SLICE_NGRAMS) -> DataFrame:
-    """``docs`` without contaminated documents and spans; same columns, n_chars made to fit the shorter texts."""
+    """``docs`` without contaminated documents and spans; same columns, n_chars made to fit the shorter texts.
+
+    Defined cases: as in ``contamination``; so rows with a null or empty text stay as they are, with any doc_id,
+    repeated rows are treated alike, and an empty table stays empty.
+    """
     return _run(docs, benchmark, n, share, True, slice_ngrams)
 
 
@@ -182,10 +200,15 @@ keys AS (
   SELECT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) >= 6)),
 lengths AS (SELECT DISTINCT n FROM keys),
+lines AS (
+  SELECT doc_id, CAST(coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS i, len(w) AS n, array_to_string(w, ' ') AS g
+  FROM (SELECT doc_id, l, regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM documents))),
 grams AS (
   SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM pieces, lengths WHERE len(w) >= n)),
-hits AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN keys k ON g.g = k.g AND g.n = k.n),
+hits AS (
+  SELECT doc_id, i, g.n, item_id FROM grams g JOIN keys k ON g.g = k.g AND g.n = k.n
+  UNION ALL SELECT doc_id, i, n, item_id FROM lines JOIN items ON g = array_to_string(items.w, ' ') WHERE n BETWEEN 1 AND 5),
 covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM hits),
 numbered AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k FROM covered),
 ranges AS (SELECT doc_id, min(j) AS b, max(j) AS e FROM numbered GROUP BY doc_id, k),
