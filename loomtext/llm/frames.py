@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 << 20
+#: What a broadcast side may take, and what its hash relation holds for each row besides the row's own bytes.
+BROADCAST_BYTES, _ROW_OVERHEAD = 64 << 20, 64
 
 
 def every(df: DataFrame) -> list[Column]:
@@ -27,7 +28,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcasting if its counted rows are small enough; else a join with it shuffles."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * (row_bytes + _ROW_OVERHEAD) <= BROADCAST_BYTES else df
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], drop: int = 0) -> DataFrame:
