@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.session import shuffle_partitions
+
 #: What a broadcast side may take, and what its hash relation holds for each row besides the row's own bytes.
 BROADCAST_BYTES, _ROW_OVERHEAD = 64 << 20, 64
 
@@ -31,6 +33,12 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * (row_bytes + _ROW_OVERHEAD) <= BROADCAST_BYTES else df
 
 
+def shards(docs: DataFrame, chars: int) -> int:
+    """Shards for what is made of all texts of ``docs``: one for ``chars`` characters, but no fewer than shuffles have partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // chars))
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], drop: int = 0) -> DataFrame:
     """``df`` through ``f``, which returns its columns without the last ``drop`` ones; for any column names."""
     names = df.columns

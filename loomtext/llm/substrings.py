@@ -1,15 +1,18 @@
 """Exact substring deduplication: Rabin-Karp windows, counted in shards, merged into removal intervals.
 
-Every window of ``LENGTH`` words of every document is hashed to 64 bits. A map task sorts the
-hashes of up to two million windows and sends each shard its range as a blob of about nine bytes a
-window (gap-coded hash and the window's number in the batch), with the doc_ids of the documents
-that have windows there. A shard finds the hashes that occur more than once and which occurrence is
-the first by (doc_id, position); it answers each batch with window numbers only. What comes back is
-merged into intervals a document, which join the documents by doc_id: broadcast while they are
-counted and found small, shuffled beyond that. Text is never part of the counting shuffle.
-
-All occurrences of a repeated window but the first are removed. A hash stands for its window; two
-different windows share one with a chance of 2**-64 a pair.
+Every window of ``LENGTH`` words of every document has a 64-bit Rabin-Karp hash and a check of 16 bits, made
+from the sum of its words' hashes; windows are equal if both are. A map task sorts the
+windows of up to two million words of documents, counts equal ones once, and sends each shard its range of hashes as a blob of about eleven bytes a
+distinct window (gap-coded hash, check, and the number of its first occurrence), with the doc_ids of the documents
+that these are in. So a window that stands in most documents costs a shard one entry a batch. A shard finds the windows that
+occur more than once and which occurrence is
+the first by (doc_id, position); it answers each batch with window numbers only. With the batch's own list of equal windows that
+is merged into intervals a document, which join the documents by doc_id: broadcast while they are
+counted and found small, shuffled beyond that. Text is never part of the counting shuffle. The number of shards follows the
+characters of the input.
+
+All occurrences of a repeated window but the first are removed. Two different windows are taken for equal with a
+chance of 2**-80 a pair.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql import functions as F
 from loomtext.llm import frames
 from loomtext.llm import kernels as K
 from loomtext.llm import spans as S
-from loomtext.session import cut, read, shuffle_partitions
+from loomtext.session import cut, read
 
 U = np.uint64
 LENGTH = 50
-_BATCH_WINDOWS = 2_000_000
+_BATCH_WINDOWS, _SHARD_CHARS = 2_000_000, 1 << 24
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -57,39 +60,90 @@ def _unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_unzigzag(K.unpack_ints(blob[4 : 4 + n]))), np.cumsum(K.unpack_ints(blob[4 + n :]).astype(np.int64))
 
 
+def _pack(*parts: bytes) -> bytes:
+    return np.array([len(parts), *(len(p) for p in parts)], "<i4").tobytes() + b"".join(parts)
+
+
+def _unpack(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:4], "little")
+    size = np.frombuffer(blob, "<i4", n, 4)
+    end = 4 + 4 * n + np.cumsum(size)
+    return [blob[e - s : e] for s, e in zip(size, end)]
+
+
+def window_keys(words: K.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and check of every window, text by text."""
+    w, at = K.windows(words.hash, words.off, length)
+    total = np.zeros(len(words.hash) + 1, U)
+    np.cumsum(K.mix(words.hash), out=total[1:])
+    return w, (K.mix(total[at + length] - total[at]) >> U(48)).astype(np.uint16)
+
+
+def _runs(h: np.ndarray, check: np.ndarray, doc: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows sorted by key, where each run of equal ones begins, and the run's first occurrence by (doc_id, place)."""
+    order = np.argsort(h)
+    twice = h[order][1:] == h[order][:-1]
+    if (check[order][1:][twice] != check[order][:-1][twice]).any():
+        order = np.lexsort((check, h))
+    lead = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+    if (np.diff(doc) > 0).all():  # numbers ascend with (doc_id, place)
+        return order, lead, np.minimum.reduceat(order, lead)
+    some = np.flatnonzero(np.diff(np.append(lead, len(order))) > 1)
+    start = order[lead].copy()
+    for r in some:
+        own = order[lead[r] : lead[r + 1] if r + 1 < len(lead) else len(order)]
+        start[r] = own[np.lexsort((own, own - first[owner[own]], doc[owner[own]]))[0]]
+    return order, lead, start
+
+
 def _emit(buckets: int, length: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[np.ndarray] = []
     prints: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     hashes: list[np.ndarray] = []
+    checks: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        doc, text, n, h = (np.concatenate(x) for x in (ids, prints, counts, hashes))
-        for x in (ids, prints, counts, hashes):
+        doc, text, n, h, check = (np.concatenate(x) for x in (ids, prints, counts, hashes, checks))
+        for x in (ids, prints, counts, hashes, checks):
             x.clear()
+        by = np.argsort(doc, kind="stable")
+        if (by[1:] < by[:-1]).any():
+            start = np.cumsum(n) - n
+            move = np.repeat(start[by] - (np.cumsum(n[by]) - n[by]), n[by]) + np.arange(len(h))
+            doc, text, n, h, check = doc[by], text[by], n[by], h[move], check[move]
         first = np.cumsum(n) - n
         place = K.mix(np.arange(1, len(doc) + 1, dtype=U) << U(32))
         uid = int(K.mix(np.array([(K.mix(doc.view(U) ^ place) ^ text).sum(dtype=U) ^ U(len(h))], U)).view(np.int64)[0])
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), n)
-        order = np.argsort(h).astype(np.int32)
-        h = h[order]
-        at = K.split_at(K.bucket_of(h, buckets), buckets)
+        order, lead, number = _runs(h, check, doc, first, owner)
+        size = np.diff(np.append(lead, len(order)))
+        # what is equal to a batch's first occurrence stays here: later ones, and twins at the same place of rows with one doc_id
+        more = np.repeat(size > 1, size)
+        other, of = order[more], np.repeat(number, size)[more]
+        other, of = other[other != of], of[other != of]
+        twin = (doc[owner[other]] == doc[owner[of]]) & (other - first[owner[other]] == of - first[owner[of]])
+        later, twins, twins_of = np.sort(other[~twin]), other[twin], of[twin]
+        key = h[order[lead]]
+        at = K.split_at(K.bucket_of(key, buckets), buckets)
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for b in np.flatnonzero(np.diff(at)):
-            own = order[at[b] : at[b + 1]]
+            own = number[at[b] : at[b + 1]]
             here = np.zeros(len(doc), bool)
             here[owner[own]] = True
             here = np.flatnonzero(here)
-            for column, value in zip(out, (b, uid, 0, K.pack_sorted(h[at[b] : at[b + 1]]), K.pack_small(own), _pack_docs(doc[here], first[here]))):
+            sums = check[own].tobytes()
+            for column, value in zip(out, (b, uid, 0, _pack(K.pack_sorted(key[at[b] : at[b + 1]]), sums), K.pack_small(own * 2 + (size[at[b] : at[b + 1]] > 1)), _pack_docs(doc[here], first[here]))):
                 column.append(value)
-        for column, value in zip(out, (uid % buckets, uid, 1, doc.astype("<i8").tobytes(), text.astype("<u8").tobytes(), n.astype("<i8").tobytes())):
+        equal = _pack(K.pack_ints(np.diff(later, prepend=0)), K.pack_small(twins), K.pack_small(twins_of))
+        for column, value in zip(out, (uid % buckets, uid, 1, doc.astype("<i8").tobytes(), text.astype("<u8").tobytes(), _pack(n.astype("<i8").tobytes(), equal))):
             column.append(value)
         return _row(*out)
 
     total = 0
     for part, texts in S.slices(it):
         words = K.Words(texts)
-        w, at = K.windows(words.hash, words.off, length)
+        w, check = window_keys(words, length)
         n = np.maximum(np.diff(words.off) - length + 1, 0)
         has = n > 0
         if not has.any():
@@ -98,6 +152,7 @@ def _emit(buckets: int, length: int, it: Iterator[pa.RecordBatch]) -> Iterator[p
         prints.append(K.text_hash(words)[has])
         counts.append(n[has])
         hashes.append(w)
+        checks.append(check)
         total += len(w)
         if total >= _BATCH_WINDOWS:
             yield flush()
@@ -107,7 +162,7 @@ def _emit(buckets: int, length: int, it: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def _count(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers of one shard: for each batch the numbers of its repeated windows, those that aren't the first apart."""
+    """Answers of one shard: for each batch the numbers of its repeated windows, those that are the first apart."""
     rows = []
     for batch in it:
         kinds = batch.column(2).to_numpy()
@@ -117,33 +172,45 @@ def _count(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows += [(uids[i], batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) for i in np.flatnonzero(kinds == 0)]
     if not rows:
         return
-    every = np.sort(np.concatenate([K.unpack_sorted(r[1]) for r in rows]))
-    twice = every[1:][every[1:] == every[:-1]]
-    del every
+    every, often = [], []
+    for _, keys, own, _ in rows:
+        h = K.unpack_sorted(_unpack(keys)[0])
+        every.append(h)
+        often.append(h[K.unpack_small(own) % 2 == 1])
+    every = np.sort(np.concatenate(every))
+    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *often]))
+    del every, often
     if not len(twice):
         return
-    twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])]
-    hs, docs, places, numbers, owners = [], [], [], [], []
-    for k, (_, hashes, own, table) in enumerate(rows):
+    hs, sums, many, docs, places, numbers, owners = [], [], [], [], [], [], []
+    for k, (_, keys, own, table) in enumerate(rows):
+        hashes, check = _unpack(keys)
         h = K.unpack_sorted(hashes)
         at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
         hit = np.flatnonzero(twice[at] == h)
         if len(hit):
-            number = K.unpack_small(own)[hit]
+            flagged = K.unpack_small(own)[hit]
+            number = flagged >> 1
             doc, first = _unpack_docs(table)
             d = np.searchsorted(first, number, "right") - 1
             hs.append(at[hit])
+            sums.append(np.frombuffer(check, np.uint16)[hit])
+            many.append(flagged % 2 == 1)
             docs.append(doc[d])
             places.append(number - first[d])
             numbers.append(number)
             owners.append(np.full(len(hit), k, np.int32))
-    h, doc, place, number, owner = (np.concatenate(x) for x in (hs, docs, places, numbers, owners))
+    h, check, many, doc, place, number, owner = (np.concatenate(x) for x in (hs, sums, many, docs, places, numbers, owners))
+    h = h << 16 | check
     order = np.lexsort((place, doc, h))
     lead = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    run = np.repeat(lead, np.diff(np.append(lead, len(h))))
-    later = np.empty(len(h), bool)
+    size = np.diff(np.append(lead, len(h)))
+    run = np.repeat(lead, size)
+    later, repeated = np.empty(len(h), bool), np.empty(len(h), bool)
     later[order] = (doc[order] != doc[order[run]]) | (place[order] != place[order[run]])
+    repeated[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], lead), size)
     by = np.lexsort((number, owner))
+    by = by[repeated[by]]
     at = np.searchsorted(owner[by], np.arange(len(rows) + 1))
     out: tuple[list, ...] = ([], [], [], [], [], [])
     for k in np.flatnonzero(np.diff(at)):
@@ -152,7 +219,8 @@ def _count(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         uid = rows[k][0]
         for column, value in zip(out, (uid % buckets, uid, 2, K.pack_ints(np.diff(x[~gone], prepend=0)), K.pack_ints(np.diff(x[gone], prepend=0)), b"")):
             column.append(value)
-    yield _row(*out)
+    if out[0]:
+        yield _row(*out)
 
 
 def _intervals(length: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +237,15 @@ def _intervals(length: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 firsts.setdefault(uid[i], []).append(np.cumsum(K.unpack_ints(a[i]).astype(np.int64)))
                 laters.setdefault(uid[i], []).append(np.cumsum(K.unpack_ints(b[i]).astype(np.int64)))
     for uid, seen in laters.items():
-        doc, text, n = (np.frombuffer(x, t) for x, t in zip(tables[uid], ("<i8", "<i8", "<i8")))
+        sizes, equal = _unpack(tables[uid][2])
+        doc, text, n = (np.frombuffer(x, "<i8") for x in (*tables[uid][:2], sizes))
         start = np.cumsum(n) - n
-        later = np.sort(np.concatenate(seen))
-        first = np.concatenate(firsts[uid])
+        here, twins, twins_of = _unpack(equal)
+        twins, twins_of = K.unpack_small(twins), K.unpack_small(twins_of)
+        later, first = np.concatenate(seen), np.concatenate(firsts[uid])
+        again = np.isin(twins_of, later)
+        later = np.sort(np.concatenate([later, np.cumsum(K.unpack_ints(here).astype(np.int64)), twins[again]]))
+        first = np.concatenate([first, twins[~again]])
         has = np.zeros(len(doc), bool)
         has[np.searchsorted(start, first, "right") - 1] = True
         owner = np.searchsorted(start, later, "right") - 1
@@ -190,8 +263,8 @@ def _intervals(length: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def removal_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and an array of (text_hash, ranges), for documents with a repeated window; ``ranges`` holds word
     numbers as 32-bit integers, all beginnings and then all ends, and is empty where only first occurrences are."""
-    buckets = shuffle_partitions(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    buckets = frames.shards(rows, _SHARD_CHARS)
     sent = rows.mapInArrow(partial(_emit, buckets, length), _ROW).repartitionById(buckets, F.col("part"))
     answers = sent.mapInArrow(partial(_count, buckets), _ROW).repartitionById(buckets, F.col("part"))
     found = answers.mapInArrow(partial(_intervals, length), "doc_id long, text_hash long, ranges binary")
@@ -251,7 +324,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without the later occurrences of repeated windows: same rows and columns, shorter texts and n_chars."""
+    """``docs`` without the later occurrences of repeated windows: same rows and columns, shorter texts and n_chars.
+
+    Defined cases: as in ``repeats``; so rows with a null or short text, or without doc_id, stay as they are, repeated
+    rows are treated alike, and an empty table stays empty.
+    """
     return frames.map_rows(_joined(docs, length), _apply, 1)
 
 
