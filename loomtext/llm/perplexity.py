@@ -1,23 +1,30 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted text is every document whose label says quality 1; four in five, by hash, train the model and
-the fifth is held out. Tokens are words (case counts) and runs of other visible characters. The
-vocabulary is all training tokens that occur twice or more; any other token stands for its shape (lower case, capitalised, upper case, with digits or mixed, mark), so junk
-meets rare shapes. A text starts in a context of its own.
+the fifth is held out. Tokens are words (case counts) and runs of other visible characters, each known by 48 bits of its
+hash; a text begins after a start and closes with an end. The vocabulary is open: a word that training hasn't is
+one of as many unseen words as training has words that follow one word only.
 
     p(v|u) = (c(uv) - D(c)) / c(u) + gamma(u) * q(v)
-    q(v)   = (n(v) - E(n)) / N + delta / V,   n(v): distinct tokens before v, N: distinct bigrams
-
-With three discounts each, from counts of counts. A document's log probability is split in two: the sum
-of log gamma(u) + log q(v), which the scoring task adds up itself from two broadcast arrays that grow
-with the vocabulary, and log(1 + seen / (gamma q)) for bigrams that training has. The bigram
-counts are sharded by hash; scoring tasks send each shard its bigrams with the documents they are in
-(about three bytes a token), and shards answer with one number a document and batch. Counts, like
-requests, are first summed over a batch. Text is read and never shuffled, the bigram
-counts are never in one place.
-
-A document stays if its perplexity is at most the ``QUANTILE`` of held-out trusted documents of its
-language; a language with fewer than ``LEAST_HELD_OUT`` of them has no threshold.
+    q(v)   = (n(v) - E(n)) / N,   q(unseen) = delta / n1;   gamma(unseen) = 1
+    n(v): distinct tokens before v, n1: tokens with one such, N: distinct bigrams, delta: what E takes off in all
+
+With three discounts each, from counts of counts. A document's log probability is the sum, over its tokens, of
+log gamma + log q, and, over its bigrams that training has, of log(1 + seen / (gamma q)). So scoring is one lookup of keys,
+tokens and bigrams alike, in a table of values, and everything about it is sharded:
+
+- bigram counts go, summed over a batch, to shards by the bigram's hash;
+- each of these sends its tokens' partial sums to shards by the token's hash, which return gamma and q, so a frequent
+  token costs one entry a shard;
+- scoring tasks send each shard its keys with the documents they are in (under four bytes a token), and shards
+  answer with one number a document and batch.
+
+Nothing that grows with the corpus is broadcast or comes to the driver, only sums do: counts of counts and of tokens.
+Text is read and never shuffled. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
+that it has about once in a million lookups, at any size.
+
+A document stays if its perplexity, over its tokens and the end, is at most the ``QUANTILE`` of held-out trusted documents of its
+language; a language with fewer than ``LEAST_HELD_OUT`` of them has no threshold, and its documents stay.
 """
 
 from __future__ import annotations
@@ -29,23 +36,22 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import frames, spans
 from loomtext.llm import kernels as K
-from loomtext.session import cut, read, shuffle_partitions
+from loomtext.session import cut, read
 
 U = np.uint64
 QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
-START, LOWER, CAPITAL, UPPER, MIXED, MARK, FIRST_WORD = range(7)
-_BATCH_TOKENS = 3_000_000
-_HALF, _LOW, _BLOCK = 32, (1 << 32) - 1, 1 << 16  # a bigram's key is two ids
+START, END = U(1), U(2)
+_BATCH_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 1 << 24, 20
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "uid", "kind", "a", "b", "c"]
-COUNTS, STATS, REQUEST, BATCH, ANSWER = range(5)
+COUNTS, STATS, LEVELS, VALUES, REQUEST, BATCH, ANSWER = range(7)
+SUMS = 16  # kinds from here on are sums, in uid
 
 
 def _row(rows: list[tuple]) -> pa.RecordBatch:
@@ -64,105 +70,95 @@ def _unzip(blob: bytes) -> list[bytes]:
     return [raw[e - s : e] for s, e in zip(size, end)]
 
 
+def _sums(values: list[int]) -> pa.RecordBatch:
+    return _row([(0, int(v), SUMS + k, None, None, None) for k, v in enumerate(values)])
+
+
 # -- tokens -------------------------------------------------------------------------------------
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and shape of every token in order, and where each text's tokens begin."""
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of every token's hash in order, and where each text's tokens begin."""
     words, marks = K.Words(texts, K.cased_values()), K.Words(texts, K.visible_values())
-    up = np.zeros(len(words.cps) + 1, np.int64)
-    np.cumsum(K.upper_table()[words.cps], out=up[1:])
-    capitals, length = up[words.end] - up[words.start], words.end - words.start
-    capital_first = up[words.start + 1] - up[words.start] == 1
-    shape = np.full(len(length), MIXED, np.uint8)
-    shape[capitals == 0] = LOWER
-    shape[capital_first & (capitals == 1)] = CAPITAL
-    shape[(capitals == length) & (length > 1)] = UPPER
-    digits = np.zeros(len(words.cps) + 1, np.int64)
-    np.cumsum((words.cps >= 48) & (words.cps < 58), out=digits[1:])
-    shape[digits[words.end] > digits[words.start]] = MIXED
     order = np.argsort(np.concatenate([words.start, marks.start]), kind="stable")
-    h = np.concatenate([words.hash, ~marks.hash])[order]
-    return h, np.concatenate([shape, np.full(len(marks.hash), MARK, np.uint8)])[order], words.off + marks.off
+    return np.concatenate([words.hash, ~marks.hash])[order] >> U(16), words.off + marks.off
 
 
-def _ids(known: np.ndarray, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    out = shape.astype(np.int64)
-    if len(known):
-        at = np.searchsorted(known, h)
-        at[at == len(known)] = 0
-        hit = known[at] == h
-        out[hit] = at[hit] + FIRST_WORD
-    return out
+def bigrams(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, u, v) of every bigram, the start and the end included; a text without tokens has none."""
+    some = np.flatnonzero(np.diff(off))
+    size = np.diff(off)[some]
+    doc = np.repeat(some, size + 1)
+    last = np.cumsum(size + 1) - 1
+    v = np.empty(len(doc), U)
+    inner = np.ones(len(doc), bool)
+    inner[last] = False
+    v[inner], v[last] = h, END
+    u = np.empty(len(doc), U)
+    u[1:] = v[:-1]
+    u[last - size] = START
+    return doc, u, v
 
 
-def _bigrams(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[off[:-1][off[:-1] < off[1:]]] = START
-    return before << _HALF | ids
+def token_key(w: np.ndarray) -> np.ndarray:
+    return K.mix(w ^ U(0x5851F42D4C957F2D))
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def bigram_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(u + U(0x14057B7EF767814F)) + v * U(0x9E3779B97F4A7C15))
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in columns])]))
 
 
 # -- training -----------------------------------------------------------------------------------
 
 
-def _token_counts(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, size = [], [], 0
+def _pack_counts(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams, ascending, with counts."""
+    first = _runs(u)
+    low = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return _zip(K.pack_sorted(u[first]), K.pack_ints(np.diff(np.append(first, len(u)))), low.tobytes(), K.pack_ints(n))
 
-    def flush() -> pa.RecordBatch:
-        h, n = _sum_by(np.concatenate(keys), np.concatenate(counts))
-        keys.clear(), counts.clear()
-        at = K.split_at(K.bucket_of(h, buckets), buckets)
-        return _row([(b, 0, COUNTS, K.pack_sorted(h[at[b] : at[b + 1]]), K.pack_ints(n[at[b] : at[b + 1]]), None) for b in np.flatnonzero(np.diff(at))])
 
-    for _, texts in spans.slices(it):
-        h, n = np.unique(tokens(texts)[0], return_counts=True)
-        keys.append(h)
-        counts.append(n)
-        size += len(h)
-        if size >= _BATCH_TOKENS:
-            yield flush()
-            size = 0
-    if size:
-        yield flush()
+def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, runs, low, n = _unzip(blob)
+    n = K.unpack_ints(n).astype(np.int64)
+    v = np.zeros((len(n), 8), np.uint8)
+    v[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return np.repeat(K.unpack_sorted(u), K.unpack_ints(runs).astype(np.int64)), v.reshape(-1).view("<u8"), n
 
 
-def _frequent(most: int | None, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = [np.zeros(0, U)], [np.zeros(0, U)]
-    for batch in it:
-        keys += [K.unpack_sorted(x) for x in batch.column(3).to_pylist()]
-        counts += [K.unpack_ints(x) for x in batch.column(4).to_pylist()]
-    h, n = _sum_by(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-    pick = np.flatnonzero(n > 1)
-    pick = pick[np.lexsort((h[pick].view(np.int64), -n[pick]))][:most]
-    yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(n[pick])], ["h", "n"])
+def _add_counts(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((v, u))
+    u, v, n = u[order], v[order], n[order]
+    first = _runs(u, v)
+    return u[first], v[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _bigram_counts(vocabulary: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, size = [], [], 0
+def _bigram_counts(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's bigram counts, for each shard."""
+    us, vs, size = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        g, n = _sum_by(np.concatenate(keys), np.concatenate(counts))
-        keys.clear(), counts.clear()
-        bucket = K.bucket_of(K.mix(g.astype(U)), buckets)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        us.clear(), vs.clear()
+        u, v, n = _add_counts(u, v, np.ones(len(u), np.int64))
+        bucket = K.bucket_of(bigram_key(u, v), buckets)
         order = np.argsort(bucket, kind="stable")
-        g, n = g[order], n[order]
+        u, v, n = u[order], v[order], n[order]
         at = K.split_at(bucket[order], buckets)
-        return _row([(b, 0, COUNTS, _zip(K.pack_ints(np.diff(g[at[b] : at[b + 1]], prepend=0)), K.pack_ints(n[at[b] : at[b + 1]])), None, None) for b in np.flatnonzero(np.diff(at))])
+        return _row([(b, 0, COUNTS, _pack_counts(*(x[at[b] : at[b + 1]] for x in (u, v, n))), None, None) for b in np.flatnonzero(np.diff(at))])
 
     for _, texts in spans.slices(it):
-        h, shape, off = tokens(texts)
-        g, n = np.unique(_bigrams(_ids(vocabulary.value, h, shape), off), return_counts=True)
-        keys.append(g)
-        counts.append(n)
-        size += len(g)
+        _, u, v = bigrams(*tokens(texts))
+        us.append(u)
+        vs.append(v)
+        size += len(u)
         if size >= _BATCH_TOKENS:
             yield flush()
             size = 0
@@ -170,48 +166,50 @@ def _bigram_counts(vocabulary: Broadcast, buckets: int, it: Iterator[pa.RecordBa
         yield flush()
 
 
-def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    g, n = _unzip(blob)
-    return np.cumsum(K.unpack_ints(g).astype(np.int64)), K.unpack_ints(n).astype(np.int64)
-
-
-def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's bigram counts, and what they add to the statistics of the vocabulary."""
-    part, keys, counts = None, [], []
+def _shard(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's bigram counts; what they add to its tokens' statistics, for the tokens' shards; and counts of counts."""
+    part, got = None, []
     for batch in it:
         if batch.num_rows:
             part = batch.column(0)[0].as_py()
-            for blob in batch.column(3).to_pylist():
-                g, n = _unpack_counts(blob)
-                keys.append(g)
-                counts.append(n)
+            got += [_unpack_counts(x) for x in batch.column(3).to_pylist()]
     if part is None:
         return
-    g, n = _sum_by(np.concatenate(keys), np.concatenate(counts))
-    yield _row([(part, 0, COUNTS, _zip(K.pack_ints(np.diff(g, prepend=0)), K.pack_ints(n)), None, None)])
-    ids, at = np.unique(np.concatenate([g >> _HALF, g & _LOW]), return_inverse=True)
-    u, v = at[: len(g)], at[len(g) :]
-    stats = np.zeros((5, len(ids)), np.int64)
-    np.add.at(stats[0], u, n)
-    for k in (1, 2, 3):
-        stats[k] = np.bincount(u[n == k] if k < 3 else u[n >= 3], minlength=len(ids))
-    stats[4] = np.bincount(v, minlength=len(ids))
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(ids // _BLOCK) > 0, [True]])) if len(ids) else [0]
-    rows = [(part, int(ids[a] // _BLOCK), STATS, (ids[a:b] % _BLOCK).astype("<i8").tobytes(), stats[:, a:b].astype("<i8").tobytes()) for a, b in zip(edge[:-1], edge[1:])]
-    often = np.zeros((5, 4), np.int64)
-    often[0] = [(n == k).sum() for k in (1, 2, 3, 4)]
-    rows.append((part, -1, STATS, np.arange(4).astype("<i8").tobytes(), often.tobytes()))
-    for part, block, kind, a, b in rows:
-        yield _row([(part, block, kind, zlib.compress(a, 1), zlib.compress(b, 1), None)])
-
-
-def _sum_stats(table: pa.Table) -> pa.Table:
-    """The statistics of a block of ids, added up over shards."""
-    total = np.zeros((5, _BLOCK), np.int64)
-    for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist()):
-        ids = np.frombuffer(zlib.decompress(a), "<i8")
-        total[:, ids] += np.frombuffer(zlib.decompress(b), "<i8").reshape(5, -1)
-    return pa.table([table["uid"][:1], pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["uid", "a"])
+    u, v, n = _add_counts(*(np.concatenate(x) for x in zip(*got)))
+    yield _row([(part, 0, COUNTS, _pack_counts(u, v, n), None, None)])
+    yield _sums([*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()])
+    w, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    by_u, by_v = at[: len(u)], at[len(u) :]
+    add = lambda of, weights=None: np.bincount(of, weights, len(w)).astype(np.int64)
+    stats = [add(by_u, n), add(by_u[n == 1]), add(by_u[n == 2]), add(by_u[n > 2]), add(by_v)]
+    order = np.argsort(token_key(w))
+    at = K.split_at(K.bucket_of(token_key(w)[order], buckets), buckets)
+    for b in np.flatnonzero(np.diff(at)):
+        own = np.sort(order[at[b] : at[b + 1]])
+        yield _row([(b, part, STATS, _zip(K.pack_sorted(w[own]), *(K.pack_ints(x[own]) for x in stats)), None, None)])
+
+
+def _merged(it: Iterator[pa.RecordBatch]) -> tuple[int | None, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A token shard: its number, its tokens, their five statistics, and which tokens each bigram shard asks for."""
+    part, asked, stats = None, [], []
+    for batch in it:
+        for p, uid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            part = p
+            w, *more = _unzip(blob)
+            asked.append((uid, K.unpack_sorted(w)))
+            stats.append(np.stack([K.unpack_ints(x).astype(np.int64) for x in more]))
+    if part is None:
+        return None, np.zeros(0, U), np.zeros((5, 0), np.int64), []
+    every = np.concatenate([w for _, w in asked])
+    order = np.argsort(every, kind="stable")
+    first = _runs(every[order])
+    return part, every[order][first], np.add.reduceat(np.concatenate(stats, 1)[:, order], first, axis=1), asked
+
+
+def _token_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = _merged(it)[2][4]
+    if len(before):
+        yield _sums([*((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()])
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -222,79 +220,109 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.01), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-class Levels:
-    """What scoring needs besides the bigram counts: arrays over the vocabulary."""
-
-    def __init__(self, stats: np.ndarray) -> None:
-        """``stats``: for each id c(u), bigrams u* seen once, twice, more often, and n(v); then how many bigrams are seen once to four times."""
-        total, once, twice, more, before, counts = stats.astype(float)
-        self.discount = discounts(*counts[:4])
-        mass = self.discount[1] * once + self.discount[2] * twice + self.discount[3] * more
-        self.total = np.maximum(total, 1)
-        gamma = np.where(total > 0, mass / self.total, 1.0)
-        self.log_gamma = np.log(np.maximum(gamma, 1e-12))
-        size = len(total) - 1
-        low = discounts(*((before == k).sum() for k in (1, 2, 3, 4)))
-        n = before.sum()
-        if n:
-            spare = sum(low[k] * ((before == k).sum() if k < 3 else (before >= 3).sum()) for k in (1, 2, 3)) / n
-            self.log_q = np.log((before - low[np.minimum(before, 3).astype(int)]) / n + spare / size)
-        else:
-            self.log_q = np.full(len(total), -np.log(size))
-
-    def seen(self, g: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log(1 + seen / (gamma q)) of bigrams with training counts ``n``."""
-        u, v = g >> _HALF, g & _LOW
-        return np.log1p((n - self.discount[np.minimum(n, 3)]) / self.total[u] / np.exp(self.log_gamma[u] + self.log_q[v]))
+class Constants:
+    """The few numbers that a model has besides its tables."""
+
+    def __init__(self, bigram: list[int], token: list[int]) -> None:
+        """``bigram``: how many bigrams occur once to four times, how many there are, and occur; ``token``: how many tokens follow one to four distinct ones, and over two."""
+        self.top, self.low = discounts(*bigram[:4]), discounts(*token[:4])
+        self.distinct = max(1, bigram[4])
+        off = self.low[1] * token[0] + self.low[2] * token[1] + self.low[3] * token[4]
+        self.unseen = off / self.distinct / max(1, token[0]) if off else 1.0
+        self.bits = min(64, _SPARE_BITS + int(bigram[5]).bit_length())
+
+    def short(self, key: np.ndarray) -> np.ndarray:
+        return key >> U(64 - self.bits)
+
+
+def _levels(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A token shard's answers: c(u) gamma(u) and q(v), as each bigram shard asked; and the values of its tokens."""
+    part, w, (total, once, twice, more, before), asked = _merged(it)
+    if part is None:
+        return
+    mass = k.top[1] * once + k.top[2] * twice + k.top[3] * more
+    q = np.where(before > 0, (before - k.low[np.minimum(before, 3)]) / k.distinct, k.unseen)
+    q = np.maximum(q, 1e-300)
+    for shard, tokens_of in asked:
+        at = np.searchsorted(w, tokens_of)
+        yield _row([(shard, part, LEVELS, _zip(K.pack_sorted(tokens_of), mass[at].astype("<f4").tobytes(), q[at].astype("<f4").tobytes()), None, None)])
+    value = np.log(q / k.unseen) + np.where(total > 0, np.log(np.maximum(mass, 1e-12) / np.maximum(total, 1)), 0.0)
+    key = token_key(w)
+    order = np.argsort(key)
+    yield _row([(part, 0, VALUES, _zip(K.pack_sorted(k.short(key[order])), value[order].astype("<f4").tobytes()), None, None)])
+
+
+def _values(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bigram shard's values; those of tokens, which are in the shard of their keys already, pass."""
+    part, u, tables = None, None, []
+    for batch in it:
+        kind = batch.column(2).to_numpy()
+        if (kind == VALUES).any():
+            yield batch.filter(pa.array(kind == VALUES))
+        for i in np.flatnonzero(kind == COUNTS):
+            part = batch.column(0)[i].as_py()
+            u, v, n = _unpack_counts(batch.column(3)[i].as_py())
+        tables += [_unzip(batch.column(3)[i].as_py()) for i in np.flatnonzero(kind == LEVELS)]
+    if part is None:
+        return
+    w = np.concatenate([K.unpack_sorted(x) for x, _, _ in tables])
+    order = np.argsort(w)
+    mass, q = (np.concatenate([np.frombuffer(t[i], "<f4") for t in tables]).astype(float)[order] for i in (1, 2))
+    w = w[order]
+    value = np.log1p((n - k.top[np.minimum(n, 3)]) / np.maximum(mass[np.searchsorted(w, u)] * q[np.searchsorted(w, v)], 1e-300))
+    key = bigram_key(u, v)
+    order = np.argsort(key)
+    yield _row([(part, 0, VALUES, _zip(K.pack_sorted(k.short(key[order])), value[order].astype("<f4").tobytes()), None, None)])
 
 
 # -- scoring ------------------------------------------------------------------------------------
 
 
-def _requests(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``it``: doc_id, text, lang, sample. A batch's bigrams for each shard, and a record of the batch."""
-    vocabulary, levels = model.value
+def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``it``: doc_id, text, lang, sample. A batch's keys for each shard, and a record of the batch."""
     metas: list[pa.RecordBatch] = []
-    grams, docs, sizes, sums = [], [], [], []
+    keys, docs, sizes = [], [], []
 
     def flush() -> pa.RecordBatch:
-        g, d, n, base = (np.concatenate(x) for x in (grams, docs, sizes, sums))
+        g, d, n = (np.concatenate(x) for x in (keys, docs, sizes))
         meta = pa.Table.from_batches(metas).combine_chunks()
-        for x in (metas, grams, docs, sizes, sums):
+        for x in (metas, keys, docs, sizes):
             x.clear()
         ids = meta["doc_id"].fill_null(0).to_numpy().view(U)
         place = lambda x: K.mix(np.arange(1, len(x) + 1, dtype=U) << U(32))
-        uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g.astype(U) ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
-        bucket = K.bucket_of(K.mix(g.astype(U)), buckets)
-        order = np.lexsort((d, g, bucket))
+        uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
+        order = np.argsort(g, kind="stable")  # texts ascend within a key
         g, d = g[order], d[order]
-        at = K.split_at(bucket[order], buckets)
-        rows = []
+        at = K.split_at(K.bucket_of(g, buckets), buckets)
+        g, rows = k.short(g), []
         for b in np.flatnonzero(np.diff(at)):
             own, of = g[at[b] : at[b + 1]], d[at[b] : at[b + 1]]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            first = _runs(own)
             step = np.diff(of, prepend=0)
             step[first] = of[first]
-            rows.append((b, uid, REQUEST, _zip(K.pack_ints(np.diff(own[first], prepend=0)), K.pack_ints(np.diff(np.append(first, len(own)))), K.pack_ints(step)), None, None))
+            rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(np.diff(np.append(first, len(own)))), K.pack_ints(step)), None, None))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, meta.schema) as out:
             out.write_table(meta)
-        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), K.pack_ints(n), base.astype("<f8").tobytes()))
+        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), K.pack_ints(n), None))
         return _row(rows)
 
     size = count = 0
     for part, texts in spans.slices(it):
-        h, shape, off = tokens(texts)
-        g = _bigrams(_ids(vocabulary, h, shape), off)
-        n = np.diff(off)
-        doc = np.repeat(np.arange(len(n)), n)
+        h, off = tokens(texts)
+        doc, u, v = bigrams(h, off)
+        some = np.flatnonzero(np.diff(off))
+        # every token once, and the start and the end of each text that has any
+        own = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(off)), some, some])
+        key = np.concatenate([token_key(h), np.repeat(token_key(np.array([START, END])), len(some))])
+        both, of = np.concatenate([key, bigram_key(u, v)]), np.concatenate([own, doc])
+        order = np.argsort(of, kind="stable")
         metas.append(part.select(["doc_id", "lang", "sample"]))
-        grams.append(g)
-        docs.append(doc + count)
-        sizes.append(n)
-        sums.append(np.bincount(doc, levels.log_gamma[g >> _HALF] + levels.log_q[g & _LOW], len(n)))
-        size += len(g)
-        count += len(n)
+        keys.append(both[order])
+        docs.append(of[order] + count)
+        sizes.append(np.diff(off))
+        size += len(h)
+        count += len(texts)
         if size >= _BATCH_TOKENS:
             yield flush()
             size = count = 0
@@ -302,50 +330,53 @@ def _requests(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> I
         yield flush()
 
 
-def _answer(model: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    levels = model.value[1]
-    known, value, waiting = np.zeros(0, np.int64), np.zeros(0), []
+def _answer(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, values, waiting = [np.zeros(0, U)], [np.zeros(0, np.float32)], []
     for batch in it:
         kind = batch.column(2).to_numpy()
         if (kind == BATCH).any():
             yield batch.filter(pa.array(kind == BATCH))
-        for i in np.flatnonzero(kind == COUNTS):
-            known, n = _unpack_counts(batch.column(3)[i].as_py())
-            value = levels.seen(known, n)
+        for i in np.flatnonzero(kind == VALUES):
+            keys, value = _unzip(batch.column(3)[i].as_py())
+            known.append(K.unpack_sorted(keys))
+            values.append(np.frombuffer(value, "<f4"))
         waiting += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()) for i in np.flatnonzero(kind == REQUEST)]
-    if not len(known):
+    key, value = np.concatenate(known), np.concatenate(values).astype(float)
+    if not len(key):
         return
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
     for part, uid, blob in waiting:
-        gaps, runs, steps = (K.unpack_ints(x).astype(np.int64) for x in _unzip(blob))
-        g = np.cumsum(gaps)
-        at = np.searchsorted(known, g)
-        at[at == len(known)] = 0
-        hit = known[at] == g
+        asked, runs, steps = _unzip(blob)
+        g, runs, steps = K.unpack_sorted(asked), K.unpack_ints(runs).astype(np.int64), K.unpack_ints(steps).astype(np.int64)
+        at = np.searchsorted(key, g)
+        at[at == len(key)] = 0
+        score = np.where(key[at] == g, value[at], 0.0)
         total = np.cumsum(steps)
         first = np.cumsum(runs) - runs
         doc = total - np.repeat(total[first] - steps[first], runs)
-        score = np.where(hit, value[at], 0.0)
         yield _row([(uid % buckets, uid, ANSWER, zlib.compress(np.bincount(doc, np.repeat(score, runs)).astype("<f4").tobytes(), 1), None, int(part).to_bytes(4, "big"))])
 
 
-def _combine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches: list[tuple] = []
     answers: dict[int, dict[bytes, bytes]] = {}  # batches of equal documents in equal order share their answers
     for batch in it:
         _, uid, kind, a, b, c = (batch.column(i).to_pylist() for i in range(6))
         for i in range(batch.num_rows):
             if kind[i] == BATCH:
-                batches.append((uid[i], a[i], b[i], c[i]))
+                batches.append((uid[i], a[i], b[i]))
             else:
                 answers.setdefault(uid[i], {})[c[i]] = a[i]
-    for uid, meta, n, base in batches:
-        total = np.frombuffer(base, "<f8").copy()
+    for uid, meta, n in batches:
+        n = K.unpack_ints(n).astype(np.int64)
+        total = np.where(n > 0, (n + 1) * np.log(k.unseen), 0.0)
         for _, blob in sorted(answers.get(uid, {}).items()):
             got = np.frombuffer(zlib.decompress(blob), "<f4")
             total[: len(got)] += got
         table = pa.ipc.open_stream(_unzip(meta)[0]).read_all().combine_chunks()
         for part in table.to_batches():
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(K.unpack_ints(n).astype(np.int64)), pa.array(total)], ["doc_id", "lang", "sample", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(total)], ["doc_id", "lang", "sample", "n_tokens", "log_prob"])
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -358,50 +389,43 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "lang", F.when(F.col("__id").isNull(), 0).otherwise(held).alias("sample"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None) -> DataFrame:
+def _added(rows: DataFrame, size: int) -> list[int]:
+    """The sums of ``rows``, whatever else is in them."""
+    found = {r.kind - SUMS: r.n for r in rows.where(f"kind >= {SUMS}").groupBy("kind").agg(F.sum("uid").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(size)]
+
+
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, sample, n_tokens and log_prob (natural) of every row of ``docs``."""
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     rows = _sampled(docs, labels)
+    buckets = frames.shards(docs, _SHARD_CHARS)
+
+    def exchange(df: DataFrame, f) -> DataFrame:
+        return df.repartitionById(buckets, F.col("part")).mapInArrow(f, _ROW)
+
     train = rows.where("sample = 1 and text is not null").select("doc_id", "text")
-    counted = train.mapInArrow(partial(_token_counts, buckets), _ROW).repartitionById(buckets, F.col("part"))
-    most = None if vocabulary is None else vocabulary - FIRST_WORD
-    top = counted.mapInArrow(partial(_frequent, most), "h long, n long")
-    if most is not None:
-        top = top.orderBy(F.desc("n"), "h").limit(most)
-    table = np.sort(top.select("h").toArrow()["h"].to_numpy().view(U))
-    words = spark.sparkContext.broadcast(table)
-    size = len(table) + FIRST_WORD
-    sent = train.mapInArrow(partial(_bigram_counts, words, buckets), _ROW).repartitionById(buckets, F.col("part"))
-    shards = cut(sent.mapInArrow(_shard, _ROW))
-    blocks = shards.where(f"kind = {STATS}").groupBy("uid").applyInArrow(_sum_stats, "uid long, a binary").toArrow()
-    stats = np.zeros((6, size), np.int64)
-    for block, blob in zip(blocks["uid"].to_pylist(), blocks["a"].to_pylist()):
-        total = np.frombuffer(zlib.decompress(blob), "<i8").reshape(5, -1)
-        if block < 0:
-            stats[5, :4] = total[0, :4]
-        else:
-            own = stats[:5, block * _BLOCK : (block + 1) * _BLOCK]
-            own[:] = total[:, : own.shape[1]]
-    model = spark.sparkContext.broadcast((table, Levels(stats)))
-    asked = rows.mapInArrow(partial(_requests, model, buckets), _ROW).unionByName(shards.where(f"kind = {COUNTS}"))
-    answers = asked.repartitionById(buckets, F.col("part")).mapInArrow(partial(_answer, model, buckets), _ROW)
-    return answers.repartitionById(buckets, F.col("part")).mapInArrow(_combine, "doc_id long, lang string, sample int, n_tokens long, log_prob double")
-
-
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: int | None = None) -> DataFrame:
+    shards = cut(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)))
+    stats, counts = shards.where(f"kind = {STATS}"), shards.where(f"kind = {COUNTS}")
+    k = Constants(_added(shards, 6), _added(exchange(stats, _token_sums), 5))
+    values = exchange(exchange(stats, partial(_levels, k)).unionByName(counts), partial(_values, k))
+    asked = rows.mapInArrow(partial(_requests, k, buckets), _ROW).unionByName(values)
+    answers = exchange(asked, partial(_answer, buckets))
+    return answers.repartitionById(buckets, F.col("part")).mapInArrow(partial(_combine, k), "doc_id long, lang string, sample int, n_tokens long, log_prob double")
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD_OUT) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and keep, for every row.
 
     Defined cases: a document without a token (null or empty text) has null perplexity and stays;
-    a null lang is a language of its own; a language with too few held-out documents has a null
+    a null lang is a language of its own; a language with fewer than ``least`` held-out documents has a null
     threshold, and its documents stay; rows that share a doc_id are scored one by one; a row without
-    doc_id is scored, but never trusted; contradicting labels aren't trust; without trusted documents
-    all shapes are alike and everything stays; an empty table gives an empty result. Other columns
+    doc_id is scored, but never trusted; contradicting labels aren't trust; a perplexity equal to the threshold stays; without trusted documents
+    all words are alike and everything stays; a text of any length is scored whole; an empty table gives an empty result. Other columns
     are not read.
     """
-    scored = cut(perplexities(docs, labels, vocabulary).withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("log_prob") / F.col("n_tokens")), 4))))
+    scored = cut(perplexities(docs, labels).withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("log_prob") / (F.col("n_tokens") + 1)), 4))))
     held = scored.where("sample = 2 and perplexity is not null").groupBy(F.col("lang").alias("__lang"))
-    limits = held.agg(F.count("*").alias("__n"), F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")).where(f"__n >= {LEAST_HELD_OUT}")
+    limits = held.agg(F.count("*").alias("__n"), F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")).where(F.col("__n") >= least)
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", keep.alias("keep"))
