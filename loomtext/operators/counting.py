@@ -79,8 +79,8 @@ def surrounders(counted: DataFrame) -> DataFrame:
 STATS = [f"{p}_{s}" for p in ("nf", "np", "nfp") for s in ("s", "n1", "n2", "n3")]
 
 
-def index(counted: DataFrame) -> DataFrame:
-    """n, ngram, word, history, lower, cnt and the twelve statistics (0 where absent).
+def index(counted: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """n, ngram, word, history, lower, cnt and the twelve statistics (0 where absent), of all n-grams or ``only`` those with a ``key`` there.
 
     The statistics of all counted n-grams come from one aggregation of their (key, kind) rows, not from three
     joins: each n-gram adds to its history, its lower order and its inner part, and keeps its own count.
@@ -89,6 +89,8 @@ def index(counted: DataFrame) -> DataFrame:
     kinds = [("own", key, 1), ("nf", N.history(key), 2), ("np", N.lower_order(key), 2), ("nfp", N.history(N.lower_order(key)), 3)]
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(F.col("n") >= least, g).alias("key")) for k, g, least in kinds])
     spread_out = counted.select("n", "cnt", F.explode(F.filter(rows, lambda x: x["key"].isNotNull())).alias("x")).select("n", "cnt", "x.kind", "x.key")
+    if only is not None:
+        spread_out = spread_out.join(only, "key", "left_semi")
     aggregates = [F.sum(F.when(F.col("kind") == "own", F.col("cnt"))).alias("cnt"), F.max(F.when(F.col("kind") == "own", F.col("n"))).alias("n")]
     for p in ("nf", "np", "nfp"):
         of = F.col("kind") == p

@@ -1,15 +1,16 @@
-"""Smoothed n-gram models of order 3 as expressions over looked-up statistics.
-
-An n-gram a b c needs the statistics of five keys: abc, ab, bc, b and c. ``lookup`` fetches them with one
-join of the distinct n-grams' keys with the index; a model is then one SQL expression over the columns
-below, in the syntax that Spark and DuckDB share. Nothing is looked up row by row, no UDF is used.
-
-    c3, c2, c_bc, c_b, c_c           counts of abc, ab, bc, b, c
-    nf2, nf2_1.., nf_b, nf_b1..      distinct followers of ab and of b (in all; once, twice, more often)
-    np_bc, np_c                      distinct predecessors of bc and of c; np_b: of b
-    nfp_b                            distinct (predecessor, follower) pairs around b
-    u, b2, s1                        distinct unigrams, distinct bigrams, unigram occurrences
-    d1, d2, d3                       discount of each order; d{n}_{k}: modified ones by count
+"""Smoothed n-gram models of any order as expressions over looked-up statistics.
+
+Of an n-gram, suffix k is its last k words, and history k is suffix k without its last word. ``lookup`` fetches
+what is known of suffixes 1 to n and histories 2 to n with one join of the distinct n-grams' keys; a model is then one SQL
+expression over the columns below, in the syntax that Spark and DuckDB share. Recursions are unrolled, nothing is looked up row by row,
+no UDF is used.
+
+    c{k}, h{k}                       counts of suffix k and history k
+    np{k}, hp{k}                     distinct predecessors of suffix k and of history k
+    nf{k}, nf{k}_1.. nf{k}_3         distinct followers of history k (in all; once, twice, more often)
+    nfp{k}                           distinct (predecessor, follower) pairs around history k
+    u, b2, s1, s2                    distinct unigrams and bigrams, unigram and bigram occurrences
+    d{k}, d{k}_1.. d{k}_3            discount of order k; modified ones by count
 """
 
 from __future__ import annotations
@@ -18,92 +19,162 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import ngrams as N
+from loomtext.operators import counting
+from loomtext.session import sized
 
 _UNSEEN = "(d1 / u / b2)"
-_PUNK = f"(CASE WHEN nf_b > 0 THEN d1 / u * nf_b / b2 ELSE {_UNSEEN} END)"
-_UNI = "(greatest(np_c - d1, 0) / b2 + d1 / b2 / (u + 1))"
+_UNIFORM = "(d1 / b2 / (u + 1))"
+_BACK_OFF = 0.4
 
 
 def _when(condition: str, yes: str, no: str) -> str:
     return f"(CASE WHEN {condition} THEN {yes} ELSE {no} END)"
 
 
-def _interpolate(numerator: str, discount: str, denominator: str, weight: str, lower: str) -> str:
+def _mix(numerator: str, discount: str, denominator: str, weight: str, lower: str) -> str:
     return f"(greatest({numerator} - {discount}, 0) / {denominator} + {weight} / {denominator} * {lower})"
 
 
-def _modified(n: int, count: str) -> str:
-    return f"(CASE WHEN {count} <= 0 THEN 0 WHEN {count} = 1 THEN d{n}_1 WHEN {count} = 2 THEN d{n}_2 ELSE d{n}_3 END)"
+def _unknown(n: int) -> str:
+    """What a word that training hasn't gets: the more, the more words follow the one before it."""
+    return _when("nf2 > 0", "d1 / u * nf2 / b2", _UNSEEN) if n > 1 else _UNSEEN
 
 
-def _iterative() -> str:
-    start = _when("np_c = 0", _when("c_c = 0", "1 / u", "c_c / s1"), "np_c / b2")
-    denominator = "greatest(nf_b, np_b, nfp_b)"
-    lower = _interpolate("np_bc", "d2", denominator, "d2 * greatest(nf_b, 1)", "np_c / b2")
-    no_history = _when("c_b > 0", _interpolate("c_bc", "d3", "c_b", "d3 * greatest(nf_b, 1)", "np_c / b2"), lower)
-    top = _interpolate("c3", "d3", "c2", "d3 * greatest(nf2, 1)", lower)
-    p = _when("np_c = 0", start, _when(f"{denominator} = 0", start, _when("np_bc - d2 <= 0", lower, _when("c2 = 0", no_history, top))))
-    return _when("c_c = 0", _PUNK, f"least(1, greatest({_PUNK}, {p}))")
+def _mle(n: int) -> str:
+    return _when(f"c{n} = 0 OR h{n} = 0", "0.0", f"c{n} / h{n}") if n > 1 else "(c1 / s1)"
 
 
-def _recursive() -> str:
-    two = _when("nfp_b = 0", f"d2 * {_UNI}", _interpolate("np_bc", "d2", "nfp_b", "d2 * nf_b", _UNI))
-    return _when("c2 = 0", f"d3 * {two}", _interpolate("c3", "d3", "c2", "d3 * nf2", two))
+def _laplace(n: int) -> str:
+    return f"((c{n} + 1) / (h{n} + u))" if n > 1 else "((c1 + 1) / u)"
 
 
-def _modified_recursive() -> str:
-    uni = f"(greatest(np_c - {_modified(1, 'np_c')}, 0) / b2 + d1 / b2 / (u + 1))"
-    two = _when("nfp_b = 0", f"d2 * {uni}", _interpolate("np_bc", _modified(2, "np_bc"), "nfp_b", "(d2_1 * nf_b1 + d2_2 * nf_b2 + d2_3 * nf_b3)", uni))
-    three = _when("c2 = 0", f"d3 * {two}", _interpolate("c3", _modified(3, "c3"), "c2", "(d3_1 * nf2_1 + d3_2 * nf2_2 + d3_3 * nf2_3)", two))
-    return _when("c_c = 0", "(d1 / b2 / (u + 1))", three)
+def _stupid_back_off(n: int) -> str:
+    """The weight isn't applied where the full n-gram alone is missing."""
 
+    def from_(k: int, score: str) -> str:
+        missing = f"c{k} = 0 OR h{k} = 0"
+        return _when(missing, score, f"c{k} / h{k}") if k == n else _when(missing, f"{_BACK_OFF} * {score}", from_(k + 1, f"c{k} / h{k}"))
 
-def _back_off() -> str:
-    uni = _when("np_c = 0", _UNSEEN, "np_c / b2")
-    raw = _when("c_bc = 0 OR c_b = 0", uni, _interpolate("c_bc", "d2", "c_b", "d2 * nf_b", uni))
-    two = _when("nfp_b = 0", uni, _interpolate("np_bc", "d2", "nfp_b", "d2 * nf_b", uni))
-    return _when("c_c = 0", _UNSEEN, _when("c3 = 0 OR c2 = 0", raw, _interpolate("c3", "d3", "c2", "d3 * nf2", two)))
+    return _when("c1 = 0", _UNSEEN, from_(2, "c1 / u") if n > 1 else "c1 / u")
 
 
-def _one_back_off() -> str:
-    two = "(np_bc / nfp_b)"
-    return _when("c_c = 0 OR np_bc = 0 OR nfp_b = 0", _PUNK, _when("c2 = 0", two, _interpolate("c3", "d3", "c2", "d3 * nf2", two)))
+def _iterative(n: int) -> str:
+    """From the last word up; ends early where a history is unknown or a numerator vanishes. Then the level below is estimated from counts, if it can be."""
 
+    def counted(k: int, discount: str, before: str | None, p: str) -> str:
+        return p if before is None else _when(f"h{k} > 0", _mix(f"c{k}", discount, f"h{k}", f"{discount} * greatest(nf{k}, 1)", before), p)
 
-#: Probability of the n-gram abc under each model; 0 stands for minus infinity.
-MODELS = {
-    "mle": _when("c3 = 0 OR c2 = 0", "0.0", "c3 / c2"),
-    "laplace": "((c3 + 1) / (c2 + u))",
-    "stupid_backoff": _when("c_c = 0", _UNSEEN, _when("c_bc = 0 OR c_b = 0", "0.4 * c_c / u", _when("c3 = 0 OR c2 = 0", "c_bc / c_b", "c3 / c2"))),
-    "kn_iterative": _iterative(),
-    "kn_recursive": _recursive(),
-    "kn_modified": _modified_recursive(),
-    "kn_backoff": _back_off(),
-    "kn_one_backoff": _one_back_off(),
+    def from_(k: int, p: str, before: str | None) -> str:
+        if k == n:
+            return _when(f"h{k} = 0", counted(k - 1, f"d{k}", before, p), _mix(f"c{k}", f"d{k}", f"h{k}", f"d{k} * greatest(nf{k}, 1)", p))
+        around = f"greatest(nf{k}, hp{k}, nfp{k})"
+        here = _mix(f"np{k}", f"d{k}", around, f"d{k} * greatest(nf{k}, 1)", p)
+        return _when(f"{around} = 0", counted(k - 1, f"d{k}", before, p), _when(f"np{k} - d{k} <= 0", here, from_(k + 1, here, p)))
+
+    lowest = _when("c1 = 0", "1 / u", "c1 / s1")
+    p = _when("np1 = 0", lowest, from_(2, "np1 / b2", None) if n > 1 else "np1 / b2")
+    return _when("c1 = 0", _unknown(n), f"least(1, greatest({_unknown(n)}, {p}))")
+
+
+def _recursive(n: int) -> str:
+    if n == 1:
+        return "(greatest(c1 - d1, 0) / s2 + d1 / s2 / (u + 1))"
+    p = f"(greatest(np1 - d1, 0) / b2 + {_UNIFORM})"
+    for k in range(2, n):
+        p = _when(f"nfp{k} = 0", f"d{k} * {p}", _mix(f"np{k}", f"d{k}", f"nfp{k}", f"d{k} * nf{k}", p))
+    return f"least(1, {_when(f'h{n} = 0', f'd{n} * {p}', _mix(f'c{n}', f'd{n}', f'h{n}', f'd{n} * nf{n}', p))})"
+
+
+def _modified(n: int) -> str:
+    def discount(k: int, count: str) -> str:
+        return f"(CASE WHEN {count} <= 0 THEN 0 WHEN {count} = 1 THEN d{k}_1 WHEN {count} = 2 THEN d{k}_2 ELSE d{k}_3 END)"
+
+    def weight(k: int) -> str:
+        return f"(d{k}_1 * nf{k}_1 + d{k}_2 * nf{k}_2 + d{k}_3 * nf{k}_3)"
+
+    if n == 1:
+        p = f"(greatest(c1 - {discount(1, 'c1')}, 0) / s2 + d1 / s2 / (u + 1))"
+    else:
+        p = f"(greatest(np1 - {discount(1, 'np1')}, 0) / b2 + {_UNIFORM})"
+        for k in range(2, n):
+            p = _when(f"nfp{k} = 0", f"d{k} * {p}", _mix(f"np{k}", discount(k, f"np{k}"), f"nfp{k}", weight(k), p))
+        p = _when(f"h{n} = 0", f"d{n} * {p}", _mix(f"c{n}", discount(n, f"c{n}"), f"h{n}", weight(n), p))
+    return _when("c1 = 0", _UNIFORM, f"least(1, {p})")
+
+
+def _back_off(n: int) -> str:
+    """An n-gram or history that isn't seen leaves the next lower order of counts, with weight 1."""
+    raw = lower = _when("np1 = 0", _UNSEEN, "np1 / b2")
+    for k in range(2, n + 1):
+        raw = _when(f"c{k} = 0 OR h{k} = 0", raw, _mix(f"c{k}", f"d{k}", f"h{k}", f"d{k} * nf{k}", lower))
+        lower = _when(f"nfp{k} = 0", lower, _mix(f"np{k}", f"d{k}", f"nfp{k}", f"d{k} * nf{k}", lower))
+    return _when("c1 = 0", _UNSEEN, f"least(1, {raw})")
+
+
+def _one_back_off(n: int) -> str:
+    if n == 1:
+        return _when("c1 = 0 OR np1 = 0", _UNSEEN, "np1 / b2")
+    k = n - 1
+    lower, around = ("(np1 / b2)", "b2") if n == 2 else (f"(np{k} / nfp{k})", f"nfp{k}")
+    return _when(f"c1 = 0 OR np{k} = 0 OR {around} = 0", _unknown(n), _when(f"h{n} = 0", lower, f"least(1, {_mix(f'c{n}', f'd{n}', f'h{n}', f'd{n} * nf{n}', lower)})"))
+
+
+_MADE = {
+    "mle": _mle,
+    "laplace": _laplace,
+    "stupid_backoff": _stupid_back_off,
+    "kn_iterative": _iterative,
+    "kn_recursive": _recursive,
+    "kn_modified": _modified,
+    "kn_backoff": _back_off,
+    "kn_one_backoff": _one_back_off,
 }
+MODELS = tuple(_MADE)
+
+
+def register_model(name: str, formula) -> None:
+    """Make a function from an order to an expression available as a model."""
+    _MADE[name] = formula
+
 
-_SLOTS = {"abc": "ngram", "ab": "history", "bc": "lower", "b": "middle", "c": "word"}
-_COLUMNS = {
-    "c3": ("abc", "cnt"), "c2": ("ab", "cnt"), "c_bc": ("bc", "cnt"), "c_b": ("b", "cnt"), "c_c": ("c", "cnt"),
-    "nf2_1": ("ab", "nf_n1"), "nf2_2": ("ab", "nf_n2"), "nf2_3": ("ab", "nf_n3"),
-    "nf_b1": ("b", "nf_n1"), "nf_b2": ("b", "nf_n2"), "nf_b3": ("b", "nf_n3"),
-    "np_bc1": ("bc", "np_n1"), "np_bc2": ("bc", "np_n2"), "np_bc3": ("bc", "np_n3"),
-    "np_c1": ("c", "np_n1"), "np_c2": ("c", "np_n2"), "np_c3": ("c", "np_n3"),
-    "np_b1": ("b", "np_n1"), "np_b2": ("b", "np_n2"), "np_b3": ("b", "np_n3"),
-    "nfp_b1": ("b", "nfp_n1"), "nfp_b2": ("b", "nfp_n2"), "nfp_b3": ("b", "nfp_n3"),
-}
-_TOTALS = {"nf2": "nf2_", "nf_b": "nf_b", "np_bc": "np_bc", "np_c": "np_c", "np_b": "np_b", "nfp_b": "nfp_b"}
-
-
-def lookup(grams: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Distinct ``ngram`` of three words with all columns that models read, as doubles."""
-    key = F.col("ngram")
-    keyed = grams.select("ngram").distinct().withColumns({"history": N.history(key), "lower": N.lower_order(key), "word": N.last_word(key)}).withColumn("middle", N.history(F.col("lower")))
-    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(c).alias("key")) for s, c in _SLOTS.items()])
-    asked = keyed.select("ngram", F.explode(slots).alias("x")).select(key.alias("gram"), "x.slot", "x.key")
-    found = asked.join(indexed.select(key.alias("key"), "cnt", *[f"{p}_n{k}" for p in ("nf", "np", "nfp") for k in (1, 2, 3)]), "key", "left")
-    wide = found.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("slot") == s, F.col(c))), F.lit(0)).cast("double").alias(name) for name, (s, c) in _COLUMNS.items()])
-    return wide.withColumns({name: F.col(f"{p}1") + F.col(f"{p}2") + F.col(f"{p}3") for name, p in _TOTALS.items()}).withColumnRenamed("gram", "ngram")
+def formula(model: str, n: int = 3, unknown: float | None = None) -> str:
+    """Probability of an n-gram of n words; 0 stands for minus infinity. ``unknown``: log10 of a static probability of words that training hasn't."""
+    p = _MADE[model](n)
+    return p if unknown is None else _when("c1 = 0", f"{10.0**unknown!r}", p)
+
+
+def statistics(n: int) -> dict[str, tuple[str, str]]:
+    """Columns that models of order n read: the key and the statistic that each is."""
+    out = {}
+    for k in range(1, n + 1):
+        out |= {f"c{k}": (f"s{k}", "cnt"), f"np{k}": (f"s{k}", "np")}
+        if k > 1:
+            out |= {f"h{k}": (f"h{k}", "cnt"), f"hp{k}": (f"h{k}", "np"), f"nf{k}": (f"h{k}", "nf"), f"nfp{k}": (f"h{k}", "nfp")}
+            out |= {f"nf{k}_{j}": (f"h{k}", f"nf_n{j}") for j in (1, 2, 3)}
+    return out
+
+
+def keys(key: Column, n: int) -> dict[str, Column]:
+    """The suffixes s1 to s{n} and the histories h2 to h{n} of an n-gram."""
+    suffixes = {f"s{k}": F.substring_index(key, " ", -k) for k in range(1, n + 1)}
+    return suffixes | {f"h{k}": N.history(suffixes[f"s{k}"]) for k in range(2, n + 1)}
+
+
+def lookup(grams: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
+    """Distinct ``ngram`` of n words with all columns that models read, as doubles.
+
+    ``known`` is an index or counted n-grams; of the latter only the statistics that are asked for are made.
+    """
+    distinct = grams.select("ngram").distinct()
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("key")) for s, c in keys(F.col("ngram"), n).items()])
+    asked = distinct.select(F.col("ngram").alias("gram"), F.explode(slots).alias("x")).select("gram", "x.slot", "x.key")
+    if "nf_s" not in known.columns:
+        only = asked.select("key").distinct()
+        known = counting.index(known, sized(only, distinct.count() * (2 * n - 1), 64))
+    total = lambda p: F.col(f"{p}_n1") + F.col(f"{p}_n2") + F.col(f"{p}_n3")
+    found = asked.join(known.select(F.col("ngram").alias("key"), "cnt", *[total(p).alias(p) for p in ("nf", "np", "nfp")], *[f"nf_n{j}" for j in (1, 2, 3)]), "key", "left")
+    wide = found.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("slot") == s, F.col(c))), F.lit(0)).cast("double").alias(name) for name, (s, c) in statistics(n).items()])
+    return wide.withColumnRenamed("gram", "ngram")
 
 
 def adjusted(counts: dict[str, float]) -> list[float]:
@@ -119,7 +190,7 @@ def adjusted(counts: dict[str, float]) -> list[float]:
 def constants(coc: list[dict], discount: float | None = 0.7) -> dict[str, float]:
     """Constants of the models from the counts of counts (one row an order); ``discount`` None: estimated for each order."""
     by = {r["n"]: r for r in coc}
-    out = {"u": float(by[1]["n_distinct"]), "b2": float(by[2]["n_distinct"]), "s1": float(by[1]["total"])}
+    out = {"u": float(by[1]["n_distinct"]), "b2": float(by[2]["n_distinct"]), "s1": float(by[1]["total"]), "s2": float(by[2]["total"])}
     for n in sorted(by):
         if discount is not None:
             out |= {f"d{n}": discount} | {f"d{n}_{k}": discount for k in (1, 2, 3)}
@@ -133,18 +204,23 @@ def constants(coc: list[dict], discount: float | None = 0.7) -> dict[str, float]
     return out
 
 
-def probability(model: str) -> Column:
-    return F.expr(MODELS[model])
+def probability(model: str, n: int = 3, unknown: float | None = None) -> Column:
+    return F.expr(formula(model, n, unknown))
 
 
-def scored(grams: DataFrame, indexed: DataFrame, coc: DataFrame, model: str, discount: float | None = 0.7) -> DataFrame:
-    """ngram, p and oov_last of distinct n-grams of three words. ``coc`` has one row an order and is read by the driver."""
+def scored(grams: DataFrame, known: DataFrame, coc: DataFrame, model: str, discount: float | None = 0.7, n: int = 3, unknown: float | None = None) -> DataFrame:
+    """ngram, p and oov_last of distinct n-grams of n words. ``coc`` has one row an order and is read by the driver."""
     fixed = constants([r.asDict() for r in coc.collect()], discount)
-    looked = lookup(grams, indexed).withColumns({k: F.lit(v) for k, v in fixed.items()})
-    return looked.select("ngram", probability(model).alias("p"), (F.col("c_c") == 0).alias("oov_last"))
+    looked = lookup(grams, known, n).withColumns({k: F.lit(v) for k, v in fixed.items()})
+    return looked.select("ngram", probability(model, n, unknown).alias("p"), (F.col("c1") == 0).alias("oov_last"))
+
+
+def dummy(grams: DataFrame) -> DataFrame:
+    """The model that knows nothing: log10 probability 0 for all."""
+    return grams.select("ngram").distinct().select("ngram", F.lit(1.0).alias("p"), F.lit(False).alias("oov_last"))
 
 
-def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model: str = "kn_recursive", top: int | None = 1000) -> DataFrame:
+def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model: str = "kn_recursive", top: int | None = None) -> DataFrame:
     """The most probable word after each two-word history, of the ``top`` most frequent words; of equals the smaller.
 
     ``top`` None: of all words, for the recursive models. A word that isn't seen after the history's last one has a

@@ -7,6 +7,7 @@ Training text is all of ``documents``, test text all of ``benchmark``; ``pages``
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,33 +292,38 @@ def _oov_reflm(spark, d):
 # -- models -------------------------------------------------------------------------------------
 
 
-def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Index, counts of counts, and test sentences."""
-    indexed = cut(counting.index(_counted(spark, d)))
-    return indexed, counting.count_of_counts(indexed), counting.sentences(read(spark, d, "benchmark"), "item_id")
+def _trained(spark: SparkSession, d: str, n: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counted n-grams of the orders up to n (2 at least), counts of counts, and test sentences."""
+    counted = cut(counting.counts(counting.occurrences(counting.sentences(read(spark, d, "documents")), range(1, max(2, n) + 1))))
+    return counted, counting.count_of_counts(counted), counting.sentences(read(spark, d, "benchmark"), "item_id")
 
 
-def _scored(spark: SparkSession, d: str, model: str, discount: float | None = 0.7) -> tuple[DataFrame, DataFrame]:
-    indexed, coc, test = _trained(spark, d)
-    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
-    return test, models.scored(grams, indexed, coc, model, discount)
+def _scored(spark: SparkSession, d: str, model: str, discount: float | None = 0.7, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    counted, coc, test = _trained(spark, d, n)
+    grams = test.select(F.explode(N.keys(F.col("tokens"), n)).alias("ngram"))
+    return test, models.scored(grams, counted, coc, model, discount, n)
 
 
-def _model(name: str, discount: float | None = 0.7, title: str | None = None) -> None:
-    made = sql.discounts() if discount is None else sql.FIXED
+def _model(title: str, name: str, discount: float | None = 0.7, n: int = 3) -> None:
+    made = sql.discounts(n) if discount is None else sql.fixed(n)
 
-    @_query(title or f"lm_{name}", f"WITH {sql.TESTED},{sql.scored(models.MODELS[name], made)} SELECT ngram, round(p, 9) AS p, oov_last FROM scored")
+    @_query(title, f"WITH {sql.tested(n)},{sql.scored(models.formula(name, n), made, n)} SELECT ngram, round(p, 9) AS p, oov_last FROM scored")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _scored(spark, d, name, discount)[1].select("ngram", F.round("p", 9).alias("p"), "oov_last")
+        return _scored(spark, d, name, discount, n)[1].select("ngram", F.round("p", 9).alias("p"), "oov_last")
 
 
 for _name in models.MODELS:
-    _model(_name)
-_model("kn_modified", None, "lm_kn_modified_auto")
-_model("kn_recursive", None, "lm_kn_recursive_auto")
+    _model(f"lm_{_name}", _name)
+_model("lm_kn_modified_auto", "kn_modified", None)
+_model("lm_kn_recursive_auto", "kn_recursive", None)
+_model("kn_unigram", "kn_recursive", n=1)
+_model("kn_bigram", "kn_recursive", n=2)
+_model("kn_fourgram", "kn_recursive", n=4)
+_model("kn_fivegram", "kn_recursive", n=5)
+_model("mkn_fivegram_auto", "kn_modified", None, 5)
 
 
-@_query("kn_discounts", f"{_G}, {sql.COC},{sql.discounts()} SELECT n, round(d, 9) AS d, round(m1, 9) AS d1, round(m2, 9) AS d2, round(m3, 9) AS d3 FROM per_n")
+@_query("kn_discounts", f"{_G}, {sql.COC},{sql.discounts(3)} SELECT n, round(d, 9) AS d, round(m1, 9) AS d1, round(m2, 9) AS d2, round(m3, 9) AS d3 FROM per_n")
 def _kn_discounts(spark, d):
     coc = [r.asDict() for r in counting.count_of_counts(_counted(spark, d)).collect()]
     k = models.constants(coc, None)
@@ -326,12 +332,13 @@ def _kn_discounts(spark, d):
 
 @_query("predict_next")
 def _predict_next(spark, d):
-    indexed, coc, test = _trained(spark, d)
+    counted, coc, test = _trained(spark, d)
+    indexed = cut(counting.index(counted))
     histories = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history"))
     return models.predict_next(histories, indexed, coc, top=None).select("history", "word", F.round("p", 9).alias("p"))
 
 
-_KN = f"WITH {sql.TESTED},{sql.scored(models.MODELS['kn_recursive'])},{sql.OCCURRENCES}"
+_KN = f"WITH {sql.tested()},{sql.scored(models.formula('kn_recursive'))},{sql.OCCURRENCES}"
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -377,23 +384,33 @@ def _filter_lines(spark, d):
     return perplexity.filter_lines(lines).select("doc_id", F.col("sent").cast("long").alias("sent"), "perp")
 
 
+_ORDERS = range(2, 6)
+
+
 def _all_models(spark: SparkSession, d: str) -> DataFrame:
-    indexed, coc, test = _trained(spark, d)
+    """n, model and p of every n-gram of the test text, for all models of the orders 2 to 5."""
+    counted, coc, test = _trained(spark, d, max(_ORDERS))
     fixed = models.constants([r.asDict() for r in coc.collect()])
-    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
-    looked = models.lookup(grams, indexed).withColumns({k: F.lit(v) for k, v in fixed.items()})
-    each = F.array(*[F.struct(F.lit(m).alias("model"), models.probability(m).cast("double").alias("p")) for m in models.MODELS])
-    joined = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram")).join(looked.select("ngram", F.explode(each).alias("x")), "ngram")
-    return joined.select("x.model", "x.p")
+    out = []
+    for n in _ORDERS:
+        grams = test.select(F.explode(N.keys(F.col("tokens"), n)).alias("ngram"))
+        looked = models.lookup(grams, counted, n).withColumns({k: F.lit(v) for k, v in fixed.items()})
+        each = F.array(*[F.struct(F.lit(m).alias("model"), models.probability(m, n).cast("double").alias("p")) for m in models.MODELS])
+        out.append(grams.join(looked.select("ngram", F.explode(each).alias("x")), "ngram").select(F.lit(n).alias("n"), "x.model", "x.p"))
+    return reduce(DataFrame.unionByName, out)
 
 
-_PIVOT = ", ".join(f"round(pow(10, -sum(log10(CASE WHEN pr_{m} > 0 THEN pr_{m} END)) / count(CASE WHEN pr_{m} > 0 THEN 1 END)), 4) AS {m}" for m in models.MODELS)
+def _pivot_sql(n: int) -> str:
+    """One row: the perplexity of the test text under each model of order n, over n-grams that have a probability."""
+    each = ", ".join(f"{models.formula(m, n)} AS pr_{m}" for m in models.MODELS)
+    perp = ", ".join(f"round(pow(10, -sum(log10(CASE WHEN pr_{m} > 0 THEN pr_{m} END)) / count(CASE WHEN pr_{m} > 0 THEN 1 END)), 4) AS {m}" for m in models.MODELS)
+    return f"SELECT {n} AS n, {perp} FROM (SELECT array_to_string(list_slice(t, i, i + {n - 1}), ' ') AS ngram FROM (SELECT t, unnest(range(1, len(t) - {n - 2})) AS i FROM test_sents WHERE len(t) >= {n})) JOIN (SELECT ngram, {each} FROM looked_{n}) USING (ngram)"
 
 
-@_query("order_model_pivot", f"WITH {sql.TESTED},{sql.scored('0')}, every AS (SELECT ngram, " + ", ".join(f"{p} AS pr_{m}" for m, p in models.MODELS.items()) + ") SELECT 1".replace(") SELECT 1", f" FROM looked), o AS (SELECT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS ngram FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM test_sents WHERE len(t) >= 3)) SELECT 3 AS n, {_PIVOT} FROM o JOIN every USING (ngram)"))
+@_query("order_model_pivot", f"WITH {sql.tested(max(_ORDERS))},{sql.fixed(max(_ORDERS))}," + ",".join(sql.looked(n, f"_{n}") for n in _ORDERS) + " " + " UNION ALL ".join(map(_pivot_sql, _ORDERS)))
 def _order_model_pivot(spark, d):
     positive = F.when(F.col("p") > 0, F.log10("p"))
-    return _all_models(spark, d).withColumn("n", F.lit(3)).groupBy("n").pivot("model", list(models.MODELS)).agg(F.round(F.pow(F.lit(10.0), -F.avg(positive)), 4))
+    return _all_models(spark, d).groupBy("n").pivot("model", list(models.MODELS)).agg(F.round(F.pow(F.lit(10.0), -F.avg(positive)), 4))
 
 
 @_query("distribution_perplexity", f"{_G} SELECT n, round(pow(2, log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt)), 4) AS perp FROM counts GROUP BY n")

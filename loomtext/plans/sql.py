@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomtext.functions import segments as S
+from loomtext.operators.models import statistics
 
 TOKEN_PATTERNS = {"space": S.SPACE_RUNS, "class": S.CLASS_RUNS, "single": S.SINGLES}
 
@@ -19,7 +20,7 @@ def sentences(table: str = "documents", key: str = "doc_id", name: str = "sents"
   FROM (SELECT {key} AS doc_id, regexp_extract_all(text, '{S.LINES}') AS ls FROM {table})),
 {name}_words AS (
   SELECT doc_id, sent, list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+'), lambda x: regexp_full_match(x, '\\p{{L}}+')) AS w FROM {name}_lines),
-{name} AS (SELECT doc_id, sent, list_concat(['<s>'], w, ['</s>']) AS t FROM {name}_words WHERE len(w) > 0)"""
+{name} AS MATERIALIZED (SELECT doc_id, sent, list_concat(['<s>'], w, ['</s>']) AS t FROM {name}_words WHERE len(w) > 0)"""
 
 
 def grams(low: int = 1, high: int = 3, source: str = "sents", name: str = "grams") -> str:
@@ -27,7 +28,7 @@ def grams(low: int = 1, high: int = 3, source: str = "sents", name: str = "grams
     return f"{name} AS ({each})"
 
 
-COUNTS = "counts AS (SELECT n, ngram, count(*) AS cnt FROM grams GROUP BY n, ngram)"
+COUNTS = "counts AS MATERIALIZED (SELECT n, ngram, count(*) AS cnt FROM grams GROUP BY n, ngram)"
 HISTORY = "CASE WHEN contains({0}, ' ') THEN regexp_extract({0}, '^(.*) [^ ]+$', 1) ELSE '' END"
 LOWER = "CASE WHEN contains({0}, ' ') THEN regexp_extract({0}, '^[^ ]+ (.*)$', 1) ELSE '' END"
 
@@ -50,8 +51,8 @@ COC = """coc AS (
          count(*) FILTER (cnt = 4) AS n4, count(*) FILTER (cnt >= 5) AS n5p, CAST(sum(cnt) AS BIGINT) AS total FROM counts GROUP BY n)"""
 
 
-def discounts() -> str:
-    """CTE ``disc`` (one row) with estimated discounts of the orders 1 to 3."""
+def discounts(n: int = 3) -> str:
+    """CTE ``disc`` (one row) with estimated discounts of the orders 1 to n."""
     steps = """
 a5 AS (SELECT n, n1::DOUBLE AS x1, n2::DOUBLE AS x2, n3::DOUBLE AS x3, n4::DOUBLE AS x4, n5p::DOUBLE AS x5 FROM coc),
 a4 AS (SELECT n, x1, x2, x3, CASE WHEN 5 * y >= 4 * x4 THEN 5 * y + 1 ELSE x4 END AS x4, y AS x5 FROM (SELECT *, CASE WHEN x5 = 0 THEN 1 ELSE x5 END AS y FROM a5)),
@@ -61,32 +62,40 @@ a1 AS (SELECT n, CASE WHEN 2 * y >= x1 THEN 2 * y + 1 ELSE x1 END AS x1, y AS x2
 ys AS (SELECT *, x1 / (x1 + 2 * x2) AS d, least(0.5, greatest(0.05, x1 / (x1 + 2 * x2))) AS y FROM a1),
 raw AS (SELECT n, d, y, 1 - 2 * y * x2 / x1 AS r1, 2 - 3 * y * x3 / x2 AS r2, 3 - 4 * y * x4 / x3 AS r3 FROM ys),
 per_n AS (SELECT n, d, least(0.95, greatest(0.05, r1 / (r1 + r2 + r3) * y)) AS m1, least(0.95, greatest(0.05, r2 / (r1 + r2 + r3) * y)) AS m2, least(0.95, greatest(0.05, r3 / (r1 + r2 + r3) * y)) AS m3 FROM raw)"""
-    columns = ", ".join(f"max(d) FILTER (n = {n}) AS d{n}, " + ", ".join(f"max(m{k}) FILTER (n = {n}) AS d{n}_{k}" for k in (1, 2, 3)) for n in (1, 2, 3))
+    columns = ", ".join(f"max(d) FILTER (n = {k}) AS d{k}, " + ", ".join(f"max(m{j}) FILTER (n = {k}) AS d{k}_{j}" for j in (1, 2, 3)) for k in range(1, n + 1))
     return steps + f",\ndisc AS (SELECT {columns} FROM per_n)"
 
 
-FIXED = "disc AS (SELECT " + ", ".join(f"0.7::DOUBLE AS d{n}, " + ", ".join(f"0.7::DOUBLE AS d{n}_{k}" for k in (1, 2, 3)) for n in (1, 2, 3)) + ")"
+def fixed(n: int = 3) -> str:
+    return "disc AS (SELECT " + ", ".join(f"0.7::DOUBLE AS d{k}, " + ", ".join(f"0.7::DOUBLE AS d{k}_{j}" for j in (1, 2, 3)) for k in range(1, n + 1)) + ")"
 
 
-def scored(probability: str, discount: str = FIXED) -> str:
-    """CTE ``scored``(ngram, p, oov_last) of the distinct trigrams of ``test_sents``."""
+def looked(n: int = 3, tag: str = "") -> str:
+    """CTE ``looked``(ngram and what models of order n read) of the distinct n-grams of ``test_sents``; needs ``counts``, ``coc`` and ``disc``."""
+    part = lambda b, k: f"array_to_string(list_slice(t, i + {b}, i + {b + k - 1}), ' ')"
+    suffixes = {f"s{k}": part(n - k, k) for k in range(1, n + 1)}
+    slots = suffixes | {f"h{k}": part(n - k, k - 1) for k in range(2, n + 1)}
+    each = ", ".join(f"{e} AS {s}" for s, e in slots.items())
     total = lambda p: f"{p}_n1 + {p}_n2 + {p}_n3"
+    read = {"cnt": "cnt", "np": total("np"), "nf": total("nf"), "nfp": total("nfp"), **{f"nf_n{j}": f"nf_n{j}" for j in (1, 2, 3)}}
+    columns = ", ".join(f"coalesce(max(CASE WHEN slot = '{s}' THEN {read[c]} END), 0)::DOUBLE AS {name}" for name, (s, c) in statistics(n).items())
+    asked = " UNION ALL ".join(f"SELECT ngram, '{s}' AS slot, {s} AS key FROM tg{tag}" for s in slots)
+    made = lambda prefix, least, key: continuation(prefix, least, key).replace(" GROUP BY 1", f" AND {key} IN (SELECT key FROM asked{tag}) GROUP BY 1")
     return f"""
-{discount},
-tg AS (
-  SELECT DISTINCT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS ngram, t[i] || ' ' || t[i + 1] AS ab, t[i + 1] || ' ' || t[i + 2] AS bc, t[i + 1] AS b, t[i + 2] AS c
-  FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM test_sents WHERE len(t) >= 3)),
-k AS (
-  SELECT (SELECT n_distinct FROM coc WHERE n = 1)::DOUBLE AS u, (SELECT n_distinct FROM coc WHERE n = 2)::DOUBLE AS b2, (SELECT total FROM coc WHERE n = 1)::DOUBLE AS s1, disc.* FROM disc),
-looked AS (
-  SELECT tg.ngram, coalesce(i3.cnt, 0)::DOUBLE AS c3, coalesce(i2.cnt, 0)::DOUBLE AS c2, coalesce(ibc.cnt, 0)::DOUBLE AS c_bc, coalesce(ib.cnt, 0)::DOUBLE AS c_b, coalesce(ic.cnt, 0)::DOUBLE AS c_c,
-         coalesce(i2.nf_n1, 0)::DOUBLE AS nf2_1, coalesce(i2.nf_n2, 0)::DOUBLE AS nf2_2, coalesce(i2.nf_n3, 0)::DOUBLE AS nf2_3, coalesce(i2.nf_n1 + i2.nf_n2 + i2.nf_n3, 0)::DOUBLE AS nf2,
-         coalesce(ib.nf_n1, 0)::DOUBLE AS nf_b1, coalesce(ib.nf_n2, 0)::DOUBLE AS nf_b2, coalesce(ib.nf_n3, 0)::DOUBLE AS nf_b3, coalesce(ib.nf_n1 + ib.nf_n2 + ib.nf_n3, 0)::DOUBLE AS nf_b,
-         coalesce(ibc.np_n1 + ibc.np_n2 + ibc.np_n3, 0)::DOUBLE AS np_bc, coalesce(ic.np_n1 + ic.np_n2 + ic.np_n3, 0)::DOUBLE AS np_c,
-         coalesce(ib.np_n1 + ib.np_n2 + ib.np_n3, 0)::DOUBLE AS np_b, coalesce(ib.nfp_n1 + ib.nfp_n2 + ib.nfp_n3, 0)::DOUBLE AS nfp_b, k.*
-  FROM tg LEFT JOIN idx i3 ON i3.ngram = tg.ngram LEFT JOIN idx i2 ON i2.ngram = ab LEFT JOIN idx ibc ON ibc.ngram = bc
-  LEFT JOIN idx ib ON ib.ngram = b LEFT JOIN idx ic ON ic.ngram = c CROSS JOIN k),
-scored AS (SELECT ngram, {probability} AS p, c_c = 0 AS oov_last FROM looked)"""
+tg{tag} AS MATERIALIZED (SELECT DISTINCT {part(0, n)} AS ngram, {each} FROM (SELECT t, unnest(range(1, len(t) - {n - 2})) AS i FROM test_sents WHERE len(t) >= {n})),
+asked{tag} AS MATERIALIZED ({asked}),
+nf{tag} AS ({made("nf", 2, HISTORY.format("ngram"))}), np{tag} AS ({made("np", 2, LOWER.format("ngram"))}), nfp{tag} AS ({made("nfp", 3, HISTORY.format("(" + LOWER.format("ngram") + ")"))}),
+idx{tag} AS (
+  SELECT c.ngram, cnt, {", ".join(f"coalesce({p}_n{j}, 0) AS {p}_n{j}" for p in ("nf", "np", "nfp") for j in (1, 2, 3))}
+  FROM counts c LEFT JOIN np{tag} USING (ngram) LEFT JOIN nf{tag} USING (ngram) LEFT JOIN nfp{tag} USING (ngram) WHERE c.ngram IN (SELECT key FROM asked{tag})),
+looked{tag} AS MATERIALIZED (
+  SELECT w.*, k.* FROM (SELECT asked{tag}.ngram, {columns} FROM asked{tag} LEFT JOIN idx{tag} ON idx{tag}.ngram = key GROUP BY asked{tag}.ngram) w CROSS JOIN (
+    SELECT (SELECT n_distinct FROM coc WHERE n = 1)::DOUBLE AS u, (SELECT n_distinct FROM coc WHERE n = 2)::DOUBLE AS b2, (SELECT total FROM coc WHERE n = 1)::DOUBLE AS s1, (SELECT total FROM coc WHERE n = 2)::DOUBLE AS s2, disc.* FROM disc) k)"""
+
+
+def scored(probability: str, discount: str | None = None, n: int = 3) -> str:
+    """CTE ``scored``(ngram, p, oov_last) of the distinct n-grams of ``test_sents``."""
+    return f"\n{discount or fixed(n)},{looked(n)},\nscored AS (SELECT ngram, {probability} AS p, c1 = 0 AS oov_last FROM looked)"
 
 
 OCCURRENCES = """
@@ -106,5 +115,8 @@ SELECT {keys + ", " if keys else ""}num_ngrams, num_oov, round(log10p, 6) AS log
 FROM (SELECT {keys + ", " if keys else ""}count(*) AS num_ngrams, count(*) FILTER (oov_last) AS num_oov, coalesce(sum(lp), 0) AS log10p, coalesce(sum(lp) FILTER (NOT oov_last), 0) AS log10p_noov FROM scores {by})"""
 
 
-TRAINED = sentences() + ",\n" + grams() + ",\n" + COUNTS + "," + INDEX + ",\n" + COC
-TESTED = TRAINED + "," + sentences("benchmark", "item_id", "test_sents")
+
+
+def tested(n: int = 3) -> str:
+    """Training counts of the orders 1 to n (2 at least, which models need), their counts of counts, and test sentences."""
+    return sentences() + ",\n" + grams(1, max(2, n)) + ",\n" + COUNTS + ",\n" + COC + "," + sentences("benchmark", "item_id", "test_sents")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "loomtext", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -63,6 +65,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what is no longer needed once rows are stored: Spark frees shuffle files when the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Without a session any more there is nobody to ask; the files stay for whoever cleans the folder."""
     if spark.sparkContext._jsc is not None:
@@ -76,3 +84,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sized(df: DataFrame, rows: int, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcasting if its counted rows, with what a hash relation adds to each, take ``most`` bytes; else a join with it shuffles."""
+    return F.broadcast(df) if rows * (row_bytes + 64) <= most else df
