@@ -14,10 +14,10 @@ log gamma + log q, and, over its bigrams that training has, of log(1 + seen / (g
 tokens and bigrams alike, in a table of values, and everything about it is sharded:
 
 - bigram counts go, summed over a batch, to shards by the bigram's hash;
-- each of these sends its tokens' partial sums to shards by the token's hash, which return gamma and q, so a frequent
+- each of these sends its tokens' partial sums to shards by the token's hash, which return the whole sums, so a frequent
   token costs one entry a shard;
-- scoring tasks send each shard its keys with the documents they are in (under four bytes a token), and shards
-  answer with one number a document and batch.
+- scoring tasks send each shard its keys with the documents they are in (about four bytes a token), and shards
+  turn sums into values and answer with one number a document and batch.
 
 Nothing that grows with the corpus is broadcast or comes to the driver, only sums do: counts of counts and of tokens.
 Text is read and never shuffled. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import frames, spans
 from loomtext.llm import kernels as K
-from loomtext.session import cut, read
+from loomtext.session import cut, read, release
 
 U = np.uint64
 QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
@@ -50,7 +50,7 @@ _BATCH_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 1 << 24, 20
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "uid", "kind", "a", "b", "c"]
-COUNTS, STATS, LEVELS, VALUES, REQUEST, BATCH, ANSWER = range(7)
+COUNTS, STATS, LEVELS, TOKENS, REQUEST, BATCH, ANSWER = range(7)
 SUMS = 16  # kinds from here on are sums, in uid
 
 
@@ -119,18 +119,26 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _pack_counts(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
-    """Bigrams, ascending, with counts."""
+    """Bigrams, ascending, with counts: their tokens once, and two numbers of tokens a bigram."""
+    w, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     first = _runs(u)
-    low = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return _zip(K.pack_sorted(u[first]), K.pack_ints(np.diff(np.append(first, len(u)))), low.tobytes(), K.pack_ints(n))
+    return _zip(K.pack_sorted(w), K.pack_ints(np.diff(at[: len(u)][first], prepend=0)), K.pack_ints(np.diff(np.append(first, len(u)))), K.pack_small(at[len(u) :]), K.pack_ints(n))
 
 
 def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u, runs, low, n = _unzip(blob)
-    n = K.unpack_ints(n).astype(np.int64)
-    v = np.zeros((len(n), 8), np.uint8)
-    v[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-    return np.repeat(K.unpack_sorted(u), K.unpack_ints(runs).astype(np.int64)), v.reshape(-1).view("<u8"), n
+    w, steps, runs, v, n = _unzip(blob)
+    w = K.unpack_sorted(w)
+    u = w[np.cumsum(K.unpack_ints(steps).astype(np.int64))]
+    return np.repeat(u, K.unpack_ints(runs).astype(np.int64)), w[K.unpack_small(v)], K.unpack_ints(n).astype(np.int64)
+
+
+def _by_bucket(w: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards of ascending tokens, and which of the tokens each has, in order."""
+    bucket = K.bucket_of(token_key(w), buckets)
+    order = np.argsort(bucket, kind="stable")
+    at = K.split_at(bucket[order], buckets)
+    for b in np.flatnonzero(np.diff(at)):
+        yield int(b), order[at[b] : at[b + 1]]
 
 
 def _add_counts(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,34 +190,34 @@ def _shard(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     by_u, by_v = at[: len(u)], at[len(u) :]
     add = lambda of, weights=None: np.bincount(of, weights, len(w)).astype(np.int64)
     stats = [add(by_u, n), add(by_u[n == 1]), add(by_u[n == 2]), add(by_u[n > 2]), add(by_v)]
-    order = np.argsort(token_key(w))
-    at = K.split_at(K.bucket_of(token_key(w)[order], buckets), buckets)
-    for b in np.flatnonzero(np.diff(at)):
-        own = np.sort(order[at[b] : at[b + 1]])
+    for b, own in _by_bucket(w, buckets):
         yield _row([(b, part, STATS, _zip(K.pack_sorted(w[own]), *(K.pack_ints(x[own]) for x in stats)), None, None)])
 
 
-def _merged(it: Iterator[pa.RecordBatch]) -> tuple[int | None, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """A token shard: its number, its tokens, their five statistics, and which tokens each bigram shard asks for."""
+def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A token shard's tokens with their five statistics; of these, what each bigram shard needs, in the order it asked; and sums. Counts pass."""
     part, asked, stats = None, [], []
     for batch in it:
-        for p, uid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-            part = p
-            w, *more = _unzip(blob)
-            asked.append((uid, K.unpack_sorted(w)))
+        kind = batch.column(2).to_numpy()
+        if (kind != STATS).any():
+            yield batch.filter(pa.array(kind != STATS))
+        for i in np.flatnonzero(kind == STATS):
+            part = batch.column(0)[i].as_py()
+            w, *more = _unzip(batch.column(3)[i].as_py())
+            asked.append((batch.column(1)[i].as_py(), K.unpack_sorted(w)))
             stats.append(np.stack([K.unpack_ints(x).astype(np.int64) for x in more]))
     if part is None:
-        return None, np.zeros(0, U), np.zeros((5, 0), np.int64), []
+        return
     every = np.concatenate([w for _, w in asked])
     order = np.argsort(every, kind="stable")
     first = _runs(every[order])
-    return part, every[order][first], np.add.reduceat(np.concatenate(stats, 1)[:, order], first, axis=1), asked
-
-
-def _token_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    before = _merged(it)[2][4]
-    if len(before):
-        yield _sums([*((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()])
+    w, total = every[order][first], np.add.reduceat(np.concatenate(stats, 1)[:, order], first, axis=1)
+    before = total[4]
+    yield _sums([0] * 6 + [*((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()])
+    yield _row([(part, 0, TOKENS, _zip(K.pack_sorted(w), *(K.pack_ints(x) for x in total)), None, None)])
+    for shard, tokens_of in asked:
+        at = np.searchsorted(w, tokens_of)
+        yield _row([(shard, part, LEVELS, _zip(*(K.pack_ints(x[at]) for x in total[1:])), None, None)])
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -223,8 +231,9 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
 class Constants:
     """The few numbers that a model has besides its tables."""
 
-    def __init__(self, bigram: list[int], token: list[int]) -> None:
-        """``bigram``: how many bigrams occur once to four times, how many there are, and occur; ``token``: how many tokens follow one to four distinct ones, and over two."""
+    def __init__(self, sums: list[int]) -> None:
+        """``sums``: how many bigrams occur once to four times, how many there are, and occur; how many tokens follow one to four distinct ones, and over two."""
+        bigram, token = sums[:6], sums[6:]
         self.top, self.low = discounts(*bigram[:4]), discounts(*token[:4])
         self.distinct = max(1, bigram[4])
         off = self.low[1] * token[0] + self.low[2] * token[1] + self.low[3] * token[4]
@@ -234,48 +243,50 @@ class Constants:
     def short(self, key: np.ndarray) -> np.ndarray:
         return key >> U(64 - self.bits)
 
-
-def _levels(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A token shard's answers: c(u) gamma(u) and q(v), as each bigram shard asked; and the values of its tokens."""
-    part, w, (total, once, twice, more, before), asked = _merged(it)
-    if part is None:
-        return
-    mass = k.top[1] * once + k.top[2] * twice + k.top[3] * more
-    q = np.where(before > 0, (before - k.low[np.minimum(before, 3)]) / k.distinct, k.unseen)
-    q = np.maximum(q, 1e-300)
-    for shard, tokens_of in asked:
-        at = np.searchsorted(w, tokens_of)
-        yield _row([(shard, part, LEVELS, _zip(K.pack_sorted(tokens_of), mass[at].astype("<f4").tobytes(), q[at].astype("<f4").tobytes()), None, None)])
-    value = np.log(q / k.unseen) + np.where(total > 0, np.log(np.maximum(mass, 1e-12) / np.maximum(total, 1)), 0.0)
-    key = token_key(w)
+    def mass(self, once: np.ndarray, twice: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """c(u) gamma(u)."""
+        return np.maximum(self.top[1] * once + self.top[2] * twice + self.top[3] * more, 1e-12)
+
+    def q(self, before: np.ndarray) -> np.ndarray:
+        return np.maximum(np.where(before > 0, (before - self.low[np.minimum(before, 3)]) / self.distinct, self.unseen), 1e-300)
+
+
+def _values(k: Constants, buckets: int, counts: tuple | None, levels: dict[int, bytes], tokens_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending short keys of a shard's bigrams and tokens, and their values."""
+    keys, values = [np.zeros(0, U)], [np.zeros(0)]
+    if counts:
+        u, v, n = counts
+        w = np.unique(np.concatenate([u, v]))
+        whole = np.zeros((4, len(w)), np.int64)
+        for b, own in _by_bucket(w, buckets):
+            whole[:, own] = np.stack([K.unpack_ints(x).astype(np.int64) for x in _unzip(levels[b])])
+        mass, q = k.mass(*whole[:3]), k.q(whole[3])
+        keys.append(bigram_key(u, v))
+        values.append(np.log1p((n - k.top[np.minimum(n, 3)]) / np.maximum(mass[np.searchsorted(w, u)] * q[np.searchsorted(w, v)], 1e-300)))
+    for blob in tokens_of:
+        w, *stats = _unzip(blob)
+        total, once, twice, more, before = (K.unpack_ints(x).astype(np.int64) for x in stats)
+        keys.append(token_key(K.unpack_sorted(w)))
+        values.append(np.log(k.q(before) / k.unseen) + np.where(total > 0, np.log(k.mass(once, twice, more) / np.maximum(total, 1)), 0.0))
+    key, value = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(key)
-    yield _row([(part, 0, VALUES, _zip(K.pack_sorted(k.short(key[order])), value[order].astype("<f4").tobytes()), None, None)])
+    return k.short(key[order]), value[order]
 
 
-def _values(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bigram shard's values; those of tokens, which are in the shard of their keys already, pass."""
-    part, u, tables = None, None, []
-    for batch in it:
-        kind = batch.column(2).to_numpy()
-        if (kind == VALUES).any():
-            yield batch.filter(pa.array(kind == VALUES))
-        for i in np.flatnonzero(kind == COUNTS):
-            part = batch.column(0)[i].as_py()
-            u, v, n = _unpack_counts(batch.column(3)[i].as_py())
-        tables += [_unzip(batch.column(3)[i].as_py()) for i in np.flatnonzero(kind == LEVELS)]
-    if part is None:
-        return
-    w = np.concatenate([K.unpack_sorted(x) for x, _, _ in tables])
-    order = np.argsort(w)
-    mass, q = (np.concatenate([np.frombuffer(t[i], "<f4") for t in tables]).astype(float)[order] for i in (1, 2))
-    w = w[order]
-    value = np.log1p((n - k.top[np.minimum(n, 3)]) / np.maximum(mass[np.searchsorted(w, u)] * q[np.searchsorted(w, v)], 1e-300))
-    key = bigram_key(u, v)
-    order = np.argsort(key)
-    yield _row([(part, 0, VALUES, _zip(K.pack_sorted(k.short(key[order])), value[order].astype("<f4").tobytes()), None, None)])
+# -- scoring ------------------------------------------------------------------------------------
 
 
-# -- scoring ------------------------------------------------------------------------------------
+def _ordered(k: Constants, buckets: int, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Short keys, ascending, their texts, ascending within a key, and where each shard begins."""
+    room = int(d.max() if len(d) else 0).bit_length()
+    if 32 <= k.bits <= 64 - room:  # both in one number, and the key's head, which shards go by, too
+        both = k.short(g) << U(room)
+        both |= d.astype(U)
+        both.sort()
+        g, d = both >> U(room), (both & U((1 << room) - 1)).astype(np.int64)
+        return g, d, K.split_at(K.bucket_of(g << U(64 - k.bits), buckets), buckets)
+    order = np.lexsort((d, k.short(g), K.bucket_of(g, buckets)))
+    return k.short(g[order]), d[order].astype(np.int64), K.split_at(K.bucket_of(g[order], buckets), buckets)
 
 
 def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +302,12 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         ids = meta["doc_id"].fill_null(0).to_numpy().view(U)
         place = lambda x: K.mix(np.arange(1, len(x) + 1, dtype=U) << U(32))
         uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
-        order = np.argsort(g, kind="stable")  # texts ascend within a key
-        g, d = g[order], d[order]
-        at = K.split_at(K.bucket_of(g, buckets), buckets)
-        g, rows = k.short(g), []
+        g, d, at = _ordered(k, buckets, g, d)
+        rows = []
         for b in np.flatnonzero(np.diff(at)):
             own, of = g[at[b] : at[b + 1]], d[at[b] : at[b + 1]]
             first = _runs(own)
-            step = np.diff(of, prepend=0)
+            step = np.diff(of, prepend=of[:1])
             step[first] = of[first]
             rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(np.diff(np.append(first, len(own)))), K.pack_ints(step)), None, None))
         sink = pa.BufferOutputStream()
@@ -316,10 +325,9 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         own = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(off)), some, some])
         key = np.concatenate([token_key(h), np.repeat(token_key(np.array([START, END])), len(some))])
         both, of = np.concatenate([key, bigram_key(u, v)]), np.concatenate([own, doc])
-        order = np.argsort(of, kind="stable")
         metas.append(part.select(["doc_id", "lang", "sample"]))
-        keys.append(both[order])
-        docs.append(of[order] + count)
+        keys.append(both)
+        docs.append((of + count).astype(np.int32))
         sizes.append(np.diff(off))
         size += len(h)
         count += len(texts)
@@ -330,22 +338,26 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         yield flush()
 
 
-def _answer(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, values, waiting = [np.zeros(0, U)], [np.zeros(0, np.float32)], []
+def _answer(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, levels, tokens_of, waiting = None, {}, [], []
     for batch in it:
         kind = batch.column(2).to_numpy()
         if (kind == BATCH).any():
             yield batch.filter(pa.array(kind == BATCH))
-        for i in np.flatnonzero(kind == VALUES):
-            keys, value = _unzip(batch.column(3)[i].as_py())
-            known.append(K.unpack_sorted(keys))
-            values.append(np.frombuffer(value, "<f4"))
-        waiting += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()) for i in np.flatnonzero(kind == REQUEST)]
-    key, value = np.concatenate(known), np.concatenate(values).astype(float)
+        for i in np.flatnonzero(kind != BATCH):
+            part, uid, blob = (batch.column(c)[i].as_py() for c in (0, 1, 3))
+            if kind[i] == COUNTS:
+                counts = _unpack_counts(blob)
+            elif kind[i] == LEVELS:
+                levels[uid] = blob
+            elif kind[i] == TOKENS:
+                tokens_of.append(blob)
+            else:
+                waiting.append((part, uid, blob))
+    key, value = _values(k, buckets, counts, levels, tokens_of)
+    del counts, levels, tokens_of
     if not len(key):
         return
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
     for part, uid, blob in waiting:
         asked, runs, steps = _unzip(blob)
         g, runs, steps = K.unpack_sorted(asked), K.unpack_ints(runs).astype(np.int64), K.unpack_ints(steps).astype(np.int64)
@@ -404,12 +416,11 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return df.repartitionById(buckets, F.col("part")).mapInArrow(f, _ROW)
 
     train = rows.where("sample = 1 and text is not null").select("doc_id", "text")
-    shards = cut(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)))
-    stats, counts = shards.where(f"kind = {STATS}"), shards.where(f"kind = {COUNTS}")
-    k = Constants(_added(shards, 6), _added(exchange(stats, _token_sums), 5))
-    values = exchange(exchange(stats, partial(_levels, k)).unionByName(counts), partial(_values, k))
-    asked = rows.mapInArrow(partial(_requests, k, buckets), _ROW).unionByName(values)
-    answers = exchange(asked, partial(_answer, buckets))
+    model = cut(exchange(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)), _merge))
+    k = Constants(_added(model, 11))
+    release(docs.sparkSession)
+    asked = rows.mapInArrow(partial(_requests, k, buckets), _ROW).unionByName(model.where(f"kind < {SUMS}"))
+    answers = exchange(asked, partial(_answer, k, buckets))
     return answers.repartitionById(buckets, F.col("part")).mapInArrow(partial(_combine, k), "doc_id long, lang string, sample int, n_tokens long, log_prob double")
 
 
