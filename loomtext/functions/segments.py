@@ -12,6 +12,10 @@ LINES = r"[^\n\r\f\x{2028}]+"
 SPACE_RUNS = r"[\p{Z}\p{Cc}]+|[^\p{Z}\p{Cc}]+"
 CLASS_RUNS = r"[\p{L}\p{N}]+|[\p{Z}\p{Cc}]+|[^\p{L}\p{N}\p{Z}\p{Cc}]+"
 SINGLES = r"\p{L}+|\p{N}+|(?s:.)"
+#: Words joined over inner apostrophes and dots, as word-break iterators do, and every other character.
+WORD_BREAKS = r"\r\n|[\p{L}\p{N}\p{M}_]+(?:['’.·][\p{L}\p{N}\p{M}_]+)*|(?s:.)"
+#: Where a sentence-break iterator ends a sentence: after closing marks and blanks, unless a small letter follows; the next character is taken along.
+SENTENCE_BREAKS = r"([.!?]+[\"'”’)\]]*[ \t\x{A0}]+)([^\p{Ll}\s.!?])"
 
 #: Types in order of preference, with what all characters of such a token are.
 TYPES = {
@@ -56,7 +60,18 @@ def pretokenized(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " ")), " ")
 
 
-TOKENIZERS = {"space": space_tokens, "class": class_tokens, "single": single_tokens, "pretokenized": pretokenized, "null": F.array}
+def break_words(text: Column) -> Column:
+    """Words and other characters as a word-break iterator gives them, approximately."""
+    return runs(text, WORD_BREAKS)
+
+
+def break_sentences(text: Column) -> Column:
+    """Sentences as a sentence-break iterator gives them, approximately: they end at closing marks that no small letter follows, and with their line."""
+    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_BREAKS, "$1\x01$2"), r"(\r?\n)", "$1\x01")
+    return F.filter(F.split(marked, "\x01"), lambda x: x != "")
+
+
+TOKENIZERS = {"space": space_tokens, "class": class_tokens, "single": single_tokens, "pretokenized": pretokenized, "breaks": break_words, "null": F.array}
 
 
 def register_tokenizer(name: str, tokenizer) -> None:
@@ -106,7 +121,11 @@ def merge_tokens(tokens: Column) -> Column:
 
 def readable(text: Column, tokenizer: str = "class", level: int = 5, normal: int = 4, merge: int = 0) -> Column:
     """Tokens of a text: tokenized, filtered, types merged (1 and 3), normalised, tokens merged (2 and 3)."""
-    segments = keep_level(typed(TOKENIZERS[tokenizer](text)), level)
+    return finish(keep_level(typed(TOKENIZERS[tokenizer](text)), level), normal, merge)
+
+
+def finish(segments: Column, normal: int = 4, merge: int = 0) -> Column:
+    """Tokens of typed segments, merged and normalised."""
     if merge in (1, 3):
         segments = merge_types(segments)
     tokens = F.transform(segments, lambda s: normalized(s, normal))
