@@ -8,6 +8,7 @@ and a word is represented by a 64-bit polynomial hash. No per-word Python runs.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,6 +23,17 @@ _SCAN_CHARS = 1 << 18
 _CHUNK_CHARS = 1 << 21
 
 
+def _return_freed_arrays() -> None:
+    """Workers live for many tasks: arrays of megabytes that are freed go back to the system, whatever size was freed before (glibc only)."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return
+
+
+_return_freed_arrays()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix64 finaliser: a bijection on 64-bit words that spreads every bit."""
     x = x.astype(U, copy=True)

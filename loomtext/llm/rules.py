@@ -6,7 +6,8 @@ the exact binomial tail P(X <= rejected) at a false-rejection rate of ``RISK`` /
 ``DELTA`` / (languages * rules). Testing stops at the first cutoff that fails (fixed sequence), and the
 division by all tests that may start (Bonferroni) and of the risk by the rules (union) make this hold,
 with probability 1 - DELTA, for all languages at once: of the good documents of a language at most a
-share of RISK is rejected by any of its rules. Among certified cutoffs that one is taken which
+share of RISK is rejected by any of its rules. Exact copies of a text with one label are one trial, or a much-copied document would
+count as many independent ones; near copies aren't told apart from independent texts. Among certified cutoffs that one is taken which
 rejects most documents of quality 0, of equals the most lenient; a rule that rejects none has no cutoff.
 
 Metrics are counted in one narrow pass over the text; beyond it, only numbers move.
@@ -38,7 +39,7 @@ CUTOFFS = {
     "mean_word_length": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 10.0],
 }
 RULES = list(CUTOFFS)
-_METRICS = "doc_id long, lang string, n_words long, " + ", ".join(f"{r} double" for r in RULES)
+_METRICS = "doc_id long, lang string, text_hash long, n_words long, " + ", ".join(f"{r} double" for r in RULES)
 
 
 def _lines() -> np.ndarray:
@@ -85,7 +86,7 @@ def metrics(texts: list[str]) -> dict[str, np.ndarray]:
 def _measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in spans.slices(it):
         m = metrics(texts)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(m["n_words"]), *(pa.array(m[r], pa.float64()) for r in RULES)], ["doc_id", "lang", "n_words", *RULES])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(m["n_words"]), *(pa.array(m[r], pa.float64()) for r in RULES)], ["doc_id", "lang", "text_hash", "n_words", *RULES])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -107,7 +108,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     """lang and the chosen cutoff of each rule (null: none), one row a language that has labelled documents."""
     spark = measured.sparkSession
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("q")).where("low = q and q in (0, 1)").select("doc_id", "q")
-    held = measured.join(known, "doc_id")
+    held = measured.join(known, "doc_id").groupBy("lang", "q", "text_hash", *RULES).agg(F.count("*").alias("copies"))
     # a metric's level is how many of its cutoffs it exceeds, so a row a rule is enough to count for all cutoffs
     level = [F.struct(F.lit(r).alias("rule"), sum((F.col(r) > x).cast("int") for x in c).alias("level")) for r, c in CUTOFFS.items()]
     counted = held.select("lang", "q", F.explode(F.array(*level)).alias("x")).groupBy("lang", "x.rule", "x.level").agg(F.sum("q").alias("good"), F.sum(1 - F.col("q")).alias("bad"))
@@ -130,15 +131,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
 
     Defined cases: a null or empty text has metrics of 0 and is kept; a null lang is a stratum of its own;
     a language without labels, or with too few for any certificate, has no cutoffs and is kept; labels
-    that contradict each other or aren't 0 or 1 aren't used; repeated rows count as often as they occur;
-    a row without doc_id is measured, but has no label; an empty table gives an empty result. Other
+    that contradict each other or aren't 0 or 1 aren't used; equal texts with one label count once;
+    of cutoffs that reject equally many the most lenient is taken; a metric equal to a cutoff stays; a row without doc_id is measured, but has no label; an empty table gives an empty result. Other
     columns are not read.
     """
-    measured = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(_measure, _METRICS))
+    measured = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("text_hash")).mapInArrow(_measure, _METRICS))
     limits = cutoffs(measured, labels, risk, delta).withColumnsRenamed({r: f"max_{r}" for r in RULES} | {"lang": "__lang"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     reasons = F.concat_ws(",", *[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES])
-    return joined.select(*measured.columns, reasons.alias("rejected_by"), (reasons == "").alias("keep"))
+    return joined.select(*[c for c in measured.columns if c != "text_hash"], reasons.alias("rejected_by"), (reasons == "").alias("keep"))
 
 
 def op1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +150,13 @@ _GRID = ", ".join(f"('{r}', {k}, {x})" for r, c in CUTOFFS.items() for k, x in e
 SQL = {
     "op1_rules": f"""
 WITH pieces AS (
-  SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w,
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w,
          length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters,
          length(regexp_replace(coalesce(text, ''), '[\\p{{L}}\\p{{N}}\\p{{Z}}\\p{{Cc}}]', '', 'g')) AS marks,
          length(regexp_replace(coalesce(text, ''), '[^\\p{{Lu}}]', '', 'g')) AS upper,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM documents),
 m AS (
-  SELECT doc_id, lang, len(w) AS n_words,
+  SELECT doc_id, lang, md5(text) AS text_hash, len(w) AS n_words,
          CASE WHEN marks + letters > 0 THEN CAST(marks AS DOUBLE) / (marks + letters) ELSE 0.0 END AS symbol_ratio,
          CASE WHEN letters > 0 THEN CAST(upper AS DOUBLE) / letters ELSE 0.0 END AS upper_ratio,
          CASE WHEN len(w) > 0 THEN CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS DOUBLE) / len(w) ELSE 0.0 END AS repeat_ratio,
@@ -163,7 +164,7 @@ m AS (
          CASE WHEN len(w) > 0 THEN CAST(letters AS DOUBLE) / len(w) ELSE 0.0 END AS mean_word_length FROM pieces),
 long AS (UNPIVOT m ON {", ".join(RULES)} INTO NAME rule VALUE x),
 known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality) AND min(quality) IN (0, 1)),
-held AS (SELECT lang, rule, x, q FROM long JOIN known USING (doc_id)),
+held AS (SELECT DISTINCT lang, rule, x, q, text_hash FROM long JOIN known USING (doc_id)),
 grid(rule, step, cutoff) AS (VALUES {_GRID}),
 counted AS (
   SELECT lang, rule, step, cutoff, sum(CASE WHEN x > cutoff THEN 1 - q ELSE 0 END) AS bad_hit, CAST(sum(CASE WHEN x > cutoff THEN q ELSE 0 END) AS BIGINT) AS k,

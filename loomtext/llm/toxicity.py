@@ -174,14 +174,14 @@ class Model:
         self.place[common] = np.arange(len(common))
         self.blocks = max(1, -(-n // BLOCK))
         self.repeats = int(np.unique(self.ids, return_counts=True)[1].max()) if n else 1
-        d = np.repeat(np.arange(n), np.diff(self.first))
-        at = self.place[self.of]
+        d = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        long = self.place[self.of] >= 0
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        self.dense[d[at >= 0], at[at >= 0]] = self.by[at >= 0]
+        self.dense[d[long], self.place[self.of[long]]] = self.by[long]
         self.peak = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, len(common)).max(1).T)
-        short = np.flatnonzero(at < 0)
-        order = short[np.argsort(self.of[short], kind="stable")]
-        self.row, self.weight = d[order], self.by[order].astype(float)
+        order = np.flatnonzero(~long).astype(np.int32)
+        order = order[np.argsort(self.of[order], kind="stable")]
+        self.row, self.weight = d[order], self.by[order]
         self.start = np.searchsorted(self.of[order], np.arange(size + 1))
 
     def __getstate__(self) -> dict:

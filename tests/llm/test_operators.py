@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from conftest import rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from loomtext.llm import chats, contamination, languages, licenses, packing, perplexity, registry, rules, simhash, substrings, toxicity
 from loomtext.llm import kernels as K
@@ -16,6 +17,9 @@ from loomtext.llm import kernels as K
 SQL = registry.oracle_sql()
 
 
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+
+
 def words(text):
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -41,18 +45,34 @@ def test_binomial_tail_is_exact():
 
 
 def test_certified_cutoffs_hold_the_risk(spark):
+    """Fitted on one sample of each language, the rules together reject at most RISK of the good documents of a fresh one."""
     rng = np.random.default_rng(0)
-    rows, labels = [], []
-    for i in range(4000):
-        good = i % 4 != 0
-        rows.append((i, "en" if i // 4 % 2 else "xx", 100, float(rng.uniform(0, 0.3) if good else rng.uniform(0.2, 1)), 0.0, 0.0, 0.0, 5.0))
-        labels.append((i, int(good)))
+
+    def sample(n):
+        rows, labels = [], []
+        for i in range(n):
+            good = i % 4 != 0
+            rows.append((i, "en" if i // 4 % 2 else "xx", i, 100, *(float(rng.uniform(0, 0.3) if good else rng.uniform(0.2, 1)) for _ in range(4)), 5.0))
+            labels.append((i, int(good)))
+        return rows, labels
+
+    rows, labels = sample(8000)
     measured = spark.createDataFrame(rows, rules._METRICS)
-    limits = {r.lang: r.symbol_ratio for r in rules.cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
-    for lang, cutoff in limits.items():
-        good = [r[3] for r, (_, q) in zip(rows, labels) if q and r[1] == lang]
-        assert sum(x > cutoff for x in good) / len(good) <= rules.RISK / len(rules.RULES)
-    assert set(limits) == {"en", "xx"} and all(c <= 0.35 for c in limits.values())
+    limits = {r.lang: r.asDict() for r in rules.cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert set(limits) == {"en", "xx"} and all(limits[g]["symbol_ratio"] <= 0.35 for g in limits)
+    fresh, quality = sample(20_000)
+    for lang, limit in limits.items():
+        good = [r for r, (_, q) in zip(fresh, quality) if q and r[1] == lang]
+        bad = [any(limit[m] is not None and r[4 + k] > limit[m] for k, m in enumerate(rules.RULES)) for r in good]
+        assert np.mean(bad) <= rules.RISK
+
+
+def test_copies_are_one_trial(spark):
+    """A hundred copies of five good documents don't certify a cutoff that five documents can't."""
+    rows = [(i, "en", i % 5, 100, 0.1, 0.0, 0.0, 0.0, 5.0) for i in range(500)] + [(1000, "en", 77, 100, 0.9, 0.0, 0.0, 0.0, 5.0)]
+    labels = [(i, 1) for i in range(500)] + [(1000, 0)]
+    found = rules.cutoffs(spark.createDataFrame(rows, rules._METRICS), spark.createDataFrame(labels, "doc_id long, quality int")).first()
+    assert found is None or found.symbol_ratio is None
 
 
 def components(n, pairs):
@@ -85,71 +105,182 @@ def test_simhash_finds_nine_of_ten_pairs(spark, sf_dir, table):
     assert all(groups[ids.index(g)] == groups[i] for i, g in ((i, got[d]) for i, d in enumerate(ids)))
 
 
+def test_links_between_different_texts_are_kept(spark, sf_dir):
+    """Of all pairs of different fingerprints within TAU bits in 10,000 documents, 9,999 of 10,000 must be in one group."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    t = docs.where("text is not null").select("doc_id", "text").toPandas()
+    fp, count = (np.concatenate(x) for x in zip(*(simhash.fingerprints(t.text[i : i + 1000].tolist()) for i in range(0, len(t), 1000))))
+    fp = np.ascontiguousarray(fp).view("<u8")
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs).collect()}
+    group = np.array([got[i] for i in t.doc_id])
+    links = kept = 0
+    for i in np.flatnonzero(count):
+        apart = np.bitwise_count(fp[i] ^ fp).sum(1, dtype=np.int64)
+        near = np.flatnonzero((apart <= simhash.TAU) & (apart > 0) & (count > 0))
+        links += len(near)
+        kept += int((group[near] == group[i]).sum())
+    assert links > 1000 and kept >= 0.9999 * links
+
+
+def test_chains_that_start_one_bit_apart_are_found():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    far = base.copy()
+    for bit in range(0, 256, 16):  # one bit in every segment: no segment agrees, 16 bits in all
+        far[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64 + 3)
+    for size in (2, 700):  # short runs and long ones
+        fp = np.concatenate([np.stack([base, far]), rng.integers(0, 1 << 63, (size, 4), dtype=np.uint64)])
+        if size > 2:
+            fp[2:, 0] = fp[2:, 0] & ~np.uint64(0xFFFF) | base[0] & np.uint64(0xFFFF)
+        a, b = simhash.near_pairs(0, np.ascontiguousarray(fp))
+        assert {(0, 1)} <= {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
+
+
+def test_fingerprints_are_majorities(table):
+    """Bit by bit with Python's integers, from the words' hashes alone."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    texts = [t for t in table.text.tolist() if t][:20] + ["a", "b a b", ""]
+    got, count = simhash.fingerprints(texts)
+    for text, row, n in zip(texts, got, count):
+        features = {K.word_hash(w) >> 24 for w in words(text)}
+        assert n == len(features)
+        for k in range(4):
+            seen = [mix((f + (k + 1) * 0x9E3779B97F4A7C15) & full) for f in features]
+            for bit in range(64):
+                assert (row[8 * k + bit // 8] >> (bit % 8) & 1) == (2 * sum(x >> bit & 1 for x in seen) > n)
+
+
 def test_fingerprints_dont_depend_on_the_batch(table):
     texts = table.text.tolist()[:60]
     alone = np.concatenate([simhash.fingerprints([t])[0] for t in texts])
     assert (simhash.fingerprints(texts)[0] == alone).all()
 
 
-def test_language_vectors_and_accuracy(spark, sf_dir):
-    def direct(text):
-        low = [c if c.isalpha() else " " for c in text.lower()]
-        total = np.zeros(languages.WIDTH)
-        for a, b, c in zip([" ", *low], low, [*low[1:], " "]):
-            if b != " ":
-                x, y, z = (languages.letter_vectors(np.array([ord(k)]))[0] for k in (a, b, c))
-                total += np.roll(x, 2) * np.roll(y, 1) * z
-        return total
+def bundle_of(text):
+    """Letter by letter."""
+    low = [c if c.isalpha() else " " for c in text.lower()]
+    total = np.zeros(languages.WIDTH)
+    vectors = {k: languages.letter_vectors(np.array([ord(k)]))[0].astype(float) for k in {" ", *low}}
+    for a, b, c in zip([" ", *low], low, [*low[1:], " "]):
+        if b != " ":
+            total += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+    return total
+
+
+def test_bundles_letter_by_letter(monkeypatch):
+    texts = ["Hello, wörld 42! and so it goes on", "ab", "", "a b c", "xyz" * 9, "漢字仮名交じり文"]
+    for chars, block in ((1 << 19, 4096), (7, 3), (1, 2)):
+        monkeypatch.setattr(languages, "_CHUNK_CHARS", chars)
+        monkeypatch.setattr(languages, "_BLOCK", block)
+        got = languages.bundles(texts, list(range(len(texts))), len(texts))
+        assert all((got[i] == bundle_of(t)).all() for i, t in enumerate(texts))
+        assert (languages.bundles(texts, [0, 1, 0, 1, 0, 1], 2)[0] == sum(bundle_of(t) for t in texts[::2])).all()
+
+
+def test_languages_by_direct_cosines(spark, sf_dir, table):
+    some = table[table.text.str.len() < 1500].head(60)
+    docs = spark.createDataFrame([(int(i), t, g) for i, t, g in zip(some.doc_id, some.text, some.lang)], "doc_id long, text string, lang string")
+    vectors = {i: bundle_of(t) for i, t in zip(some.doc_id, some.text)}
+    names = sorted(set(some.lang))
+    profiles = [sum(vectors[i] for i, g in zip(some.doc_id, some.lang) if g == n) for n in names]
+    for r in languages.identify(docs).collect():
+        v = vectors[r.doc_id]
+        if not v.any():
+            assert r.predicted is None and r.keep
+            continue
+        cos = [round(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), 6) for p in profiles]
+        top = sorted(cos, reverse=True)
+        assert r.predicted == names[cos.index(max(cos))] and r.similarity == pytest.approx(top[0], abs=2e-6) and r.margin == pytest.approx(top[0] - top[1], abs=3e-6)
+
+
+def test_equal_cosines_go_to_the_smaller_name(spark):
+    rows = [(1, "abc abc", "zz"), (2, "abc abc", "aa"), (3, "abc", None)]
+    got = {r.doc_id: (r.predicted, r.margin) for r in languages.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: ("aa", 0.0) for i in (1, 2, 3)}
+
 
-    texts = ["Hello, wörld 42!", "ab", "", "a b c"]
-    got = languages._bundle(len(texts), *languages.trigrams(texts))
-    for i, t in enumerate(texts):
-        assert (got[i] == direct(t)).all()
-    rows = languages.op3_languages(spark, sf_dir).collect()
-    assert sum(r.predicted == r.lang for r in rows) >= 0.97 * len(rows)
+def test_languages_of_held_out_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").where("text is not null")
+    profiles = languages.prototypes(docs.where("doc_id % 2 = 0"))
+    rest = docs.where("doc_id % 2 = 1").toPandas()
+    named = languages.classify(rest.text.tolist(), profiles)[0]
+    assert np.mean([a == b for a, b in zip(named, rest.lang) if a]) >= 0.97
 
 
-def test_every_repeated_token_is_in_the_vocabulary(spark):
+def test_every_token_of_training_is_known(spark):
     names = ["".join(x) for x in itertools.islice(itertools.product("abcdefghij", repeat=5), 70_000)]
-    docs = [(i, " ".join(names), "en") for i in range(6)] + [(10 + i, w, "en") for i, w in enumerate(names)]
-    got = perplexity.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")).collect()
-    assert len({round(r.log_prob, 4) for r in got if r.doc_id > 10}) == 1
+    docs = [(i, " ".join(names), "en") for i in range(6)] + [(10 + i, w, "en") for i, w in enumerate(names)] + [(100_000, "zzzzz", "en")]
+    got = {r.doc_id: round(r.log_prob, 4) for r in perplexity.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")).collect()}
+    assert len({v for k, v in got.items() if 10 < k < 10 + len(names) - 1}) == 1 and got[100_000] != got[11]
 
 
-def test_perplexity_is_modified_kneser_ney(spark):
-    train = ["a b a b c", "a b d a b", "b c a a b c d", "d a b c", "c c d a b"] * 2 + ["e a b", "a c"]
-    docs = [(i, t, "en") for i, t in enumerate(train)] + [(100, "a b c zz", "en"), (101, "d d Qq a", "en")]
+@pytest.mark.parametrize("spare", [20, 60])
+def test_perplexity_is_modified_kneser_ney(spark, monkeypatch, spare):
+    monkeypatch.setattr(perplexity, "_SPARE_BITS", spare)
+    train = ["a b a b c", "a b d a b", "b c a a b c d", "d a b c", "c c d a b"] * 2 + ["e a b", "a c f"]
+    docs = [(i, t, "en") for i, t in enumerate(train)] + [(100, "a b c zz", "en"), (101, "d d Qq a", "en"), (102, "", "en")]
     labels = [(i, 1) for i in range(len(train))]
     got = {r.doc_id: r for r in perplexity.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
     used = [t.split() for i, t in enumerate(train) if got[i].sample == 1]
-    counts = Counter(w for t in used for w in t)
-    shape = lambda w: w if counts[w] >= 2 else "<cap>" if w[0].isupper() else "<low>"
-    coded = [[shape(w) for w in t] for t in used]
-    big = Counter(p for t in coded for p in zip(["<s>", *t], t))
-    size = 5 + sum(c >= 2 for c in counts.values())
+    assert 0 < len(used) < len(train)
+    big = Counter(p for t in used for p in zip(["<s>", *t], [*t, "</s>"]))
 
     def discount(values):
-        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        return perplexity.discounts(*n)
+        n1, n2, n3, n4 = (sum(v == k for v in values) for k in (1, 2, 3, 4))
+        if 0 in (n1, n2, n3, n4):
+            return {1: 0.5, 2: 0.5, 3: 0.5}
+        y = n1 / (n1 + 2 * n2)
+        return {k: min(max(k - (k + 1) * y * b / a, 0.01), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))}
 
-    d, before, context = discount(big.values()), Counter(v for _, v in big), Counter()
-    for (u, _), c in big.items():
-        context[u] += c
+    d, before = discount(big.values()), Counter(v for _, v in big)
     e = discount(before.values())
-    spare = sum(e[min(c, 3)] for c in before.values()) / len(big)
+    unseen = sum(e[min(c, 3)] for c in before.values()) / len(big) / sum(c == 1 for c in before.values())
 
     def p(u, v):
-        n = before[v]
-        q = (n - e[min(n, 3)]) / len(big) + spare / size
-        if not context[u]:
+        q = (before[v] - e[min(before[v], 3)]) / len(big) if before[v] else unseen
+        total = sum(c for (a, _), c in big.items() if a == u)
+        if not total:
             return q
-        gamma = sum(d[min(c, 3)] for (a, _), c in big.items() if a == u) / context[u]
-        c = big[u, v]
-        return (c - d[min(c, 3)]) / context[u] + gamma * q
+        gamma = sum(d[min(c, 3)] for (a, _), c in big.items() if a == u) / total
+        return (big[u, v] - d[min(big[u, v], 3)] if big[u, v] else 0) / total + gamma * q
 
     for i, text, _ in docs:
-        t = [shape(w) for w in text.split()]
-        assert got[i].log_prob == pytest.approx(sum(math.log(p(u, v)) for u, v in zip(["<s>", *t], t)), rel=1e-5)
+        t = text.split()
+        assert got[i].n_tokens == len(t)
+        if t:
+            assert got[i].log_prob == pytest.approx(sum(math.log(p(u, v)) for u, v in zip(["<s>", *t], [*t, "</s>"])), rel=1e-5)
+    if spare == 20:  # over the words and the unseen ones the probabilities of a history add up to 1
+        seen = [w for w in before if w != "zz"]
+        assert sum(p("a", w) for w in seen) + unseen * sum(c == 1 for c in before.values()) * sum(d[min(c, 3)] for (a, _), c in big.items() if a == "a") / sum(c for (a, _), c in big.items() if a == "a") == pytest.approx(1)
+
+
+def test_thresholds_are_quantiles_of_held_out_documents(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = {r.doc_id: r for r in perplexity.perplexities(docs, labels).collect()}
+    value = lambda r: round(math.exp(-r.log_prob / (r.n_tokens + 1)), 4)
+    held = defaultdict(list)
+    for r in scored.values():
+        if r.sample == 2 and r.n_tokens:
+            held[r.lang].append(value(r))
+    limit = {g: sorted(x)[math.ceil(0.99 * len(x)) - 1] for g, x in held.items() if len(x) >= perplexity.LEAST_HELD_OUT}
+    assert len(limit) >= 3
+    for r in perplexity.quality(docs, labels).collect():
+        t = limit.get(r.lang)
+        assert (r.threshold is None) == (t is None) and (t is None or r.threshold == pytest.approx(t, rel=1e-4))
+        if r.perplexity is not None:
+            assert r.perplexity == pytest.approx(value(scored[r.doc_id]), rel=1e-3)
+            assert r.keep == (r.threshold is None or r.perplexity <= r.threshold)
+    few = perplexity.quality(docs, labels, least=10**6).collect()
+    assert all(r.threshold is None and r.keep for r in few)
 
 
 def test_quality_separates_held_out_labels(spark, sf_dir):
@@ -163,7 +294,7 @@ def test_quality_separates_held_out_labels(spark, sf_dir):
 
 
 def test_licence_expressions():
-    cases = {"MIT": 2, "GPL-3.0-only": 0, "MIT OR GPL-3.0-only": 2, "MIT AND GPL-3.0-only": 0, "MIT OR GPL-3.0 AND GPL-2.0": 2, "(MIT OR GPL-3.0) AND GPL-2.0": 0, "GPL-2.0 WITH Classpath-exception-2.0": 2, "GPL-2.0 with other-exception": 0, "Foo": 1, "Foo OR MIT": 2, "Foo AND MIT": 1, "MIT OR": 1, "(MIT": 1, "MIT) ": 1, "": 1, "apache-2.0+": 2, "MIT Foo": 1}
+    cases = {"MIT": 2, "GPL-3.0-only": 0, "MIT OR GPL-3.0-only": 2, "MIT AND GPL-3.0-only": 0, "MIT OR GPL-3.0 AND GPL-2.0": 2, "(MIT OR GPL-3.0) AND GPL-2.0": 0, "GPL-2.0 WITH Classpath-exception-2.0": 2, "GPL-2.0 with other-exception": 0, "CC-BY-NC-4.0 WITH GCC-exception-3.1": 0, "GPL-2.0 WITH GCC-exception-3.1": 0, "GPL-3.0-or-later WITH GCC-exception-3.1": 2, "Foo WITH LLVM-exception": 1, "(MIT AND GPL-3.0) WITH GCC-exception-3.1": 0, "Foo": 1, "Foo OR MIT": 2, "Foo AND MIT": 1, "MIT OR": 1, "(MIT": 1, "MIT) ": 1, "": 1, "apache-2.0+": 2, "MIT Foo": 1}
     for text, value in cases.items():
         assert licenses.evaluate(text) == value, text
     assert licenses.identifiers("MIT OR (GPL-2.0 WITH Classpath-exception-2.0 AND ISC)") == ["MIT", "GPL-2.0", "ISC"]
@@ -180,9 +311,44 @@ def test_licences_of_all_documents(spark, sf_dir, table):
         assert got[i][1] == (not any(n.lower() in licenses.DENIED for n in names))
 
 
+def test_a_hundred_thousand_tags_take_linear_time():
+    import time
+
+    for unit in ("license: MIT ", "license: MIT\n", "all rights reserved "):
+        took = []
+        for n in (25_000, 100_000):
+            began = time.time()
+            licenses.judge(unit * n)
+            took.append(time.time() - began)
+        assert took[1] < 12 * took[0] + 0.5
+    assert licenses.judge("license: MIT license: GPL-3.0-only\nSPDX-License-Identifier: ISC")[:3] == (["GPL-3.0-only", "ISC", "MIT"], ["MIT", "GPL-3.0-only", "ISC"], "deny")
+
+
 def test_sliced_benchmark_gives_the_same(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    assert rows_of(contamination.contamination(docs, bench)) == rows_of(contamination.contamination(docs, bench, slice_ngrams=100))
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    few = spark.createDataFrame([(900, "alpha beta"), (901, "gamma"), (902, "!")], "item_id long, text string")
+    more = spark.createDataFrame([(None, "x\nAlpha, beta.\ny"), (7001, "x alpha beta"), (7002, "gamma"), (7001, "gamma\nalpha\nbeta")], "doc_id long, text string")
+    docs, bench = docs.select("doc_id", "text").unionByName(more), bench.unionByName(few)
+    want = rows_of(contamination.contamination(docs, bench))
+    for size in (100, 3000):
+        assert rows_of(contamination.contamination(docs, bench, slice_ngrams=size)) == want
+        assert rows_of(contamination.decontaminate(docs, bench, slice_ngrams=size)) == rows_of(contamination.decontaminate(docs, bench))
+    found = {(r.doc_id, r.text): r for r in contamination.contamination(more, few).collect()}
+    assert sorted((r.doc_id or 0, tuple(r.items), r.span_words, r.dropped) for r in found.values()) == [(0, (900,), 2, False), (7001, (), 0, False), (7001, (901,), 1, False), (7002, (901,), 1, True)]
+    assert (None, "x\n.\ny") in found
+    assert sum(r.contaminated for r in contamination.contamination(docs, bench).collect() if r.doc_id is None) > 1
+
+
+def test_short_items_by_sql(spark, duck):
+    docs = spark.createDataFrame([(1, "one two\nthree"), (2, "a one two"), (3, "Three"), (4, "b\n ONE, two! \n\nthree\nc d e f")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "One two"), (2, "three"), (3, "one two three")], "item_id long, text string")
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    c.register("benchmark", bench.toPandas())
+    assert rows_of(contamination.contamination(docs, bench)) == rows_of_sql(c, SQL["op6_decontamination"])[1]
 
 
 @pytest.mark.parametrize("payload,layout,turns", [
@@ -192,7 +358,7 @@ def test_sliced_benchmark_gives_the_same(spark, sf_dir):
     ('{"instruction": "do", "input": "x", "output": "y"}', "instruction_input", [("user", "do\n\nx"), ("assistant", "y")]),
     ('{"instruction": "do", "output": "y"}', "instruction", [("user", "do"), ("assistant", "y")]),
     ('{"context": "c", "question": "q", "answer": "a"}', "context_question_answer", [("system", "c"), ("user", "q"), ("assistant", "a")]),
-    ('{"data": {"question": "q", "answers": [{"text": "a"}, {"text": "b"}]}}', "nested_qa", [("user", "q"), ("assistant", "a")]),
+    ('{"data": {"question": "q", "answers": [{"text": "a"}, {"text": "b"}]}}', "nested_qa", [("user", "q"), ("assistant", "a"), ("assistant", "b")]),
 ])
 def test_chat_layouts(spark, payload, layout, turns):
     r = chats.format_records(spark.createDataFrame([("1", payload)], "record_id string, payload string")).first()
@@ -221,19 +387,31 @@ def test_bins_are_as_full_as_can_be():
 
 
 def test_packing_covers_every_token(spark, sf_dir, table):
-    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), group=64).collect()
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), group_chars=20_000).collect()
     by, bins = defaultdict(list), defaultdict(list)
     for r in pieces:
-        by[r.doc_id].append((r.start_token, r.n_tokens))
+        by[r.doc_id].append(r)
         bins[r.bin_id].append(r)
+        assert len(TOKEN.findall(r.text)) == r.n_tokens
     for i, text in zip(table.doc_id, table.text):
-        n = len(re.findall(r"[^\W_]+|[^\w\s]|_", text))
-        at = 0
-        for start, size in sorted(by[i]):
-            assert start == at
-            at += size
-        assert at == n
-    assert all(sum(r.n_tokens for r in b) == b[0].bin_tokens <= packing.CAPACITY and sorted(r.slot for r in b) == list(range(len(b))) for k, b in bins.items() if k is not None)
+        own = sorted(by[i], key=lambda r: r.piece)
+        assert "".join(r.text for r in own) == text and [r.start_char for r in own] == [sum(len(x.text) for x in own[:k]) for k in range(len(own))]
+        assert [r.start_token for r in own] == [k * packing.CAPACITY for k in range(len(own))]
+        assert sum(r.n_tokens for r in own) == len(TOKEN.findall(text))
+    for k, b in bins.items():
+        if k is not None:
+            b.sort(key=lambda r: r.slot)
+            assert [r.slot for r in b] == list(range(len(b)))
+            assert len(TOKEN.findall(" ".join(r.text for r in b))) == sum(r.n_tokens for r in b) == b[0].bin_tokens <= packing.CAPACITY
+    assert len({k >> 24 for k in bins if k is not None}) > 5
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"))
+    for rows in (same, same.withColumn("doc_id", F.lit(5).cast("long"))):
+        got = packing.pack(rows.repartition(4), group_chars=20_000).collect()
+        groups = Counter(r.bin_id >> 24 for r in got)
+        assert len(got) == 4000 and len(groups) > 10 and max(groups.values()) < 3 * 4000 / len(groups)
 
 
 def brute_repeats(rows, length):
@@ -256,29 +434,69 @@ def test_repeats_against_brute_force(spark):
     assert got[2].text == "x  y " and got[1].text == rows[0][1] and got[1].has_repeat
 
 
-def test_nearest_examples_are_exact(table, spark, sf_dir):
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/labels.parquet").collect()}
-    big = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").toPandas()
-    big = big[big.doc_id.isin(list(toxic))].sort_values("doc_id").head(1500)
-    ids, texts = big.doc_id.tolist(), big.text.tolist()
-    m = toxicity.Model(ids, [toxic[i] for i in ids], toxicity.features(texts), 5)
-    assert len(m.terms)
-    dense = np.zeros((len(m.ids), len(m.terms)))
-    for t in range(len(m.terms)):
-        dense[m.row[m.start[t] : m.start[t + 1]], t] = m.weight[m.start[t] : m.start[t + 1]]
-    tried = 0
-    for i, (query, _) in zip(ids, m.queries(texts)):
-        if not query:
-            continue
-        q = np.zeros(len(m.terms))
-        for t, c in query:
-            q[t] = (1 + math.log(c)) * m.idf[t]
-        sims = np.round(dense @ (q / np.linalg.norm(q)), 9)
-        want = [k for k in np.lexsort((np.arange(len(sims)), -sims)) if sims[k] > 0 and m.ids[k] != i][:5]
-        row, sim = m.nearest(query, i)
-        assert np.allclose(sim, sims[want], atol=2e-9) and (len(set(sims[want])) < 5 or row.tolist() == want)
-        tried += 1
-    assert tried > 20
+@pytest.mark.parametrize("windows", [2_000_000, 50, 7])
+def test_repeats_of_hot_windows_in_any_batches(spark, monkeypatch, windows):
+    """A third of all documents share a passage; batches of any size give the same, rows that share a doc_id too."""
+    monkeypatch.setattr(substrings, "_BATCH_WINDOWS", windows)
+    rng = np.random.default_rng(11)
+    hot = " ".join(f"h{i}" for i in range(9))
+    rows = []
+    for i in range(120):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 12, 12))
+        rows.append((int(rng.permutation(1000)[0]) * 1000 + i, f"{own} {hot} {own[:20]}" if i % 3 == 0 else own))
+    got = {r.doc_id: r.removed_words for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()}
+    assert got == brute_repeats(rows, 4)
+    twice = [(1, "a b c d e"), (1, "a b c d e"), (1, "z a b c d e"), (2, "a b c d e"), (2, "a b c d e")]
+    got = sorted((r.doc_id, r.text, r.removed_words) for r in substrings.repeats(spark.createDataFrame(twice, "doc_id long, text string").repartition(2), 3).collect())
+    # (1, place 0) is first of a b c twice; in z a b c d e each window but z a b is later
+    assert got == [(1, "a b c d e", 0), (1, "a b c d e", 0), (1, "z ", 5), (2, "", 5), (2, "", 5)]
+
+
+def brute_neighbours(m, query, own):
+    """Against the full vectors of all examples."""
+    t, v = query
+    full = np.zeros(len(m.terms))
+    full[t] = v
+    rows = np.repeat(np.arange(len(m.ids)), np.diff(m.first))
+    sims = np.round(np.bincount(rows, m.by.astype(float) * full[m.of], len(m.ids)), 9)
+    order = [k for k in np.lexsort((m.ids, -sims)) if sims[k] > 0 and m.ids[k] != own]
+    return order[: m.k], sims[order[: m.k]]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where("text is not null and toxic is not null").select("doc_id", "toxic", "text")
+    return sorted(tuple(r) for r in rows.collect())
+
+
+@pytest.mark.parametrize("k", [5, 25])
+def test_nearest_examples_are_exact(labelled, k):
+    ids, toxic, texts = zip(*labelled)
+    m = toxicity.Model(list(ids), list(toxic), toxicity.features(list(texts)), k)
+    tried, opened = 0, []
+    for at in range(0, 640, 64):
+        asked = [q for q, _ in m.queries(list(texts[at : at + 64]))]
+        for i, query, (row, sim) in zip(ids[at : at + 64], asked, m.neighbours(asked, list(ids[at : at + 64]))):
+            want, sims = brute_neighbours(m, query, i)
+            assert row.tolist() == [int(x) for x in want] and np.allclose(sim, sims, atol=2e-9)
+            tried += len(row) > 0
+        opened.append(m.opened.mean())
+    assert tried > 500 and np.mean(opened) < 0.9  # blocks are pruned
+
+
+def test_ties_go_to_the_smaller_id():
+    texts = ["alpha beta gamma delta"] + [f"alpha beta w{i} x{i}" for i in range(60)]
+    ids = [1000, *range(60, 0, -1)]
+    m = toxicity.Model(ids, [1] + [i % 2 for i in range(60)], toxicity.features(texts), 7)
+    (query, _), *_ = m.queries(["alpha beta"])
+    m.idf[:] = 1.0
+    row, sim = m.nearest(query, None)
+    want, sims = brute_neighbours(m, query, None)
+    assert row.tolist() == [int(x) for x in want] and len(set(sim.tolist())) < 7
+    for tie in set(sim.tolist()):
+        same = [int(m.ids[r]) for r, s in zip(row, sim) if s == tie]
+        assert same == sorted(same)
 
 
 def test_texts_without_telling_words_find_their_copies():
@@ -286,7 +504,14 @@ def test_texts_without_telling_words_find_their_copies():
     m = toxicity.Model(list(range(40)), [int(i == 7) for i in range(40)], toxicity.features(texts), 5)
     (query, names), *_ = m.queries([texts[7]])
     row, sim = m.nearest(query, None)
-    assert names == [] and m.ids[row[0]] == 7 and sim[0] == 1 and len(row) == 5
+    assert names == [] and m.ids[row[0]] == 7 and sim[0] == pytest.approx(1, abs=1e-6) and len(row) == 5
+
+
+def test_documents_with_one_id_and_several_texts_dont_vote_for_themselves():
+    texts = [f"word{i} stands with some other{i % 3} words" for i in range(50)]
+    m = toxicity.Model([1, 1, 1, *range(10, 57)], [i % 2 for i in range(50)], toxicity.features(texts), 5)
+    row, _ = m.nearest(m.queries([texts[0]])[0][0], 1)
+    assert len(row) == 5 and 1 not in m.ids[row]
 
 
 def test_only_copies_with_the_same_label_collapse():
@@ -294,7 +519,7 @@ def test_only_copies_with_the_same_label_collapse():
     texts = [shared + " ".join(f"own{i}x{j}" for j in range(40)) for i in range(12)]
     texts += [texts[0] + " changed", texts[1] + " changed"]
     m = toxicity.Model(list(range(14)), [0, 0, *[i % 2 for i in range(10)], 0, 1], toxicity.features(texts))
-    assert m.ids.tolist() == [*range(12), 13]
+    assert sorted(m.ids.tolist()) == [*range(12), 13]
 
 
 def test_wrapped_notices_are_found():
@@ -312,11 +537,18 @@ def test_isotonic():
     assert x.tolist() == [1, 2, 4] and y.tolist() == [0, 0.5, 1]
 
 
-def test_toxic_documents_are_caught(spark, sf_dir):
+def test_toxic_documents_are_caught(spark, sf_dir, labelled):
+    """Labels of even documents fit and calibrate; those of odd ones judge."""
     d = sf_dir.replace("sf0.001", "sf0.1")
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    rows = [r for r in toxicity.op10_toxicity(spark, d).collect() if r.doc_id in toxic]
-    assert np.mean([r.toxic for r in rows if toxic[r.doc_id]]) >= 0.9 and np.mean([r.toxic for r in rows if not toxic[r.doc_id]]) <= 0.03
+    toxic = {i: y for i, y, _ in labelled}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("doc_id % 2 = 0")
+    rows = [r for r in toxicity.toxicity(docs.where("doc_id % 2 = 1").unionByName(docs.where("doc_id % 2 = 0")), labels).collect() if r.doc_id % 2 and r.doc_id in toxic]
+    assert len(rows) > 1500
+    assert np.mean([r.toxic for r in rows if toxic[r.doc_id]]) >= 0.85 and np.mean([r.toxic for r in rows if not toxic[r.doc_id]]) <= 0.02
+    # calibrated: what is given at least one half is toxic at least every third time
+    sure = [toxic[r.doc_id] for r in rows if r.toxicity >= 0.5]
+    assert np.mean(sure) > 0.8
 
 
 def test_pipeline_against_brute_force(spark, sf_dir, table):
@@ -346,15 +578,17 @@ def test_pipeline_against_brute_force(spark, sf_dir, table):
         w = [x for k, x in enumerate(w) if k not in gone]
         hit = {k + j for n, known in keys.items() for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in known for j in range(n)}
         if len(hit) * 2 <= len(w):
-            want[i] = len(w) - len(hit)
+            want[i] = [x for k, x in enumerate(w) if k not in hit]
         assert len(spans_) == len(w) + len(gone)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    kept = {r.doc_id: len(words(r.text)) for r in docs.collect()}
-    assert kept == want
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(want)
+    assert {r.doc_id: words(r.text) for r in docs.collect()} == want
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        pieces[r.doc_id].append((r.piece, r.text))
+    assert {i: words("".join(t for _, t in sorted(x))) for i, x in pieces.items()} == want
 
 
 def test_windows_stay_in_their_text():
