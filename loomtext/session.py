@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of what is no longer needed once rows are stored: Spark frees shuffle files when the driver has collected what refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets go of what is no longer needed once rows are stored: Spark frees shuffle files when the driver has collected what refers to them.
+
+    A shuffle before another one is freed a round later.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
