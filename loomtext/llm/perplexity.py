@@ -16,10 +16,12 @@ tokens and bigrams alike, in a table of values, and everything about it is shard
 - bigram counts go, summed over a batch, to shards by the bigram's hash;
 - each of these sends its tokens' partial sums to shards by the token's hash, which return the whole sums, so a frequent
   token costs one entry a shard;
-- scoring tasks send each shard its keys with the documents they are in (about four bytes a token), and shards
-  turn sums into values and answer with one number a document and batch.
+- bigram shards turn sums into values;
+- scoring tasks send each shard its keys with the documents they are in, and shards
+  answer with one number a document and batch.
 
-Nothing that grows with the corpus is broadcast or comes to the driver, only sums do: counts of counts and of tokens.
+What makes up ``FREQUENT`` of training or more, which at most 1 / ``FREQUENT`` tokens and as many bigrams can, is broadcast with its values,
+and isn't sent. Nothing that grows with the corpus is broadcast or comes to the driver.
 Text is read and never shuffled. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
 that it has about once in a million lookups, at any size.
 
@@ -36,6 +38,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +49,12 @@ from loomtext.session import cut, read, release
 U = np.uint64
 QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
 START, END = U(1), U(2)
+FREQUENT = 2e-6
 _BATCH_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 1 << 24, 20
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "uid", "kind", "a", "b", "c"]
-COUNTS, STATS, LEVELS, TOKENS, REQUEST, BATCH, ANSWER = range(7)
+COUNTS, STATS, LEVELS, TOKENS, VALUES, OFTEN, REQUEST, BATCH, ANSWER = range(9)
 SUMS = 16  # kinds from here on are sums, in uid
 
 
@@ -238,7 +242,8 @@ class Constants:
         self.distinct = max(1, bigram[4])
         off = self.low[1] * token[0] + self.low[2] * token[1] + self.low[3] * token[4]
         self.unseen = off / self.distinct / max(1, token[0]) if off else 1.0
-        self.bits = min(64, _SPARE_BITS + int(bigram[5]).bit_length())
+        self.bits = max(32, min(64, _SPARE_BITS + int(bigram[5]).bit_length()))
+        self.often = FREQUENT * bigram[5]
 
     def short(self, key: np.ndarray) -> np.ndarray:
         return key >> U(64 - self.bits)
@@ -251,9 +256,20 @@ class Constants:
         return np.maximum(np.where(before > 0, (before - self.low[np.minimum(before, 3)]) / self.distinct, self.unseen), 1e-300)
 
 
-def _values(k: Constants, buckets: int, counts: tuple | None, levels: dict[int, bytes], tokens_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending short keys of a shard's bigrams and tokens, and their values."""
-    keys, values = [np.zeros(0, U)], [np.zeros(0)]
+def _values(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short keys of a shard's bigrams and tokens, ascending, and their values; and those of frequent ones once more."""
+    part, counts, levels, blobs = None, None, {}, []
+    for batch in it:
+        for part, uid, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if kind == COUNTS:
+                counts = _unpack_counts(blob)
+            elif kind == LEVELS:
+                levels[uid] = blob
+            else:
+                blobs.append(blob)
+    if part is None:
+        return
+    keys, values, often = [np.zeros(0, U)], [np.zeros(0)], [np.zeros(0, bool)]
     if counts:
         u, v, n = counts
         w = np.unique(np.concatenate([u, v]))
@@ -263,33 +279,45 @@ def _values(k: Constants, buckets: int, counts: tuple | None, levels: dict[int,
         mass, q = k.mass(*whole[:3]), k.q(whole[3])
         keys.append(bigram_key(u, v))
         values.append(np.log1p((n - k.top[np.minimum(n, 3)]) / np.maximum(mass[np.searchsorted(w, u)] * q[np.searchsorted(w, v)], 1e-300)))
-    for blob in tokens_of:
+        often.append(n >= k.often)
+    for blob in blobs:
         w, *stats = _unzip(blob)
         total, once, twice, more, before = (K.unpack_ints(x).astype(np.int64) for x in stats)
         keys.append(token_key(K.unpack_sorted(w)))
         values.append(np.log(k.q(before) / k.unseen) + np.where(total > 0, np.log(k.mass(once, twice, more) / np.maximum(total, 1)), 0.0))
-    key, value = np.concatenate(keys), np.concatenate(values)
+        often.append(total >= k.often)
+    key, value, often = np.concatenate(keys), np.concatenate(values).astype("<f4"), np.concatenate(often)
     order = np.argsort(key)
-    return k.short(key[order]), value[order]
+    key, value, often = k.short(key[order]), value[order], often[order]
+    yield _row([(part, 0, VALUES, _zip(K.pack_sorted(key), value.tobytes()), None, None)])
+    yield _row([(part, 0, OFTEN, _zip(K.pack_sorted(key[often]), value[often].tobytes()), None, None)])
+
+
+def _unpack_values(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_unzip(x) for x in blobs]
+    key = np.concatenate([np.zeros(0, U), *(K.unpack_sorted(x) for x, _ in parts)])
+    value = np.concatenate([np.zeros(0), *(np.frombuffer(x, "<f4") for _, x in parts)])
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
 
 
 # -- scoring ------------------------------------------------------------------------------------
 
 
-def _ordered(k: Constants, buckets: int, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Short keys, ascending, their texts, ascending within a key, and where each shard begins."""
+def _ordered(k: Constants, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Short keys, ascending, and their texts, ascending within a key."""
     room = int(d.max() if len(d) else 0).bit_length()
-    if 32 <= k.bits <= 64 - room:  # both in one number, and the key's head, which shards go by, too
+    if k.bits <= 64 - room:  # both in one number
         both = k.short(g) << U(room)
         both |= d.astype(U)
         both.sort()
-        g, d = both >> U(room), (both & U((1 << room) - 1)).astype(np.int64)
-        return g, d, K.split_at(K.bucket_of(g << U(64 - k.bits), buckets), buckets)
-    order = np.lexsort((d, k.short(g), K.bucket_of(g, buckets)))
-    return k.short(g[order]), d[order].astype(np.int64), K.split_at(K.bucket_of(g[order], buckets), buckets)
+        return both >> U(room), (both & U((1 << room) - 1)).astype(np.int64)
+    g = k.short(g)
+    order = np.lexsort((d, g))
+    return g[order], d[order].astype(np.int64)
 
 
-def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _requests(k: Constants, frequent: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``it``: doc_id, text, lang, sample. A batch's keys for each shard, and a record of the batch."""
     metas: list[pa.RecordBatch] = []
     keys, docs, sizes = [], [], []
@@ -302,7 +330,20 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         ids = meta["doc_id"].fill_null(0).to_numpy().view(U)
         place = lambda x: K.mix(np.arange(1, len(x) + 1, dtype=U) << U(32))
         uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
-        g, d, at = _ordered(k, buckets, g, d)
+        g, d = _ordered(k, g, d)
+        # what the task knows itself needn't be asked
+        often, value = frequent.value
+        first = _runs(g)
+        size = np.diff(np.append(first, len(g)))
+        at = np.minimum(np.searchsorted(g[first], often), max(0, len(first) - 1))
+        hit = g[first][at] == often if len(first) else np.zeros(0, bool)
+        known, worth = np.zeros(len(first), bool), np.zeros(len(first))
+        known[at[hit]], worth[at[hit]] = True, value[hit]
+        known, worth = np.repeat(known, size), np.repeat(worth, size)
+        base = np.bincount(d[known], worth[known], len(n))
+        g, d = g[~known], d[~known]
+        del known, worth
+        at = K.split_at(K.bucket_of(g << U(64 - k.bits), buckets), buckets)
         rows = []
         for b in np.flatnonzero(np.diff(at)):
             own, of = g[at[b] : at[b + 1]], d[at[b] : at[b + 1]]
@@ -313,7 +354,7 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, meta.schema) as out:
             out.write_table(meta)
-        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), K.pack_ints(n), None))
+        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), K.pack_ints(n), base.astype("<f4").tobytes()))
         return _row(rows)
 
     size = count = 0
@@ -338,24 +379,15 @@ def _requests(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Itera
         yield flush()
 
 
-def _answer(k: Constants, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, levels, tokens_of, waiting = None, {}, [], []
+def _answer(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables, waiting = [], []
     for batch in it:
         kind = batch.column(2).to_numpy()
         if (kind == BATCH).any():
             yield batch.filter(pa.array(kind == BATCH))
-        for i in np.flatnonzero(kind != BATCH):
-            part, uid, blob = (batch.column(c)[i].as_py() for c in (0, 1, 3))
-            if kind[i] == COUNTS:
-                counts = _unpack_counts(blob)
-            elif kind[i] == LEVELS:
-                levels[uid] = blob
-            elif kind[i] == TOKENS:
-                tokens_of.append(blob)
-            else:
-                waiting.append((part, uid, blob))
-    key, value = _values(k, buckets, counts, levels, tokens_of)
-    del counts, levels, tokens_of
+        tables += [batch.column(3)[i].as_py() for i in np.flatnonzero(kind == VALUES)]
+        waiting += [tuple(batch.column(c)[i].as_py() for c in (0, 1, 3)) for i in np.flatnonzero(kind == REQUEST)]
+    key, value = _unpack_values(tables)
     if not len(key):
         return
     for part, uid, blob in waiting:
@@ -377,12 +409,12 @@ def _combine(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         _, uid, kind, a, b, c = (batch.column(i).to_pylist() for i in range(6))
         for i in range(batch.num_rows):
             if kind[i] == BATCH:
-                batches.append((uid[i], a[i], b[i]))
+                batches.append((uid[i], a[i], b[i], c[i]))
             else:
                 answers.setdefault(uid[i], {})[c[i]] = a[i]
-    for uid, meta, n in batches:
+    for uid, meta, n, base in batches:
         n = K.unpack_ints(n).astype(np.int64)
-        total = np.where(n > 0, (n + 1) * np.log(k.unseen), 0.0)
+        total = np.where(n > 0, (n + 1) * np.log(k.unseen), 0.0) + np.frombuffer(base, "<f4")
         for _, blob in sorted(answers.get(uid, {}).items()):
             got = np.frombuffer(zlib.decompress(blob), "<f4")
             total[: len(got)] += got
@@ -416,11 +448,15 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return df.repartitionById(buckets, F.col("part")).mapInArrow(f, _ROW)
 
     train = rows.where("sample = 1 and text is not null").select("doc_id", "text")
-    model = cut(exchange(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)), _merge))
-    k = Constants(_added(model, 11))
+    sums = cut(exchange(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)), _merge))
+    k = Constants(_added(sums, 11))
+    model = cut(exchange(sums.where(f"kind < {SUMS}"), partial(_values, k, buckets)))
+    del sums
     release(docs.sparkSession)
-    asked = rows.mapInArrow(partial(_requests, k, buckets), _ROW).unionByName(model.where(f"kind < {SUMS}"))
-    answers = exchange(asked, partial(_answer, k, buckets))
+    often = model.where(f"kind = {OFTEN}").select("a").toArrow()["a"].to_pylist()
+    frequent = docs.sparkSession.sparkContext.broadcast(_unpack_values(often))
+    asked = rows.mapInArrow(partial(_requests, k, frequent, buckets), _ROW).unionByName(model.where(f"kind = {VALUES}"))
+    answers = exchange(asked, partial(_answer, buckets))
     return answers.repartitionById(buckets, F.col("part")).mapInArrow(partial(_combine, k), "doc_id long, lang string, sample int, n_tokens long, log_prob double")
 
 
