@@ -84,3 +84,51 @@ def iso_time(ts: Column) -> Column:
 def digits_time(ts: Column) -> Column:
     """Seventeen digits, down to milliseconds."""
     return F.date_format(ts, "yyyyMMddHHmmssSSS")
+
+
+#: Charsets that are decoded, by how declarations call them.
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "windows-1252": "windows-1252", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+UNDECODABLE = "charset not known"
+
+
+def decode(data: Column, charset: Column) -> Column:
+    """Bytes as text: by their byte order mark, else in the declared charset, else as UTF-8; what UTF-8 doesn't allow becomes
+    replacement characters, and an unknown charset ``UNDECODABLE``."""
+    name = F.lower(F.trim(charset))
+    head = F.hex(F.substring(data, 1, 3))
+    utf8 = F.make_valid_utf8(data.cast("string"))
+    out = F.when(data.isNull(), F.lit(None).cast("string")).when(head == "EFBBBF", F.make_valid_utf8(F.substring(data, 4, 2147483647).cast("string")))
+    out = out.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(data, "UTF-16"))
+    out = out.when(name.isNull() | name.isin("utf-8", "utf8", "us-ascii", ""), utf8)
+    for declared, charset_name in CHARSETS.items():
+        if charset_name != "UTF-8":
+            out = out.when(name == declared, F.decode(data, charset_name))
+    return out.otherwise(F.lit(UNDECODABLE))
+
+
+def declared_charset(html: Column) -> Column:
+    """The charset that a page declares in its head, or null."""
+    found = F.regexp_extract(html, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def engineering(x: Column) -> Column:
+    """A number with up to nine digits and an exponent that is a multiple of three; none for an exponent of 0."""
+    exponent = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)) / 3) * 3).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x / F.pow(F.lit(10.0), exponent)), r"0+$", ""), r"\.$", "")
+    return F.when(exponent == 0, digits).otherwise(F.concat(digits, F.lit("E"), F.when(exponent < 0, F.format_string("-%02d", -exponent)).otherwise(F.format_string("%02d", exponent))))
+
+
+def show_blanks(text: Column) -> Column:
+    """White space written as letters after a backslash."""
+    for char, letter in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(char), F.lit(letter))
+    return text
+
+
+def in_ranges(x: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a number lies in one of some closed ranges."""
+    out = F.lit(False)
+    for low, high in ranges:
+        out = out | x.between(low, high)
+    return out

@@ -39,21 +39,72 @@ def prioritize(links: DataFrame, bounds: tuple[float, float, float] = BOUNDS) ->
     return out.withColumns({"cost": cost(F.col("perp"), F.col("directive"), bounds), "rejected": F.col("directive").isNull()})
 
 
-def nearest_scored(links: DataFrame) -> DataFrame:
-    """uri, source and perp: the nearest page, the uri itself or up its ``via`` chain, that has a perplexity.
+def resolve(links: DataFrame, ends: Column) -> DataFrame:
+    """uri, target and hops: the nearest page, the uri itself or up its ``via`` chain, for which ``ends`` holds, and how far it is.
 
     Pointers jump to their pointers' pointers each round, so a chain of n links takes log2 n rounds. Chains that
-    end, or run in circles, without a perplexity have null.
+    end, or run in circles, without such a page have null.
     """
-    state = cut(links.select("uri", F.when(F.col("perp").isNotNull(), F.col("uri")).otherwise(F.col("via")).alias("source"), "perp"))
-    open_ = F.col("perp").isNull() & F.col("source").isNotNull()
+    ended = F.coalesce(ends, F.lit(False))
+    state = cut(links.select("uri", F.when(ended, F.col("uri")).otherwise(F.col("via")).alias("target"), F.when(ended, 0).otherwise(1).cast("long").alias("hops"), ended.alias("done")))
+    open_ = ~F.col("done") & F.col("target").isNotNull()
     for _ in range(state.count().bit_length() + 1):
         if state.where(open_).isEmpty():
             break
-        up = state.select(F.col("uri").alias("source"), F.col("source").alias("next"), F.col("perp").alias("up_perp"))
-        joined = state.join(up, "source", "left")
-        state = cut(joined.select("uri", F.when(open_, F.col("next")).otherwise(F.col("source")).alias("source"), F.when(open_, F.col("up_perp")).otherwise(F.col("perp")).alias("perp")))
-    return state.select("uri", F.when(F.col("perp").isNotNull(), F.col("source")).alias("source"), "perp")
+        up = state.select(F.col("uri").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"), F.col("done").alias("up_done"))
+        joined = state.join(up, "target", "left")
+        jump = lambda new, old: F.when(open_, new).otherwise(old)
+        state = cut(joined.select("uri", jump(F.col("next"), F.col("target")).alias("target"), jump(F.col("hops") + F.col("more"), F.col("hops")).alias("hops"), jump(F.coalesce("up_done", F.lit(False)), F.col("done")).alias("done")))
+    return state.select("uri", F.when(F.col("done"), F.col("target")).alias("target"), F.when(F.col("done"), F.col("hops")).alias("hops"))
+
+
+def nearest_scored(links: DataFrame) -> DataFrame:
+    """uri, source and perp: the nearest page, the uri itself or up its ``via`` chain, that has a perplexity, or null."""
+    found = resolve(links, F.col("perp").isNotNull()).select("uri", F.col("target").alias("source"))
+    return found.join(links.select(F.col("uri").alias("source"), "perp"), "source", "left").select("uri", "source", "perp")
+
+
+def schedule(links: DataFrame, bounds: tuple[float, float, float] = BOUNDS, most: float = MOST) -> DataFrame:
+    """uri, perp_via, directive, cost and rejected, of links (uri, via, perp, is_seed, is_robots, is_prerequisite) that are to be fetched.
+
+    A seed has a perplexity of its own. Any other link inherits from the nearest page up its chain that has one; a seed without one passes
+    on 3 and one more for each step, a robots file the worst that isn't rejected. Each step makes a link cheaper by one, down to
+    nothing; a prerequisite goes one level up. Links whose chains lead nowhere have null.
+    """
+    ends = F.col("perp").isNotNull() | F.col("is_seed") | F.col("is_robots")
+    found = resolve(links, ends).withColumnRenamed("uri", "via")
+    pages = links.select(F.col("uri").alias("target"), F.col("perp").alias("target_perp"), F.col("is_seed").alias("target_seed"))
+    walked = links.join(found, "via", "left").join(pages, "target", "left")
+    steps = F.when(F.col("is_seed"), 0).when(F.col("target_perp").isNotNull(), F.col("hops")).otherwise(F.col("hops") + 1)
+    value = F.when(F.col("is_seed"), F.lit(SEED_PERPLEXITY)).when(F.col("target_perp").isNotNull(), F.col("target_perp"))
+    value = value.when(F.col("target_seed"), F.col("hops") + SEED_PERPLEXITY + 1).when(F.col("target").isNotNull(), F.lit(min(most, bounds[2]) - 1))
+    known = walked.select("uri", "is_prerequisite", value.alias("perp_via"), steps.alias("steps"))
+    level = F.when(F.col("perp_via").isNotNull(), directive(F.col("perp_via"), bounds))
+    priced = known.withColumn("level", level).withColumn("cost", F.greatest(cost(F.col("perp_via"), F.col("level"), bounds, most) - F.col("steps"), F.lit(0)).cast("int"))
+    up = F.when(F.col("is_prerequisite"), F.greatest(F.col("level") - 1, F.lit(HIGHEST))).otherwise(F.col("level"))
+    return priced.select("uri", "perp_via", up.cast("int").alias("directive"), F.when(F.col("level").isNotNull(), F.col("cost")).alias("cost"), F.col("level").isNull().alias("rejected"))
+
+
+def halved(cost_: Column, cheaper: Column) -> Column:
+    """The older rule: redirects and prerequisites cost half."""
+    return F.when(cheaper, F.floor(cost_ / 2)).otherwise(cost_).cast("int")
+
+
+def fetched(status: Column, size: Column, extracted: Column) -> Column:
+    """Whether a page was fetched with content and its links were extracted."""
+    return extracted & (size > 0) & status.between(200, 207)
+
+
+KINDS = {"robots": (r"(?i)/robots\.txt$", r"^text/plain"), "html": (r"(?i)(\.x?html?|/|/[^./]*)$", r"(?i)^(text/html|application/xhtml)"), "pdf": (r"(?i)\.pdf$", r"(?i)^application/pdf")}
+
+
+def content_kind(path: Column, content_type: Column) -> Column:
+    """robots, html or pdf by the type that the server declares, or by the path where it declares none; else other."""
+    out = F.when(path.rlike(KINDS["robots"][0]), F.lit("robots"))
+    for name in ("html", "pdf"):
+        by_path, by_type = KINDS[name]
+        out = out.when(F.when(content_type.isNotNull(), content_type.rlike(by_type)).otherwise(path.rlike(by_path)), F.lit(name))
+    return out.otherwise(F.lit("other"))
 
 
 def assigned(prioritized: DataFrame) -> DataFrame:

@@ -15,12 +15,14 @@ no UDF is used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import ngrams as N
 from loomtext.operators import counting
-from loomtext.session import sized
+from loomtext.session import cut, sized
 
 _UNSEEN = "(d1 / u / b2)"
 _UNIFORM = "(d1 / b2 / (u + 1))"
@@ -215,6 +217,60 @@ def scored(grams: DataFrame, known: DataFrame, coc: DataFrame, model: str, disco
     return looked.select("ngram", probability(model, n, unknown).alias("p"), (F.col("c1") == 0).alias("oov_last"))
 
 
+def _arpa(k: int, n: int) -> str:
+    """As the recursive model, but an unknown history leaves the lower order as it is, which is how a back-off file is read; below order n for n-grams of order k."""
+    p = f"(greatest(np1 - d1, 0) / b2 + {_UNIFORM})"
+    for j in range(2, min(k, n - 1) + 1):
+        p = _when(f"nfp{j} = 0", p, _mix(f"np{j}", f"d{j}", f"nfp{j}", f"d{j} * nf{j}", p))
+    return p if k < n else _when(f"h{n} = 0", p, _mix(f"c{n}", f"d{n}", f"h{n}", f"d{n} * nf{n}", p))
+
+
+register_model("kn_arpa", lambda n: _arpa(n, n))
+
+
+def arpa(counted: DataFrame, coc: DataFrame, n: int = 3, discount: float | None = 0.7) -> DataFrame:
+    """n, ngram, log10p and backoff (null: none) of all counted n-grams, as ``files.arpa_lines`` writes and ``arpa_scored`` reads them."""
+    fixed = constants([r.asDict() for r in coc.collect()], discount)
+    known = {k: F.lit(v) for k, v in fixed.items()}
+    indexed = counting.index(counted)
+    out = []
+    for k in range(1, n + 1):
+        own = indexed.where(F.col("n") == k)
+        p = lookup(own, indexed, k).withColumns(known).select("ngram", F.log10(F.expr(_arpa(k, n))).alias("log10p"))
+        follow = F.col("nf_n1") + F.col("nf_n2") + F.col("nf_n3")
+        around = F.col("cnt") if k == n - 1 else F.col("nfp_n1") + F.col("nfp_n2") + F.col("nfp_n3")
+        weight = F.lit(None).cast("double") if k == n else F.when((around > 0) & (follow > 0), F.log10(F.lit(fixed[f"d{k + 1}"]) * follow / around))
+        out.append(p.join(own.select("ngram", weight.alias("backoff")), "ngram").select(F.lit(k).alias("n"), "ngram", "log10p", "backoff"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def arpa_scored(grams: DataFrame, table: DataFrame, n: int, unknown: float) -> DataFrame:
+    """ngram and log10p of distinct n-grams of n words under a back-off table; ``unknown``: log10 of a word's that it hasn't."""
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("key")) for s, c in keys(F.col("ngram"), n).items()])
+    asked = grams.select("ngram").distinct().select(F.col("ngram").alias("gram"), F.explode(slots).alias("x")).select("gram", "x.slot", "x.key")
+    found = asked.join(table.select(F.col("ngram").alias("key"), "log10p", "backoff"), "key", "left")
+    at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
+    wide = found.groupBy("gram").agg(*[at(f"s{k}", "log10p").alias(f"p{k}") for k in range(1, n + 1)], *[at(f"h{k}", "backoff").alias(f"b{k}") for k in range(2, n + 1)])
+    score = F.coalesce("p1", F.lit(unknown))
+    for k in range(2, n + 1):
+        score = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0.0)) + score)
+    return wide.select(F.col("gram").alias("ngram"), score.alias("log10p"))
+
+
+def predict_sentence(starts: DataFrame, indexed: DataFrame, coc: DataFrame, words: int = 20, model: str = "kn_recursive") -> DataFrame:
+    """``start`` (an array of two tokens at least) and sentence: the most probable word after it, and so on, until the end tag or ``words`` words."""
+    state = cut(starts.select("start", F.col("start").alias("sentence")))
+    for _ in range(words):
+        last = F.concat_ws(" ", F.slice("sentence", -2, 2))
+        going = state.where(F.element_at("sentence", -1) != "</s>").withColumn("history", last)
+        if going.isEmpty():
+            break
+        step = going.join(predict_next(going, indexed, coc, model).select("history", "word"), "history")
+        done = state.where(F.element_at("sentence", -1) == "</s>")
+        state = cut(step.select("start", F.concat("sentence", F.array("word")).alias("sentence")).unionByName(done))
+    return state
+
+
 def dummy(grams: DataFrame) -> DataFrame:
     """The model that knows nothing: log10 probability 0 for all."""
     return grams.select("ngram").distinct().select("ngram", F.lit(1.0).alias("p"), F.lit(False).alias("oov_last"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import ngrams as N
@@ -55,3 +55,21 @@ def filter_lines(lines: DataFrame, most: float = 1000.0) -> DataFrame:
 def sanitize(perp: Column) -> Column:
     """-1 for whatever isn't finite or is at most 1."""
     return F.when((perp > 1) & (perp < NONE), perp).otherwise(F.lit(-1.0))
+
+
+def crawl_perplexity(scores: DataFrame, *keys: str, order: int = 3) -> DataFrame:
+    """Perplexity of documents while crawling: only sentences count that have n-grams and whose last one has full order."""
+    last = F.max_by("ngram", "pos").over(Window.partitionBy(*keys, "sent"))
+    whole = scores.withColumn("last", last).where(F.size(F.split("last", " ")) == order)
+    return summarize(whole, *keys)
+
+
+def padded(perp: Column) -> Column:
+    """As crawl logs hold it: sanitized, twelve characters, leading zeros."""
+    return F.format_string("%012g", sanitize(perp))
+
+
+def below(perp: Column, most: float = 1e4) -> Column:
+    """Whether a logged value is a number under the threshold."""
+    value = perp.cast("double")
+    return value.isNotNull() & ~F.isnan(value) & (value < most)

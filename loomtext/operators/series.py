@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from loomtext.session import cut, shuffle_partitions
 
@@ -46,17 +47,34 @@ def linear_split(df: DataFrame, order: list[str], k: int) -> DataFrame:
     return numbered(df, order).withColumn("split", exact.cast("int"))
 
 
-def centred_median(value: Column, key: str, order: str, width: int) -> Column:
-    """Median of ``width`` rows before and ``width`` - 1 after each row of its key, from the frame's sorted values."""
-    values = F.array_sort(F.collect_list(value.cast("double")).over(Window.partitionBy(key).orderBy(order).rowsBetween(-width, width - 1)))
+def sliding(df: DataFrame, key: str, order: list[str], before: int, after: int, block: int = 65_536) -> tuple[DataFrame, WindowSpec]:
+    """Rows and a window of ``before`` rows before each row of its key and ``after`` rows after it; ``finish`` has to follow.
+
+    A key may hold most rows, so it isn't one partition: rows are numbered by (key, order) over ranges, and a window's partition is a
+    block of them with the rows that its borders need from the neighbours.
+    """
+    at = F.col("pos") - 1
+    where = lambda x: F.floor(x / block)
+    rows = numbered(df, [key, *order]).withColumn("__own", where(at))
+    rows = rows.withColumn("__block", F.explode(F.sequence(where(at - after), where(at + before))))
+    return rows, Window.partitionBy(key, "__block").orderBy("pos").rowsBetween(-before, after)
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Rows of ``sliding``, each once, without what it added."""
+    return df.where(F.col("__own") == F.col("__block")).drop("__own", "__block", "pos", "cum")
+
+
+def centred_median(value: Column, window: WindowSpec) -> Column:
+    """Median of a window's rows, from their sorted values."""
+    values = F.array_sort(F.collect_list(value.cast("double")).over(window))
     middle = lambda k: F.get(values, F.floor((F.size(values) - k) / 2).cast("int"))
     return (middle(1) + F.get(values, F.floor(F.size(values) / 2).cast("int"))) / 2
 
 
-def last_values(value: Column, key: str, order: str, n: int) -> dict[str, Column]:
-    """Minimum, maximum and mean of the last n values of a key, the current one included."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return {f"min_{n}": F.min(value).over(w), f"max_{n}": F.max(value).over(w), f"mean_{n}": F.avg(value).over(w)}
+def last_values(value: Column, window: WindowSpec, n: int) -> dict[str, Column]:
+    """Minimum, maximum and mean of a window of the last n values."""
+    return {f"min_{n}": F.min(value).over(window), f"max_{n}": F.max(value).over(window), f"mean_{n}": F.avg(value).over(window)}
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -6,6 +6,7 @@ Training text is all of ``documents``, test text all of ``benchmark``; ``pages``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.functions import hashes as M
 from loomtext.functions import ngrams as N
 from loomtext.functions import segments as S
 from loomtext.functions import text as X
@@ -156,11 +158,14 @@ def _unescape_line(spark, d):
     return _docs(spark, d).select("doc_id", X.unescape_line(X.escape_line(F.col("text"))).alias("text"))
 
 
-@_query("html_strip", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>', ' ', 'g') AS t FROM pages),
+_STRIP = r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '[\n\r]', ' ', 'g'), '(?i)</p>|<br\s*/?>|</h[1-6]>|</li>', chr(10), 'g') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') AS t FROM b),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM c)
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ') AS text FROM e""")
+e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM c),
+stripped AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ') AS text FROM e)"""
+
+
+@_query("html_strip", f"{_STRIP} SELECT * FROM stripped")
 def _html_strip(spark, d):
     return read(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
@@ -186,6 +191,45 @@ def _url_host(spark, d):
     return read(spark, d, "pages").select("page_id", X.host(F.col("url")).alias("host"), X.domain(F.col("url")).alias("domain"))
 
 
+@_query("charset_decode", "SELECT page_id, html AS utf8, regexp_replace(html, '[^\\x{00}-\\x{FF}]', '?', 'g') AS latin, html AS utf16 FROM pages")
+def _charset_decode(spark, d):
+    html = F.col("html")
+    back = lambda charset: X.decode(F.encode(html, charset), F.lit(charset))
+    latin = F.regexp_replace(html, r"[^\x{00}-\x{FF}]", "?")
+    return read(spark, d, "pages").select("page_id", back("UTF-8").alias("utf8"), X.decode(F.encode(latin, "ISO-8859-1"), F.lit("iso-8859-1")).alias("latin"), back("UTF-16").alias("utf16"))
+
+
+@_query("break_words", f"SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{S.WORD_BREAKS.replace(chr(39), chr(39) * 2)}')) AS token FROM documents) GROUP BY token")
+def _break_words(spark, d):
+    return _docs(spark, d).select(F.explode(S.break_words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
+_BREAKS = f"""broken AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '{S.SENTENCE_BREAKS.replace(chr(39), chr(39) * 2)}', '\\1' || chr(1) || '\\2', 'g'), '(\\r?\\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS x FROM documents)"""
+
+
+@_query("break_sentences", f"WITH {_BREAKS} SELECT doc_id, generate_subscripts(x, 1) AS sent, unnest(x) AS sentence FROM broken")
+def _break_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(S.break_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", (F.col("pos") + 1).cast("long").alias("sent"), "sentence")
+
+
+@_query("break_provider", f"""WITH {_BREAKS}, s AS (SELECT doc_id, generate_subscripts(x, 1) AS sent, unnest(x) AS sentence FROM broken),
+t AS (SELECT doc_id, sent, list_filter(regexp_extract_all(sentence, '{S.WORD_BREAKS.replace(chr(39), chr(39) * 2)}'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')) AS w FROM s)
+SELECT doc_id, sent, len(w) AS words, CAST(greatest(len(w) - 2, 0) AS BIGINT) AS trigrams FROM t WHERE len(w) > 0""")
+def _break_provider(spark, d):
+    """Sentences and words by breaks, as a provider of n-grams: how many words and trigrams each sentence has."""
+    split = _docs(spark, d).select("doc_id", F.posexplode(S.break_sentences(F.col("text"))).alias("pos", "sentence"))
+    words = F.filter(S.break_words(F.col("sentence")), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    found = split.select("doc_id", (F.col("pos") + 1).cast("long").alias("sent"), words.alias("w")).where(F.size("w") > 0)
+    return found.select("doc_id", "sent", F.size("w").cast("long").alias("words"), F.size(N.keys(F.col("w"), 3)).cast("long").alias("trigrams"))
+
+
+@_query("segmenter", r"SELECT doc_id, 1::BIGINT AS idx, CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+|[\p{Z}\p{Cc}]+|[^\p{L}\p{N}\p{Z}\p{Cc}]+'), lambda x: NOT regexp_full_match(x, '[\p{Z}\p{Cc}]+'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[^\p{Z}\p{Cc}]')")
+def _segmenter(spark, d):
+    """A whole run with options: the text as one sentence, tokens without blanks."""
+    found = R.segment(_docs(spark, d), R.Segmentation(splitter="null"))
+    return found.select("doc_id", F.col("idx").cast("long").alias("idx"), F.size("tokens").cast("long").alias("n"))
+
+
 # -- rule segmentation --------------------------------------------------------------------------
 
 
@@ -366,11 +410,17 @@ def _sent_perplexity(spark, d):
 
 
 @_query("corpus_perplexity", _KN + """SELECT CASE WHEN GROUPING(doc_id) = 1 THEN -1 ELSE doc_id END AS doc_id, count(*) AS num_ngrams, round(pow(10, -avg(lp)), 4) AS perp,
-  round(min(lp), 6) AS min_log10p, round(max(lp), 6) AS max_log10p, min(ngram) FILTER (lp = best) AS most_likely FROM (SELECT *, max(lp) OVER () AS top, max(lp) OVER (PARTITION BY doc_id) AS best FROM scores) GROUP BY ROLLUP (doc_id)""")
+  round(min(lp), 6) AS min_log10p, round(max(lp), 6) AS max_log10p, min(ngram) FILTER (lp = best) AS most_likely, min(ngram) FILTER (lp = worst) AS least_likely, count(*) FILTER (oov_last) AS num_oov FROM (SELECT *, max(lp) OVER (PARTITION BY doc_id) AS best, min(lp) OVER (PARTITION BY doc_id) AS worst FROM scores) GROUP BY ROLLUP (doc_id)""")
 def _corpus_perplexity(spark, d):
-    scores = _scores(spark, d).withColumn("best", F.max("log10p").over(Window.partitionBy("doc_id")))
-    rolled = scores.rollup("doc_id").agg(F.grouping("doc_id").alias("g"), F.count("*").alias("num_ngrams"), F.round(F.pow(F.lit(10.0), -F.avg("log10p")), 4).alias("perp"), F.round(F.min("log10p"), 6).alias("min_log10p"), F.round(F.max("log10p"), 6).alias("max_log10p"), F.min(F.when(F.col("log10p") == F.col("best"), F.col("ngram"))).alias("most_likely"))
-    return rolled.select(F.when(F.col("g") == 1, -1).otherwise(F.col("doc_id")).alias("doc_id"), "num_ngrams", "perp", "min_log10p", "max_log10p", "most_likely")
+    scores = _scores(spark, d)
+    ends = scores.groupBy("doc_id").agg(F.max("log10p").alias("best"), F.min("log10p").alias("worst"))
+    scores = scores.join(ends, "doc_id")
+    named = lambda c: F.min(F.when(F.col("log10p") == F.col(c), F.col("ngram")))
+    rolled = scores.rollup("doc_id").agg(
+        F.grouping("doc_id").alias("g"), F.count("*").alias("num_ngrams"), F.round(F.pow(F.lit(10.0), -F.avg("log10p")), 4).alias("perp"), F.round(F.min("log10p"), 6).alias("min_log10p"),
+        F.round(F.max("log10p"), 6).alias("max_log10p"), named("best").alias("most_likely"), named("worst").alias("least_likely"), F.count_if("oov_last").alias("num_oov"),
+    )
+    return rolled.select(F.when(F.col("g") == 1, -1).otherwise(F.col("doc_id")).alias("doc_id"), "num_ngrams", "perp", "min_log10p", "max_log10p", "most_likely", "least_likely", "num_oov")
 
 
 @_query("ngram_probs", _KN + "SELECT ngram, round(lp, 6) AS log10p, count(*) AS cnt FROM scores GROUP BY ngram, round(lp, 6)")
@@ -413,6 +463,28 @@ def _order_model_pivot(spark, d):
     return _all_models(spark, d).groupBy("n").pivot("model", list(models.MODELS)).agg(F.round(F.pow(F.lit(10.0), -F.avg(positive)), 4))
 
 
+@_query("arpa_score", f"WITH {sql.tested()},{sql.scored(models.formula('kn_arpa'))} SELECT ngram, round(log10(p), 6) AS log10p FROM scored")
+def _arpa_score(spark, d):
+    """The model written as a back-off table, and the test text scored by that table alone."""
+    counted, coc, test = _trained(spark, d)
+    k = models.constants([r.asDict() for r in coc.collect()])
+    table = models.arpa(counted, coc)
+    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
+    return models.arpa_scored(grams, table, 3, math.log10(k["d1"] / k["b2"] / (k["u"] + 1))).select("ngram", F.round("log10p", 6).alias("log10p"))
+
+
+@_query("lm_static_unknown", f"WITH {sql.tested()},{sql.scored(models.formula('kn_iterative', 3, -10.0))} SELECT ngram, round(log10(p), 6) AS log10p, oov_last FROM scored")
+def _lm_static_unknown(spark, d):
+    counted, coc, test = _trained(spark, d)
+    grams = test.select(F.explode(N.keys(F.col("tokens"), 3)).alias("ngram"))
+    return models.scored(grams, counted, coc, "kn_iterative", unknown=-10.0).select("ngram", F.round(F.log10("p"), 6).alias("log10p"), "oov_last")
+
+
+@_query("crawl_perplexity", _KN + ", whole AS (SELECT * FROM scores) " + sql.summary("doc_id").replace("FROM scores", "FROM whole"))
+def _crawl_perplexity(spark, d):
+    return _rounded(perplexity.crawl_perplexity(_scores(spark, d), "doc_id"), "doc_id")
+
+
 @_query("distribution_perplexity", f"{_G} SELECT n, round(pow(2, log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt)), 4) AS perp FROM counts GROUP BY n")
 def _distribution_perplexity(spark, d):
     c = _counted(spark, d)
@@ -489,6 +561,69 @@ def _priority_log(spark, d):
     return logged.select("event_id", X.digits_time(F.col("ts")).alias("at"), F.lpad(F.coalesce("directive", F.lit(0)).cast("string"), 2, "0").alias("directive"))
 
 
+_VIA = "CASE WHEN event_id > 0 THEN event_id // 2 END"
+
+
+@_query("schedule", f"""WITH RECURSIVE e AS (SELECT event_id AS uri, {_VIA} AS via, CASE WHEN event_type = 'purchase' THEN value * 1000 END AS perp, event_id < 4 AS seed, event_id % 11 = 7 AS robots, event_id % 5 = 2 AS pre FROM events),
+ends AS (SELECT uri, via, perp, seed, perp IS NOT NULL OR seed OR robots AS done FROM e),
+w AS (SELECT e.uri, a.uri AS at, a.via AS next, a.done, 0 AS hops FROM e JOIN ends a ON a.uri = e.via
+      UNION ALL SELECT w.uri, a.uri, a.via, a.done, w.hops + 1 FROM w JOIN ends a ON a.uri = w.next WHERE NOT w.done),
+f AS (SELECT w.uri, hops, a.perp, a.seed FROM w JOIN ends a ON a.uri = w.at WHERE w.done),
+v AS (SELECT e.uri, e.pre, CASE WHEN e.seed THEN 2.0 WHEN f.perp IS NOT NULL THEN f.perp WHEN f.seed THEN hops + 3.0 WHEN f.uri IS NOT NULL THEN 49999.0 END AS value,
+             CASE WHEN e.seed THEN 0 WHEN f.perp IS NOT NULL THEN hops ELSE hops + 1 END AS steps FROM e LEFT JOIN f USING (uri)),
+l AS (SELECT *, {_LEVEL.replace(_PERP, "value")} AS level FROM v)
+SELECT uri, round(value, 6) AS perp_via, CAST(CASE WHEN value IS NULL THEN NULL WHEN pre THEN greatest(level - 1, 0) ELSE level END AS INTEGER) AS directive,
+       CAST(CASE WHEN value IS NOT NULL AND level IS NOT NULL THEN greatest({_COST.replace(_PERP, "value")} - steps, 0) END AS INTEGER) AS cost, value IS NULL OR level IS NULL AS rejected FROM l""")
+def _schedule(spark, d):
+    links = read(spark, d, "events").select(
+        F.col("event_id").alias("uri"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)).alias("via"), F.when(F.col("event_type") == "purchase", F.col("value") * 1000).alias("perp"),
+        (F.col("event_id") < 4).alias("is_seed"), (F.col("event_id") % 11 == 7).alias("is_robots"), (F.col("event_id") % 5 == 2).alias("is_prerequisite"),
+    )
+    return frontier.schedule(links).withColumn("perp_via", F.round("perp_via", 6))
+
+
+@_query("older_cost", f"SELECT event_id, CASE WHEN event_id % 5 = 2 THEN CAST(floor({_COST} / 2) AS INTEGER) ELSE {_COST} END AS cost FROM (SELECT *, {_LEVEL} AS level FROM events)")
+def _older_cost(spark, d):
+    return frontier.prioritize(_links(spark, d)).select("event_id", frontier.halved(F.col("cost"), F.col("event_id") % 5 == 2).alias("cost"))
+
+
+@_query("fetched_pages", "SELECT event_id FROM events WHERE event_id % 3 > 0 AND value > 10 AND 195 + event_id % 20 BETWEEN 200 AND 207")
+def _fetched_pages(spark, d):
+    """Events as fetches: the number gives the status, the value the size."""
+    return read(spark, d, "events").where(frontier.fetched(195 + F.col("event_id") % 20, F.col("value") - 10, F.col("event_id") % 3 > 0)).select("event_id")
+
+
+@_query("content_kinds", r"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)/robots\.txt$') THEN 'robots' WHEN CASE WHEN t IS NOT NULL THEN regexp_matches(t, '(?i)^(text/html|application/xhtml)') ELSE regexp_matches(url, '(?i)(\.x?html?|/|/[^./]*)$') END THEN 'html'
+  WHEN CASE WHEN t IS NOT NULL THEN regexp_matches(t, '(?i)^application/pdf') ELSE regexp_matches(url, '(?i)\.pdf$') END THEN 'pdf' ELSE 'other' END AS kind
+FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' END AS t FROM pages)""".replace(chr(92) * 2, chr(92)))
+def _content_kinds(spark, d):
+    kind = F.col("page_id") % 4
+    declared = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "application/pdf").when(kind == 2, "image/png")
+    return read(spark, d, "pages").select("page_id", frontier.content_kind(F.col("url"), declared).alias("kind"))
+
+
+@_query("priority_log_via", f"SELECT event_id, strftime(ts, '%Y%m%d%H%M%S%g') AS at, lpad(CAST(coalesce(level, 0) AS VARCHAR), 2, '0') AS directive, lpad(CAST(coalesce({_COST}, 0) AS VARCHAR), 3, '0') AS precedence, {_VIA} AS via, round(lag_value, 6) AS perp_via FROM (SELECT e.*, {_LEVEL.replace('value', 'e.value')} AS level, v.value * 1000 AS lag_value FROM events e LEFT JOIN (SELECT event_id AS id, value FROM events) v ON v.id = {_VIA.replace('event_id', 'e.event_id')})")
+def _priority_log_via(spark, d):
+    """The log with the page that a link was found on, and its value."""
+    logged = frontier.prioritize(_links(spark, d)).withColumn("via", F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)))
+    seen = _links(spark, d).select(F.col("event_id").alias("via"), F.col("perp").alias("perp_via"))
+    number = lambda c, width: F.lpad(F.coalesce(c, F.lit(0)).cast("string"), width, "0")
+    return logged.join(seen, "via", "left").select("event_id", X.digits_time(F.col("ts")).alias("at"), number(F.col("directive"), 2).alias("directive"), number(F.col("cost"), 3).alias("precedence"), "via", F.round("perp_via", 6).alias("perp_via"))
+
+
+@_query("threshold_docs", "SELECT event_id FROM events WHERE value * 1000 < 10000")
+def _threshold_docs(spark, d):
+    return _links(spark, d).where(perplexity.below(F.col("perp").cast("string"))).select("event_id")
+
+
+@_query("by_quantity", "SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS down, row_number() OVER (ORDER BY n, event_type) AS up FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
+def _by_quantity(spark, d):
+    """Groups ranked by size, downwards and upwards; the window holds one row a group."""
+    sizes = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    rank = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
+    return sizes.select("event_type", "n", rank(F.desc("n"), "event_type").alias("down"), rank("n", "event_type").alias("up"))
+
+
 # -- series -------------------------------------------------------------------------------------
 
 _TOKENS = f"n_tokens AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS BIGINT) AS n FROM documents)"
@@ -515,13 +650,14 @@ def _linear_split(spark, d):
 
 @_query("moving_median", "SELECT event_id, median(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS med FROM events")
 def _moving_median(spark, d):
-    return read(spark, d, "events").select("event_id", series.centred_median(F.col("value"), "event_type", "event_id", 10).alias("med"))
+    rows, window = series.sliding(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", ["event_id"], 10, 9)
+    return series.finish(rows.withColumn("med", series.centred_median(F.col("value"), window))).select("event_id", "med")
 
 
 @_query("last100_stats", "SELECT event_id, min(value) OVER w AS min_100, max(value) OVER w AS max_100, round(avg(value) OVER w, 9) AS mean_100 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def _last100_stats(spark, d):
-    stats = series.last_values(F.col("value"), "event_type", "event_id", 100)
-    return read(spark, d, "events").select("event_id", stats["min_100"].alias("min_100"), stats["max_100"].alias("max_100"), F.round(stats["mean_100"], 9).alias("mean_100"))
+    rows, window = series.sliding(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", ["event_id"], 99, 0)
+    return series.finish(rows.withColumns(series.last_values(F.col("value"), window, 100))).select("event_id", "min_100", "max_100", F.round("mean_100", 9).alias("mean_100"))
 
 
 @_query("perp_histogram", "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value / 5) + 1 END AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1")
@@ -562,10 +698,19 @@ def _consecutive_docs(spark, d):
     return runs.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("run")
 
 
-@_query("sentence_splits", "SELECT source, min(doc_id) AS k, count(*) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '" + S.LINES + "')) AS line, source, doc_id FROM documents) GROUP BY source")
+_SPLITS = 5
+
+
+@_query("sentence_splits", f"""{_STRIP}, pages_split AS (
+  SELECT page_id, url, (SELECT max(j) FROM range(0, {_SPLITS}) t(j) WHERE (j * s) // {_SPLITS} <= i) AS k FROM (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS i, count(*) OVER () AS s FROM pages)),
+lines AS (SELECT page_id, unnest(regexp_extract_all(text, '{S.LINES}')) AS sentence FROM stripped)
+SELECT sentence, CAST(min(k) AS INTEGER) AS k, count(DISTINCT url) AS urls FROM lines JOIN pages_split USING (page_id) GROUP BY sentence""")
 def _sentence_splits(spark, d):
-    lines = _docs(spark, d).select(F.explode(S.lines(F.col("text"))).alias("line"), "source", "doc_id").distinct()
-    return lines.groupBy("source").agg(F.min("doc_id").alias("k"), F.count("*").alias("n"))
+    """Sentences of crawled pages, each in the lowest of the slices of urls that has one of its pages."""
+    pages = read(spark, d, "pages")
+    sentences = pages.select("url", F.explode(S.lines(X.strip_html(F.col("html")))).alias("sentence"))
+    splits = series.linear_split(pages.select("page_id", "url"), ["page_id"], _SPLITS).select("url", F.col("split").alias("k"))
+    return sentences.join(splits, "url").groupBy("sentence").agg(F.min("k").alias("k"), F.countDistinct("url").alias("urls"))
 
 
 # -- numbers and hashes -------------------------------------------------------------------------
@@ -597,3 +742,19 @@ def _vector_argmax(spark, d):
 @_query("sha_hash", "SELECT doc_id, sha256(text) AS sha, CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) AS head FROM documents")
 def _sha_hash(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha"), V.sha256_int(F.col("text")).alias("head"))
+
+
+@_query("in_ranges", "SELECT event_id, event_id BETWEEN 10 AND 99 OR event_id BETWEEN 500 AND 510 AS inside FROM events")
+def _in_ranges(spark, d):
+    return read(spark, d, "events").select("event_id", X.in_ranges(F.col("event_id"), [(10, 99), (500, 510)]).alias("inside"))
+
+
+@_query("log_conversions", "SELECT event_id, round(log10(1 + value), 9) AS log10, round(log10(1 + value) / log10(2), 9) AS log2, round(ln(1 + value) / ln(3), 9) AS log3, round(pow(10, log10(1 + value)), 6) AS p FROM events")
+def _log_conversions(spark, d):
+    x = F.col("value") + 1
+    return read(spark, d, "events").select("event_id", F.round(F.log10(x), 9).alias("log10"), F.round(F.log10(x) / math.log10(2), 9).alias("log2"), F.round(V.log_base(3, x), 9).alias("log3"), F.round(F.pow(F.lit(10.0), F.log10(x)), 6).alias("p"))
+
+
+@_query("murmur_hash")
+def _murmur_hash(spark, d):
+    return _docs(spark, d).select("doc_id", M.murmur3(F.col("text")).alias("h32"), M.murmur3_hex(F.col("text")).alias("h128"))

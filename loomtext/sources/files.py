@@ -16,12 +16,20 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
-def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt", escaped: bool = False) -> DataFrame:
-    """file and text, one row a line of the folder's files (gz files are read too, where the pattern lets them)."""
+def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt{,.gz}", escaped: bool = False) -> DataFrame:
+    """file and text, one row a line of the folder's files, zipped ones too."""
     value = X.unescape_line(F.col("value")) if escaped else F.col("value")
     return spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_name").alias("file"), value.alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.txt{,.gz}", escaped: bool = True) -> DataFrame:
+    """doc_id, the file's name, a colon and the line's number from 1, and text. A file is read whole by one task, which numbers its lines."""
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    rows = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    each = rows.select(F.col("_metadata.file_name").alias("file"), F.posexplode(lines).alias("pos", "line"))
+    return each.select(F.concat("file", F.lit(":"), (F.col("pos") + 1).cast("string")).alias("doc_id"), (X.unescape_line(F.col("line")) if escaped else F.col("line")).alias("text"))
+
+
 def ngram_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("ngram"), F.size(F.split("value", " ")).alias("n"))
 
@@ -41,8 +49,10 @@ def scored_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=SCORED, quote="")
 
 
-def priority_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=PRIORITY_LOG, quote="")
+def priority_log(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Logged values; of a report on the first ``most`` lines only these."""
+    rows = spark.read.csv(path, sep="\t", schema=PRIORITY_LOG, quote="")
+    return rows if most is None else rows.limit(most)
 
 
 def crawl_log(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +79,18 @@ def write_text(df: DataFrame, path: str, rows: int = 0, compression: str = "none
     df.select(line.alias("value")).write.mode(mode).option("maxRecordsPerFile", rows).option("compression", compression).text(path)
 
 
+def write_rolling(df: DataFrame, path: str, megabytes: int = 100, compression: str = "gzip", mode: str = "append") -> None:
+    """As ``write_text``, a new file after about ``megabytes`` of text: rows a file follow from the rows' mean size."""
+    size = df.agg(F.count("*").alias("n"), F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 1 for c in df.columns), F.lit(0))).alias("bytes")).first()
+    rows = max(1, int(size.n * (megabytes << 20) / size.bytes)) if size.bytes else 0
+    write_text(df, path, rows, compression, mode)
+
+
+def write_sentences(sentences: DataFrame, path: str, megabytes: int = 100, compression: str = "gzip") -> None:
+    """Lines of time, sentence, url and number, of a table with ts, sentence, url and idx."""
+    write_rolling(sentences.select("ts", "sentence", "url", "idx"), path, megabytes, compression)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Written unless it is there already."""
     df.write.mode("ignore").parquet(path)
@@ -83,7 +105,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy(by).csv(path, sep="\t")
+    """A folder a split, called ``prefix_{k:02d}.txt`` by its number."""
+    name = F.concat(F.lit("prefix_"), F.lpad(F.col(by).cast("string"), 2, "0"), F.lit(".txt"))
+    df.withColumn("file", name).drop(by).write.mode(mode).partitionBy("file").csv(path, sep="\t")
 
 
 def arpa_lines(probabilities: DataFrame) -> DataFrame:
