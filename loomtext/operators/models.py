@@ -283,6 +283,8 @@ def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model
     probability that grows with its distinct predecessors only, so the best such word and the seen followers suffice.
     """
     asked = histories.select("history").distinct()
+    if "nf_s" not in indexed.columns:
+        indexed = cut(counting.index(indexed))
     if top is None:
         if model not in ("kn_recursive", "kn_modified"):
             raise ValueError(f"{model} needs a number of words")

@@ -71,5 +71,5 @@ def padded(perp: Column) -> Column:
 
 def below(perp: Column, most: float = 1e4) -> Column:
     """Whether a logged value is a number under the threshold."""
-    value = perp.cast("double")
+    value = perp.try_cast("double")
     return value.isNotNull() & ~F.isnan(value) & (value < most)

@@ -377,9 +377,8 @@ def _kn_discounts(spark, d):
 @_query("predict_next")
 def _predict_next(spark, d):
     counted, coc, test = _trained(spark, d)
-    indexed = cut(counting.index(counted))
     histories = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history"))
-    return models.predict_next(histories, indexed, coc, top=None).select("history", "word", F.round("p", 9).alias("p"))
+    return models.predict_next(histories, counted, coc).select("history", "word", F.round("p", 9).alias("p"))
 
 
 _KN = f"WITH {sql.tested()},{sql.scored(models.formula('kn_recursive'))},{sql.OCCURRENCES}"

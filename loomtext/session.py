@@ -8,6 +8,8 @@ import os
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,17 @@ def build_session(app: str = "loomtext", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package, and the modules beside it, to the executors of a session that can't import them yet."""
+    root = Path(__file__).resolve().parent.parent
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "loomtext.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in [*(root / "loomtext").rglob("*.py"), *root.glob("corpus_pipeline.py")]:
+                out.write(file, file.relative_to(root))
+        spark.sparkContext.addPyFile(str(path))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, which the session names in ``spark.checkpoint.dir``.
 

@@ -13,7 +13,7 @@ PRIORITY_LOG = "ts long, perp string, directive string, precedence string, uri s
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """file and text, one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt{,.gz}", escaped: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt{,.gz}", esc
 def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.txt{,.gz}", escaped: bool = True) -> DataFrame:
     """doc_id, the file's name, a colon and the line's number from 1, and text. A file is read whole by one task, which numbers its lines."""
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    rows = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     each = rows.select(F.col("_metadata.file_name").alias("file"), F.posexplode(lines).alias("pos", "line"))
     return each.select(F.concat("file", F.lit(":"), (F.col("pos") + 1).cast("string")).alias("doc_id"), (X.unescape_line(F.col("line")) if escaped else F.col("line")).alias("text"))
 

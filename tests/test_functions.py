@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomtext.functions import hashes as M
 from loomtext.functions import ngrams as N
 from loomtext.functions import segments as S
 from loomtext.functions import text as X
@@ -65,3 +66,30 @@ def test_vectors(spark):
     r = one(spark, n=V.norm(a), c=V.cosine(a, b), e=V.euclid(a, b), k=V.symmetric_kl(a, b), s=V.argsort(F.array(*map(F.lit, [2.0, 1.0, 3.0]))), m=V.argmax(a), z=V.cosine(a, F.array(F.lit(0.0))), h=V.sha256_int(F.lit("abc")))
     assert r.n == 5 and round(r.c, 6) == 0.96 and round(r.e, 6) == 1.414214 and r.k > 0 and r.s == [1, 0, 2] and r.m == 1 and r.z is None
     assert r.h == 0xBA7816BF
+
+
+def test_murmur3_known_values(spark):
+    fox = "The quick brown fox jumps over the lazy dog"
+    known = {"": 0, "hello": 0x248BFA47, "hello, world": 0x149BBB7F, fox: 0x2E4FF723}
+    assert M.murmur3_32([t.encode() for t in known], 0).tolist() == list(known.values())
+    assert M.murmur3_32([b""], 42).tolist() == [0x087FCD5C]
+    assert "".join(f"{int(x):016x}" for x in M.murmur3_128([fox.encode()], 0)[0]) == "e34bbc7bbc071b6c7a433ca9c49a9347"
+    table = spark.createDataFrame([("hello",), (None,), ("aé",), ("x" * 33,)], "t string")
+    got = table.select("t", M.murmur3(F.col("t"), 0).alias("h"), M.murmur3_hex(F.col("t"), 0).alias("x"), F.hash("t").alias("built_in"), M.murmur3(F.col("t")).alias("own")).collect()
+    assert got[0].h == 0x248BFA47 and got[1].h is None and got[1].x is None and len(got[3].x) == 32
+    # the built-in hash differs in the tail only: four bytes have none
+    four = spark.createDataFrame([("abcd",), ("abcdefgh",)], "t string").select(F.hash("t").alias("a"), M.murmur3(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in four) and got[0].built_in != got[0].own
+
+
+def test_charsets(spark):
+    rows = [("é".encode(), None, "é"), ("é".encode(), "UTF-8", "é"), ("é".encode("latin-1"), "ISO-8859-1", "é"), (b"\xef\xbb\xbfx", "latin1", "x"), ("aé".encode("utf-16"), "utf-8", "aé"), (b"a\xff", "utf-8", "a\ufffd"), (b"a", "klingon", X.UNDECODABLE), (None, "utf-8", None), (b"", None, "")]
+    got = spark.createDataFrame([r[:2] for r in rows], "b binary, c string").select(X.decode(F.col("b"), F.col("c")).alias("t")).collect()
+    assert [r.t for r in got] == [r[2] for r in rows]
+    r = one(spark, a=X.declared_charset(F.lit('<meta charset="ISO-8859-1">')), b=X.declared_charset(F.lit("<meta http-equiv=x content='text/html; charset=utf-8'>")), c=X.declared_charset(F.lit("<p>")))
+    assert (r.a, r.b, r.c) == ("iso-8859-1", "utf-8", None)
+
+
+def test_numbers_and_blanks(spark):
+    r = one(spark, a=X.engineering(F.lit(12345.0)), b=X.engineering(F.lit(0.00012)), c=X.engineering(F.lit(7.5)), d=X.engineering(F.lit(0.0)), e=X.show_blanks(F.lit("a\tb\n")), f=X.in_ranges(F.lit(5), [(1, 2), (5, 9)]), g=X.in_ranges(F.lit(3), [(1, 2), (5, 9)]))
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("12.345E03", "120E-06", "7.5", "0", "a\\tb\\n", True, False)
