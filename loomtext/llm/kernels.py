@@ -24,7 +24,8 @@ _CHUNK_CHARS = 1 << 21
 
 
 def _return_freed_arrays() -> None:
-    """Workers live for many tasks: arrays of megabytes that are freed go back to the system, whatever size was freed before (glibc only)."""
+    """Workers live for many tasks: what they free goes back to the system. Arrow's pools keep it, and so does glibc, up to the size of what was freed before."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
     except (OSError, AttributeError):

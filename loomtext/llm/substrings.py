@@ -82,10 +82,14 @@ def window_keys(words: K.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _runs(h: np.ndarray, check: np.ndarray, doc: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows sorted by key, where each run of equal ones begins, and the run's first occurrence by (doc_id, place)."""
     order = np.argsort(h)
-    twice = h[order][1:] == h[order][:-1]
-    if (check[order][1:][twice] != check[order][:-1][twice]).any():
+    key, sums = h[order], check[order]
+    new = key[1:] != key[:-1]
+    if (sums[1:] != sums[:-1])[~new].any():
         order = np.lexsort((check, h))
-    lead = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+        key, sums = h[order], check[order]
+        new = (key[1:] != key[:-1]) | (sums[1:] != sums[:-1])
+    lead = np.flatnonzero(np.concatenate([[True], new]))
+    del key, sums, new
     if (np.diff(doc) > 0).all():  # numbers ascend with (doc_id, place)
         return order, lead, np.minimum.reduceat(order, lead)
     some = np.flatnonzero(np.diff(np.append(lead, len(order))) > 1)
