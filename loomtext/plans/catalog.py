@@ -376,8 +376,9 @@ def _kn_discounts(spark, d):
 
 @_query("predict_next")
 def _predict_next(spark, d):
+    """The most probable word after every two neighbouring words of the test text."""
     counted, coc, test = _trained(spark, d)
-    histories = test.select(F.concat_ws(" ", F.lit("<s>"), F.get("tokens", F.lit(1))).alias("history"))
+    histories = test.select(F.explode(N.keys(F.col("tokens"), 2)).alias("history")).where("not endswith(history, '</s>')")
     return models.predict_next(histories, counted, coc).select("history", "word", F.round("p", 9).alias("p"))
 
 
