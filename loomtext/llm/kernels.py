@@ -219,7 +219,11 @@ def windows(h: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np
 
 def text_hash(words: Words) -> np.ndarray:
     """One 64-bit hash of each whole text, code point by code point."""
-    cps, base = words.cps, words.base
+    return cumulative_hash(words.cps, words.base)
+
+
+def cumulative_hash(cps: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """As ``text_hash``, of code points and where each text starts in them."""
     v = mix(cps.astype(U) + U(0x2545F491))
     up, down = _powers.upto(len(v) + 1)
     total = np.zeros(len(v) + 1, U)

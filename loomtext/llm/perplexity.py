@@ -20,8 +20,8 @@ tokens and bigrams alike, in a table of values, and everything about it is shard
 - scoring tasks send each shard its keys with the documents they are in, and shards
   answer with one number a document and batch.
 
-What makes up ``FREQUENT`` of training or more, which at most 1 / ``FREQUENT`` tokens and as many bigrams can, is broadcast with its values,
-and isn't sent. Nothing that grows with the corpus is broadcast or comes to the driver.
+What makes up ``FREQUENT`` of training or more, which at most 1 / ``FREQUENT`` tokens and as many bigrams can, is broadcast with its values
+(12 bytes each), and isn't sent; equal texts of a batch are scored once. Nothing that grows with the corpus is broadcast or comes to the driver.
 Text is read and never shuffled. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
 that it has about once in a million lookups, at any size.
 
@@ -49,8 +49,9 @@ from loomtext.session import cut, read, release
 U = np.uint64
 QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
 START, END = U(1), U(2)
-FREQUENT = 2e-6
-_BATCH_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 1 << 24, 20
+FREQUENT = 5e-7
+_BATCH_TOKENS, _SCORE_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 6_000_000, 1 << 24, 20
+_ROOM = 18  # bits that the number of a text in a batch takes
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = ["part", "uid", "kind", "a", "b", "c"]
@@ -304,75 +305,109 @@ def _unpack_values(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # -- scoring ------------------------------------------------------------------------------------
 
 
-def _ordered(k: Constants, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Short keys, ascending, and their texts, ascending within a key."""
-    room = int(d.max() if len(d) else 0).bit_length()
-    if k.bits <= 64 - room:  # both in one number
-        both = k.short(g) << U(room)
-        both |= d.astype(U)
-        both.sort()
-        return both >> U(room), (both & U((1 << room) - 1)).astype(np.int64)
-    g = k.short(g)
-    order = np.lexsort((d, g))
-    return g[order], d[order].astype(np.int64)
+def _starts(k: Constants, buckets: int) -> list[int]:
+    """The least short key of each shard but the first."""
+    return [-(-(b << 32) // buckets) << (k.bits - 32) for b in range(1, buckets)]
+
+
+def _distinct(texts: list[str], seen: dict[int, int], count: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts that the batch hasn't yet, their numbers in the batch, and for every text the number of the first one like it."""
+    cps, base = K.codepoints(texts)
+    prints = K.cumulative_hash(cps, base).tolist()
+    first = np.array([seen.setdefault(x, count + i) for i, x in enumerate(prints)], np.int64)
+    own = np.flatnonzero(first == count + np.arange(len(texts)))
+    return [texts[i] for i in own], own + count, first
 
 
 def _requests(k: Constants, frequent: Broadcast, buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``it``: doc_id, text, lang, sample. A batch's keys for each shard, and a record of the batch."""
     metas: list[pa.RecordBatch] = []
-    keys, docs, sizes = [], [], []
+    keys: list = []
+    sizes: list[np.ndarray] = []
+    firsts: list[np.ndarray] = []
+    seen: dict[int, int] = {}
+    packed = k.bits + _ROOM <= 64  # a key and a text fit one number
+    starts = _starts(k, buckets)
+    often, value = frequent.value
 
     def flush() -> pa.RecordBatch:
-        g, d, n = (np.concatenate(x) for x in (keys, docs, sizes))
+        n, same = np.concatenate(sizes), np.concatenate(firsts)
         meta = pa.Table.from_batches(metas).combine_chunks()
-        for x in (metas, keys, docs, sizes):
-            x.clear()
+        if packed:
+            both = np.concatenate(keys)
+            keys.clear()
+            both.sort()
+            part = lambda a, b: (both[a:b] >> U(_ROOM), (both[a:b] & U((1 << _ROOM) - 1)).astype(np.int64))
+            at = [0, *np.searchsorted(both, np.array([x << _ROOM for x in starts], U)).tolist(), len(both)]
+            whole = [both]
+        else:
+            g, d = (np.concatenate(x) for x in zip(*keys))
+            keys.clear()
+            order = np.lexsort((d, g))
+            g, d = g[order], d[order].astype(np.int64)
+            part = lambda a, b: (g[a:b], d[a:b])
+            at = [0, *np.searchsorted(g, np.array(starts, U)).tolist(), len(g)]
+            whole = [g, d.view(U)]
+        mark = sum(int(K.mix(x[i : i + (1 << 20)] + U(j)).sum(dtype=U)) for j, x in enumerate(whole) for i in range(0, len(x), 1 << 20))
         ids = meta["doc_id"].fill_null(0).to_numpy().view(U)
-        place = lambda x: K.mix(np.arange(1, len(x) + 1, dtype=U) << U(32))
-        uid = int(K.mix(np.array([(K.mix(ids ^ place(ids)) ^ n.astype(U)).sum(dtype=U) ^ K.mix(g ^ place(g)).sum(dtype=U)], U)).view(np.int64)[0])
-        g, d = _ordered(k, g, d)
-        # what the task knows itself needn't be asked
-        often, value = frequent.value
-        first = _runs(g)
-        size = np.diff(np.append(first, len(g)))
-        at = np.minimum(np.searchsorted(g[first], often), max(0, len(first) - 1))
-        hit = g[first][at] == often if len(first) else np.zeros(0, bool)
-        known, worth = np.zeros(len(first), bool), np.zeros(len(first))
-        known[at[hit]], worth[at[hit]] = True, value[hit]
-        known, worth = np.repeat(known, size), np.repeat(worth, size)
-        base = np.bincount(d[known], worth[known], len(n))
-        g, d = g[~known], d[~known]
-        del known, worth
-        at = K.split_at(K.bucket_of(g << U(64 - k.bits), buckets), buckets)
-        rows = []
-        for b in np.flatnonzero(np.diff(at)):
-            own, of = g[at[b] : at[b + 1]], d[at[b] : at[b + 1]]
+        ids = K.mix(K.mix(ids) ^ K.mix(np.arange(1, len(ids) + 1, dtype=U) << U(32)) ^ same.view(U))
+        uid = int(K.mix(np.array([int(ids.sum(dtype=U)) ^ mark & (1 << 64) - 1], U)).view(np.int64)[0])
+        base, rows = np.zeros(len(n)), []
+        for b in range(buckets):
+            own, of = part(at[b], at[b + 1])
+            if not len(own):
+                continue
             first = _runs(own)
+            size = np.diff(np.append(first, len(own)))
+            # what the task knows itself needn't be asked
+            low, high = np.searchsorted(often, own[[0, -1]], "left")
+            mine = often[low : high + 1]
+            place = np.searchsorted(own[first], mine)
+            place[place == len(first)] = 0
+            hit = own[first][place] == mine
+            if hit.any():
+                known, worth = np.zeros(len(first), bool), np.zeros(len(first))
+                known[place[hit]], worth[place[hit]] = True, value[low : high + 1][hit]
+                worth, gone = np.repeat(worth, size), np.repeat(known, size)
+                base += np.bincount(of[gone], worth[gone], len(n))
+                own, of = own[~gone], of[~gone]
+                if not len(own):
+                    continue
+                first = _runs(own)
+                size = np.diff(np.append(first, len(own)))
             step = np.diff(of, prepend=of[:1])
             step[first] = of[first]
-            rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(np.diff(np.append(first, len(own)))), K.pack_ints(step)), None, None))
+            rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(size), K.pack_ints(step)), None, None))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, meta.schema) as out:
             out.write_table(meta)
-        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), K.pack_ints(n), base.astype("<f4").tobytes()))
+        rows.append((uid % buckets, uid, BATCH, _zip(sink.getvalue().to_pybytes()), _zip(K.pack_ints(n), K.pack_ints(same)), base.astype("<f4").tobytes()))
+        for x in (metas, sizes, firsts, seen):
+            x.clear()
         return _row(rows)
 
     size = count = 0
-    for part, texts in spans.slices(it):
-        h, off = tokens(texts)
+    pieces = ((whole.slice(at, 1 << 16), all_[at : at + (1 << 16)]) for whole, all_ in spans.slices(it) for at in range(0, len(all_), 1 << 16))
+    for part, texts in pieces:
+        if count + len(texts) >= 1 << _ROOM:
+            yield flush()
+            size = count = 0
+        new, number, first = _distinct(texts, seen, count)
+        h, off = tokens(new)
         doc, u, v = bigrams(h, off)
         some = np.flatnonzero(np.diff(off))
         # every token once, and the start and the end of each text that has any
-        own = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(off)), some, some])
-        key = np.concatenate([token_key(h), np.repeat(token_key(np.array([START, END])), len(some))])
-        both, of = np.concatenate([key, bigram_key(u, v)]), np.concatenate([own, doc])
+        own = number[np.concatenate([np.repeat(np.arange(len(new)), np.diff(off)), some, some, doc])]
+        key = k.short(np.concatenate([token_key(h), np.repeat(token_key(np.array([START, END])), len(some)), bigram_key(u, v)]))
+        keys.append(key << U(_ROOM) | own.astype(U) if packed else (key, own.astype(np.int32)))
         metas.append(part.select(["doc_id", "lang", "sample"]))
-        keys.append(both)
-        docs.append((of + count).astype(np.int32))
-        sizes.append(np.diff(off))
+        n = np.zeros(len(texts), np.int64)
+        n[number - count] = np.diff(off)
+        sizes.append(n)
+        firsts.append(first)
         size += len(h)
         count += len(texts)
-        if size >= _BATCH_TOKENS:
+        if size >= (_SCORE_TOKENS if packed else _BATCH_TOKENS):
             yield flush()
             size = count = 0
     if count:
@@ -413,11 +448,12 @@ def _combine(k: Constants, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             else:
                 answers.setdefault(uid[i], {})[c[i]] = a[i]
     for uid, meta, n, base in batches:
-        n = K.unpack_ints(n).astype(np.int64)
+        n, same = (K.unpack_ints(x).astype(np.int64) for x in _unzip(n))
         total = np.where(n > 0, (n + 1) * np.log(k.unseen), 0.0) + np.frombuffer(base, "<f4")
         for _, blob in sorted(answers.get(uid, {}).items()):
             got = np.frombuffer(zlib.decompress(blob), "<f4")
             total[: len(got)] += got
+        n, total = n[same], total[same]
         table = pa.ipc.open_stream(_unzip(meta)[0]).read_all().combine_chunks()
         for part in table.to_batches():
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(total)], ["doc_id", "lang", "sample", "n_tokens", "log_prob"])
