@@ -289,13 +289,13 @@ def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model
         if model not in ("kn_recursive", "kn_modified"):
             raise ValueError(f"{model} needs a number of words")
         before = F.col("np_n1") + F.col("np_n2") + F.col("np_n3")
-        best = indexed.where("n = 1").orderBy(before.desc(), "ngram").limit(1).select(F.col("ngram").alias("candidate"))
+        best = indexed.where("n = 1").orderBy(before.desc(), "ngram").select("ngram").first()
         seen = indexed.where("n = 2").select(N.history(F.col("ngram")).alias("__last"), N.last_word(F.col("ngram")).alias("candidate"))
         followers = asked.withColumn("__last", N.last_word(F.col("history"))).join(seen, "__last").select("history", "candidate")
-        pairs = asked.crossJoin(F.broadcast(best)).union(followers).distinct()
+        pairs = asked.withColumn("candidate", F.lit(best.ngram if best else "")).union(followers).distinct()
     else:
-        words = indexed.where("n = 1").orderBy(F.desc("cnt"), "ngram").limit(top).select(F.col("ngram").alias("candidate"))
-        pairs = asked.crossJoin(F.broadcast(words))
+        words = [r.ngram for r in indexed.where("n = 1").orderBy(F.desc("cnt"), "ngram").limit(top).select("ngram").collect()]
+        pairs = asked.withColumn("candidate", F.explode(F.lit(words)))
     pairs = pairs.withColumn("ngram", F.concat_ws(" ", "history", "candidate"))
     best = pairs.join(scored(pairs, indexed, coc, model), "ngram").groupBy("history").agg(F.max_by(F.struct("candidate", "p"), F.struct("p", F.transform(F.split("candidate", ""), lambda c: -F.ascii(c)))).alias("x"))
     return best.select("history", F.col("x.candidate").alias("word"), F.col("x.p").alias("p"))

@@ -65,6 +65,15 @@ def finish(df: DataFrame) -> DataFrame:
     return df.where(F.col("__own") == F.col("__block")).drop("__own", "__block", "pos", "cum")
 
 
+def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with run, a number that consecutive rows of a key with equal values share, over all keys ascending."""
+    rows, window = sliding(df, key, order, 1, 0)
+    before = F.collect_list(F.struct(value)).over(window)
+    changed = F.when((F.size(before) == 2) & before[0][value].eqNullSafe(F.col(value)), 0).otherwise(1)
+    marked = finish(rows.withColumn("__new", changed))
+    return numbered(marked, [key, *order], "__new").withColumnRenamed("cum", "run").drop("__new", "pos")
+
+
 def centred_median(value: Column, window: WindowSpec) -> Column:
     """Median of a window's rows, from their sorted values."""
     values = F.array_sort(F.collect_list(value.cast("double")).over(window))

@@ -271,7 +271,7 @@ for _b in _BOUNDARY:
 
 @_query("ngram_across", f"WITH {sql.sentences()}, whole AS (SELECT doc_id, 0 AS sent, flatten(list(t ORDER BY sent)) AS t FROM sents GROUP BY doc_id), {sql.grams(2, 3, 'whole')} SELECT doc_id, n, count(*) AS cnt, count(DISTINCT ngram) AS n_distinct FROM grams GROUP BY doc_id, n")
 def _ngram_across(spark, d):
-    found = counting.across(counting.sentences(read(spark, d, "documents")), range(2, 4))
+    found = counting.across(read(spark, d, "documents"), range(2, 4))
     return found.groupBy("doc_id", "n").agg(F.count("*").alias("cnt"), F.countDistinct("ngram").alias("n_distinct"))
 
 
@@ -693,9 +693,7 @@ def _writer_counters(spark, d):
 @_query("consecutive_docs", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
 SELECT user_id, event_type, min(event_id) AS first, count(*) AS n FROM r GROUP BY user_id, event_type, g""")
 def _consecutive_docs(spark, d):
-    changed = F.when(F.col("event_type") == F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")), 0).otherwise(1)
-    runs = read(spark, d, "events").withColumn("new", changed).withColumn("run", F.sum("new").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("run")
+    return series.runs(read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"], "event_type").groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("run")
 
 
 _SPLITS = 5
