@@ -28,7 +28,7 @@ from loomtext.llm import kernels as K
 from loomtext.session import read
 
 U = np.uint64
-WIDTH, SEED, BLANK = 1024, 20_011, 32
+WIDTH, SEED, BLANK, LANGUAGES = 1024, 20_011, 32, 4096
 _CHUNK_CHARS, _BLOCK, _ROWS, _ROUND = 1 << 19, 4096, 512, 6
 _REPORT = "doc_id long, lang string, predicted string, similarity double, margin double, keep boolean"
 
@@ -154,9 +154,11 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The bundle of each declared language, by name."""
+    """The bundle of each declared language, by name; an error beyond ``LANGUAGES``, as profiles are broadcast (8 KB each)."""
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
-    parts = rows.mapInArrow(_train, "lang string, bundle binary").groupBy("lang").applyInArrow(_add, "lang string, bundle binary").toArrow()
+    parts = rows.mapInArrow(_train, "lang string, bundle binary").groupBy("lang").applyInArrow(_add, "lang string, bundle binary").limit(LANGUAGES + 1).toArrow()
+    if parts.num_rows > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} declared languages")
     got = {a: np.frombuffer(b, "<i8").astype(float) for a, b in zip(parts["lang"].to_pylist(), parts["bundle"].to_pylist())}
     return {k: got[k] for k in sorted(got) if got[k].any()}
 
@@ -194,7 +196,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Defined cases: a text without a letter (null or empty too) has no prediction and is kept; rows without
     a declared lang train nothing, get a prediction and are kept; with one language the margin is the
-    similarity; without any, nothing is predicted; of equal cosines the smaller name counts; a text of any length is read whole; repeated rows and rows without doc_id are treated
+    similarity; without any, nothing is predicted; more than ``LANGUAGES`` declared ones are an error; of equal cosines the smaller name counts; a text of any length is read whole; repeated rows and rows without doc_id are treated
     like others; an empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

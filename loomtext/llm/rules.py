@@ -97,10 +97,10 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(log(j)) for j in range(k + 1)))
 
 
-def _test(risk: float, delta: float, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _test(risk: float, delta: float, strata: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         c = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        ok = [binomial_tail(k, n, risk / len(RULES)) <= delta / (s * len(RULES)) for k, n, s in zip(c["good_hit"], c["good"], c["strata"])]
+        ok = [binomial_tail(k, n, risk / len(RULES)) <= delta / (strata * len(RULES)) for k, n in zip(c["good_hit"], c["good"])]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(ok, pa.bool_())], ["lang", "rule", "step", "cutoff", "bad_hit", "ok"])
 
 
@@ -114,13 +114,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     counted = held.select("lang", "q", F.explode(F.array(*level)).alias("x")).groupBy("lang", "x.rule", "x.level").agg(F.sum("q").alias("good"), F.sum(1 - F.col("q")).alias("bad"))
     counted = cut(counted)
     grid = spark.createDataFrame([(r, k, x, len(c) - k) for r, c in CUTOFFS.items() for k, x in enumerate(c)], "rule string, step int, cutoff double, least int")
-    strata = counted.select(F.struct("lang").alias("l")).distinct().agg(F.count("*").alias("strata"))
+    strata = counted.select("lang").distinct().count()
     table = counted.join(grid, "rule").groupBy("lang", "rule", "step", "cutoff").agg(
         F.sum(F.when(F.col("level") >= F.col("least"), F.col("bad")).otherwise(0)).alias("bad_hit"),
         F.sum(F.when(F.col("level") >= F.col("least"), F.col("good")).otherwise(0)).alias("good_hit"),
         F.sum("good").alias("good"),
     )
-    tested = table.crossJoin(strata).select("lang", "rule", "step", "cutoff", "bad_hit", "good_hit", "good", "strata").mapInArrow(partial(_test, risk, delta), "lang string, rule string, step int, cutoff double, bad_hit long, ok boolean")
+    tested = table.select("lang", "rule", "step", "cutoff", "bad_hit", "good_hit", "good").mapInArrow(partial(_test, risk, delta, strata), "lang string, rule string, step int, cutoff double, bad_hit long, ok boolean")
     reached = F.min("ok").over(Window.partitionBy("lang", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     best = tested.withColumn("certified", reached).groupBy("lang", "rule").agg(F.max(F.when(F.col("certified") & (F.col("bad_hit") > 0), F.struct("bad_hit", (-F.col("step")).alias("s"), "cutoff"))).alias("best"))
     return best.groupBy("lang").pivot("rule", RULES).agg(F.first("best.cutoff"))

@@ -315,6 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     sample = known.where("__low = __toxic").orderBy(F.xxhash64("__id"), "__id").limit(examples).select("__id", "__toxic")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(frames.sized(sample, examples, 16), F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__toxic").cast("int").alias("toxic"), "text")
+    # a doc_id that many rows share is one example: what comes to the driver is bounded
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = rows.mapInArrow(_features, "doc_id long, toxic int, terms binary, counts binary, lows binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     kinds = (("terms", "<u8"), ("counts", "<i4"), ("lows", "<u8"))
@@ -336,7 +338,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
 
     Defined cases: a null or empty text, or one without a word of the examples, has no neighbour, the calibrated
     prior and isn't toxic; a document isn't its own neighbour; equal similarities go to the smaller doc_id;
-    repeated rows are scored alike; examples with contradicting labels aren't used; a row without doc_id is
+    repeated rows are scored alike; examples with contradicting labels aren't used; of texts that share a doc_id one is the example; a row without doc_id is
     scored, but is no example; without labels nothing is toxic; an empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
