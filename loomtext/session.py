@@ -84,10 +84,10 @@ def release(spark: SparkSession) -> None:
 
     A shuffle before another one is freed a round later.
     """
-    for _ in range(3):
+    for _ in range(6):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.5)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
