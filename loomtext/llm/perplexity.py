@@ -63,9 +63,9 @@ def _row(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
-def _zip(*parts: bytes) -> bytes:
+def _zip(*parts: bytes, level: int = 3) -> bytes:
     head = np.array([len(p) for p in parts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(bytes([len(parts)]) + head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(bytes([len(parts)]) + head + b"".join(parts))
 
 
 def _unzip(blob: bytes) -> list[bytes]:
@@ -375,9 +375,10 @@ def _requests(k: Constants, frequent: Broadcast, buckets: int, it: Iterator[pa.R
                     continue
                 first = _runs(own)
                 size = np.diff(np.append(first, len(own)))
-            step = np.diff(of, prepend=of[:1])
-            step[first] = of[first]
-            rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(size), K.pack_ints(step)), None, None))
+            later = np.ones(len(of), bool)
+            later[first] = False
+            step = np.diff(of, prepend=of[:1])[later]
+            rows.append((b, uid, REQUEST, _zip(K.pack_sorted(own[first]), K.pack_ints(size), K.pack_small(of[first]), K.pack_ints(step), level=9), None, None))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, meta.schema) as out:
             out.write_table(meta)
@@ -426,13 +427,16 @@ def _answer(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     if not len(key):
         return
     for part, uid, blob in waiting:
-        asked, runs, steps = _unzip(blob)
-        g, runs, steps = K.unpack_sorted(asked), K.unpack_ints(runs).astype(np.int64), K.unpack_ints(steps).astype(np.int64)
+        asked, runs, firsts, later = _unzip(blob)
+        g, runs = K.unpack_sorted(asked), K.unpack_ints(runs).astype(np.int64)
+        first = np.cumsum(runs) - runs
+        steps, inner = np.empty(int(runs.sum()), np.int64), np.ones(int(runs.sum()), bool)
+        inner[first] = False
+        steps[first], steps[inner] = K.unpack_small(firsts), K.unpack_ints(later).astype(np.int64)
         at = np.searchsorted(key, g)
         at[at == len(key)] = 0
         score = np.where(key[at] == g, value[at], 0.0)
         total = np.cumsum(steps)
-        first = np.cumsum(runs) - runs
         doc = total - np.repeat(total[first] - steps[first], runs)
         yield _row([(uid % buckets, uid, ANSWER, zlib.compress(np.bincount(doc, np.repeat(score, runs)).astype("<f4").tobytes(), 1), None, int(part).to_bytes(4, "big"))])
 
