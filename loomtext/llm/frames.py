@@ -33,9 +33,13 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * (row_bytes + _ROW_OVERHEAD) <= BROADCAST_BYTES else df
 
 
-def shards(docs: DataFrame, chars: int) -> int:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shards(docs: DataFrame, chars: int, size: int | None = None) -> int:
     """Shards for what is made of all texts of ``docs``: one for ``chars`` characters, but no fewer than shuffles have partitions."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes(docs) if size is None else size
     return max(shuffle_partitions(docs.sparkSession), -(-size // chars))
 
 

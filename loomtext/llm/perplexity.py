@@ -51,6 +51,7 @@ QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
 START, END = U(1), U(2)
 FREQUENT = 5e-7
 _BATCH_TOKENS, _SCORE_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 6_000_000, 1 << 24, 20
+_WORTH_FREEING = 1 << 27  # bytes of text from which on it is worth seconds to have shuffle files freed
 _ROOM = 18  # bits that the number of a text in a batch takes
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -482,7 +483,8 @@ def _added(rows: DataFrame, size: int) -> list[int]:
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, sample, n_tokens and log_prob (natural) of every row of ``docs``."""
     rows = _sampled(docs, labels)
-    buckets = frames.shards(docs, _SHARD_CHARS)
+    size = frames.text_bytes(docs)
+    buckets = frames.shards(docs, _SHARD_CHARS, size)
 
     def exchange(df: DataFrame, f) -> DataFrame:
         return df.repartitionById(buckets, F.col("part")).mapInArrow(f, _ROW)
@@ -492,7 +494,8 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     k = Constants(_added(sums, 11))
     model = cut(exchange(sums.where(f"kind < {SUMS}"), partial(_values, k, buckets)))
     del sums
-    release(docs.sparkSession)
+    if size >= _WORTH_FREEING:
+        release(docs.sparkSession)
     often = model.where(f"kind = {OFTEN}").select("a").toArrow()["a"].to_pylist()
     frequent = docs.sparkSession.sparkContext.broadcast(_unpack_values(often))
     asked = rows.mapInArrow(partial(_requests, k, frequent, buckets), _ROW).unionByName(model.where(f"kind = {VALUES}"))
