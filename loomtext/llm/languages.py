@@ -16,7 +16,7 @@ language and task, the second nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -93,15 +93,31 @@ def trigrams(texts: list[str], edges: np.ndarray | None = None) -> tuple[np.ndar
     return known, pair // max(1, len(known)), pair % max(1, len(known)), count
 
 
+class _Buffers:
+    """Arrays that a worker uses again and again, so that their memory isn't fetched anew each time."""
+
+    def __init__(self) -> None:
+        self.a = np.empty((_BLOCK, WIDTH), np.float32)
+        self.b = np.empty((_BLOCK, WIDTH), np.float32)
+        self.counts = np.zeros((_ROWS, _BLOCK), np.float32)
+
+
+@lru_cache(1)
+def _buffers(block: int) -> _Buffers:
+    return _Buffers()
+
+
 def bound(known: np.ndarray) -> np.ndarray:
-    """The vectors of trigrams."""
+    """The vectors of at most ``_BLOCK`` trigrams; they are overwritten by the next call."""
     three = [known >> U(42), known >> U(21) & U(0x1FFFFF), known & U(0x1FFFFF)]
     letters = np.unique(np.concatenate(three))
     vectors = letter_vectors(letters)
     a, b, c = (np.searchsorted(letters, x) for x in three)
-    out = np.roll(vectors, 2, 1)[a]
-    out *= np.roll(vectors, 1, 1)[b]
-    out *= vectors[c]
+    out, factor = _buffers(_BLOCK).a[: len(known)], _buffers(_BLOCK).b[: len(known)]
+    np.take(np.roll(vectors, 2, 1), a, 0, out, "clip")
+    for rows, at in ((np.roll(vectors, 1, 1), b), (vectors, c)):
+        np.take(rows, at, 0, factor, "clip")
+        out *= factor
     return out
 
 
@@ -110,6 +126,7 @@ def _bundle(rows: int, known: np.ndarray, row: np.ndarray, gram: np.ndarray, cou
     out = np.zeros((rows, WIDTH), np.float32)
     order = np.argsort(gram // _BLOCK, kind="stable")
     row, gram, count = row[order], gram[order], count[order]
+    counts = _buffers(_BLOCK).counts
     for start in range(0, len(known), _BLOCK):
         vectors = bound(known[start : start + _BLOCK])
         own = slice(*np.searchsorted(gram // _BLOCK, [start // _BLOCK, start // _BLOCK + 1]))
@@ -117,9 +134,11 @@ def _bundle(rows: int, known: np.ndarray, row: np.ndarray, gram: np.ndarray, cou
         for top in range(0, rows, _ROWS):
             some = slice(*np.searchsorted(r, [top, top + _ROWS]))
             if some.start < some.stop:
-                matrix = np.zeros((min(_ROWS, rows - top), len(vectors)), np.float32)
-                matrix[r[some] - top, g[some]] = c[some]
-                out[top : top + _ROWS] += matrix @ vectors
+                at = r[some] - top, g[some]
+                counts[at] = c[some]
+                n = min(_ROWS, rows - top)
+                out[top : top + n] += counts[:n, : len(vectors)] @ vectors
+                counts[at] = 0
     return out
 
 
