@@ -1,28 +1,25 @@
-"""SimHash near-duplicates with pigeonring candidate filtering.
+"""SimHash near-duplicates, found exactly with covering masks.
 
 A document's fingerprint has 256 bits: bit b is the majority, over the document's distinct words,
 of bit b of the word's hash. Two documents are near-duplicates when their fingerprints differ in
-at most ``TAU`` bits; groups are the connected components of that relation.
-
-Candidates: the fingerprint is a ring of 16 segments of 16 bits. By the pigeonring principle two near fingerprints have a
-segment where a chain starts that stays within the proportional budget: its first l segments differ in l * TAU / 16 bits
-at most, for every l. A pair is looked at where a segment differs in ``START`` bits at most, and only if the chain
-that starts there keeps the budgets up to ``CHAIN`` segments; only what is left is compared in full. The lookup is an
-equality join: fingerprints whose segment has an even number of set bits are also looked up under the 16 values one bit
-away, which finds all pairs one bit apart, as these have an even and an odd member. Chains that start
-at 1 bit at most are all chains as long as TAU < 32; at the default of 40 the first segment may differ in 2 bits,
-and a pair all of whose chains do so isn't found (about one pair in 10,000, see README).
-
-Cost: a distinct fingerprint goes to each shard once for every segment that has it look something up there, 41 bytes
-each time; text is never shuffled. Equal fingerprints are
-one row. Long runs of one segment value, which large groups of copies make, are explored breadth
-first, each row against rows not reached yet, so that a tight group costs one pass.
+at most ``TAU`` bits; groups are the connected components of that relation, and no link is left out.
+
+Candidates: the fingerprint is cut into ``BLOCKS`` blocks with radii whose sum, with one more for each block, is TAU + 1,
+so that near fingerprints are within the radius r in one block at least. In a block every bit has a vector of r + 1
+bits, and every nonzero vector v has a mask: the bits whose vectors have an odd product with v. The vectors of r
+bits or fewer leave some v that is orthogonal to all of them, so that one mask has none of the bits that differ: rows are
+equal under it, and sorting what each mask leaves of the rows finds them. A mask has about 25 bits, and there are 1531.
+
+Cost: a task has the fingerprints of all documents, or beyond ``_TASK_ROWS`` of two groups of them, and a share of the masks; a distinct
+fingerprint goes to about 32 tasks, 40 bytes each time; text is never shuffled. Equal fingerprints are one row. Rows already linked
+aren't compared again, and long runs are compared with one of their rows first, so that a group of copies costs one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +31,10 @@ from loomtext.llm import kernels as K
 from loomtext.session import cut, read
 
 U = np.uint64
-BITS, SEGMENTS, CHAIN, START, TAU = 256, 16, 4, 1, 40
-_LONG_RUN, _PAIRS, _SHARD_CHARS = 512, 1 << 18, 1 << 24
+BITS, BLOCKS, TAU = 256, 5, 40
+_LONG_RUN, _PAIRS, _TASK_ROWS, _COPIES, _SET_ROWS = 64, 1 << 18, 2_000_000, 32, 1024
+#: Block radius: what orders the bits' vectors. These make the fewest light masks of thousands that were tried; any finds all pairs.
+_SEEDS = {7: 2419, 8: 281}
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], U)
 
 
@@ -73,116 +72,144 @@ def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f.tobytes() if c else None for f, c in zip(fp, count)], pa.binary())], ["doc_id", "text_hash", "fp"])
 
 
-class Shards:
-    """Which shard looks after which segment values. Neighbouring values share one, so that most values one bit apart do."""
-
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
-        self.shift = 16 - min(10, max(0, (buckets // SEGMENTS).bit_length() + 1))
-
-    def of(self, segment: np.ndarray | int, value: np.ndarray) -> np.ndarray:
-        return K.bucket_of(K.mix((np.asarray(segment, np.int64) << 16 | value.astype(np.int64) >> self.shift).astype(U)), self.buckets)
+def blocks() -> list[tuple[int, int, int]]:
+    """First bit, end and radius of each block."""
+    edge = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [(edge[k], edge[k + 1], (TAU + 1 + k) // BLOCKS - 1) for k in range(BLOCKS)]
 
 
-def _even(value: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(value) % 2 == 0
+def masks(bits: int, radius: int) -> np.ndarray:
+    """Masks over ``bits`` bits: of any ``radius`` bits, one mask at least has none."""
+    vectors = np.arange(1, 2 << radius)
+    column = vectors[np.argsort(K.mix(vectors.astype(U) + U(_SEEDS.get(radius, 0) << 16)))][np.arange(bits) % len(vectors)]
+    odd = (np.bitwise_count(vectors[:, None] & column) & 1).astype(U)
+    return (odd << np.arange(bits, dtype=U)).sum(1, dtype=U)
 
 
-def _segment_rows(shards: Shards, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread_rows(groups: int, sets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints, packed, for each task: a pair of groups (or the only group) and a share of the masks."""
+    pairs = list(combinations(range(groups), 2)) or [(0, 0)]
     for batch in it:
         n = batch.num_rows
         if not n:
             continue
         fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, BITS // 8)
         rep = batch.column(1).to_numpy(zero_copy_only=False).astype("<i8")
-        asked = []
-        for s in range(SEGMENTS):
-            value = fp.view("<u2")[:, s]
-            even = np.flatnonzero(_even(value))
-            row = np.concatenate([np.arange(n), *[even] * 16])
-            bucket = np.concatenate([shards.of(s, value), *(shards.of(s, value[even] ^ np.uint16(1 << k)) for k in range(16))])
-            asked.append(np.unique((bucket * SEGMENTS + s) * n + row))
-        asked = np.sort(np.concatenate(asked))
-        bucket, segment, row = asked // n // SEGMENTS, asked // n % SEGMENTS, asked % n
-        at = K.split_at(bucket, shards.buckets)
-        ids, segments, rows, reps = [], [], [], []
-        for b in np.flatnonzero(np.diff(at)):
-            own = slice(at[b], at[b + 1])
-            ids.append(b)
-            segments.append(segment[own].astype(np.uint8).tobytes())
-            rows.append(fp[row[own]].tobytes())
-            reps.append(rep[row[own]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(segments, pa.binary()), pa.array(rows, pa.binary()), pa.array(reps, pa.binary())], ["part", "segments", "fps", "reps"])
-
-
-def _within(chain: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows pass the chain budgets and then the full comparison."""
-    x = chain[a] ^ chain[b]
-    ok = np.bitwise_count(x) <= CHAIN * TAU // SEGMENTS
-    for length in range(CHAIN - 1, 0, -1):
-        ok &= np.bitwise_count(x & U((1 << 16 * length) - 1)) <= length * TAU // SEGMENTS
-    left = np.flatnonzero(ok)
-    ok[left] = np.bitwise_count(fp[a[left]] ^ fp[b[left]]).sum(1, dtype=np.int64) <= TAU
-    return ok
-
-
-def near_pairs(segment: int, fp: np.ndarray, mine=None) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect all near rows whose chains start at a segment and differ there in one bit at most.
-
-    ``fp``: n x 4 words of 64 bits; ``mine`` says which of some segment values are looked after here.
+        group = K.bucket_of(K.mix(fp.view("<u8") @ np.array([1, 3, 5, 7], U)), groups)
+        for k, pair in enumerate(pairs):
+            own = np.isin(group, pair)
+            if own.any():
+                of = range(k * sets, (k + 1) * sets)
+                fps, reps = fp[own].tobytes(), rep[own].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([fps] * sets, pa.binary()), pa.array([reps] * sets, pa.binary())], ["part", "fps", "reps"])
+
+
+def _within(block: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows are within the block's radius and near."""
+    near = np.bitwise_count(block[a] ^ block[b]) <= radius
+    left = np.flatnonzero(near)
+    near[left] = np.bitwise_count(fp[a[left]] ^ fp[b[left]]).sum(1, dtype=np.int64) <= TAU
+    return near
+
+
+def _runs(block: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that others equal under a mask, and the run that each is in, ascending."""
+    low = U(max(1, len(block) - 1).bit_length())
+    # a row's number goes where the product has its low bits; that others clash there only costs time
+    key = np.sort(((block & mask) * U(0x9E3779B97F4A7C15) >> low << low) | np.arange(len(block), dtype=U))
+    high = key >> low
+    same = np.zeros(len(key) + 1, bool)
+    np.equal(high[1:], high[:-1], out=same[1:-1])
+    at = np.flatnonzero(same[1:] | same[:-1])
+    return (key[at] & ((U(1) << low) - U(1))).astype(np.int64), np.cumsum(~same[at])
+
+
+def _several(row: np.ndarray, run: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose runs have several labels."""
+    if not len(row):
+        return row, run
+    own, first = label[row], np.flatnonzero(np.diff(run, prepend=-1))
+    mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    keep = np.repeat(mixed, np.diff(np.append(first, len(row))))
+    return row[keep], run[keep]
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels when rows a and b are linked, too."""
+    if not len(a):
+        return label
+    member, root = _smallest_linked(label[a], label[b])
+    to = np.arange(len(label))
+    to[member] = root
+    return to[label]
+
+
+def near_pairs(share: int, fp: np.ndarray, shares: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect all near rows which the masks of a share, one of ``shares``, find.
+
+    ``fp``: n x 4 words of 64 bits.
     """
-    seg = fp.view("<u2")
-    value = seg[:, segment]
-    chain = np.ascontiguousarray(seg[:, (segment + np.arange(CHAIN)) % SEGMENTS]).view("<u8").reshape(-1)
-    exact = np.arange(len(fp)) if mine is None else np.flatnonzero(mine(value))
-    even = np.flatnonzero(_even(value))
-    flip = np.tile(even, 16)
-    flipped = np.concatenate([value[even] ^ np.uint16(1 << k) for k in range(16)])
-    exact = exact[np.argsort(value[exact], kind="stable")]
-    keys, edge = np.unique(value[exact], return_index=True)
-    edge = np.append(edge, len(exact))
-    at = np.minimum(np.searchsorted(keys, flipped), max(0, len(keys) - 1))
-    hit = keys[at] == flipped if len(keys) else np.zeros(len(flip), bool)
-    flip, at = flip[hit], at[hit]
-    order = np.argsort(at, kind="stable")
-    flip, at = flip[order], at[order]
-    edge_of_flips = np.searchsorted(at, np.arange(len(keys) + 1))
-    size = np.diff(edge)
-    long = size + np.diff(edge_of_flips) > _LONG_RUN
-    left, right = [], []
-    for run in np.flatnonzero(long):
-        todo = np.concatenate([exact[edge[run] : edge[run + 1]], flip[edge_of_flips[run] : edge_of_flips[run + 1]]])
-        while len(todo):
-            queue, todo = [todo[0]], todo[1:]
-            while queue and len(todo):
-                v = queue.pop()
-                near = _within(chain, fp, np.full(len(todo), v), todo)
-                found = todo[near]
-                left.append(np.full(len(found), v))
-                right.append(found)
-                queue.extend(found)
-                todo = todo[~near]
-    run_of = np.repeat(np.arange(len(keys)), size)
-    rest = np.flatnonzero(~long[run_of]) if len(keys) else np.zeros(0, np.int64)
-    for step in range(1, int(size[~long].max()) if (~long).any() else 1):
-        rest = rest[rest + step < len(exact)]
-        rest = rest[run_of[rest] == run_of[rest + step]]
-        near = rest[_within(chain, fp, exact[rest], exact[rest + step])]
-        left.append(exact[near])
-        right.append(exact[near + step])
-    short = np.flatnonzero(~long[at]) if len(keys) else np.zeros(0, np.int64)
-    total = np.cumsum(size[at[short]])
-    for begin in range(0, int(total[-1]) if len(total) else 0, _PAIRS):
-        # pairs begin ... begin + _PAIRS of all (flipped, exact) ones
-        number = np.arange(begin, min(begin + _PAIRS, int(total[-1])))
-        of = np.searchsorted(total, number, "right")
-        a = flip[short[of]]
-        b = exact[edge[at[short[of]]] + number - (total[of] - size[at[short[of]]])]
-        near = _within(chain, fp, a, b)
-        left.append(a[near])
-        right.append(b[near])
+    n, number = len(fp), 0
+    label = np.arange(n)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    left, right = [none], [none]
+    for begin, end, radius in blocks() if n > 1 else []:
+        word, shift = divmod(begin, 64)
+        block = fp[:, word] >> U(shift)
+        if shift + end - begin > 64:
+            block = block | fp[:, word + 1] << U(64 - shift)
+        block = block & U((1 << end - begin) - 1)
+        for mask in masks(end - begin, radius):
+            number += 1
+            if number % shares != share:
+                continue
+            row, run = _several(*_runs(block, mask), label)
+            while len(row):  # a tight group is linked through one of its rows
+                first = np.flatnonzero(np.diff(run, prepend=-1))
+                size = np.diff(np.append(first, len(row)))
+                long = size > _LONG_RUN
+                if not long.any():
+                    break
+                lead = np.repeat(row[first + size * (number * 40503 % 65536) // 65536], size)
+                at = np.flatnonzero(np.repeat(long, size) & (label[row] != label[lead]))
+                at = at[_within(block, fp, lead[at], row[at], radius)]
+                left.append(lead[at])
+                right.append(row[at])
+                label = _merge(label, lead[at], row[at])
+                before = len(row)
+                row, run = _several(row, run, label)
+                if len(row) > before // 2:
+                    break
+            if not len(row):
+                continue
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            size = np.diff(np.append(first, len(row)))
+            end_of_run, after, own = np.repeat(first + size, size), np.arange(1, len(row) + 1), label[row]
+            long = np.flatnonzero(np.repeat(size > _LONG_RUN, size))
+            if len(long):  # by label: a row is compared with those of its run that follow its label
+                order = long[np.lexsort((own[long], run[long]))]
+                row[long], own[long] = row[order], own[order]
+                edge = np.flatnonzero((np.diff(own[long]) != 0) | (np.diff(run[long]) != 0)) + 1
+                follows = np.searchsorted(edge, np.arange(len(long)), "right")
+                after[long] = np.minimum(end_of_run[long], np.append(long[edge], len(row))[follows])
+            total = np.cumsum(end_of_run - after)
+            a_found, b_found = [none], [none]
+            for start in range(0, int(total[-1]), _PAIRS):
+                pair = np.arange(start, min(start + _PAIRS, int(total[-1])))
+                to = int(np.searchsorted(total, pair[-1], "right")) + 1
+                of = int(np.searchsorted(total, start, "right"))
+                a = of + np.repeat(np.arange(to - of), np.diff(np.minimum(total[of:to], pair[-1] + 1), prepend=start))
+                b = end_of_run[a] + pair - total[a]
+                other = own[a] != own[b]
+                a, b = row[a[other]], row[b[other]]
+                near = _within(block, fp, a, b, radius)
+                a_found.append(a[near])
+                b_found.append(b[near])
+            a, b = np.concatenate(a_found), np.concatenate(b_found)
+            left.append(a)
+            right.append(b)
+            label = _merge(label, a, b)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _smallest_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,28 +231,20 @@ def _smallest_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[moved], ids[label[moved]]
 
 
-def _link(shards: Shards, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, segments, fps, reps = None, [], [], []
+def _link(sets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, fps, reps = None, [], []
     for batch in it:
         if batch.num_rows:
             part = batch.column(0)[0].as_py()
-        segments += batch.column(1).to_pylist()
-        fps += batch.column(2).to_pylist()
-        reps += batch.column(3).to_pylist()
+        fps += batch.column(1).to_pylist()
+        reps += batch.column(2).to_pylist()
     if part is None:
         return
-    segment = np.frombuffer(b"".join(segments), np.uint8)
     fp = np.frombuffer(b"".join(fps), "<u8").reshape(-1, BITS // 64)
     rep = np.frombuffer(b"".join(reps), "<i8")
-    del segments, fps, reps
-    left, right = [], []
-    for s in np.unique(segment):
-        own = np.flatnonzero(segment == s)
-        a, b = near_pairs(int(s), fp[own], lambda value, s=s: shards.of(int(s), value) == part)
-        member, root = _smallest_linked(rep[own[a]], rep[own[b]])
-        left.append(member)
-        right.append(root)
-    member, root = _smallest_linked(np.concatenate(left), np.concatenate(right))
+    del fps, reps
+    a, b = near_pairs(part % sets, fp, sets)
+    member, root = _smallest_linked(rep[a], rep[b])
     yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
 
@@ -256,7 +275,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, group_id, group_size and keep, one row for each distinct (doc_id, text); see ``near_groups``."""
-    shards = Shards(frames.shards(docs, _SHARD_CHARS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp binary")
     prints = cut(rows.groupBy("doc_id", "text_hash").agg(F.min("fp").alias("fp")))
     # a text's node is its doc_id; of texts that share a doc_id all but one have a hash for it
@@ -265,8 +283,12 @@ def near_texts(docs: DataFrame) -> DataFrame:
     prints = prints.join(frames.sized(shared, shared.count(), 16), F.col("doc_id") == F.col("id"), "left")
     prints = prints.select("doc_id", "text_hash", "fp", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text_hash", "fp")).alias("node"))
     distinct = cut(prints.where("fp is not null").groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("lead")))
-    segments = distinct.select("fp", "rep").mapInArrow(partial(_segment_rows, shards), "part int, segments binary, fps binary, reps binary")
-    edges = segments.repartitionById(shards.buckets, F.col("part")).mapInArrow(partial(_link, shards), "a long, b long")
+    n = distinct.count()
+    groups = 1 if n <= _TASK_ROWS else -(-2 * n // _TASK_ROWS)
+    sets = max(1, min(_COPIES // max(1, groups - 1), -(-n // _SET_ROWS)))
+    tasks = max(1, groups * (groups - 1) // 2) * sets
+    spread = distinct.select("fp", "rep").mapInArrow(partial(_spread_rows, groups, sets), "part int, fps binary, reps binary")
+    edges = spread.repartitionById(tasks, F.col("part")).mapInArrow(partial(_link, sets), "a long, b long")
     linked = components(edges).select(F.col("a").alias("rep"), F.col("b").alias("root"))
     rooted = cut(distinct.join(linked, "rep", "left").select("fp", "n", "lead", F.coalesce("root", "rep").alias("root")))
     groups = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("lead").alias("first"))

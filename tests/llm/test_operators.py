@@ -136,6 +136,26 @@ def test_chains_that_start_one_bit_apart_are_found():
         assert {(0, 1)} <= {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
 
 
+def test_rows_that_share_a_segment_arent_all_compared(monkeypatch):
+    rng = np.random.default_rng(7)
+    fp = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
+    fp[:, 0] &= ~np.uint64(0xFFFF)
+    compared, within = [], simhash._within
+    monkeypatch.setattr(simhash, "_within", lambda *x: compared.append(len(x[3])) or within(*x))
+    assert not len(simhash.near_pairs(0, fp)[0])
+    assert sum(compared) < 6000**2 / 20
+
+
+def test_groups_of_fingerprints_give_the_same_classes(spark, sf_dir, table, monkeypatch):
+    monkeypatch.setattr(simhash, "_TASK_ROWS", 300)
+    monkeypatch.setattr(simhash, "_SET_ROWS", 50)
+    t = table.sort_values("doc_id")
+    groups, _ = brute_groups(t.doc_id.tolist(), t.text.tolist())
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)).collect()}
+    ids = t.doc_id.tolist()
+    assert len(t) == len(got) and [got[d] for d in ids] == [ids[g] for g in groups]
+
+
 def test_fingerprints_are_majorities(table):
     """Bit by bit with Python's integers, from the words' hashes alone."""
     full = (1 << 64) - 1
