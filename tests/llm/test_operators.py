@@ -136,6 +136,45 @@ def test_chains_that_start_one_bit_apart_are_found():
         assert {(0, 1)} <= {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
 
 
+def test_every_pair_within_the_threshold_is_found():
+    """Pairs 40 bits apart, of which no 16-bit segment is within one bit, and ones at random; none that is 41 apart."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (600, 4), dtype=np.uint64)
+    bits = np.zeros((600, 256), np.uint8)
+    for row in range(600):
+        if row % 2:
+            for segment in range(16):
+                bits[row, 16 * segment + rng.choice(16, 3 if segment < 8 else 2, replace=False)] = 1
+        else:
+            bits[row, rng.choice(256, 40, replace=False)] = 1
+    bits[500:, :] = 0
+    for row in range(500, 600):
+        bits[row, rng.choice(256, 41, replace=False)] = 1
+    fp = np.concatenate([base, base ^ np.packbits(bits, axis=1, bitorder="little").view("<u8")])
+    for shares in (1, 7):
+        found = {tuple(sorted(x)) for share in range(shares) for x in zip(*(y.tolist() for y in simhash.near_pairs(share, fp, shares)))}
+        assert found == {(i, i + 600) for i in range(500)}
+
+
+def far_segments():
+    """Pairs of texts within the threshold whose fingerprints differ in two bits or more of every 16-bit segment: 9 of the first 96,000 seeds have them."""
+    pairs = []
+    for seed in (1256, 32545, 38203, 52055, 61613, 82557, 88752, 92243, 92717):
+        w = [f"w{x}" for x in np.random.default_rng([8, seed]).integers(0, 9999, 90)]
+        pairs.append((" ".join(w[:80]), " ".join(w[9:89])))
+    fp, _ = simhash.fingerprints([t for pair in pairs for t in pair])
+    apart = np.bitwise_count(fp[::2] ^ fp[1::2]).reshape(len(pairs), 16, 2).sum(2, dtype=np.int64)
+    assert apart.min() >= 2 and apart.sum(1).max() <= simhash.TAU
+    return pairs
+
+
+def test_links_without_a_segment_within_one_bit_are_kept(spark):
+    pairs = far_segments()
+    docs = spark.createDataFrame([(10 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)], "doc_id long, text string")
+    got = {r.doc_id: (r.group_id, r.group_size, r.n_links) for r in simhash.near_groups(docs).collect()}
+    assert got == {10 * i + k: (10 * i, 2, 1) for i in range(len(pairs)) for k in (0, 1)}
+
+
 def test_rows_that_share_a_segment_arent_all_compared(monkeypatch):
     rng = np.random.default_rng(7)
     fp = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
