@@ -175,6 +175,15 @@ def test_links_without_a_segment_within_one_bit_are_kept(spark):
     assert got == {10 * i + k: (10 * i, 2, 1) for i in range(len(pairs)) for k in (0, 1)}
 
 
+def test_pipeline_drops_near_duplicates_without_a_segment_within_one_bit(spark):
+    import corpus_pipeline
+
+    pairs = far_segments()
+    docs = spark.createDataFrame([(10 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in left) == [10 * i for i in range(len(pairs))]
+
+
 def test_rows_that_share_a_segment_arent_all_compared(monkeypatch):
     rng = np.random.default_rng(7)
     fp = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
