@@ -13,13 +13,16 @@ equal under it, and sorting what each mask leaves of the rows finds them. A mask
 Cost: a task has the fingerprints of all documents, or beyond ``_TASK_ROWS`` of two groups of them, and a share of the masks; a distinct
 fingerprint goes to about 32 tasks, 40 bytes each time; text is never shuffled. Equal fingerprints are one row. Rows already linked
 aren't compared again, and long runs are compared with one of their rows first, so that a group of copies costs one pass.
+
+Links: what isn't compared again are links, too, if inside a group. As near documents are always of one group, links are counted
+afterwards, by comparing every two distinct fingerprints of a group, in tiles of ``_TILE_ROWS`` by as many; no pair is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from loomtext.session import cut, read
 
 U = np.uint64
 BITS, BLOCKS, TAU = 256, 5, 40
-_LONG_RUN, _PAIRS, _TASK_ROWS, _COPIES, _SET_ROWS = 64, 1 << 18, 2_000_000, 32, 1024
+_LONG_RUN, _PAIRS, _TASK_ROWS, _COPIES, _SET_ROWS, _TILE_ROWS = 64, 1 << 18, 2_000_000, 32, 1024, 1 << 15
 #: Block radius: what orders the bits' vectors. These make the fewest light masks of thousands that were tried; any finds all pairs.
 _SEEDS = {7: 2419, 8: 281}
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], U)
@@ -147,6 +150,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_pairs(share: int, fp: np.ndarray, shares: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect all near rows which the masks of a share, one of ``shares``, find.
 
+    These are enough for the groups, but not all links: near rows that others connect already are left out, see ``_count_links``.
     ``fp``: n x 4 words of 64 bits.
     """
     n, number = len(fp), 0
@@ -273,8 +277,64 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, group_id, group_size and keep, one row for each distinct (doc_id, text); see ``near_groups``."""
+def _near_sums(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the sum of ny over the rows of y near it, and for each row of y the sum of nx."""
+    of_x, of_y = np.zeros(len(x)), np.zeros(len(y))
+    columns, nx, ny = np.ascontiguousarray(y.T), nx.astype(np.float64), ny.astype(np.float64)  # whole numbers, added as fast as floats are
+    step = max(1, (_PAIRS >> 2) // max(1, len(y)))
+    for start in range(0, len(x), step):
+        own = slice(start, start + step)
+        apart = np.zeros((len(x[own]), len(y)), np.uint16)
+        for k in range(BITS // 64):
+            apart += np.bitwise_count(x[own, k, None] ^ columns[k])
+        near = apart <= TAU
+        if near.any():
+            near = near.astype(np.float64)
+            of_x[own] = near @ ny
+            of_y += nx[own] @ near
+    return of_x.astype(np.int64), of_y.astype(np.int64)
+
+
+def _count_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``it``: root, i, j, side, fp and n, by the first four. Each fp with the documents, of n a row, that its tile has within ``TAU`` bits, itself included."""
+    rest = None
+    for batch in chain(it, [None]):  # a tile is counted when the next one begins
+        if batch is not None:
+            more = pa.Table.from_batches([batch])
+            rest = more if rest is None else pa.concat_tables([rest, more])
+        if rest is None or not rest.num_rows:
+            continue
+        tile = np.stack([rest.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        edge = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(0)))
+        if batch is None:
+            edge = np.append(edge, rest.num_rows)
+        whole, rest = rest.slice(0, edge[-1]), rest.slice(edge[-1])
+        if not whole.num_rows:
+            continue
+        side, n = whole.column(3).to_numpy(), whole.column(5).to_numpy()
+        fp = np.frombuffer(b"".join(whole.column(4).to_pylist()), "<u8").reshape(-1, BITS // 64)
+        links = np.zeros(len(fp), np.int64)
+        for a, b in zip(edge[:-1], edge[1:]):
+            if tile[1, a] == tile[2, a]:
+                links[a:b] = _near_sums(fp[a:b], n[a:b], fp[a:b], n[a:b])[0]
+            else:
+                m = a + np.searchsorted(side[a:b], 1)
+                links[a:m], links[m:b] = _near_sums(fp[a:m], n[a:m], fp[m:b], n[m:b])
+        yield pa.RecordBatch.from_arrays([whole.column(4).combine_chunks(), pa.array(links)], ["fp", "links"])
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """fp and links, the documents within ``TAU`` bits of it, itself included. ``members``: root, m (fingerprints of the root), fp and n (its documents)."""
+    parts = F.ceil(F.col("m") / _TILE_ROWS).cast("int")
+    rows = members.select("root", "fp", "n", parts.alias("parts"), F.pmod(F.hash("fp"), parts).alias("x"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = rows.select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), "fp", "n")
+    tiles = tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    return tiles.mapInArrow(_count_links, "fp binary, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def near_texts(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, text_hash, group_id, group_size and keep, and n_links if asked for, one row for each distinct (doc_id, text); see ``near_groups``."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp binary")
     prints = cut(rows.groupBy("doc_id", "text_hash").agg(F.min("fp").alias("fp")))
     # a text's node is its doc_id; of texts that share a doc_id all but one have a hash for it
@@ -291,17 +351,21 @@ def near_texts(docs: DataFrame) -> DataFrame:
     edges = spread.repartitionById(tasks, F.col("part")).mapInArrow(partial(_link, sets), "a long, b long")
     linked = components(edges).select(F.col("a").alias("rep"), F.col("b").alias("root"))
     rooted = cut(distinct.join(linked, "rep", "left").select("fp", "n", "lead", F.coalesce("root", "rep").alias("root")))
-    groups = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("lead").alias("first"))
-    named = rooted.select("fp", "root").join(groups, "root").select("fp", "group_size", "first")
-    whole = prints.where("fp is not null").join(named, "fp")
+    groups = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("lead").alias("first"), F.count("*").alias("m"))
+    named = rooted.select("fp", "n", "root").join(groups, "root")
+    columns = ["doc_id", "text_hash", "group_id", "group_size", "keep"]
+    if links:
+        named = named.join(_links(named.where("m > 1").select("root", "m", "fp", "n")), "fp", "left").withColumn("n_links", F.coalesce("links", "n") - 1)
+        columns.append("n_links")
+    whole = prints.where("fp is not null").join(named.drop("root"), "fp")
     keep = F.struct("doc_id", "text_hash") == F.col("first")
-    grouped = whole.select("doc_id", "text_hash", F.col("first.doc_id").alias("group_id"), "group_size", keep.alias("keep"))
-    alone = prints.where("fp is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    return grouped.unionByName(alone)
+    grouped = whole.withColumn("group_id", F.col("first.doc_id")).withColumn("keep", keep)
+    alone = prints.where("fp is null").withColumn("group_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("keep", F.lit(True)).withColumn("n_links", F.lit(0).cast("long"))
+    return grouped.select(*columns).unionByName(alone.select(*columns))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id, group_size (texts in the group), n_links (the other ones, to which it is linked directly or through others) and keep, one row for each distinct (doc_id, text).
+    """doc_id, group_id, group_size (texts in the group), n_links (the other ones within ``TAU`` bits of its own fingerprint) and keep, one row for each distinct (doc_id, text).
 
     ``group_id`` is the smallest doc_id of the group and ``keep`` marks it. Defined cases: equal rows are
     one document; rows that share a doc_id but not their text are documents of their own, and may be in different groups,
@@ -309,7 +373,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     word (null or empty text too) is a group of its own; rows without doc_id are left out; texts of any length are read
     whole; an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    return near_texts(docs).select("doc_id", "group_id", "group_size", (F.col("group_size") - 1).alias("n_links"), "keep")
+    return near_texts(docs, links=True).select("doc_id", "group_id", "group_size", "n_links", "keep")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

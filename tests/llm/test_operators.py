@@ -175,6 +175,22 @@ def test_links_without_a_segment_within_one_bit_are_kept(spark):
     assert got == {10 * i + k: (10 * i, 2, 1) for i in range(len(pairs)) for k in (0, 1)}
 
 
+@pytest.mark.parametrize("tile", [1 << 15, 7])
+def test_every_link_is_counted(spark, monkeypatch, table, tile):
+    """n_links against brute force: on texts that are linked through others, on copies, and on the table."""
+    monkeypatch.setattr(simhash, "_TILE_ROWS", tile)
+    w = [f"w{x}" for x in np.random.default_rng(9).integers(0, 9999, 300)]
+    texts = [" ".join(w[4 * k : 4 * k + 90]) for k in range(40)]
+    texts += [texts[3]] * 3 + [texts[39], "", None, "!!", "!!"] + table.text.tolist()
+    fp, count = simhash.fingerprints([t or "" for t in texts])
+    fp = fp.view("<u8")
+    want = [int(((np.bitwise_count(f ^ fp).sum(1, dtype=np.int64) <= simhash.TAU) & (count > 0)).sum()) - 1 if c else 0 for f, c in zip(fp, count)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_groups(docs).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == want
+    assert sum(r.n_links < r.group_size - 1 for r in got.values()) > 20
+
+
 def test_pipeline_drops_near_duplicates_without_a_segment_within_one_bit(spark):
     import corpus_pipeline
 
