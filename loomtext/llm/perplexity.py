@@ -22,7 +22,8 @@ tokens and bigrams alike, in a table of values, and everything about it is shard
 
 What makes up ``FREQUENT`` of training or more, which at most 1 / ``FREQUENT`` tokens and as many bigrams can, is broadcast with its values
 (12 bytes each), and isn't sent; equal texts of a batch are scored once. Nothing that grows with the corpus is broadcast or comes to the driver.
-Text is read and never shuffled. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
+Larger tables are scored in ``_ROUNDS``, by the text's hash, each of which writes its results and has its shuffle files deleted before the next one begins, so
+that no more than one round's keys are on disk. Text is read once a round and shuffled only where trusted ids are too many to broadcast. Keys have 20 bits more than training has tokens, so a key that training hasn't is taken for one
 that it has about once in a million lookups, at any size.
 
 A document stays if its perplexity, over its tokens and the end, is at most the ``QUANTILE`` of held-out trusted documents of its
@@ -33,18 +34,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import frames, spans
 from loomtext.llm import kernels as K
-from loomtext.session import cut, read, release
+from loomtext.session import cut, freeing, read, release
 
 U = np.uint64
 QUANTILE, LEAST_HELD_OUT, HOLD_OUT_ONE_IN = 0.99, 30, 5
@@ -52,6 +53,7 @@ START, END = U(1), U(2)
 FREQUENT = 5e-7
 _BATCH_TOKENS, _SCORE_TOKENS, _SHARD_CHARS, _SPARE_BITS = 3_000_000, 6_000_000, 1 << 24, 20
 _WORTH_FREEING = 1 << 27  # bytes of text from which on it is worth seconds to have shuffle files freed
+_ROUNDS = 2  # in which such tables are scored
 _ROOM = 18  # bits that the number of a text in a batch takes
 _ROW = "part int, uid long, kind int, a binary, b binary, c binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -490,17 +492,39 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return df.repartitionById(buckets, F.col("part")).mapInArrow(f, _ROW)
 
     train = rows.where("sample = 1 and text is not null").select("doc_id", "text")
-    sums = cut(exchange(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)), _merge))
-    k = Constants(_added(sums, 11))
-    model = cut(exchange(sums.where(f"kind < {SUMS}"), partial(_values, k, buckets)))
+    with freeing(docs.sparkSession):
+        sums = cut(exchange(exchange(train.mapInArrow(partial(_bigram_counts, buckets), _ROW), partial(_shard, buckets)), _merge))
+        k = Constants(_added(sums, 11))
+        model = cut(exchange(sums.where(f"kind < {SUMS}"), partial(_values, k, buckets)))
     del sums
     if size >= _WORTH_FREEING:
         release(docs.sparkSession)
     often = model.where(f"kind = {OFTEN}").select("a").toArrow()["a"].to_pylist()
     frequent = docs.sparkSession.sparkContext.broadcast(_unpack_values(often))
-    asked = rows.mapInArrow(partial(_requests, k, frequent, buckets), _ROW).unionByName(model.where(f"kind = {VALUES}"))
-    answers = exchange(asked, partial(_answer, buckets))
-    return answers.repartitionById(buckets, F.col("part")).mapInArrow(partial(_combine, k), "doc_id long, lang string, sample int, n_tokens long, log_prob double")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        asked = rows.mapInArrow(partial(_requests, k, frequent, buckets), _ROW).unionByName(model.where(f"kind = {VALUES}"))
+        answers = exchange(asked, partial(_answer, buckets))
+        return answers.repartitionById(buckets, F.col("part")).mapInArrow(partial(_combine, k), "doc_id long, lang string, sample int, n_tokens long, log_prob double")
+
+    if size < _WORTH_FREEING:
+        return scored(rows)
+    with freeing(docs.sparkSession):
+        return reduce(DataFrame.unionByName, [cut(scored(rows.where(F.expr(f"pmod(xxhash64(text), {_ROUNDS}) = {i}")))) for i in range(_ROUNDS)])
+
+
+def _quantiles(rows: DataFrame, group: str, quantile: float, least: int) -> DataFrame:
+    """The ``quantile`` of ``value`` of each ``group`` with ``least`` rows or more, as threshold: the value at rank ceil(quantile * rows), in any order of the rows.
+
+    Approximate quantiles are within 1e-4 of the rows of the exact ones, so a range that is wider is narrowed down by counting.
+    """
+    around = [max(0.0, quantile - 5e-4), min(1.0, quantile + 5e-4)]
+    bounds = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("value", around, 10_000).alias("at")).where(F.col("n") >= least)
+    bounds = bounds.select(F.col(group).alias("of"), F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.col("n"))).alias("rank"), F.col("at")[0].alias("low"), F.col("at")[1].alias("high"))
+    value = F.when(F.col("value") >= F.col("low"), F.col("value"))  # null: below the range
+    counts = rows.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("of"))).where("value <= high").groupBy(group, "rank", value.alias("value")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy(F.col("value").asc_nulls_first()))
+    return counts.withColumn("upto", upto).where("upto >= rank and value is not null").groupBy(group).agg(F.min("value").alias("threshold"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD_OUT) -> DataFrame:
@@ -514,8 +538,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, leas
     are not read.
     """
     scored = cut(perplexities(docs, labels).withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("log_prob") / (F.col("n_tokens") + 1)), 4))))
-    held = scored.where("sample = 2 and perplexity is not null").groupBy(F.col("lang").alias("__lang"))
-    limits = held.agg(F.count("*").alias("__n"), F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")).where(F.col("__n") >= least)
+    held = scored.where("sample = 2 and perplexity is not null").select(F.col("lang").alias("__lang"), F.col("perplexity").alias("value"))
+    limits = _quantiles(held, "__lang", quantile, least)
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", keep.alias("keep"))

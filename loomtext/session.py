@@ -9,6 +9,8 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +92,21 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of what is executed as soon as that has ended, without waiting for the driver's collector.
+
+    For frames that are made and cut within, once; a Spark before 4.1 doesn't know the setting and frees them later.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Without a session any more there is nobody to ask; the files stay for whoever cleans the folder."""
     if spark.sparkContext._jsc is not None:

@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -367,6 +369,36 @@ def test_thresholds_are_quantiles_of_held_out_documents(spark, sf_dir):
     assert all(r.threshold is None and r.keep for r in few)
 
 
+def test_scoring_in_rounds_gives_the_same_and_leaves_no_shuffle_files(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    whole = sorted(perplexity.quality(docs, labels, least=1).collect(), key=repr)
+    monkeypatch.setattr(perplexity, "_WORTH_FREEING", 1)
+    monkeypatch.setattr(perplexity, "release", lambda spark: None)  # no collector
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    scored = perplexity.perplexities(docs, labels)
+    got = scored.count()
+    until = time.time() + 20
+    large = lambda: sum(os.path.getsize(f) for f in files() - before if os.path.exists(f))
+    while large() > 1 << 16 and time.time() < until:
+        time.sleep(0.5)
+    assert got == docs.count() and large() <= 1 << 16
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted(perplexity.quality(docs, labels, least=1).collect(), key=repr) == whole
+
+
+def test_thresholds_are_exact_in_any_order(spark):
+    rng = np.random.default_rng(3)
+    value = np.round(np.concatenate([rng.lognormal(5, 1, 60_000), np.full(500, 1500.0)]), 4)
+    rows = [("a", float(x)) for x in value] + [(None, float(x)) for x in value[:30]] + [("b", 1.0)] * 29
+    for q in (0.99, 0.5, 1.0):
+        want = {g: sorted(v)[math.ceil(q * len(v)) - 1] for g, v in (("a", value.tolist()), (None, value[:30].tolist()))}
+        for order in (rows, rows[::-1]):
+            got = perplexity._quantiles(spark.createDataFrame(order, "g string, value double").repartition(5), "g", q, 30).collect()
+            assert {r.g: r.threshold for r in got} == want
+
+
 def test_quality_separates_held_out_labels(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
