@@ -165,12 +165,12 @@ def keys(key: Column, n: int) -> dict[str, Column]:
 def lookup(grams: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
     """Distinct ``ngram`` of n words with all columns that models read, as doubles.
 
-    ``known`` is an index or counted n-grams; of the latter only the statistics that are asked for are made.
+    ``known`` is an index (of these n-grams' keys at least) or counted n-grams; of the latter only the statistics that are asked for are made.
     """
     distinct = grams.select("ngram").distinct()
     slots = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("key")) for s, c in keys(F.col("ngram"), n).items()])
     asked = distinct.select(F.col("ngram").alias("gram"), F.explode(slots).alias("x")).select("gram", "x.slot", "x.key")
-    if "nf_s" not in known.columns:
+    if "nf_n1" not in known.columns:
         only = asked.select("key").distinct()
         known = counting.index(known, sized(only, distinct.count() * (2 * n - 1), 64))
     total = lambda p: F.col(f"{p}_n1") + F.col(f"{p}_n2") + F.col(f"{p}_n3")
@@ -189,11 +189,14 @@ def adjusted(counts: dict[str, float]) -> list[float]:
     return n
 
 
-def constants(coc: list[dict], discount: float | None = 0.7) -> dict[str, float]:
-    """Constants of the models from the counts of counts (one row an order); ``discount`` None: estimated for each order."""
+def constants(coc: list[dict], discount: float | None = 0.7, most: int = 2) -> dict[str, float]:
+    """Constants of the models up to order ``most`` from the counts of counts (one row an order); ``discount`` None: estimated for each order that has a row.
+
+    With a discount only the orders 1 and 2 need rows.
+    """
     by = {r["n"]: r for r in coc}
     out = {"u": float(by[1]["n_distinct"]), "b2": float(by[2]["n_distinct"]), "s1": float(by[1]["total"]), "s2": float(by[2]["total"])}
-    for n in sorted(by):
+    for n in sorted(by.keys() | (set() if discount is None else range(1, most + 1))):
         if discount is not None:
             out |= {f"d{n}": discount} | {f"d{n}_{k}": discount for k in (1, 2, 3)}
             continue
@@ -212,7 +215,7 @@ def probability(model: str, n: int = 3, unknown: float | None = None) -> Column:
 
 def scored(grams: DataFrame, known: DataFrame, coc: DataFrame, model: str, discount: float | None = 0.7, n: int = 3, unknown: float | None = None) -> DataFrame:
     """ngram, p and oov_last of distinct n-grams of n words. ``coc`` has one row an order and is read by the driver."""
-    fixed = constants([r.asDict() for r in coc.collect()], discount)
+    fixed = constants([r.asDict() for r in coc.collect()], discount, n)
     looked = lookup(grams, known, n).withColumns({k: F.lit(v) for k, v in fixed.items()})
     return looked.select("ngram", probability(model, n, unknown).alias("p"), (F.col("c1") == 0).alias("oov_last"))
 
