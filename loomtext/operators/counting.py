@@ -33,15 +33,19 @@ def _numbered(n: int, boundary: int):
     return F.transform(N.keys(F.col("tokens"), n, boundary), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
 
 
+def joined(docs: DataFrame, key: str = "doc_id", tags: int = 3) -> DataFrame:
+    """doc_id and tokens: those of all sentences of a row."""
+    sents = F.transform(S.lines(F.col("text")), lambda x: S.tagged(S.lower_words(x), tags))
+    return spread(docs.select(F.col(key).alias("doc_id"), "text")).select("doc_id", F.flatten(sents).alias("tokens")).where(F.size("tokens") > 0)
+
+
 def across(docs: DataFrame, orders: range, key: str = "doc_id", tags: int = 3) -> DataFrame:
     """N-grams that cross sentence ends within a document: doc_id, n, ngram, one row an occurrence.
 
     A row is the unit, as an order over all documents would put them into one task; so is a row whose doc_id others share.
     """
-    sents = F.transform(S.lines(F.col("text")), lambda x: S.tagged(S.lower_words(x), tags))
-    whole = spread(docs.select(F.col(key).alias("doc_id"), "text")).select("doc_id", F.flatten(sents).alias("tokens")).where(F.size("tokens") > 0)
     each = [_numbered(n, -1) for n in orders]
-    return whole.select("doc_id", F.explode(F.flatten(F.array(*each))).alias("x")).select("doc_id", "x.n", "x.ngram")
+    return joined(docs, key, tags).select("doc_id", F.explode(F.flatten(F.array(*each))).alias("x")).select("doc_id", "x.n", "x.ngram")
 
 
 def counts(occurring: DataFrame, least: int = 1) -> DataFrame:

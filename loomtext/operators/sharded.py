@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import frames
 from loomtext.llm import kernels as K
+from loomtext.operators import counting
 from loomtext.session import cut, freeing
 
 U = np.uint64
-#: Words of a batch, bytes of text for a shard, and n-grams that are looked up in one pass over the text.
-BATCH_WORDS, SHARD_BYTES, MOST_KEYS = 2_000_000, 1 << 25, 8_000_000
+#: Words of a batch, of rows that are counted one by one, bytes of text for a shard, and n-grams that are looked up in one pass over the text.
+BATCH_WORDS, ROW_WORDS, SHARD_BYTES, MOST_KEYS = 1_500_000, 500_000, 1 << 25, 8_000_000
 _ROW = "part int, n int, h binary, cnt binary, own binary, nf binary, np binary, nfp binary"
 _TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 _SENT = "kind int, id long, col int, value long"
@@ -240,3 +241,48 @@ def count_of_counts(histogram: DataFrame) -> DataFrame:
     of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("times"))), F.lit(0))
     exact = [of(F.col("cnt") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
     return histogram.groupBy("n").agg(F.sum("times").alias("n_distinct"), *exact, of(F.col("cnt") >= 5).alias("n5p"), F.sum(F.col("cnt") * F.col("times")).alias("total"))
+
+
+# -- within documents ---------------------------------------------------------------------------
+
+
+def _row_counts(orders: range, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in it:
+        ends = whole.column(1).offsets.to_numpy()[1:].astype(np.int64)
+        at = 0
+        while at < whole.num_rows:  # rows of about ROW_WORDS words at a time, one row at least
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROW_WORDS, "right")))
+            batch, at = whole.slice(at, to - at), to
+            w, size = sentences(batch.select([1]))
+            row = np.repeat(np.arange(len(size)), size)
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(w))
+            apart = K.mix(np.arange(len(size)).astype(U) + U(0x3C6EF372FE94F82B))[row]
+            g = w
+            for n in range(1, orders.stop):
+                if n > 1:
+                    g = longer(g[:-1], w[n - 1 :])
+                if n not in orders:
+                    continue
+                here = np.flatnonzero(left[: len(g)] >= n)
+                of, h = row[here], K.mix(g[here] + apart[here])
+                order = np.argsort(h)
+                new = order[_firsts(h[order])]
+                cnt, distinct = np.bincount(of, minlength=len(size)), np.bincount(of[new], minlength=len(size))
+                some = np.flatnonzero(cnt)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(np.full(len(some), n, np.int32)), pa.array(cnt[some]), pa.array(distinct[some])], ["doc_id", "n", "cnt", "n_distinct"])
+
+
+def across_counts(docs: DataFrame, orders: range, key: str = "doc_id") -> DataFrame:
+    """doc_id, n, and how many n-grams, across sentence ends, its row has in all and distinct ones.
+
+    A row is counted within its task. Only what rows share a doc_id with others has a row for each n-gram, so that one that several of them have counts once.
+    """
+    shared = cut(docs.groupBy(F.col(key).alias("__id")).count().where("count > 1").select("__id"))
+    kind = docs.schema[key].dataType.simpleString()
+    count = lambda rows: counting.joined(rows, key).mapInArrow(partial(_row_counts, orders), f"doc_id {kind}, n int, cnt long, n_distinct long")
+    n = shared.count()
+    if not n:
+        return count(docs)
+    on, ids = F.col(key).eqNullSafe(F.col("__id")), frames.sized(shared, n, 16)
+    together = counting.across(docs.join(ids, on, "left_semi"), orders, key).groupBy("doc_id", "n").agg(F.count("*").alias("cnt"), F.countDistinct("ngram").alias("n_distinct"))
+    return count(docs.join(ids, on, "left_anti")).unionByName(together)

@@ -49,7 +49,23 @@ def _no_rows(monkeypatch):
     monkeypatch.setattr(counting, "occurrences", never)
 
 
-@pytest.mark.parametrize("name", ["kn_fivegram", "mkn_fivegram_auto", "order_model_pivot", "lm_mle", "lm_static_unknown", "doc_perplexity"])
+@pytest.mark.parametrize("name", ["kn_fivegram", "mkn_fivegram_auto", "order_model_pivot", "lm_mle", "lm_static_unknown", "doc_perplexity", "arpa_score", "distribution_perplexity", "count_of_counts", "kn_discounts"])
 def test_models_make_no_row_for_each_ngram_of_the_corpus(spark, sf_dir, monkeypatch, name):
     _no_rows(monkeypatch)
     assert catalog.queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4], [0, 1, 1, None, None], [None, 1, 2, 3, 4]])
+def test_ngrams_across_sentences_are_counted_within_rows(spark, ids):
+    texts = ["a b a b\na b", "a b c\nd", "a b c\r\n\nq", "é ß", ""]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = counting.across(docs, range(2, 4)).groupBy("doc_id", "n").agg(F.count("*"), F.countDistinct("ngram"))
+    assert sorted(map(tuple, sharded.across_counts(docs, range(2, 4)).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_rows_with_ids_of_their_own_have_no_row_for_each_ngram(spark, sf_dir, monkeypatch):
+    def never(*_):
+        raise AssertionError("a row an n-gram")
+
+    monkeypatch.setattr(counting, "across", never)
+    assert catalog.queries()["ngram_across"](spark, sf_dir).count() > 0
