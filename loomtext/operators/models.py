@@ -232,10 +232,15 @@ register_model("kn_arpa", lambda n: _arpa(n, n))
 
 
 def arpa(counted: DataFrame, coc: DataFrame, n: int = 3, discount: float | None = 0.7) -> DataFrame:
-    """n, ngram, log10p and backoff (null: none) of all counted n-grams, as ``files.arpa_lines`` writes and ``arpa_scored`` reads them."""
-    fixed = constants([r.asDict() for r in coc.collect()], discount)
+    """n, ngram, log10p and backoff (null: none) of all counted n-grams, as ``files.arpa_lines`` writes and ``arpa_scored`` reads them.
+
+    ``counted`` may be an index of some n-grams that has all parts of each; then the table has its rows of these.
+    """
+    fixed = constants([r.asDict() for r in coc.collect()], discount, n)
     known = {k: F.lit(v) for k, v in fixed.items()}
-    indexed = counting.index(counted)
+    indexed = counted if "nf_n1" in counted.columns else counting.index(counted)
+    if "n" not in indexed.columns:
+        indexed = indexed.withColumn("n", F.size(F.split("ngram", " ")))
     out = []
     for k in range(1, n + 1):
         own = indexed.where(F.col("n") == k)
