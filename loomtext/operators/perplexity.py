@@ -41,10 +41,11 @@ def sentence_normalized(scores: DataFrame, *keys: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.count("*").alias("num_sentences"), F.pow(F.lit(10.0), -F.avg("m")).alias("perp"))
 
 
-def entropy_perplexity(counted: DataFrame) -> Column:
-    """2 to the entropy of a count column's distribution, as an aggregate over its rows."""
+def entropy_perplexity(times: Column | None = None) -> Column:
+    """2 to the entropy of a count column's distribution, as an aggregate over its rows, each of which stands for ``times`` equal ones."""
     c = F.col("cnt").cast("double")
-    return F.pow(F.lit(2.0), F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c))
+    of = c if times is None else c * times
+    return F.pow(F.lit(2.0), F.log2(F.sum(of)) - F.sum(of * F.log2(c)) / F.sum(of))
 
 
 def filter_lines(lines: DataFrame, most: float = 1000.0) -> DataFrame:
