@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import ngrams as N
-from loomtext.operators import counting
+from loomtext.operators import counting, windows
 from loomtext.session import cut, sized
 
 _UNSEEN = "(d1 / u / b2)"
@@ -305,5 +305,42 @@ def predict_next(histories: DataFrame, indexed: DataFrame, coc: DataFrame, model
         words = [r.ngram for r in indexed.where("n = 1").orderBy(F.desc("cnt"), "ngram").limit(top).select("ngram").collect()]
         pairs = asked.withColumn("candidate", F.explode(F.lit(words)))
     pairs = pairs.withColumn("ngram", F.concat_ws(" ", "history", "candidate"))
-    best = pairs.join(scored(pairs, indexed, coc, model), "ngram").groupBy("history").agg(F.max_by(F.struct("candidate", "p"), F.struct("p", F.transform(F.split("candidate", ""), lambda c: -F.ascii(c)))).alias("x"))
+    best = pairs.join(scored(pairs, indexed, coc, model), "ngram").groupBy("history").agg(F.max_by(F.struct("candidate", "p"), _by_p("candidate")).alias("x"))
     return best.select("history", F.col("x.candidate").alias("word"), F.col("x.p").alias("p"))
+
+
+def _by_p(word: str) -> Column:
+    """What is the greatest for the greatest p, of equals for the smaller word."""
+    return F.struct("p", F.transform(F.split(word, ""), lambda c: -F.ascii(c)))
+
+
+def predict_next_of(histories: DataFrame, sents: DataFrame, buckets: int, discount: float = 0.7) -> DataFrame:
+    """As ``predict_next`` under the recursive trigram model of ``sents``, of all words, without an index of the corpus.
+
+    Words that a history isn't seen before have a probability in proportion to the lower order's, which depends on the history's last word only. So the
+    candidates are the words seen after the history, the best of those seen after its last word, and the best of all; of each last word one is enough, whatever
+    histories it ends: if the best is seen after a history too, it is better there than all that aren't.
+    """
+    asked = cut(histories.select("history").distinct().withColumn("last", N.last_word(F.col("history"))))
+    lasts = asked.select(F.col("last").alias("ngram")).distinct()
+    words, after_two, after_one = windows.continuations(sents, buckets, asked.select(F.col("history").alias("ngram")), lasts)
+    words = cut(words)
+    size = words.agg(F.count("*").alias("u"), F.sum("np1").alias("b2")).first()
+    best = words.orderBy(F.col("np1").desc(), "ngram").first()
+    fixed = {k: F.lit(float(v)) for k, v in {"u": size.u, "b2": size.b2 or 0, **{f"d{k}": discount for k in (1, 2, 3)}}.items()}
+    before = words.select(F.col("ngram").alias("word"), "np1")
+    around = lasts.join(words, "ngram", "left").select(F.col("ngram").alias("last"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nf2", "nfp2")])
+    doubles = lambda df: df.withColumns({c: F.col(c).cast("double") for c in ("np1", "np2", "nf2", "nfp2", "c3", "h3", "nf3") if c in df.columns}).withColumns(fixed)
+    lower = f"(greatest(np1 - d1, 0) / b2 + {_UNIFORM})"
+    lower = _when("nfp2 = 0", f"d2 * {lower}", _mix("np2", "d2", "nfp2", "d2 * nf2", lower))
+    single = doubles(after_one.join(before, "word").join(around, "last")).select("last", "word", "np2", "np1", F.expr(lower).alias("p"))
+    of_last = single.groupBy("last").agg(F.max_by(F.struct("word", "np2", "np1"), _by_p("word")).alias("x")).select("last", "x.*")
+    seen = cut(after_two.withColumn("last", N.last_word(F.col("history"))))
+    both = seen.select("history", "last", "word", "c3").join(after_one, ["last", "word"]).join(before, "word").select("history", "word", "c3", "np2", "np1")
+    unseen = asked.join(of_last, "last").select("history", "word", F.lit(0).alias("c3"), "np2", "np1")
+    common = asked.select("history", F.lit(best.ngram if best else "").alias("word"), F.lit(0).alias("c3"), F.lit(0).alias("np2"), F.lit(best.np1 if best else 0).alias("np1"))
+    pairs = both.union(unseen).union(common).groupBy("history", "word").agg(*[F.max(c).alias(c) for c in ("c3", "np2", "np1")])
+    of_history = seen.groupBy("history").agg(F.max("h3").alias("h3"), F.max("nf3").alias("nf3"))
+    full = pairs.join(asked, "history").join(around, "last").join(of_history, "history", "left").fillna(0, ["h3", "nf3"])
+    p = doubles(full).select("history", "word", probability("kn_recursive", 3).alias("p"))
+    return p.groupBy("history").agg(F.max_by(F.struct("word", "p"), _by_p("word")).alias("x")).select("history", "x.word", "x.p")

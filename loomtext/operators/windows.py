@@ -13,6 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +114,9 @@ def windows(sents: DataFrame, buckets: int, *sides: int) -> DataFrame:
 class Shard:
     """Windows of a shard, ascending and added up, by side: a, b, c (numbers of ``words``; none: the number after the last) and cnt."""
 
-    def __init__(self, it: Iterator[pa.RecordBatch]) -> None:
-        rows = [row for batch in it for row in zip(*(batch.column(i).to_pylist() for i in range(1, 8)))]
+    def __init__(self, it: Iterator[pa.RecordBatch], *only: int) -> None:
+        """``only``: the sides that are read; none: all."""
+        rows = [row for batch in it for row in zip(*(batch.column(i).to_pylist() for i in range(1, 8))) if not only or row[0] in only]
         names = []
         for row in rows:
             size = K.unpack_ints(row[6]).astype(np.int64)
@@ -240,6 +242,45 @@ def _words(sent: DataFrame) -> DataFrame:
     return rows.groupBy("ngram").agg(*[F.sum(c).alias(c) for c in every])
 
 
+def _of_histories(asked: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """history, word, c3, h3, nf3: the words after bigrams that are asked for, how often each comes, all come, and how many there are."""
+    shard = Shard(it, FORWARD)
+    if not shard.sides:
+        return
+    h = sharded.hashes(shard.words)
+    a, b, cnt, of = shard.bigrams(FORWARD)
+    _, _, z, times = shard.sides[FORWARD]
+    wanted = np.append(asked.value.numbers(sharded.longer(h[a], h[b])) > 0, False)
+    many = np.bincount(of[z < shard.none], minlength=len(a))
+    on = np.flatnonzero(wanted[of] & (z < shard.none))
+    yield from _batches(["history", "word", "c3", "h3", "nf3"], len(on), lambda p: (lambda q: [_joined(shard.words, a[of[q]], b[of[q]]), _joined(shard.words, z[q]), times[q], cnt[of[q]], many[of[q]]])(on[p]))
+
+
+def _of_lasts(asked: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """last, word, np2: the words after words that are asked for, and how many distinct ones come before the two."""
+    shard = Shard(it, BACKWARD)
+    if not shard.sides:
+        return
+    a, b, _, of = shard.bigrams(BACKWARD)
+    before = np.bincount(of[shard.sides[BACKWARD][2] < shard.none], minlength=len(a))
+    on = np.flatnonzero((asked.value.numbers(sharded.hashes(shard.words)) > 0)[a])
+    yield from _batches(["last", "word", "np2"], len(on), lambda p: (lambda q: [_joined(shard.words, a[q]), _joined(shard.words, b[q]), before[q]])(on[p]))
+
+
+def continuations(sents: DataFrame, buckets: int, histories: DataFrame, lasts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of all words: ngram, np1, nf2, nfp2 (distinct words before, after, and pairs around); and what follows bigrams and words (each distinct ``ngram``): see
+    ``_of_histories`` and ``_of_lasts``."""
+    def asked(ngrams: DataFrame) -> Broadcast:
+        h = sharded.keyed(ngrams).select("h").toArrow()["h"].to_numpy()
+        return sents.sparkSession.sparkContext.broadcast(sharded.Asked(h))
+
+    sent = windows(sents, buckets, FORWARD, BACKWARD)
+    total = lambda p, c: sum((F.col(x) for x in KINDS[p][2:]), F.col(KINDS[p][1])).alias(c)
+    words = _words(sent).select("ngram", total("np", "np1"), total("nf", "nf2"), total("nfp", "nfp2"))
+    after_two = sent.mapInArrow(partial(_of_histories, asked(histories)), "history string, word string, c3 long, h3 long, nf3 long")
+    return words, after_two, sent.mapInArrow(partial(_of_lasts, asked(lasts)), "last string, word string, np2 long")
+
+
 def _neighbours(sents: DataFrame, buckets: int, side: int, prefix: str) -> DataFrame:
     sent, names = windows(sents, buckets, side), KINDS[prefix]
     of_words = _words(sent).select("ngram", *names).where(f"{names[0]} > 0")

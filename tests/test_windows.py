@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomtext.operators import counting, sharded, windows
+from loomtext.operators import counting, models, sharded, windows
 from loomtext.plans import catalog
 
 
@@ -32,10 +32,23 @@ def test_nothing_comes_of_no_sentences(text):
     assert windows.index(none, 3).count() == windows.counts(none, 3, 2).count() == windows.preceders(none, 3).count() == 0
 
 
-@pytest.mark.parametrize("name", ["nfollow", "nprecede", "nfollowerprecede", "ngram_index", "ngram_counts_min2"])
+@pytest.mark.parametrize("name", ["nfollow", "nprecede", "nfollowerprecede", "ngram_index", "ngram_counts_min2", "predict_next"])
 def test_queries_shuffle_no_string_for_each_ngram(spark, sf_dir, monkeypatch, name):
     def never(*_):
         raise AssertionError("a row an n-gram")
 
     monkeypatch.setattr(counting, "occurrences", never)
     assert catalog.queries()[name](spark, sf_dir).columns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_predictions_are_those_of_an_index(spark, seed):
+    rng = random.Random(seed)
+    words = [*"abcdefgh", "ab", "abc", "é", "日"]
+    sents = counting.sentences(spark.createDataFrame([(i, " ".join(rng.choices(words, range(12, 0, -1), k=rng.randint(1, 9)))) for i in range(30 * seed)], "doc_id long, text string"))
+    indexed = counting.index(counting.counts(counting.occurrences(sents, range(1, 4)))).cache()
+    asked = spark.createDataFrame([(f"{x} {y}",) for x in ["<s>", *words, "zz"] for y in [*words, "<s>", "zz"]], "history string")
+    want = models.predict_next(asked, indexed, counting.count_of_counts(indexed))
+    got = models.predict_next_of(asked, sents, 3)
+    plain = lambda df: sorted((r.history, r.word, round(r.p, 12)) for r in df.collect())
+    assert plain(got) == plain(want)
