@@ -323,20 +323,24 @@ def predict_next_of(histories: DataFrame, sents: DataFrame, buckets: int, discou
     """
     asked = cut(histories.select("history").distinct().withColumn("last", N.last_word(F.col("history"))))
     lasts = asked.select(F.col("last").alias("ngram")).distinct()
-    words, after_two, after_one = windows.continuations(sents, buckets, asked.select(F.col("history").alias("ngram")), lasts)
-    words = cut(words)
+    found = windows.Continuations(sents, buckets)
+    words = cut(found.words())
     size = words.agg(F.count("*").alias("u"), F.sum("np1").alias("b2")).first()
     best = words.orderBy(F.col("np1").desc(), "ngram").first()
-    fixed = {k: F.lit(float(v)) for k, v in {"u": size.u, "b2": size.b2 or 0, **{f"d{k}": discount for k in (1, 2, 3)}}.items()}
+    u, b2 = float(size.u), float(size.b2 or 0)
+    fixed = {k: F.lit(v) for k, v in {"u": u, "b2": b2, **{f"d{k}": discount for k in (1, 2, 3)}}.items()}
     before = words.select(F.col("ngram").alias("word"), "np1")
-    around = lasts.join(words, "ngram", "left").select(F.col("ngram").alias("last"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nf2", "nfp2")])
+    around = cut(lasts.join(words, "ngram", "left").select(F.col("ngram").alias("last"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nf2", "nfp2")]))
     doubles = lambda df: df.withColumns({c: F.col(c).cast("double") for c in ("np1", "np2", "nf2", "nfp2", "c3", "h3", "nf3") if c in df.columns}).withColumns(fixed)
     lower = f"(greatest(np1 - d1, 0) / b2 + {_UNIFORM})"
     lower = _when("nfp2 = 0", f"d2 * {lower}", _mix("np2", "d2", "nfp2", "d2 * nf2", lower))
-    single = doubles(after_one.join(before, "word").join(around, "last")).select("last", "word", "np2", "np1", F.expr(lower).alias("p"))
-    of_last = single.groupBy("last").agg(F.max_by(F.struct("word", "np2", "np1"), _by_p("word")).alias("x")).select("last", "x.*")
-    seen = cut(after_two.withColumn("last", N.last_word(F.col("history"))))
-    both = seen.select("history", "last", "word", "c3").join(after_one, ["last", "word"]).join(before, "word").select("history", "word", "c3", "np2", "np1")
+    after = found.after_words(around.select(F.col("last").alias("ngram"), "nf2"), words, b2, u, discount)
+    single = doubles(after.join(before, "word").join(around, "last")).select("last", "word", "np2", "np1", F.expr(lower).alias("p"))
+    of_last = cut(single.groupBy("last").agg(F.max_by(F.struct("word", "np2", "np1", "p"), _by_p("word")).alias("x")).select("last", "x.*"))
+    most = asked.join(of_last, "last", "left").select(F.col("history").alias("ngram"), F.coalesce("p", F.lit(1.0)).alias("most"))
+    seen = cut(found.after_bigrams(most, discount).withColumn("last", N.last_word(F.col("history"))))
+    pairs = found.bigrams(seen.select(F.concat_ws(" ", "last", "word").alias("ngram")))
+    both = seen.select("history", "last", "word", "c3").join(pairs, ["last", "word"]).join(before, "word").select("history", "word", "c3", "np2", "np1")
     unseen = asked.join(of_last, "last").select("history", "word", F.lit(0).alias("c3"), "np2", "np1")
     common = asked.select("history", F.lit(best.ngram if best else "").alias("word"), F.lit(0).alias("c3"), F.lit(0).alias("np2"), F.lit(best.np1 if best else 0).alias("np1"))
     pairs = both.union(unseen).union(common).groupBy("history", "word").agg(*[F.max(c).alias(c) for c in ("c3", "np2", "np1")])

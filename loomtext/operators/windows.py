@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from loomtext.llm import kernels as K
 from loomtext.operators import sharded
 from loomtext.operators.counting import STATS
+from loomtext.session import executed
 
 U = np.uint64
 FORWARD, BACKWARD = 0, 1
 _CELLS = ["a", "b", "c", "cnt", "words", "sizes"]
 _ROW = "part int, side int, " + ", ".join(f"{c} binary" for c in _CELLS)
 _OUT_ROWS = 100_000
+#: Words whose statistics every task has when it looks for the best after a word.
+FREQUENT_WORDS = 100_000
 KINDS = {p: [f"{p}_{s}" for s in ("s", "n1", "n2", "n3")] for p in ("nf", "np", "nfp")}
 
 
@@ -242,43 +245,102 @@ def _words(sent: DataFrame) -> DataFrame:
     return rows.groupBy("ngram").agg(*[F.sum(c).alias(c) for c in every])
 
 
-def _of_histories(asked: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """history, word, c3, h3, nf3: the words after bigrams that are asked for, how often each comes, all come, and how many there are."""
+def _of_histories(asked: Broadcast, most: Broadcast, discount: float, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """history, word, c3, h3, nf3: the words after bigrams that are asked for, how often each comes, all come, and how many there are.
+
+    ``most``: for each of these the most that the lower order gives to a word after it; words that can't be the best with it are left out.
+    """
     shard = Shard(it, FORWARD)
     if not shard.sides:
         return
     h = sharded.hashes(shard.words)
     a, b, cnt, of = shard.bigrams(FORWARD)
     _, _, z, times = shard.sides[FORWARD]
-    wanted = np.append(asked.value.numbers(sharded.longer(h[a], h[b])) > 0, False)
-    many = np.bincount(of[z < shard.none], minlength=len(a))
-    on = np.flatnonzero(wanted[of] & (z < shard.none))
+    number = asked.value.numbers(sharded.longer(h[a], h[b]))
+    on = np.flatnonzero(np.append(number > 0, False)[of] & (z < shard.none))
+    of, z, times = of[on], z[on], times[on]
+    many, best = np.bincount(of, minlength=len(a)), np.zeros(len(a), np.int64)
+    np.maximum.at(best, of, times)
+    on = np.flatnonzero(times + (1 + 1e-9) * discount * many[of] * most.value[number[of] - 1] >= best[of])
     yield from _batches(["history", "word", "c3", "h3", "nf3"], len(on), lambda p: (lambda q: [_joined(shard.words, a[of[q]], b[of[q]]), _joined(shard.words, z[q]), times[q], cnt[of[q]], many[of[q]]])(on[p]))
 
 
-def _of_lasts(asked: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """last, word, np2: the words after words that are asked for, and how many distinct ones come before the two."""
+def _of_lasts(asked: Broadcast, known: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """last, word, np2: the words after words that are asked for, and how many distinct ones come before the two.
+
+    Which one the recursive model's lower order makes the best depends on np1 too, the distinct words before each. ``known`` has that of frequent words, and the most
+    that others have, so words that can't be the best of the shard are left out.
+    """
     shard = Shard(it, BACKWARD)
     if not shard.sides:
         return
+    nf, frequent, np1, rest, b2, u, d = known.value
+    h = sharded.hashes(shard.words)
+    number = asked.value.numbers(h)
+    at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
+    found = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
+    p1 = lambda n: np.maximum(n - d, 0) / b2 + d / b2 / (u + 1)
+    high, low = (p1(np.where(found, np1[at] if len(np1) else 0, x)) for x in (rest, 0))
     a, b, _, of = shard.bigrams(BACKWARD)
     before = np.bincount(of[shard.sides[BACKWARD][2] < shard.none], minlength=len(a))
-    on = np.flatnonzero((asked.value.numbers(sharded.hashes(shard.words)) > 0)[a])
+    on = np.flatnonzero((number > 0)[a])
+    a, b, before = a[on], b[on], before[on]
+    own, weight = np.maximum(before - d, 0), d * nf[number[a] - 1]
+    best = np.zeros(shard.none)
+    np.maximum.at(best, a, own + weight * low[b])
+    on = np.flatnonzero(own + weight * high[b] >= best[a] * (1 - 1e-9))
     yield from _batches(["last", "word", "np2"], len(on), lambda p: (lambda q: [_joined(shard.words, a[q]), _joined(shard.words, b[q]), before[q]])(on[p]))
 
 
-def continuations(sents: DataFrame, buckets: int, histories: DataFrame, lasts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of all words: ngram, np1, nf2, nfp2 (distinct words before, after, and pairs around); and what follows bigrams and words (each distinct ``ngram``): see
-    ``_of_histories`` and ``_of_lasts``."""
-    def asked(ngrams: DataFrame) -> Broadcast:
-        h = sharded.keyed(ngrams).select("h").toArrow()["h"].to_numpy()
-        return sents.sparkSession.sparkContext.broadcast(sharded.Asked(h))
+def _of_pairs(asked: Broadcast, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """last, word, np2 of bigrams that are asked for."""
+    shard = Shard(it, BACKWARD)
+    if not shard.sides:
+        return
+    h = sharded.hashes(shard.words)
+    a, b, _, of = shard.bigrams(BACKWARD)
+    before = np.bincount(of[shard.sides[BACKWARD][2] < shard.none], minlength=len(a))
+    on = np.flatnonzero(asked.value.numbers(sharded.longer(h[a], h[b])) > 0)
+    yield from _batches(["last", "word", "np2"], len(on), lambda p: (lambda q: [_joined(shard.words, a[q]), _joined(shard.words, b[q]), before[q]])(on[p]))
+
 
-    sent = windows(sents, buckets, FORWARD, BACKWARD)
-    total = lambda p, c: sum((F.col(x) for x in KINDS[p][2:]), F.col(KINDS[p][1])).alias(c)
-    words = _words(sent).select("ngram", total("np", "np1"), total("nf", "nf2"), total("nfp", "nfp2"))
-    after_two = sent.mapInArrow(partial(_of_histories, asked(histories)), "history string, word string, c3 long, h3 long, nf3 long")
-    return words, after_two, sent.mapInArrow(partial(_of_lasts, asked(lasts)), "last string, word string, np2 long")
+class Continuations:
+    """What predictions read of windows. What is asked for is text to be predicted, so its hashes are broadcast."""
+
+    def __init__(self, sents: DataFrame, buckets: int) -> None:
+        self.sent = executed(windows(sents, buckets, FORWARD, BACKWARD))
+        self.context = sents.sparkSession.sparkContext
+
+    def _asked(self, ngrams: DataFrame, *values: str) -> tuple[Broadcast, list[np.ndarray]]:
+        """Hashes of ``ngrams``, and the values of each in their order."""
+        keyed = sharded.keyed(ngrams)
+        found = (keyed.join(ngrams, "ngram") if values else keyed).select("h", *values).toArrow()
+        h = found["h"].to_numpy().view(U)
+        first = np.unique(h, return_index=True)[1]
+        return self.context.broadcast(sharded.Asked(h)), [found[v].to_numpy()[first] for v in values]
+
+    def words(self) -> DataFrame:
+        """ngram, np1, nf2, nfp2 of all words: distinct words before, after, and pairs around."""
+        total = lambda p, c: sum((F.col(x) for x in KINDS[p][2:]), F.col(KINDS[p][1])).alias(c)
+        return _words(self.sent).select("ngram", total("np", "np1"), total("nf", "nf2"), total("nfp", "nfp2"))
+
+    def after_words(self, lasts: DataFrame, words: DataFrame, b2: float, u: float, discount: float) -> DataFrame:
+        """``lasts``: ngram, each once, with nf2. See ``_of_lasts``."""
+        asked, (nf,) = self._asked(lasts, "nf2")
+        top = words.orderBy(F.desc("np1")).limit(FREQUENT_WORDS).select("ngram", "np1").toArrow().combine_chunks()
+        h, np1 = (sharded.hashes(top["ngram"].combine_chunks()), top["np1"].to_numpy()) if top.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
+        order = np.argsort(h)
+        rest = int(np1.min()) if len(np1) == FREQUENT_WORDS else 0
+        known = self.context.broadcast((nf.astype(np.float64), h[order], np1[order], rest, b2, u, discount))
+        return self.sent.mapInArrow(partial(_of_lasts, asked, known), "last string, word string, np2 long")
+
+    def after_bigrams(self, histories: DataFrame, discount: float) -> DataFrame:
+        """``histories``: ngram, each once, with most. See ``_of_histories``."""
+        asked, (most,) = self._asked(histories, "most")
+        return self.sent.mapInArrow(partial(_of_histories, asked, self.context.broadcast(most), discount), "history string, word string, c3 long, h3 long, nf3 long")
+
+    def bigrams(self, ngrams: DataFrame) -> DataFrame:
+        return self.sent.mapInArrow(partial(_of_pairs, self._asked(ngrams)[0]), "last string, word string, np2 long")
 
 
 def _neighbours(sents: DataFrame, buckets: int, side: int, prefix: str) -> DataFrame:

@@ -72,6 +72,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def executed(df: DataFrame) -> DataFrame:
+    """The same rows for several jobs, which share the shuffle files of one execution; within one job Spark does so by itself. Without Spark's internal method: ``df``."""
+    session = getattr(df.sparkSession, "_jsparkSession", None)
+    if not hasattr(session, "internalCreateDataFrame"):
+        return df
+    return DataFrame(session.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), df.sparkSession)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read back; the files go when the driver ends."""
     spark = df.sparkSession

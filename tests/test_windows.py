@@ -41,8 +41,9 @@ def test_queries_shuffle_no_string_for_each_ngram(spark, sf_dir, monkeypatch, na
     assert catalog.queries()[name](spark, sf_dir).columns
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_predictions_are_those_of_an_index(spark, seed):
+@pytest.mark.parametrize("seed,frequent", [(1, 100_000), (2, 3), (3, 1)])
+def test_predictions_are_those_of_an_index(spark, monkeypatch, seed, frequent):
+    monkeypatch.setattr(windows, "FREQUENT_WORDS", frequent)
     rng = random.Random(seed)
     words = [*"abcdefgh", "ab", "abc", "é", "日"]
     sents = counting.sentences(spark.createDataFrame([(i, " ".join(rng.choices(words, range(12, 0, -1), k=rng.randint(1, 9)))) for i in range(30 * seed)], "doc_id long, text string"))
